@@ -4,17 +4,25 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from evalloom.llm import bpe, chat_format, quality_rules
+from evalloom.llm import bpe, chat_format, language_id, packing, quality_classifier, quality_rules, token_binary
 from evalloom.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_quality_classifier(spark, sf_dir):
+    return quality_classifier.query(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.query(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+
+
 def op5_chat_format(spark, sf_dir):
     return chat_format.query(documents(spark, sf_dir, "conversations"))
 
@@ -23,6 +31,14 @@ def op6_bpe(spark, sf_dir):
     return bpe.query(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_chat_format, op6_bpe)}
+def op8_language_id(spark, sf_dir):
+    return language_id.query(documents(spark, sf_dir))
+
+
+def op10_token_binary(spark, sf_dir):
+    return token_binary.query(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_packing, op5_chat_format, op6_bpe, op8_language_id, op10_token_binary)}
 
 ORACLE_SQL = {"op2_quality_rules": quality_rules.oracle_sql(), "op5_chat_format": chat_format.oracle_sql()}
