@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from evalloom.llm import bpe, chat_format, language_id, packing, quality_classifier, quality_rules, token_binary
+from evalloom.llm import bpe, chat_format, language_id, near_texts, near_vectors, packing, quality_classifier, quality_rules, token_binary
 from evalloom.llm.common import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.query(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op3_near_vectors(spark, sf_dir):
+    return near_vectors.near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
@@ -35,10 +39,14 @@ def op8_language_id(spark, sf_dir):
     return language_id.query(documents(spark, sf_dir))
 
 
+def op9_near_texts(spark, sf_dir):
+    return near_texts.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_token_binary(spark, sf_dir):
     return token_binary.query(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op4_packing, op5_chat_format, op6_bpe, op8_language_id, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_quality_rules, op3_near_vectors, op4_packing, op5_chat_format, op6_bpe, op8_language_id, op9_near_texts, op10_token_binary)}
 
 ORACLE_SQL = {"op2_quality_rules": quality_rules.oracle_sql(), "op5_chat_format": chat_format.oracle_sql()}
