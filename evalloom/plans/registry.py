@@ -1,5 +1,10 @@
 """The registered queries of the evaluation operators."""
 
+from __future__ import annotations
+
+from evalloom.plans import scoring_queries
+
 FLAGSHIP = "paired_result"
-QUERIES = {}
-ORACLE_SQL = {}
+_MODULES = (scoring_queries,)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: text for m in _MODULES for name, text in m.ORACLE_SQL.items()}
