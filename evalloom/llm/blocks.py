@@ -18,7 +18,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "kind string, block long, bucket int, doc_ids array<bigint>, flags array<boolean>, lens array<bigint>, data binary"
+from evalloom.llm.common import materialize_bucketed
+
+SCHEMA = "kind string, block long, bucket int, doc_ids array<bigint>, flags array<boolean>, lens array<bigint>, data binary, counts binary"
 #: Words (occurrences) of a block, give or take a document.
 BLOCK_WORDS = 2_500_000
 
@@ -70,8 +72,9 @@ def make_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: i
     """Blocks of ``docs`` (doc_id long, text string, flag boolean).
 
     Rows of kind body: doc_ids, flags, lens (words of each document), data (codes of all words). Rows of kind dict: bucket,
-    data (words; counted on from the bucket before, their places are the codes). ``extra(words, codes, flag of each word,
-    ends of documents)`` may give further rows (kind, bucket, data).
+    data (words; counted on from the bucket before, their places are the codes), counts (of each word in documents with the
+    flag, if any has it). ``extra(words, codes, flag of each word, ends of documents)`` may give further rows (kind, bucket,
+    data). The result is a table in the shared folder, bucketed by block.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,10 +94,12 @@ def make_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: i
             serial += 1
             words = [words[i] for i in order.tolist()]
             cuts = np.searchsorted(home[order], np.arange(buckets + 1))
-            rows = [("dict", number, b, None, None, None, pack_words(words[cuts[b] : cuts[b + 1]])) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            rows.append(("body", number, None, ids, flags, lens, pack(codes)))
-            if extra:
-                rows += [(kind, number, b, None, None, None, data) for kind, b, data in extra(words, codes, np.repeat(np.array(flags, bool), lens), np.cumsum(lens))]
+            learned = np.repeat(np.array(flags, bool), lens)
+            counts = np.bincount(codes[learned], minlength=len(words)).astype(np.uint32) if any(flags) else None
+            rows = [("dict", number, b, None, None, None, pack_words(words[x:y]), None if counts is None else pack(counts[x:y])) for b, x, y in zip(range(buckets), cuts, cuts[1:]) if x < y]
+            rows.append(("body", number, None, ids, flags, lens, pack(codes), None))
+            if extra and any(flags):
+                rows += [(kind, number, b, None, None, None, data, None) for kind, b, data in extra(words, codes, learned, np.cumsum(lens))]
             for i in range(0, len(rows), 64):
                 yield pd.DataFrame(rows[i : i + 64], columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
 
@@ -114,28 +119,34 @@ def make_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], buckets: i
         if size:
             yield from block(*now)
 
-    return docs.mapInPandas(run, SCHEMA)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), buckets // 2)
+    return materialize_bucketed(docs.mapInPandas(run, SCHEMA), "block", parts, "blocks")
+
 
+def by_bucket(blocks: DataFrame, treat: Callable[[list[list[bytes]], list[np.ndarray | None]], tuple[list[bytes], bytes | None]]) -> DataFrame:
+    """Apply ``treat`` to the words and counts of all blocks in each bucket: an answer for each block's list, and one of the bucket.
 
-def by_bucket(blocks: DataFrame, treat: Callable[[list[list[bytes]], list[np.ndarray] | None], list[bytes]]) -> DataFrame:
-    """Apply ``treat`` to the words of all blocks in each bucket: one answer (binary) for each block's list. Columns block, bucket, data."""
+    Columns block (null in the bucket's own row), bucket, data.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "data": treat(rows["block"].tolist(), [unpack_words(d) for d in rows["data"]])})
+        answers, own = treat([unpack_words(d) for d in rows["data"]], [None if c is None else unpack(c) for c in rows["counts"]])
+        out = pd.DataFrame({"block": rows["block"].astype("Int64"), "bucket": rows["bucket"], "data": answers})
+        return out if own is None else pd.concat([out, pd.DataFrame({"block": pd.array([None], "Int64"), "bucket": rows["bucket"].iloc[:1], "data": [own]})])
 
-    return blocks.filter("kind = 'dict'").select("block", "bucket", "data").groupBy("bucket").applyInPandas(run, "block long, bucket int, data binary")
+    return blocks.filter("kind = 'dict'").select("block", "bucket", "data", "counts").groupBy("bucket").applyInPandas(run, "block long, bucket int, data binary")
 
 
 def by_block(blocks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """Bring answers back to their blocks: ``finish(doc_ids, flags, lens, codes, answers in bucket order)`` gives a pandas frame for each block."""
+    """Bring answers back to their blocks: ``finish(doc_ids, flags, lens, codes, answers in bucket order, their buckets)`` gives a frame for each block."""
 
     def run(body: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = body.iloc[0]
-        data = answers.sort_values("bucket")["data"].tolist()
-        return finish(list(row["doc_ids"]), np.array(row["flags"], bool), np.array(row["lens"], np.int64), unpack(row["data"]), data)
+        answers = answers.sort_values("bucket")
+        return finish(list(row["doc_ids"]), np.array(row["flags"], bool), np.array(row["lens"], np.int64), unpack(row["data"]), answers["data"].tolist(), answers["bucket"].tolist())
 
     body = blocks.filter("kind = 'body'").select("block", "doc_ids", "flags", "lens", "data")
-    return body.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    return body.groupBy("block").cogroup(answers.filter("block is not null").groupBy("block")).applyInPandas(run, schema)
 
 
 def long_ids(ids: list) -> pd.Series:

@@ -19,7 +19,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from evalloom.llm.blocks import bucket_count, by_block, by_bucket, long_ids, make_blocks, pack_many, plain_docs, unpack_many
-from evalloom.llm.common import materialize
 from evalloom.llm.wordpieces import byte_pieces, encoder
 
 _pieces: dict[str, pa.Array] = {}
@@ -72,9 +71,9 @@ def _digests(doc_ids: list, ids: np.ndarray, ends: np.ndarray, path: str) -> pd.
 
 def _run(docs: DataFrame, path: str, schema: str, report) -> DataFrame:
     docs = plain_docs(docs)
-    blocks = materialize(make_blocks(docs, split_words, bucket_count(docs)), "bpe")
+    blocks = make_blocks(docs, split_words, bucket_count(docs))
 
-    def encode(_, lists: list[list[bytes]]) -> list[bytes]:
+    def encode(lists: list[list[bytes]], _) -> tuple[list[bytes], None]:
         enc, place = encoder(path, True), {}
         for words in lists:
             for w in words:
@@ -84,9 +83,9 @@ def _run(docs: DataFrame, path: str, schema: str, report) -> DataFrame:
         for words in lists:
             mine = [ids[place[w]] for w in words]
             out.append(pack_many(np.fromiter(map(len, mine), np.uint32, len(mine)) // enc.dtype.itemsize, np.frombuffer(b"".join(mine), enc.dtype)))
-        return out
+        return out, None
 
-    def finish(doc_ids, flags, lens, codes, answers) -> pd.DataFrame:
+    def finish(doc_ids, flags, lens, codes, answers, buckets) -> pd.DataFrame:
         got = [unpack_many(a, 2) for a in answers]
         sizes = np.concatenate([g[0] for g in got] or [np.empty(0, np.uint32)]).astype(np.int64)
         table = np.concatenate([g[1] for g in got] or [np.empty(0, np.uint16)])

@@ -35,6 +35,14 @@ def materialize(df: DataFrame, name: str = "table", compression: str = "zstd") -
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, column: str, buckets: int, name: str = "table") -> DataFrame:
+    """Like ``materialize``, in buckets of ``column``: grouping by it later moves no row of the table."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("compression", "zstd").option("path", f"{shared_dir(spark)}/evalloom/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
