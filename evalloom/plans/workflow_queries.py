@@ -21,13 +21,14 @@ def expanded_plan(spark, sf_dir):
 
 
 def plan_violations(spark, sf_dir):
-    cases = view(spark, sf_dir, "cases").select("experiment_id", "case_id")
-    rows = plans.derive_run_ids(plans.expand_plan(cases, 3), "ns", by_experiment()).filter(F.crc32(F.col("run_id").cast("binary")) % 50 != 0)
-    return plans.check_plan(rows, cases, 3).filter("rule = 'missing'").groupBy("rule").agg(F.count("*").alias("n"))
+    """A plan whose holdout cases lack the candidate."""
+    cases = view(spark, sf_dir, "cases").select("experiment_id", "case_id", "role")
+    rows = plans.derive_run_ids(plans.expand_plan(cases, 3), "ns", by_experiment()).filter("not (role = 'holdout' and condition = 'candidate')")
+    return plans.check_plan(rows, cases, 3).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def pair_violations(spark, sf_dir):
-    rows = view(spark, sf_dir, "plan").filter("run_no % 97 <> 3").withColumn("band", F.expr("run_no div 12"))
+    rows = view(spark, sf_dir, "plan").filter("not (role = 'holdout' and condition = 'candidate' and repetition = 3)").withColumn("band", F.expr("run_no div 12"))
     return plans.check_pairs(rows, ["band"])
 
 
@@ -37,7 +38,7 @@ def plan_summary(spark, sf_dir):
 
 
 def execution_summary(spark, sf_dir):
-    return plans.execution_summary(view(spark, sf_dir, "plan"), view(spark, sf_dir, "records").filter("run_no % 31 <> 0"))
+    return plans.execution_summary(view(spark, sf_dir, "plan"), view(spark, sf_dir, "records").filter("status <> 'provider_error'"))
 
 
 def case_digests(spark, sf_dir):
@@ -51,7 +52,7 @@ def terminal_records(spark, sf_dir):
 
 
 def completeness_violations(spark, sf_dir):
-    records = view(spark, sf_dir, "records").filter("run_no % 31 <> 0")
+    records = view(spark, sf_dir, "records").filter("status <> 'provider_error'")
     gold = view(spark, sf_dir, "mechanisms").filter("mechanism_id = 'm1'")
     return run_records.check_complete(view(spark, sf_dir, "plan"), records, gold)
 
@@ -77,13 +78,13 @@ def recovery_overlay(spark, sf_dir):
 
 
 def stage_violations(spark, sf_dir):
-    records = view(spark, sf_dir, "records").join(view(spark, sf_dir, "cases").select("case_id", "role"), "case_id").select("run_id", "role", "run_no")
-    development, holdout = records.filter("role = 'development' or run_no % 211 = 0"), records.filter("role = 'holdout' and run_no % 13 <> 0")
+    records = view(spark, sf_dir, "records").join(view(spark, sf_dir, "cases").select("case_id", "role"), "case_id").select("run_id", "role", "repetition")
+    development, holdout = records.filter("role = 'development' or repetition = 1"), records.filter("role = 'holdout' and repetition < 3")
     return run_records.combine_stages(development, holdout, view(spark, sf_dir, "plan"))[1]
 
 
 def attempt_chain_violations(spark, sf_dir):
-    rows = view(spark, sf_dir, "records").select("run_no", "run_id", F.explode(F.sequence(F.lit(1), F.col("attempt"))).alias("attempt")).filter("not (run_no % 17 = 0 and attempt = 2)")
+    rows = view(spark, sf_dir, "records").select("snapshot", "run_id", F.explode(F.sequence(F.lit(1), F.col("attempt"))).alias("attempt")).filter("not (snapshot = 'fixed' and attempt = 2)")
     rows = rows.withColumn("status", F.lit("timeout")).withColumn("retry_history", F.expr("case when attempt > 1 then transform(sequence(1, attempt - 1), a -> named_struct('attempt', a, 'status', 'timeout')) else cast(array() as array<struct<attempt:int,status:string>>) end"))
     return run_records.check_attempt_chain(rows)
 
@@ -98,26 +99,26 @@ def _billed(spark, sf_dir):
 
 def run_costs(spark, sf_dir):
     rows = _billed(spark, sf_dir)
-    out = cost.account_costs(rows, rows.filter("run_no % 50 = 0"), spark.sql(PRICE), "v1")
+    out = cost.account_costs(rows, rows.filter("status <> 'succeeded'"), spark.sql(PRICE), "v1")
     return out.withColumn("known_cost", F.round(F.col("known_cost").cast("double"), 9))
 
 
 def cost_totals(spark, sf_dir):
     rows = _billed(spark, sf_dir)
-    out = cost.cost_totals(cost.account_costs(rows, rows.filter("run_no % 50 = 0"), spark.sql(PRICE), "v1"))
+    out = cost.cost_totals(cost.account_costs(rows, rows.filter("status <> 'succeeded'"), spark.sql(PRICE), "v1"))
     return out.withColumns({"known_cost": F.round("known_cost", 6), "actual_cost": F.round("actual_cost", 6)})
 
 
 def remaining_projection(spark, sf_dir):
     rows = _billed(spark, sf_dir)
-    out = cost.project_remaining(rows.withColumn("attempts_started", F.lit(1)), rows.filter("run_no % 9 <> 1"), spark.sql(PRICE), 2000, 3, 0.1)
+    out = cost.project_remaining(rows.withColumn("attempts_started", F.lit(1)), rows.filter("status = 'succeeded'"), spark.sql(PRICE), 2000, 3, 0.1)
     return out.withColumn("projected_cost", F.round("projected_cost", 6))
 
 
 def attempt_costs(spark, sf_dir):
     rows = _billed(spark, sf_dir)
-    terminal = rows.select("experiment_id", "run_id", "provider", "model", F.col("attempt").alias("terminal_attempt"), "run_no", "input_tokens", "cached_input_tokens", "output_tokens")
-    attempts = terminal.withColumn("attempt", F.explode(F.sequence(F.lit(1), "terminal_attempt"))).filter("(run_no + attempt) % 6 <> 0").withColumn("provider_cost_usd", F.lit(None).cast("double"))
+    terminal = rows.select("experiment_id", "run_id", "provider", "model", F.col("attempt").alias("terminal_attempt"), "condition", "input_tokens", "cached_input_tokens", "output_tokens")
+    attempts = terminal.withColumn("attempt", F.explode(F.sequence(F.lit(1), "terminal_attempt"))).filter("not (condition = 'candidate' and attempt = 2)").withColumn("provider_cost_usd", F.lit(None).cast("double"))
     out = cost.reconcile_attempt_costs(terminal.select("experiment_id", "run_id", "provider", "model", "terminal_attempt"), attempts, spark.sql(PRICE))
     return out.withColumn("known_cost", F.round("known_cost", 9))
 
@@ -220,7 +221,7 @@ def oracle() -> dict[str, str]:
     price = "((input_tokens - cached_input_tokens) * 2.5 + cached_input_tokens * 0.25) * case when input_tokens > 200000 then 2 else 1 end + output_tokens * 15 * case when input_tokens > 200000 then 1.5 else 1 end"
     billed = records + f""", billed as (select *, case when run_no % 5 = 0 then null else 'v1' end as version, case when run_no % 10 = 0 then (run_no % 100)::double / 100 end as provider_cost, case when run_no % 7 = 0 then 1 else 0 end as retries,
         case when cached_input_tokens <= input_tokens and output_tokens is not null then ({price}) / 1e6 end as priced from records)"""
-    costs = billed + """, doubled as (select * from billed union all select * from billed where run_no % 50 = 0), lines as (select *, case when version is null then provider_cost else priced end as cost, input_tokens is not null and cached_input_tokens is not null and output_tokens is not null as whole from doubled),
+    costs = billed + """, doubled as (select * from billed union all select * from billed where status <> 'succeeded'), lines as (select *, case when version is null then provider_cost else priced end as cost, input_tokens is not null and cached_input_tokens is not null and output_tokens is not null as whole from doubled),
         runs_cost as (select experiment_id, run_id, count(*) as records, bool_and(whole) as complete_usage, round(sum(cost), 9) as known_cost, bool_or(cost is null) as unknown, sum(retries)::bigint as unaccounted_retries from lines group by all)"""
     ratio = lambda a, b: f"({a})::double / nullif({b}, 0)"
     f1 = lambda p, r: f"case when {p} = 0 and {r} = 0 then 0.0 else 2 * {p} * {r} / nullif({p} + {r}, 0) end"
@@ -236,21 +237,22 @@ def oracle() -> dict[str, str]:
         "expanded_plan": plan + f""", hashed as (select experiment_id, case_id, snapshot, condition, repetition, {h("experiment_id", "'block'", "case_id", "snapshot", rep)} as bh, ('0x' || substr({h("experiment_id", "'orientation'", "case_id", "snapshot", rep)}, 1, 2))::bigint % 2 as odd from plan)
           select experiment_id, case_id, snapshot, condition, repetition, row_number() over (partition by experiment_id order by bh, case_id, snapshot, repetition, case when (odd = 0) = (condition = 'candidate') then 1 else 0 end) as plan_pos,
             'run-' || substr({h("'ns'", "case_id", "snapshot", "condition", rep)}, 1, 32) as run_id, ('0x' || substr({h("experiment_id", "'request'", "case_id", "snapshot", rep)}, 1, 16))::ubigint::varchar as request_seed from hashed""",
-        "pair_violations": plan + " select 'incomplete' as rule, case_id || '/' || snapshot || '/' || repetition as key from plan where run_no % 97 <> 3 group by case_id, snapshot, repetition having count(*) <> 2",
+        "pair_violations": plan + " select 'incomplete' as rule, case_id || '/' || snapshot || '/' || repetition as key from plan where not (role = 'holdout' and condition = 'candidate' and repetition = 3) group by case_id, snapshot, repetition having count(*) <> 2",
+        "plan_violations": plan + " select 'missing' as rule, count(*) as n from plan where role = 'holdout' and condition = 'candidate'",
         "plan_summary": records + " select experiment_id, count(distinct case_id) as cases, count(*) as runs, count(*) filter (estimated_input_tokens is null) as unestimated, sum(estimated_input_tokens)::bigint as estimated_input_tokens, count(*) * 3 as maximum_calls, count(*) * 3 * 10000 as maximum_input_tokens, count(*) * 3 * 2000 as maximum_output_tokens, round((count(*) * 3 * 10000 * 2.5 + count(*) * 3 * 2000 * 15.0) / 1e6 * 1.1, 6) as projected_cost_usd from records join cases using (experiment_id, case_id) where role <> 'holdout' group by experiment_id",
-        "execution_summary": records + " select p.experiment_id, count(*) as planned, count(status) as terminal, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status <> 'succeeded') as failed, count(*) = count(status) as complete from plan p left join (select run_id, status from records where run_no % 31 <> 0) r using (run_id) group by 1",
+        "execution_summary": records + " select p.experiment_id, count(*) as planned, count(status) as terminal, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status <> 'succeeded') as failed, count(*) = count(status) as complete from plan p left join (select run_id, status from records where status <> 'provider_error') r using (run_id) group by 1",
         "case_digests": plan + """ select case_id, 'sha256:' || sha256(string_agg(sha256('{"run":"' || run_id || '","snapshot":"' || snapshot || '","condition":"' || condition || '"}'), chr(10) order by run_no)) as digest, count(*) as n from plan group by case_id""",
         "terminal_records": records + " select experiment_id, status, attempt, status in ('succeeded', 'configuration_error', 'adapter_error') or attempt >= 3 or status not in ('provider_error', 'timeout', 'invalid_output') as terminal, count(*) as n from records group by all",
-        "completeness_violations": records + " select 'record_missing' as rule, run_id as key from plan where run_id not in (select run_id from records where run_no % 31 <> 0)",
+        "completeness_violations": records + " select 'record_missing' as rule, run_id as key from plan where run_id not in (select run_id from records where status <> 'provider_error')",
         "identity_violations": records + " select 'condition' as rule, run_id as key from records where run_no % 101 = 7",
         "recovery_selection": records + " select experiment_id, run_id, case status when 'adapter_error' then 'output_limit' when 'invalid_output' then 'invalid_output' else 'provider' end as reason from records where status = 'adapter_error' or (status in ('invalid_output', 'provider_error') and attempt >= 3)",
         "recovery_overlay": records + " select run_id, case when status <> 'succeeded' and run_no % 2 = 0 then 'succeeded' else status end as status, case when status <> 'succeeded' and run_no % 2 = 0 then 9876.0 else latency_ms end as latency_ms, status <> 'succeeded' and run_no % 2 = 0 as recovered from records",
-        "stage_violations": records + ", tagged as (select run_id, run_no, role from records join cases using (experiment_id, case_id)) select 'overlap' as rule, run_id as key from tagged where role = 'holdout' and run_no % 211 = 0 and run_no % 13 <> 0 union all select 'uncovered', run_id from tagged where role = 'holdout' and run_no % 13 = 0 and run_no % 211 <> 0",
-        "attempt_chain_violations": records + " select rule, run_id, 3 as attempt from records cross join (values ('gap'), ('history')) as v(rule) where run_no % 17 = 0 and attempt = 3",
+        "stage_violations": records + ", tagged as (select run_id, repetition, role from records join cases using (experiment_id, case_id)) select 'overlap' as rule, run_id as key from tagged where role = 'holdout' and repetition = 1 union all select 'uncovered', run_id from tagged where role = 'holdout' and repetition = 3",
+        "attempt_chain_violations": records + " select rule, run_id, 3 as attempt from records cross join (values ('gap'), ('history')) as v(rule) where snapshot = 'fixed' and attempt = 3",
         "run_costs": costs + " select * from runs_cost",
         "cost_totals": costs + ", totals as (select experiment_id, count(*) as completed_runs, count(*) filter (complete_usage) as provider_usage_runs, count(*) filter (unknown) as unknown_runs, sum(unaccounted_retries)::bigint as unaccounted_retries, round(sum(known_cost), 6) as known_cost from runs_cost group by 1) select *, case when unknown_runs = 0 and unaccounted_retries = 0 then known_cost end as actual_cost from totals",
-        "remaining_projection": records + ", open as (select experiment_id, estimated_input_tokens * 2.5 / 1e6 + 2000 * 15 / 1e6 as c from records where run_no % 9 = 1) select experiment_id, count(*) as unfinished_runs, count(*) - count(c) as unpriced, case when count(*) = count(c) then round(sum(c * 2) * 1.1, 6) end as projected_cost from open group by 1",
-        "attempt_costs": billed + ", spread as (select *, unnest(range(1, attempt + 1)) as a from billed) select experiment_id, run_id, count(*) as expected, count(*) filter ((run_no + a) % 6 = 0) as missing, count(*) filter ((run_no + a) % 6 = 0 and a < attempt) as missing_retries, round(sum(priced) filter ((run_no + a) % 6 <> 0), 9) as known_cost, bool_or(priced is null or (run_no + a) % 6 = 0) as unknown from spread group by all",
+        "remaining_projection": records + ", open as (select experiment_id, estimated_input_tokens * 2.5 / 1e6 + 2000 * 15 / 1e6 as c from records where status <> 'succeeded') select experiment_id, count(*) as unfinished_runs, count(*) - count(c) as unpriced, case when count(*) = count(c) then round(sum(c * 2) * 1.1, 6) end as projected_cost from open group by 1",
+        "attempt_costs": billed + ", spread as (select *, unnest(range(1, attempt + 1)) as a from billed) select experiment_id, run_id, count(*) as expected, count(*) filter (condition = 'candidate' and a = 2) as missing, count(*) filter (condition = 'candidate' and a = 2 and a < attempt) as missing_retries, round(sum(priced) filter (not (condition = 'candidate' and a = 2)), 9) as known_cost, bool_or(priced is null or condition = 'candidate' and a = 2) as unknown from spread group by all",
         "packet_items": adj + f""", items as (select experiment_id, run_id, finding_id, mechanism_id, substr({h("experiment_id", "finding_id", "mechanism_id", "run_id")}, 1, 32) as assignment_id from pairs where expected_status <> 'unverified')
           select experiment_id, assignment_id, run_id, finding_id, mechanism_id, row_number() over (partition by experiment_id order by {h("experiment_id", "'adjudication-packet'", "assignment_id")}) <= 40 as calibration from items""",
         "discovery_summary": adj + findings_class + f", f as ({many('fclass', 'finding_', ('true_positive', 'false_positive', 'unrelated', 'unverified', 'unresolved'))}), u as ({many('uclass', 'unit_', ('detected', 'missed', 'unexpected', 'clear', 'unverified', 'unresolved'))})"
