@@ -7,8 +7,12 @@ Text n-grams are hashed and made distinct within a component, and only those tha
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloom.functions.text import hmac_digest, normalize_phrase
 
@@ -48,6 +52,30 @@ def _grams(words: Column) -> Column:
     return F.transform(F.array(words), of)[0]
 
 
+@F.pandas_udf(T.StringType())
+def label_surface(requests: pd.Series) -> pd.Series:
+    """Serialized requests without the paths and contents of their entries, which belong to the repository; other texts as they are."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            document = json.loads(text)
+            entries = document["entries"]
+        except (TypeError, ValueError, KeyError):
+            return text
+        if isinstance(entries, list):
+            document["entries"] = [{k: v for k, v in e.items() if k not in ("path", "content")} if isinstance(e, dict) else e for e in entries]
+        return json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+    return requests.map(one)
+
+
+def scan_labels(components: DataFrame, index: DataFrame) -> DataFrame:
+    """Label phrases outside repository content: filenames and bundles are not searched, nor their copies in a serialized request."""
+    searched = components.filter("location_class not in ('filename', 'context_bundle')")
+    text = F.when(F.col("location_class") == "serialized_request", label_surface("text")).otherwise(F.col("text"))
+    return scan_phrases(searched.withColumn("text", text), index.filter(F.col("rule_id") == LABEL_RULE))
+
+
 def scan_phrases(components: DataFrame, index: DataFrame, scope: str | None = "case_id") -> DataFrame:
     """Whole-word phrase hits. components: request_id, pos, location_class, text (and the scope column); ``scope`` None looks for all phrases everywhere."""
     words = F.split("value", " ")

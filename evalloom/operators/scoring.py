@@ -75,6 +75,19 @@ def check_adjudications(adjudications: DataFrame) -> DataFrame:
     return unknown.union(moved).union(twice).union(cycle)
 
 
+def check_targets(adjudications: DataFrame, records: DataFrame, findings: DataFrame, mechanisms: DataFrame) -> DataFrame:
+    """Violations: adjudications of runs that did not succeed, of findings or mechanisms that are not there, or of an unverified expectation."""
+    key = F.col("adjudication_id").alias("key")
+    out = adjudications.join(records.filter("status = 'succeeded'"), "run_id", "left_anti").select(F.lit("run").alias("rule"), key)
+    there = findings.select("run_id", "finding_id", "case_id", "snapshot")
+    out = out.union(adjudications.join(there, ["run_id", "finding_id"], "left_anti").select(F.lit("finding"), key))
+    expected = F.when(F.col("snapshot") == "vulnerable", F.col("expect_vulnerable")).otherwise(F.col("expect_fixed"))
+    gold = mechanisms.select("case_id", F.col("mechanism_id").alias("expected_mechanism_id"), "expect_vulnerable", "expect_fixed")
+    aimed = adjudications.join(there, ["run_id", "finding_id"]).join(gold, ["case_id", "expected_mechanism_id"], "left")
+    rule = F.when(F.col("expect_fixed").isNull(), "mechanism").when(expected == "unverified", "unverified")
+    return out.union(aimed.withColumn("rule", rule).filter("rule is not null").select("rule", key))
+
+
 def mechanism_disposition(expected: Column, decision: Column, all_checks: Column) -> Column:
     return (
         F.when(expected == "unverified", "unscored")

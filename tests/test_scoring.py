@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.operators import bootstrap, cost, report, run_records, scoring, stats
+from evalloom.operators import analysis, bootstrap, cost, report, run_records, scoring, stats
 
 FINDINGS = "experiment_id string, run_id string, case_id string, snapshot string, condition string, finding_id string, file_path string, start_line int, end_line int, defect_category string, severity string, confidence double"
 MECHANISMS = "case_id string, gold_version string, mechanism_id string, evaluation_role string, expect_vulnerable string, expect_fixed string, categories array<string>, severity_min string, severity_max string"
@@ -69,6 +69,21 @@ def test_adjudication_log(spark):
     assert {(r["rule"], r["key"]) for r in scoring.check_adjudications(log).collect()} >= {("unknown_target", "b"), ("cycle", "c1"), ("cycle", "c2")}
 
 
+def test_targets_and_whole_analysis(spark):
+    records = [("e", "ok", "c", "vulnerable", "baseline", 1, "succeeded"), ("e", "bad", "c", "fixed", "baseline", 1, "timeout")]
+    mechanisms = spark.createDataFrame([("c", "2.0", "m1", "primary", "present", "absent", ["correctness"], "low", "high"), ("c", "2.0", "m2", "supplemental", "unverified", "present", ["testing"], "low", "high")], MECHANISMS)
+    records, findings = spark.createDataFrame(records, RECORDS), spark.createDataFrame([finding("ok", "F1"), finding("bad", "F2")], FINDINGS)
+    log = spark.createDataFrame([("a", "ok", "F1", "m1", "match", None), ("b", "ok", "F9", "m1", "match", None), ("c", "ok", "F1", "m2", "match", None), ("d", "ok", "F1", "m3", "match", None), ("f", "bad", "F2", "m1", "match", None)], ADJUDICATIONS)
+    assert {(r["rule"], r["key"]) for r in scoring.check_targets(log, records, findings, mechanisms).collect()} == {("finding", "b"), ("unverified", "c"), ("mechanism", "d"), ("run", "f")}
+    locations = spark.createDataFrame([("c", "m1", 0, "src/a.py", [], None, None)], LOCATIONS)
+    scored = analysis.score_combined(records.filter("run_id = 'ok'"), records.filter("run_id = 'bad'"), records, findings, mechanisms, locations, log.filter("adjudication_id = 'a'"))
+    assert scored["violations"].count() == 0 and scored["scored_runs"].count() == 2
+    cases = spark.createDataFrame([("repo-pr1-f1",)], "case_id string")
+    more = {m: F.lit(1) for m in stats.METRICS}
+    out = analysis.calculate_statistics(scored, records.withColumns(more), cases, mechanisms, 1)
+    assert out["violations"].count() == 1 and out["status_counts"].filter("n = 1").count() == 2 and out["distributions"].count() == 12
+
+
 def replay():
     """Two cases, two repetitions: one positive only in vulnerable/candidate, two in both vulnerable cells and fixed/candidate."""
     positive = {("one", "vulnerable", "candidate"), ("two", "vulnerable", "baseline"), ("two", "vulnerable", "candidate"), ("two", "fixed", "candidate")}

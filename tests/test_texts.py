@@ -36,6 +36,13 @@ def test_phrases_against_brute_force(spark):
     assert got == want and want
 
 
+def test_labels_of_repository_content_are_no_leak(spark):
+    request = '{"entries": [{"path": "vulnerable.py", "content": "fixed", "n": 1}], "prompt": "look"}'
+    rows = [("c", "r0", 0, "serialized_request", request), ("c", "r1", 0, "serialized_request", request.replace("look", "the fixed one")), ("c", "r2", 0, "filename", "fixed"), ("c", "r3", 0, "prompt", "Vulnerable?"), ("c", "r4", 0, "prompt", None)]
+    index = spark.createDataFrame([("c", leakage.LABEL_RULE, "phrase", v) for v in leakage.LABELS], INDEX)
+    assert {r["request_id"] for r in leakage.scan_labels(spark.createDataFrame(rows, COMPONENT), index).collect()} == {"r1", "r3"}
+
+
 def test_exceptions_are_exact_and_unexpired(spark):
     matches = spark.createDataFrame([("c", "r", 0, "prompt", "rule", "x"), ("d", "r", 0, "prompt", "rule", "x")], "case_id string, request_id string, pos int, location_class string, rule_id string, match string")
     none = spark.createDataFrame([], "case_id string, rule_id string, location_class string, match_digest string, expires_at timestamp")
