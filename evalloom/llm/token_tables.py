@@ -52,11 +52,8 @@ def count_ids(tokens: DataFrame, size: int, dtype: np.dtype, once_per_document:
         for batch in batches:
             lists = [np.frombuffer(x, dtype) for x in batch["ids"]]
             if once_per_document:
-                seen = np.zeros(size, bool)
                 for x in lists:
-                    seen[x] = True
-                    total[seen] += 1
-                    seen[x] = False
+                    total[np.unique(x)] += 1
             elif lists:
                 total += np.bincount(np.concatenate(lists), minlength=size)
         some = np.flatnonzero(total)

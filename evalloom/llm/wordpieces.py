@@ -10,11 +10,16 @@ space, cuts are made at every run of ASCII white space.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 #: A worker keeps the ids of this many pieces between tasks (a bound on memory, not on what is encoded).
-MEMO = 600_000
+MEMO = 900_000
+#: Pieces that are encoded as one text.
+JOINED = 1_000
+#: Latin letters that NFC and lower case leave single letters, and marks after them.
+_PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+([.,!?;:%#$&*|]+)?")
 
 _memos: dict[str, "PieceEncoder"] = {}
 
@@ -52,20 +57,51 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.byte_level = byte_level
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        #: Ids that begin with a space (byte-level), or end a word.
+        self.edge = np.zeros(max(self.tokenizer.get_vocab(True).values()) + 1, bool)
+        for piece, i in self.tokenizer.get_vocab(True).items():
+            self.edge[i] = piece.startswith("\u0120") if byte_level else piece.endswith("</w>")
         self.known: dict[bytes, bytes | None] = {}
 
     def ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def ids_joined(self, pieces: list[str]) -> list[bytes]:
+        """The same for pieces as ``learn`` makes them, encoded many at a time as one text and cut again by their ids.
+
+        Byte-level: each piece holds one space, its first character, so its ids begin at an id that begins with a space.
+        Word BPE: a plain word has one pre-token or, with marks after it, two, and each ends in an id with the end of a word.
+        """
+        if self.byte_level:
+            plain, marks, rest = pieces, np.ones(len(pieces), np.int64), []
+        else:
+            found = [_PLAIN.fullmatch(p) for p in pieces]
+            plain, rest = [p for p, m in zip(pieces, found) if m], [p for p, m in zip(pieces, found) if not m]
+            marks = np.array([1 + bool(m[1]) for m in found if m], np.int64)
+        out = dict(zip(rest, self.ids(rest)))
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for k, (group, e) in enumerate(zip(groups, self.tokenizer.encode_batch_fast([("" if self.byte_level else " ").join(g) for g in groups], add_special_tokens=False))):
+            ids = np.array(e.ids, dtype=self.dtype)
+            at = np.flatnonzero(self.edge[ids])
+            n = marks[k * JOINED : k * JOINED + len(group)]
+            if len(at) != n.sum():  # never seen; then one by one
+                out.update(zip(group, self.ids(group)))
+                continue
+            cuts = np.append(at, len(ids)) if self.byte_level else np.concatenate([[0], at[np.cumsum(n) - 1] + 1])
+            raw, size = ids.tobytes(), ids.itemsize
+            cuts = (cuts * size).tolist()
+            out.update(zip(group, [raw[x:y] for x, y in zip(cuts, cuts[1:])]))
+        return [out[p] for p in pieces]
+
     def learn(self, words: set[bytes]) -> None:
         """Add the ids of pieces; None for a piece that can't stand alone."""
         if len(self.known) + len(words) > MEMO:
-            self.known = dict(list(self.known.items())[: MEMO // 2])  # the earlier half holds the frequent words
+            self.known = dict(sorted(self.known.items(), key=lambda x: len(x[0]))[: MEMO // 2])  # short words are the frequent ones
         new = {w: w.decode() for w in words if w not in self.known}
         if self.byte_level:
             self.known.update((w, None) for w, s in new.items() if not clean(s))
             new = {w: " " + s for w, s in new.items() if clean(s)}
-        self.known.update(zip(new, self.ids(list(new.values()))))
+        self.known.update(zip(new, self.ids_joined(list(new.values()))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """One bytes object of ids for each text."""
