@@ -149,15 +149,14 @@ def calibrate(stats: DataFrame, labels: DataFrame, stratum: str, alpha: float =
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, cost: float = 20.0, reuse: bool = False) -> DataFrame:
     """``docs`` with the struct columns ``stats`` and ``rules`` (base_failed, rejected_by array, kept).
 
-    The statistics are computed from the whole text, once for calibration (only they and the id are kept) and once for the
+    The statistics are computed from the whole text, once for calibration (they are written with the id) and once for the
     result. With ``reuse`` the columns other than doc_id and the stratum are left out of the result and the statistics of
     the calibration are used again.
     """
-    stats = docs.select("doc_id", stratum, base_statistics(F.col("text")).alias("stats"))
-    if reuse:
-        stats = docs = materialize(stats, "stats")
-    else:
-        docs = docs.withColumn("stats", base_statistics(F.col("text")))
+    # a generated column: conditions on it can't be pushed below it, which would compute it once for each use
+    counted = F.explode(F.array(base_statistics(F.col("text")))).alias("stats")
+    stats = materialize(docs.select("doc_id", stratum, counted), "stats")
+    docs = stats if reuse else docs.select("*", counted)
     cutoffs = materialize(calibrate(stats, labels, stratum, alpha, delta, cost), "cutoffs").withColumnRenamed("stratum", "_stratum")
     if cutoffs.count() <= BROADCAST_ROWS:
         cutoffs = F.broadcast(cutoffs)

@@ -7,7 +7,6 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 
 import corpus_pipeline
 from evalloom.llm import language_id, near_texts, near_vectors, ngram_score
