@@ -7,9 +7,11 @@ about K (ln K + 3) darts for the whole text, so that a signature's cost hardly d
 of K coordinates makes the signature: two texts agree in a coordinate with the chance of their weighted Jaccard similarity.
 Bands of signatures are joined; what is found is verified exactly before it links.
 
-Texts with equal shingles are one representative. A bucket of few representatives gives all its pairs; a larger one links
-each member with three leaders, so that no group is gathered or squared, and the bands deal members to other leaders again.
-Each text's likeliest pair is verified first; then all pairs that still join different components.
+Texts with equal shingles are one representative. A bucket of few representatives gives all its pairs; a larger one first
+links each member with three leaders, which joins a group of like copies at once. Each text's likeliest pair is verified first;
+then all pairs that still join different components. Large buckets that hold several components after that are compared
+exactly, block against block, and only links that join components leave a task. So of the texts that share a band no pair is left
+out, but for those that chains of links join already.
 
 Defined cases: null text and text without words has no shingles and links with nothing; a null id stays with a null class;
 rows that repeat an id share a class; ties go to the least id; an empty table gives an empty result; other columns are ignored.
@@ -32,6 +34,8 @@ BANDS, ROWS = 24, 6
 K = BANDS * ROWS
 #: A bucket of at most so many representatives gives all its pairs.
 SMALL = 12
+#: Members of a block when a large bucket is compared whole, and their shingles.
+BLOCK, BLOCK_SHINGLES = 256, 300_000
 #: Pairs whose signatures agree in less than this are not verified: six standard deviations under the threshold.
 SLACK = 0.2
 CHUNK_WORDS = 400_000
@@ -153,8 +157,8 @@ def candidates(reps: DataFrame) -> DataFrame:
     return pairs.union(large).groupBy("src", "dst").agg(F.count("*").alias("shared"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (src, dst) whose weighted Jaccard similarity reaches the threshold."""
+def shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, elements and weights (binary, ordered by element) of the texts whose doc_id is in ``ids``."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,9 +168,14 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
                 begin = np.searchsorted(text, np.arange(b - a + 1))
                 yield pd.DataFrame({"id": batch["doc_id"].iloc[a:b].to_numpy(), "elements": [element[i:j].tobytes() for i, j in zip(begin, begin[1:])], "weights": [weight[i:j].astype("<u4").tobytes() for i, j in zip(begin, begin[1:])]})
 
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = materialize(texts.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInPandas(pack, "id long, elements binary, weights binary"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.distinct(), "doc_id", "left_semi")
+    return materialize(texts.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInPandas(pack, "id long, elements binary, weights binary"), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (src, dst) whose weighted Jaccard similarity reaches the threshold."""
+
+    sets = shingle_sets(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")), docs)
 
     @F.pandas_udf("boolean")
     def alike(ea: pd.Series, wa: pd.Series, eb: pd.Series, wb: pd.Series) -> pd.Series:
@@ -183,6 +192,55 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("src", "dst").join(left, "src").join(right, "dst").filter(alike("ea", "wa", "eb", "wb")).select("src", "dst").distinct()
 
 
+def joining(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links (src, dst) that join the components of two blocks' members as far as all pairs across the blocks do: at most one a member."""
+    left = np.flatnonzero(g["mine"] == g["a"])
+    right = np.flatnonzero(g["mine"] == g["b"])
+    ids, label = g["id"].to_numpy(np.int64), np.unique(g["component"], return_inverse=True)[1]
+    size = g["elements"].map(len).to_numpy() // 8
+    code = np.unique(np.frombuffer(b"".join(g["elements"]), _U), return_inverse=True)[1]
+    weight = np.frombuffer(b"".join(g["weights"]), "<u4").astype(np.int64)
+    end = np.cumsum(size)
+    total = np.add.reduceat(weight, end - size)
+    there = np.concatenate([np.arange(end[j] - size[j], end[j]) for j in right])
+    code_there, weight_there, start_there = code[there], weight[there], np.cumsum(size[right]) - size[right]
+    own, links = np.zeros(code.max() + 1, np.int64), []
+    for i in left.tolist():
+        if (label[right] == label[i]).all():
+            continue
+        mine = slice(end[i] - size[i], end[i])
+        own[code[mine]] = weight[mine]
+        both = np.add.reduceat(np.minimum(own[code_there], weight_there), start_there)
+        own[code[mine]] = 0
+        for j in right[both >= threshold * (total[i] + total[right] - both)].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pd.DataFrame(links, columns=["src", "dst"], dtype=np.int64)
+
+
+def block_links(reps: DataFrame, found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components ``found`` (id, component) inside large buckets, by comparing their members whole.
+
+    Members of a bucket's main component aren't compared with each other; all others meet every block of the bucket.
+    """
+    rows = reps.select("id", F.explode("bands").alias("band")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = rows.groupBy("band", "component").agg(F.count("*").alias("k"))
+    several = parts.groupBy("band").agg(F.sum("k").alias("n"), F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).filter(F.col("n") > SMALL).filter("parts > 1")
+    members = materialize(rows.join(several.select("band", "main"), "band").select("band", "id", "component", (F.col("component") == F.col("main")).alias("main")), "members")
+    if members.isEmpty():
+        return members.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
+    sets = shingle_sets(members.select(F.col("id").alias("doc_id")), docs)
+    sized = members.join(sets.groupBy("id").agg(F.sum(F.octet_length("elements") / 8).alias("size")), "id")
+    blocks = lambda of: F.greatest(F.ceil(F.count_if(of) / BLOCK), F.ceil(F.sum(F.when(of, F.col("size"))) / BLOCK_SHINGLES)).cast("int")
+    cut = sized.groupBy("band").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others"))
+    mine = F.when(F.col("main"), F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
+    other = F.explode(F.sequence(F.when(F.col("main"), F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1))
+    dealt = members.join(cut, "band").select("band", "id", "component", mine.alias("mine"), other.alias("other"))
+    dealt = dealt.select("band", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "id", "component")
+    return dealt.join(sets, "id").groupBy("band", "a", "b").applyInPandas(lambda g: joining(g, threshold), "src long, dst long").distinct()
+
+
 def promising(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose signatures agree enough to be worth verifying."""
 
@@ -210,7 +268,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     rest = materialize(rest.filter("src_in is null or dst_in is null or src_in <> dst_in").select("src", "dst"), "rest")
     more = materialize(verified(rest, docs, threshold), "links")
     if not more.isEmpty():
-        found = materialize(connected_components(links.union(more)), "components")
+        links = links.union(more)
+        found = materialize(connected_components(links), "components")
+    last = materialize(block_links(reps, found, docs, threshold), "links")
+    if not last.isEmpty():
+        found = materialize(connected_components(links.union(last)), "components")
     classes = reps.join(found, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"))
     linked = rows.select("doc_id", "content").join(classes, "content").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(linked, "doc_id", "left")

@@ -92,6 +92,21 @@ def test_texts(spark, monkeypatch):
     assert got[None]["class_id"] is None and got[None]["kept"] and near_texts.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_star(spark, monkeypatch):
+    """Edits of one original are like the original, but not like each other; its id is neither least nor greatest."""
+    monkeypatch.setattr(near_texts, "BLOCK", 100)
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    rows = {500: " ".join(words)}
+    for i in [*range(500), *range(501, 1001)]:
+        edit = words[:]
+        for k, at in enumerate(rnd.sample(range(5, 295), 5)):
+            edit[at] = f"x{i}_{k}"
+        rows[i] = " ".join(edit)
+    df = spark.createDataFrame([(a, b, None, None, None, None, None) for a, b in rows.items()], DOCS)
+    assert {r["class_id"] for r in near_texts.near_duplicates(df).collect()} == {0}
+
+
 def test_kneser_ney_sums_to_one(spark):
     model = language_id.build(language_id._count(spark.createDataFrame([("a", "abab ba abba aab"), ("b", "xyz zzy abz")], "lang string, text string")))
     letters = sorted(set("abxyz "))
