@@ -4,7 +4,8 @@ Each pass draws random hyperplanes, concatenates the signs of a vector's project
 it; every vector is compared with its neighbours in a bounded window of that order, and the pairs whose exact cosine reaches
 the threshold are united over all passes into components. The number of passes follows from the number of vectors, so that
 a pair at the threshold is missed with a chance of at most ``MISS``: the more vectors, the longer the prefix that two
-neighbours must share. Equal vectors are one representative with a count, so a group of copies costs nothing.
+neighbours must share. Where many vectors share that prefix in a pass (a dense group) a window covers only few of them: those
+that are not in one component after the windows are compared whole, block against block. Equal vectors are one representative with a count, so a group of copies costs nothing.
 
 Links are then counted exactly: in every component all pairs of representatives are compared, block against block, and only
 counts leave a task, never pairs. So a link between two vectors is missed only if no chain of found pairs joins them.
@@ -33,10 +34,14 @@ SEED = 77
 BLOCK = 1_024
 
 
+def prefix_bits(n: int) -> float:
+    return max(1.0, np.log2(max(2, 2 * n / WINDOW)))
+
+
 def pass_count(n: int, threshold: float) -> int:
     """Passes for ``n`` vectors: neighbours within the window share a prefix of about log2(2 n / WINDOW) signs."""
     same = 1 - np.arccos(threshold) / np.pi
-    hit = same ** max(1.0, np.log2(max(2, 2 * n / WINDOW)))
+    hit = same ** prefix_bits(n)
     return int(np.ceil(np.log(MISS) / np.log1p(-hit)))
 
 
@@ -148,6 +153,43 @@ def _with_columns(run):
     return lambda batches: (frame.reindex(columns=names).astype({c: "Int64" for c in names[:-1]}) for frame in run(batches))
 
 
+def joining(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links (src, dst) that join the components of two blocks' members as far as all pairs across the blocks do: at most one a member."""
+    left = np.flatnonzero(g["mine"] == g["a"])
+    right = np.flatnonzero(g["mine"] == g["b"])
+    ids, label, v, links = g["id"].to_numpy(np.int64), np.unique(g["component"], return_inverse=True)[1], units(g["x"]), []
+    hit = (v[left] @ v[right].T >= threshold) & (label[left][:, None] != label[right][None, :])
+    for k in np.flatnonzero(hit.any(1)).tolist():
+        i = left[k]
+        for j in right[hit[k] & (label[right] != label[i])].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return pd.DataFrame(links, columns=["src", "dst"], dtype=np.int64)
+
+
+def prefix_links(reps: DataFrame, found: DataFrame, n: int, passes: int, threshold: float) -> DataFrame:
+    """Links between the components ``found`` (id, component) among vectors that share a pass's prefix, by comparing them whole.
+
+    Up to WINDOW + 1 vectors of a prefix have met in the windows. Members of a prefix's main component aren't compared with
+    each other; all others meet every block of the prefix.
+    """
+    prefix = F.shiftright("key", BITS - int(prefix_bits(n)))
+    at = ["pass", "length", "prefix"]
+    rows = keyed(reps, passes).select("pass", "length", prefix.alias("prefix"), "id").join(found, "id", "left")
+    rows = materialize(rows.withColumn("component", F.coalesce("component", "id")), "prefixes")
+    parts = rows.groupBy(*at, "component").agg(F.count("*").alias("k"))
+    cut = parts.groupBy(*at).agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("most")).filter(F.col("n") > WINDOW + 1).filter("n > most.k")
+    blocks = lambda k: F.ceil(k / BLOCK).cast("int")
+    cut = cut.select(*at, F.col("most.component").alias("main"), blocks(F.col("most.k")).alias("mains"), blocks(F.col("n") - F.col("most.k")).alias("others"))
+    main = F.col("component") == F.col("main")
+    mine = F.when(main, F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
+    other = F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1))
+    dealt = rows.join(cut, at).select(*at, "id", "component", mine.alias("mine"), other.alias("other"))
+    dealt = dealt.select(*at, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "id", "component")
+    return dealt.join(reps.select("id", "x"), "id").groupBy(*at, "a", "b").applyInPandas(lambda g: joining(g, threshold), "src long, dst long").distinct()
+
+
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
     """id, links: for representatives (component, id, x, copies) of components with more than one, the vectors linked to each but its own copies."""
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
@@ -190,8 +232,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
     rows = materialize(representatives(vectors), "vectors")
     reps = materialize(rows.groupBy("x").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "representatives")
-    pairs = near_pairs(reps, pass_count(reps.count(), threshold), threshold)
+    n = reps.count()
+    passes = pass_count(n, threshold)
+    pairs = materialize(near_pairs(reps, passes, threshold), "pairs")
     components = materialize(connected_components(pairs), "components")
+    more = materialize(prefix_links(reps, components, n, passes, threshold), "links")
+    if not more.isEmpty():
+        components = materialize(connected_components(pairs.union(more)), "components")
     members = components.join(reps, "id")
     links = count_links(members, threshold)
     found = reps.join(components, "id", "left").join(links, "id", "left").select("x", "copies", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))

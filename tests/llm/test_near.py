@@ -57,6 +57,19 @@ def test_vectors(spark, monkeypatch):
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_star(spark):
+    """2,000 vectors at cosine 0.96 to a centre, about 0.92 to each other."""
+    rng = np.random.default_rng(10)
+    centre = np.eye(64)[0]
+    around = rng.normal(size=(2000, 64)) * (np.arange(64) > 0)
+    around = 0.96 * centre + math.sqrt(1 - 0.96**2) * around / np.linalg.norm(around, axis=1, keepdims=True)
+    rows = [(1000, centre)] + [(i if i < 1000 else i + 1, v) for i, v in enumerate(around)] + [(5000 + i, v) for i, v in enumerate(rng.normal(size=(3000, 64)))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_vectors.near_duplicates(df).collect()}
+    assert sum(got[i]["component_id"] == 0 for i in range(2001)) >= 1999 and got[1000]["n_links"] >= 1998
+    assert all(got[i]["component_id"] == i for i in range(5000, 8000))
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     element = near_texts.mix(np.arange(1, 401, dtype=np.uint64))
