@@ -18,16 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from evalloom.llm.blocks import bucket_count, by_block, by_bucket, long_ids, make_blocks, pack_many, plain_docs, unpack_many
-from evalloom.llm.wordpieces import byte_pieces, encoder
+from evalloom.llm.blocks import by_block, long_ids
+from evalloom.llm.token_tables import joined, vocabulary, word_table
 
 _pieces: dict[str, pa.Array] = {}
 
 
-def split_words(text: str) -> list[bytes]:
-    return [w.encode() for w in byte_pieces(text)]
-
-
 def id_to_piece(path: str) -> pa.Array:
     """The bytes of each id of a byte-level vocabulary, as the decoder writes them."""
     if path not in _pieces:
@@ -70,41 +66,13 @@ def _digests(doc_ids: list, ids: np.ndarray, ends: np.ndarray, path: str) -> pd.
 
 
 def _run(docs: DataFrame, path: str, schema: str, report) -> DataFrame:
-    docs = plain_docs(docs)
-    blocks = make_blocks(docs, split_words, bucket_count(docs))
-
-    def encode(lists: list[list[bytes]], _) -> tuple[list[bytes], None]:
-        enc, place = encoder(path, True), {}
-        for words in lists:
-            for w in words:
-                place.setdefault(w, len(place))
-        ids = enc.ids([w.decode() for w in place])
-        out = []
-        for words in lists:
-            mine = [ids[place[w]] for w in words]
-            out.append(pack_many(np.fromiter(map(len, mine), np.uint32, len(mine)) // enc.dtype.itemsize, np.frombuffer(b"".join(mine), enc.dtype)))
-        return out, None
-
-    def finish(doc_ids, flags, lens, codes, answers, buckets) -> pd.DataFrame:
-        got = [unpack_many(a, 2) for a in answers]
-        sizes = np.concatenate([g[0] for g in got] or [np.empty(0, np.uint32)]).astype(np.int64)
-        table = np.concatenate([g[1] for g in got] or [np.empty(0, np.uint16)])
-        begin = np.cumsum(sizes) - sizes
-        word_end, frames = np.cumsum(lens), []
-        chunk = 0
-        while chunk < len(lens):  # some documents at a time
-            base = word_end[chunk - 1] if chunk else 0
-            upto = max(chunk + 1, int(np.searchsorted(word_end, base + 400_000, "right")))
-            mine = codes[base : word_end[upto - 1]]
-            n = sizes[mine]
-            ends = np.cumsum(n)
-            ids = table[np.repeat(begin[mine] - (ends - n), n) + np.arange(int(n.sum()))].astype(np.int32)
-            total = np.concatenate([[0], ends])
-            frames.append(report(doc_ids[chunk:upto], ids, total[word_end[chunk:upto] - base], path))
-            chunk = upto
-        return pd.concat(frames)
-
-    return by_block(blocks, by_bucket(blocks, encode), finish, schema)
+    blocks, answers = word_table(docs, path, True)
+    dtype = vocabulary(path)[1]
+
+    def finish(block, answers, of) -> pd.DataFrame:
+        return pd.concat([report(block.doc_ids[a:b], ids.astype(np.int32), ends, path) for a, b, ids, ends in joined(block, answers, dtype)])
+
+    return by_block(blocks, answers, finish, schema)
 
 
 def query(docs: DataFrame, path: str) -> DataFrame:

@@ -22,26 +22,52 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.token_tables import count_ids, encode_table, vocabulary
+from evalloom.llm.blocks import by_block, long_ids, pack_many
+from evalloom.llm.common import materialize
+from evalloom.llm.token_tables import joined, summed, vocabulary, word_table
 
 WINDOW = 2048
 #: A shard's documents (its index is held in memory), terms of a query, and neighbours that are tried whole.
 SHARD_DOCS = 4096
 SHARD_IDS = 4_000_000
-QUERY_TERMS = 8
+QUERY_TERMS = 16
 TRIED = 24
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pair_minhash(ids: np.ndarray) -> int:
-    """The least hash of neighbouring ids: equal for two documents with the chance of their Jaccard similarity."""
+def pair_minhashes(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each document (none is empty) the least hash of its neighbouring ids: equal for two with the chance of their Jaccard similarity."""
     x = ids.astype(np.uint64)
-    x = (x[:-1] << np.uint64(32)) | x[1:] if len(x) > 1 else x
-    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x[:-1] = (x[:-1] << np.uint64(32)) | x[1:]
+    begin = np.concatenate([[0], ends[:-1]])
+    several = ends - begin > 1
+    x[ends[several] - 1] = x[begin[several]]  # the last id of a document is in the pair before it
+    x[begin[~several]] = ids[begin[~several]]
+    x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return int(x.min() >> np.uint64(1))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (np.minimum.reduceat(x, begin) >> np.uint64(1)).astype(np.int64)
+
+
+def encoded(docs: DataFrame, tokenizer: str, byte_level: bool, end_id: int) -> DataFrame:
+    """doc_id, ids (binary, with the end id), key (min-hash) for each document, and rows with null ids whose ``seen`` holds the documents of a block with each id."""
+    blocks, answers = word_table(docs, tokenizer, byte_level)
+    size, dtype = vocabulary(tokenizer)
+
+    def finish(block, answers, of) -> pd.DataFrame:
+        frames, seen = [], np.zeros(size, np.int64)
+        for a, b, ids, ends in joined(block, answers, dtype, end_id):
+            raw, cuts = ids.tobytes(), (np.concatenate([[0], ends]) * dtype.itemsize).tolist()
+            frames.append(pd.DataFrame({"doc_id": long_ids(block.doc_ids[a:b]), "ids": [raw[x:y] for x, y in zip(cuts, cuts[1:])], "key": pair_minhashes(ids, ends), "seen": None}))
+            own = np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(ends, prepend=0)) * np.uint64(size) + ids
+            own.sort()
+            seen += np.bincount((own[np.concatenate([[True], own[1:] != own[:-1]])] % np.uint64(size)).astype(np.int64), minlength=size)
+        some = np.flatnonzero(seen)
+        frames.append(pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": [None], "key": pd.array([None], "Int64"), "seen": [pack_many(some.astype(np.uint32), seen[some])]}))
+        return pd.concat(frames)
+
+    return materialize(by_block(blocks, answers, finish, "doc_id long, ids binary, key long, seen binary"), "tokens")
 
 
 class Index:
@@ -56,12 +82,15 @@ class Index:
         self.terms, self.begin = np.unique(term, return_index=True)
         self.end = np.append(self.begin[1:], len(term))
         by_doc = np.lexsort((-self.weight, self.doc))  # each document's terms, heaviest first
+        by_doc = by_doc[np.repeat(self.end - self.begin, self.end - self.begin)[by_doc] > 1]  # a term that no other document has finds none
         self.own = np.searchsorted(self.terms, term[by_doc])
         self.own_begin = np.searchsorted(self.doc[by_doc], np.arange(len(docs) + 1))
         self.size = len(docs)
 
     def scores(self, doc: int) -> np.ndarray:
         terms = self.own[self.own_begin[doc] : self.own_begin[doc + 1]][:QUERY_TERMS]
+        if not len(terms):
+            return np.zeros(self.size)
         spans = [slice(self.begin[t], self.end[t]) for t in terms]
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.size)
 
@@ -132,8 +161,8 @@ def pack_shard(docs: list[tuple], idf: np.ndarray, first_sequence: int, last: bo
 def pack(docs: DataFrame, tokenizer: str, byte_level: bool = False, end_id: int = 1) -> DataFrame:
     """A row for each piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     size, dtype = vocabulary(tokenizer)
-    tokens = encode_table(docs, tokenizer, byte_level, end_id, pair_minhash)
-    df = count_ids(tokens, size, dtype, once_per_document=True)
+    tokens = encoded(docs, tokenizer, byte_level, end_id)
+    df = summed(tokens.filter("seen is not null"), "seen", size)
     total = max(1, int(df.max(initial=1)))  # every document has the end id
     idf = np.log1p((total - df + 0.5) / (df + 0.5))
 
@@ -167,5 +196,5 @@ def pack(docs: DataFrame, tokenizer: str, byte_level: bool = False, end_id: int
         if held:
             yield rows(True)
 
-    salted = tokens.select("doc_id", "ids", "key", F.xxhash64("doc_id").alias("salt")).repartitionByRange("key", "salt")
+    salted = tokens.filter("ids is not null").select("doc_id", "ids", "key", F.xxhash64("doc_id").alias("salt")).repartitionByRange("key", "salt")
     return salted.sortWithinPartitions("key", "salt", "doc_id", "ids").select("doc_id", "ids").mapInPandas(run, SCHEMA)

@@ -1,19 +1,18 @@
-"""Tables of encoded documents: doc_id, n_tokens, ids (binary, little-endian, 2 bytes an id where the vocabulary allows)."""
+"""Ids of documents through the table of distinct words: each distinct word is encoded once, and its ids go back to the blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import materialize
-from evalloom.llm.wordpieces import encoder
+from evalloom.llm.blocks import Block, bucket_count, by_bucket, make_blocks, pack_many, plain_docs, unpack_many
+from evalloom.llm.wordpieces import byte_words, encoder, plain_words, spans
 
-#: Texts encoded at a time in a task.
-CHUNK = 2_000
+#: Words whose ids are joined at a time.
+CHUNK = 400_000
 
 
 def vocabulary(path: str) -> tuple[int, np.dtype]:
@@ -23,43 +22,64 @@ def vocabulary(path: str) -> tuple[int, np.dtype]:
     return size, np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
 
 
-def encode_table(docs: DataFrame, path: str, byte_level: bool, end_id: int, key: Callable[[np.ndarray], int] | None = None) -> DataFrame:
-    """Encode every text (null: empty) and append ``end_id``; written once, as encoding is the costly part. ``key`` adds a long column."""
-    dtype = vocabulary(path)[1]
-    end = np.array([end_id], dtype).tobytes()
+def word_table(docs: DataFrame, path: str, byte_level: bool, count: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Blocks of ``docs``, and the ids of their words by block and bucket; with ``count``, rows without a block hold the ids' counts."""
+    rows = plain_docs(docs, F.lit(True) if count else None)
+    blocks = make_blocks(rows, byte_words if byte_level else plain_words, bucket_count(rows))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(words, places, counts) -> tuple[list[bytes], bytes | None]:
         enc = encoder(path, byte_level)
-        for batch in batches:
-            for i in range(0, len(batch), CHUNK):
-                part = batch.iloc[i : i + CHUNK]
-                ids = [x + end for x in enc.encode([t or "" for t in part["text"].tolist()])]
-                out = pd.DataFrame({"doc_id": part["doc_id"], "n_tokens": [len(x) // dtype.itemsize for x in ids], "ids": ids})
-                if key:
-                    out["key"] = [key(np.frombuffer(x, dtype)) for x in ids]
-                yield out
-
-    schema = "doc_id long, n_tokens long, ids binary" + ", key long" * bool(key)
-    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialize(typed.mapInPandas(run, schema), "tokens")
-
-
-def count_ids(tokens: DataFrame, size: int, dtype: np.dtype, once_per_document: bool = False) -> np.ndarray:
-    """How often each id occurs (or in how many documents): summed by task, then over tasks; one number per vocabulary entry returns."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes, ids = enc.encode(words)
+        begin = np.cumsum(sizes) - sizes
+        answers = [pack_many(sizes[x].astype(np.uint32), ids[spans(begin[x], sizes[x])]) for x in places]
+        if not count:
+            return answers, None
+        total = np.zeros(len(words), np.int64)
+        for x, n in zip(places, counts):
+            total[x] += n
+        found = np.bincount(ids, np.repeat(total, sizes)).astype(np.int64)
+        some = np.flatnonzero(found)
+        return answers, pack_many(some.astype(np.uint32), found[some])
+
+    return blocks, by_bucket(blocks, encode)
+
+
+def joined(block: Block, answers: list[bytes], dtype: np.dtype, end_id: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Some documents of a block at a time: first, last + 1, their ids one after another, the end of each (``end_id`` is put at each end)."""
+    got = [unpack_many(a, 2) for a in answers]
+    sizes = np.concatenate([g[0] for g in got] or [np.empty(0, np.uint32)]).astype(np.int64)
+    table = np.concatenate([g[1] for g in got] or [np.empty(0, dtype)])
+    del got
+    lens, codes = block.lens, block.codes
+    begin, word_end, at = np.cumsum(sizes) - sizes, np.cumsum(lens), 0
+    while at < len(lens):
+        base = word_end[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(word_end, base + CHUNK, "right")))
+        mine = codes[base : word_end[upto - 1]]
+        n = sizes[mine]
+        ids = table[spans(begin[mine], n)]
+        ends = np.concatenate([[0], np.cumsum(n)])[word_end[at:upto] - base]
+        if end_id is not None:
+            ids = np.insert(ids, ends, end_id)
+            ends = ends + np.arange(1, upto - at + 1)
+        yield at, upto, ids, ends
+        at = upto
+
+
+def summed(rows: DataFrame, data: str, size: int) -> np.ndarray:
+    """Sums by id over rows whose column ``data`` holds ids and counts; one number per vocabulary entry returns."""
+    import pandas as pd
+
+    def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            lists = [np.frombuffer(x, dtype) for x in batch["ids"]]
-            if once_per_document:
-                for x in lists:
-                    total[np.unique(x)] += 1
-            elif lists:
-                total += np.bincount(np.concatenate(lists), minlength=size)
+            for x in batch[data]:
+                ids, n = unpack_many(x, 2)
+                total[ids] += n
         some = np.flatnonzero(total)
         yield pd.DataFrame({"id": some, "n": total[some]})
 
-    rows = tokens.select("ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select(data).mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size, np.int64)
-    out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out

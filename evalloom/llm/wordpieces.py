@@ -1,10 +1,12 @@
-"""Encoding texts with a tokenizers file by way of their words, inside tasks.
+"""Words of texts that a tokenizers file encodes independently of each other, and their ids.
 
-A text is cut at single spaces into pieces that the tokenizer treats independently of each other; each piece is encoded by
-the tokenizers library once and its ids are joined. For byte-level BPE a piece keeps its leading space, and a cut is
-made only where the characters on both sides of the space are not white space: there the pre-tokenizer's pattern always
-starts a new match at the space, and added tokens (which hold no space) lie inside a piece. For word BPE, which drops white
-space, cuts are made at every run of ASCII white space.
+Byte-level BPE: a text is cut before every run of white space. There the pre-tokenizer's pattern always starts a new match,
+whatever precedes, and added tokens (which hold no space) lie inside a word. A word that follows one space is written without it;
+one that follows one line feed is written with it; a carriage return before any other word says that the rest is taken as
+it stands (the first of a text, and words after longer runs). Texts with white space beyond ASCII are cut at
+single spaces between other characters only.
+
+Word BPE drops white space: texts are cut at runs of ASCII white space.
 """
 
 from __future__ import annotations
@@ -13,15 +15,18 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A worker keeps the ids of this many pieces between tasks (a bound on memory, not on what is encoded).
-MEMO = 900_000
-#: Pieces that are encoded as one text.
+#: Words that are encoded as one text.
 JOINED = 1_000
 #: Latin letters that NFC and lower case leave single letters, and marks after them.
-_PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+([.,!?;:%#$&*|]+)?")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:%#$&*|]+)?")
+#: Texts that need more than single spaces and line feeds as places to cut, and those that have other white space.
+_RUNS = r"[ \n][ \n]|[ \n]\z|[\t\r\f\v]"
+_OTHER = r"[\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-_memos: dict[str, "PieceEncoder"] = {}
+_encoders: dict[str, "WordEncoder"] = {}
 
 
 def clean(piece: str) -> bool:
@@ -29,7 +34,7 @@ def clean(piece: str) -> bool:
 
 
 def byte_pieces(text: str) -> list[str]:
-    """Cut a text for byte-level BPE; joined, the pieces are the text."""
+    """Cut a text at single spaces between other characters; joined, the pieces are the text."""
     if not text:
         return []
     parts = text.split(" ")
@@ -45,8 +50,61 @@ def byte_pieces(text: str) -> list[str]:
     return out
 
 
-class PieceEncoder:
-    """Ids of texts as little-endian unsigned integers of ``width`` bytes."""
+def _listed(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    return lists.flatten(), np.diff(lists.offsets.to_numpy())
+
+
+def _cut_runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    words, lens = _listed(pc.split_pattern(pc.replace_substring_regex(texts, r"([ \t\n\r\f\v]+)", "\x01\\1"), "\x01"))
+    feed = pc.match_substring_regex(words, r"^\n[^ \t\n\r\f\v]")
+    first = np.zeros(len(words), bool)
+    first[np.cumsum(lens) - lens] = True
+    plain = pc.match_substring_regex(words, r"^ [^ \t\n\r\f\v]")
+    as_is = pc.binary_join_element_wise("\r", words, "")
+    return pc.if_else(pa.array(first), as_is, pc.if_else(plain, pc.utf8_slice_codeunits(words, 1), pc.if_else(feed, words, as_is))), lens
+
+
+def _cut_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    lists = []
+    for text in texts.to_pylist():
+        pieces = byte_pieces(text)
+        lists.append([p[1:] if k and clean(p[1:]) and p[0] == " " else "\r" + p for k, p in enumerate(pieces)] or ["\r"])
+    return _listed(pa.array(lists, pa.list_(texts.type)))
+
+
+def byte_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts for byte-level BPE, one text after another, and their number for each."""
+    kind = np.where(pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False), 1, 0)
+    kind[pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False)] = 2
+    cut = lambda x: _listed(pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\r", x, ""), "\n", " \n"), " "))
+    if not kind.any():
+        return cut(texts)
+    parts, lens, place = [], np.zeros(len(texts), np.int64), []
+    for k, how in enumerate((cut, _cut_runs, _cut_spaces)):
+        mine = np.flatnonzero(kind == k)
+        if len(mine):
+            words, n = how(texts.take(pa.array(mine)))
+            parts.append(words)
+            lens[mine] = n
+            place.append(mine)
+    order = np.concatenate(place)
+    n = lens[order]
+    begin = np.empty(len(texts), np.int64)
+    begin[order] = np.cumsum(n) - n
+    take = np.repeat(begin - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+    return pa.concat_arrays(parts).take(pa.array(take)), lens
+
+
+def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Runs of characters other than ASCII white space, one text after another, and their number for each."""
+    words, lens = _listed(pc.ascii_split_whitespace(texts))
+    some = pc.greater(pc.binary_length(words), 0)
+    text = np.repeat(np.arange(len(lens)), lens)[some.to_numpy(zero_copy_only=False)]
+    return words.filter(some), np.bincount(text, minlength=len(lens))
+
+
+class WordEncoder:
+    """Ids of words as the functions above cut them, as little-endian unsigned integers."""
 
     def __init__(self, path: str, byte_level: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,90 +118,66 @@ class PieceEncoder:
         #: Ids that begin with a space (byte-level), or end a word.
         self.edge = np.zeros(max(self.tokenizer.get_vocab(True).values()) + 1, bool)
         for piece, i in self.tokenizer.get_vocab(True).items():
-            self.edge[i] = piece.startswith("\u0120") if byte_level else piece.endswith("</w>")
-        self.known: dict[bytes, bytes | None] = {}
+            self.edge[i] = piece.startswith("Ġ") if byte_level else piece.endswith("</w>")
 
-    def ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def ids(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def ids_joined(self, pieces: list[str]) -> list[bytes]:
-        """The same for pieces as ``learn`` makes them, encoded many at a time as one text and cut again by their ids.
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word, and all ids.
 
-        Byte-level: each piece holds one space, its first character, so its ids begin at an id that begins with a space.
-        Word BPE: a plain word has one pre-token or, with marks after it, two, and each ends in an id with the end of a word.
+        Words that can be are encoded many at a time as one text, which is cut again by the ids. Byte-level: each such word
+        holds one space, its first character, so its ids begin at an id that begins with a space. Word BPE: a
+        plain word has one pre-token or, with marks after it, two, and each ends in an id with the end of a word.
         """
+        pieces = words.to_pylist()
         if self.byte_level:
-            plain, marks, rest = pieces, np.ones(len(pieces), np.int64), []
+            alone = np.fromiter((w[:1] in ("\r", "\n", "") for w in pieces), bool, len(pieces))
+            pieces = [w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w for w in pieces]
+            marks = np.ones(len(pieces), np.int64)
         else:
             found = [_PLAIN.fullmatch(p) for p in pieces]
-            plain, rest = [p for p, m in zip(pieces, found) if m], [p for p, m in zip(pieces, found) if not m]
-            marks = np.array([1 + bool(m[1]) for m in found if m], np.int64)
-        out = dict(zip(rest, self.ids(rest)))
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for k, (group, e) in enumerate(zip(groups, self.tokenizer.encode_batch_fast([("" if self.byte_level else " ").join(g) for g in groups], add_special_tokens=False))):
-            ids = np.array(e.ids, dtype=self.dtype)
-            at = np.flatnonzero(self.edge[ids])
-            n = marks[k * JOINED : k * JOINED + len(group)]
-            if len(at) != n.sum():  # never seen; then one by one
-                out.update(zip(group, self.ids(group)))
-                continue
-            cuts = np.append(at, len(ids)) if self.byte_level else np.concatenate([[0], at[np.cumsum(n) - 1] + 1])
-            raw, size = ids.tobytes(), ids.itemsize
-            cuts = (cuts * size).tolist()
-            out.update(zip(group, [raw[x:y] for x, y in zip(cuts, cuts[1:])]))
-        return [out[p] for p in pieces]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Add the ids of pieces; None for a piece that can't stand alone."""
-        if len(self.known) + len(words) > MEMO:
-            self.known = dict(sorted(self.known.items(), key=lambda x: len(x[0]))[: MEMO // 2])  # short words are the frequent ones
-        new = {w: w.decode() for w in words if w not in self.known}
-        if self.byte_level:
-            self.known.update((w, None) for w, s in new.items() if not clean(s))
-            new = {w: " " + s for w, s in new.items() if clean(s)}
-        self.known.update(zip(new, self.ids_joined(list(new.values()))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """One bytes object of ids for each text."""
-        out: list[bytes] = [b""] * len(texts)
-        cut = [t.encode().split(b" ") if self.byte_level else t.encode().split() for t in texts]
-        todo, start, skip, rounds = list(range(len(texts))), 0, int(self.byte_level), 0
-        while start < len(todo):
-            rounds += 1
-            if rounds > len(texts) + 3:  # a text with more distinct words than are kept
-                for i in todo:
-                    out[i], cut[i] = b"".join(self.ids([texts[i]])), [b""]
-                break
-            missing: set[bytes] = set()
-            again, get = [], self.known.__getitem__
-            for n in range(start, len(todo)):
-                i = todo[n]
-                try:
-                    out[i] = b"".join(map(get, cut[i][skip:]))
-                except KeyError:
-                    if len(missing) > MEMO // 4:
-                        break
-                    missing.update(w for w in cut[i][skip:] if w not in self.known)
-                    again.append(i)
-                except TypeError:
-                    out[i] = b"".join(self.ids(byte_pieces(texts[i])))
-                    cut[i] = [b""]
-            else:
-                n = len(todo)
-            self.learn(missing)
-            todo, start = again + todo[n:], 0
-        if self.byte_level:
-            firsts = [i for i, ws in enumerate(cut) if ws[0] and clean(ws[0].decode())]
-            for i, ids in zip(firsts, self.ids([cut[i][0].decode() for i in firsts])):
-                out[i] = ids + out[i]
-            for i, (t, ws) in enumerate(zip(texts, cut)):
-                if t and ws != [b""] and not clean(ws[0].decode()):
-                    out[i] = b"".join(self.ids(byte_pieces(t)))
-        return out
-
-
-def encoder(path: str, byte_level: bool) -> PieceEncoder:
+            alone = np.fromiter((m is None for m in found), bool, len(pieces))
+            marks = np.fromiter((1 if m is None or m[1] is None else 2 for m in found), np.int64, len(pieces))
+        sizes, lists, places = np.zeros(len(pieces), np.int64), [], []
+        whole, rest = np.flatnonzero(~alone), [np.flatnonzero(alone)]
+        groups = [whole[i : i + JOINED] for i in range(0, len(whole), JOINED)]
+        by = "" if self.byte_level else " "
+        for i in range(0, len(groups), 16):
+            some = groups[i : i + 16]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([by.join([pieces[k] for k in g]) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, dtype=self.dtype)
+                at, n = np.flatnonzero(self.edge[ids]), marks[group]
+                if len(at) != n.sum():  # a word with ids of a kind not thought of; then one by one
+                    rest.append(group)
+                    continue
+                cuts = np.append(at, len(ids)) if self.byte_level else np.concatenate([[0], at[np.cumsum(n) - 1] + 1])
+                sizes[group] = np.diff(cuts)
+                lists.append(ids)
+                places.append(group)
+        alone = np.concatenate(rest)
+        for i in range(0, len(alone), JOINED):
+            group = alone[i : i + JOINED]
+            ids = self.ids([pieces[k] for k in group])
+            sizes[group] = [len(x) for x in ids]
+            lists.append(np.concatenate(ids))
+            places.append(group)
+        if not places:
+            return sizes, np.empty(0, self.dtype)
+        flat, place = np.concatenate(lists), np.concatenate(places)
+        n = sizes[place]
+        begin = np.empty(len(pieces), np.int64)
+        begin[place] = np.cumsum(n) - n
+        return sizes, flat[spans(begin, sizes)]
+
+
+def spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1 and so on, ``n`` of each, one run after another."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def encoder(path: str, byte_level: bool) -> WordEncoder:
     """This worker's encoder for a file."""
-    if path not in _memos:
-        _memos[path] = PieceEncoder(path, byte_level)
-    return _memos[path]
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path, byte_level)
+    return _encoders[path]

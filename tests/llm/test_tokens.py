@@ -6,11 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from tokenizers import Tokenizer
 
 from evalloom.llm import bpe, chat_format, packing, token_binary
-from evalloom.llm.wordpieces import PieceEncoder, byte_pieces
+from evalloom.llm.wordpieces import byte_pieces, byte_words, encoder, plain_words
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 DOCS = "doc_id long, text string, ids string, n_tokens int"
@@ -33,11 +35,15 @@ def encoded(path, texts):
 
 
 @pytest.mark.parametrize("path, byte_level", [(BYTE, True), (WORD, False)])
-def test_piecewise_encoding_is_the_library_s(path, byte_level):
-    texts = [t or "" for t in odd_texts(3000, 5)] + ["Straße word. word, naïve!! x.y" * 50]
-    enc = PieceEncoder(path, byte_level)
-    for _ in range(2):
-        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == encoded(path, texts)
+def test_wordwise_encoding_is_the_library_s(path, byte_level):
+    texts = [t or "" for t in odd_texts(3000, 5)] + ["Straße word. word, naïve!! x.y " * 50, "a\n\n\nb", "\n\n", "\r\n\r\nx \r y", "a\nb\n c", "  a  b "]
+    words, lens = (byte_words if byte_level else plain_words)(pa.array(texts))
+    found = words.dictionary_encode()
+    sizes, ids = encoder(path, byte_level).encode(found.dictionary)
+    of = np.split(ids, np.cumsum(sizes)[:-1])
+    codes = np.split(found.indices.to_numpy(), np.cumsum(lens)[:-1])
+    got = [[int(i) for c in cs for i in of[c]] for cs in codes]
+    assert got == encoded(path, texts)
     assert all("".join(byte_pieces(t)) == t for t in texts)
 
 
@@ -59,21 +65,30 @@ def test_code_lengths_are_limited_and_complete():
 
 def test_block_round_trip():
     rng = np.random.default_rng(1)
-    for n in (1, 2, 127, 128, 129, 5000):
-        ids = np.minimum(rng.geometric(0.02, n), 900)
-        lengths = token_binary.code_lengths(np.bincount(ids, minlength=1000))
-        bits, marks = token_binary.encode_block(ids, lengths, token_binary.canonical_codes(lengths))
-        assert (token_binary.decode_block(bits, marks, n, *token_binary.decode_table(lengths)) == ids).all()
-
-
-def test_token_files(spark, docs):
-    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
-    start, want = 0, []
+    tokens = np.array([1, 2, 127, 128, 129, 5000, 1, 256])
+    ids = np.minimum(rng.geometric(0.02, tokens.sum()), 900)
+    lengths = token_binary.code_lengths(np.bincount(ids, minlength=1000))
+    bits, marks = token_binary.encode_documents(ids, np.cumsum(tokens), lengths, token_binary.canonical_codes(lengths))
+    base = np.cumsum([0, *(8 * len(x) for x in bits)])
+    checkpoints = np.concatenate([np.frombuffer(m, "<u4").astype("<u8") + b for m, b in zip(marks, base.tolist())])
+    assert [len(m) // 4 for m in marks] == [-(-t // 128) for t in tokens]
+    assert (token_binary.decode_block(b"".join(bits), checkpoints.tobytes(), tokens, *token_binary.decode_table(lengths)) == ids).all()
+
+
+@pytest.mark.parametrize("block_ids", [1 << 20, 700])
+def test_token_files(spark, docs, monkeypatch, block_ids):
+    monkeypatch.setattr(token_binary, "BLOCK_IDS", block_ids)
+    rows = sorted([*docs.collect(), *[Row(doc_id=None, text="no id")] * 2, *[Row(doc_id=7, text="again")] * 300], key=lambda r: (-1 if r["doc_id"] is None else r["doc_id"]))
+    want, totals = [], {}
     for r, ids in zip(rows, encoded(BYTE, [r["text"] for r in rows])):
         ids = [*ids, 2]
-        want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    assert sorted(tuple(r) for r in token_binary.query(docs, BYTE).collect()) == want
+        want.append((r["doc_id"] is not None, r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        totals[r["doc_id"]] = totals.get(r["doc_id"], 0) + len(ids)
+    df = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").repartition(5)
+    got = sorted(token_binary.query(df, BYTE).collect(), key=lambda r: r["start"])
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((a, b or 0, c, d) for a, b, c, d in want)
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in rows]  # in ascending order, without a gap
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
     assert token_binary.query(docs.limit(0), BYTE).count() == 0
 
 
