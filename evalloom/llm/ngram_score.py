@@ -1,15 +1,18 @@
 """Scoring texts with an n-gram model held in a log-frequency Bloom filter.
 
 Words and word pairs of the training documents are counted exactly: blocks of documents send their distinct words and the
-hashes of their distinct pairs, with counts, to buckets. A count is quantised to the power of two below it, and an n-gram is put
-into the filter once for each power up to its own; its count is found by probing power after power until one is
-missing. The filter is cut by bucket, so that each bucket's part is filled by the task that counted it. Its size is bounded
-by ``max_bits``: n-grams below a least count are left out, and the least count grows only if the counted n-grams would not fit
-(one for words, two for pairs where that fits). The filter is broadcast.
-
-The probability of a word is that of a pair with weight LAMBDA where the pair's first word is known, and else that of the
-word alone with 0.1 added to its count, both from probed counts. The base score uses the exact counts, which come back
-to the blocks from the buckets.
+hashes of their distinct pairs, with counts, to buckets. A count is quantised to the step of a geometric ladder below it, and
+an n-gram is put into the filter once for each step up to its own; its count is found by probing step after step
+until one is missing. The filter is cut by bucket: each bucket's part is filled by the task that counted it, and the n-grams
+of all texts, those held out too, are probed there, for they come to the same bucket; answers go back to the blocks. So the
+filter holds every n-gram, however often it was seen, and grows with the corpus, while no worker holds more than a part of
+it. (A broadcast of the whole filter would need a bound on its size, and so n-grams left out.)
+
+With q the quantised count of an n-gram, which is at most its count, and u the greatest count of a step, the
+probability of a word w after a word h is LAMBDA q(h, w) / u(h) + (1 - LAMBDA) p(w), and p(w) alone where h was not found;
+p(w) is (q(w) + 0.1) over the sum of that over all known words and one unknown. The probabilities after a history
+so sum to 1 at most, but for false hits: of pairs never seen, 2 ** -PROBES are found. The base score uses the exact
+counts, which come back to the blocks from the buckets.
 
 Defined cases: null and empty text has the end token alone; a null doc_id is not learned from and not held out; repeated rows
 count and are scored each; with nothing to learn from, all counts are 0; other columns are ignored.
@@ -17,205 +20,186 @@ count and are scored each; with nothing to learn from, all counts are 0; other c
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.blocks import bucket_count, by_block, by_bucket, long_ids, make_blocks, pack_many, plain_docs, unpack_many
-from evalloom.llm.common import fold, materialize, materialize_bucketed
+from evalloom.llm.blocks import Block, bucket_count, by_block, by_bucket, homes, long_ids, make_blocks, mix, pack, pack_many, plain_docs, unpack, unpack_many, word_hashes
+from evalloom.llm.common import fold, materialize
+from evalloom.llm.wordpieces import plain_words
 
 ADDED = 0.1
 LAMBDA = 0.6
-PROBES = 3
-#: Bits for each entry (an n-gram at one power) and the most bits of the filter.
-ENTRY_BITS = 8
-MAX_BITS = 1 << 30
-LEVELS = 40
+PROBES = 16
+#: Bits for each entry (an n-gram at one step).
+ENTRY_BITS = 24
+#: The least counts of the steps: about half as much again from one to the next.
+STEPS = np.ceil(1.5 ** np.arange(100)).astype(float)
+#: Words of a block: its pairs are held at once.
+BLOCK_WORDS = 2_500_000
 #: The end token; no word holds a line feed.
-END = b"\n"
+END = "\n"
 
 _U = np.uint64
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
-
-def split_words(text: str) -> list[bytes]:
-    """Lower-cased words, then the end token. bytes.split() cuts at the same six characters."""
-    words = text.encode("utf-8", "replace").translate(_LOWER).split()
-    words.append(END)
-    return words
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), _U, len(words))
-
-
-def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    x = first * _U(0x9E3779B97F4A7C15) + (second ^ _U(0xC2B2AE3D27D4EB4F))
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> _U(27))
-
-
-def before(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of the word before each; the end token's before a first word."""
-    out = np.empty_like(hashes)
-    out[1:] = hashes[:-1]
-    out[np.concatenate([[0], ends[:-1]]).astype(int)] = word_hashes([END])[0]
-    return out
-
-
-def home(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
 
-def places(h: np.ndarray, level: int | np.ndarray, probe: int, bits: int) -> np.ndarray:
-    """The place of a probe in a bucket's part of the filter."""
-    salt = np.asarray((np.asarray(level, np.uint64) * _U(PROBES) + _U(probe) + _U(1)))
-    x = (h ^ (salt * _U(0xA0761D6478BD642F))) * _U(0x94D049BB133111EB)
-    x ^= x >> _U(29)
-    return ((x & _U(0xFFFFFFFF)) * _U(bits) >> _U(32)).astype(np.int64)
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of texts (A to Z only), and the end token after each text."""
+    words, lens = plain_words(pc.ascii_lower(texts))
+    order = np.insert(np.arange(len(words)), np.cumsum(lens), len(words))
+    return pa.concat_arrays([words, pa.array([END], words.type)]).take(pa.array(order)), lens + 1
 
 
-def powers(counts: np.ndarray) -> np.ndarray:
-    """The exponent of the power of two at or below a count (0 for 1)."""
-    return np.frexp(counts.astype(float))[1] - 1
+def pairs_of(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of each token with the one before it (the end token's before a first word); the lowest bit is 0."""
+    x = np.empty_like(hashes)
+    x[1:] = hashes[:-1]
+    x[np.concatenate([[0], ends[:-1]]).astype(int)] = end_hash()
+    x *= _U(0x9E3779B97F4A7C15)
+    x += hashes ^ _U(0xC2B2AE3D27D4EB4F)
+    return mix(x) & ~_U(1)
 
 
-class Filter:
-    """The log-frequency filter: a part of ``bits`` bits for each bucket; ``least`` are the lowest powers held for words and pairs."""
-
-    def __init__(self, parts: np.ndarray, bits: int, least: tuple[int, int]):
-        self.parts, self.bits, self.least = parts, bits, least
-
-    def counts(self, h: np.ndarray, bucket: np.ndarray, kind: int) -> np.ndarray:
-        """Counts by repeated probes: the middle of the last power that was found; 0 where none was."""
-        out = np.zeros(len(h))
-        alive, flat, base = np.arange(len(h)), self.parts.reshape(-1), bucket * self.parts.shape[1]
-        for level in range(self.least[kind], LEVELS):
-            for probe in range(PROBES):
-                at = places(h[alive], level, probe, self.bits)
-                alive = alive[(flat[base[alive] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0]
+def end_hash() -> np.ndarray:
+    return word_hashes(pa.array([END]))[0]
+
+
+def pair_rows(hashes: np.ndarray, codes: np.ndarray, learned: np.ndarray, ends: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """The different pairs of a block by bucket: hashes in order (bucket grows with the hash), how often each is learned from."""
+    x = pairs_of(hashes[codes], ends) | learned
+    x.sort()
+    found = np.flatnonzero(np.concatenate([[True], x[1:] >> _U(1) != x[:-1] >> _U(1)])) if len(x) else np.empty(0, int)
+    n = np.add.reduceat(x & _U(1), found).astype(np.uint32) if len(x) else np.empty(0, np.uint32)
+    x = x[found] & ~_U(1)
+    some, begin = np.unique(homes(x, buckets), return_index=True)
+    for b, lo, hi in zip(some.tolist(), begin.tolist(), [*begin[1:].tolist(), len(x)]):
+        yield "pairs", b, pack_many(np.diff(x[lo:hi], prepend=_U(0)), n[lo:hi])
+
+
+class FilterPart:
+    """A bucket's part of the log-frequency filter."""
+
+    def __init__(self, h: np.ndarray, counts: np.ndarray):
+        h, counts = h[counts > 0], counts[counts > 0]
+        step = np.searchsorted(STEPS, counts, "right") - 1
+        self.bits = max(64, int((step + 1).sum()) * ENTRY_BITS)
+        self.held = np.zeros(self.bits, bool)
+        for level in range(int(step.max(initial=-1)) + 1):
+            h, step = h[step >= level], step[step >= level]
+            x = self._seed(h, level)
+            for k in range(PROBES):
+                self.held[self._place(x, k)] = True
+
+    @staticmethod
+    def _seed(h: np.ndarray, level: int) -> np.ndarray:
+        return mix(h + _U((level + 1) * 0xA0761D6478BD642F % (1 << 64)))
+
+    def _place(self, x: np.ndarray, probe: int) -> np.ndarray:
+        """Where a probe of seeded hashes lies."""
+        at = ((x >> _U(32)) + np.full(1, probe, _U) * (x | _U(1))) & _U(0xFFFFFFFF)
+        return (at * _U(self.bits) >> _U(32)).astype(np.int64)
+
+    def steps(self, h: np.ndarray) -> np.ndarray:
+        """By repeated probes: 0 where an n-gram is not found, and else its step + 1."""
+        out, alive = np.zeros(len(h), np.uint8), np.arange(len(h))
+        for level in range(len(STEPS)):
+            x = self._seed(h[alive], level)
+            for k in range(PROBES):
+                hit = self.held[self._place(x, k)]
+                if not hit.all():
+                    alive, x = alive[hit], x[hit]
             if not len(alive):
                 break
-            out[alive] = (3 * 2.0**level - 1) / 2
+            out[alive] = level + 1
         return out
 
 
-def pair_rows(words: list[bytes], codes: np.ndarray, learned: np.ndarray, ends: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """The pairs of a block's training documents: hashes in order and counts, by bucket (which grows with the hash)."""
-    hashes = word_hashes(words)[codes]
-    found, n = np.unique(pair_hashes(before(hashes, ends), hashes)[learned], return_counts=True)
-    cuts = np.searchsorted(home(found, buckets), np.arange(buckets + 1))
-    for b, x, y in zip(range(buckets), cuts, cuts[1:]):
-        if x < y:
-            yield "pairs", b, pack_many(np.diff(found[x:y], prepend=_U(0)), n[x:y].astype(np.uint32))
+def least_of(step: np.ndarray) -> np.ndarray:
+    """The least count of a found step; 0 where none was found."""
+    return np.concatenate([[0.0], STEPS])[step]
 
 
-def least_powers(entries: dict[tuple[int, int], int], max_bits: int) -> tuple[tuple[int, int], int]:
-    """Lowest powers for words and pairs, and the entries at or above them, so that these fit in ``max_bits``."""
-    least = [0, 1]
-    held = lambda: sum(n for (kind, level), n in entries.items() if level >= least[kind])
-    while held() * ENTRY_BITS > max_bits:
-        least[1 if least[1] <= 2 * least[0] + 1 else 0] += 1
-    return (least[0], least[1]), held()
+def greatest_of(step: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], STEPS[1:] - 1, [np.inf]])[step]
 
 
-def score(docs: DataFrame, held_out: Column, max_bits: int = MAX_BITS) -> DataFrame:
+def probabilities(pair: np.ndarray, first: np.ndarray, word: np.ndarray, mass: float) -> np.ndarray:
+    """From found steps of pairs, of their first words and of their second words; ``mass`` is the sum of all that p(w) is a part of."""
+    alone = (least_of(word) + ADDED) / mass
+    return np.where(first > 0, LAMBDA * least_of(pair) / np.maximum(greatest_of(first), 1) + (1 - LAMBDA) * alone, alone)
+
+
+def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learns from rows with an id where ``held_out`` is false."""
-    spark = docs.sparkSession
     rows = plain_docs(docs, ~held_out)
     buckets = bucket_count(rows)
-    blocks = make_blocks(rows, split_words, buckets, lambda *block: pair_rows(*block, buckets))
+    blocks = make_blocks(rows, split_words, buckets, lambda *block: pair_rows(*block, buckets), BLOCK_WORDS)
 
-    def count_words(lists, counts):
-        place: dict[bytes, int] = {}
-        at = [np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words)) for words in lists]
-        total = np.zeros(len(place), np.int64)
-        for where, n in zip(at, counts):
+    def count_words(words, places, counts):
+        total = np.zeros(len(words), np.int64)
+        for where, n in zip(places, counts):
             if n is not None:
                 total[where] += n
-        h = word_hashes(list(place))
-        return [pack_many(total[where], h[where]) for where in at], pack_many(h[total > 0], total[total > 0])
+        h = word_hashes(words)
+        step = FilterPart(h, total).steps(h)
+        return [pack_many(total[x], step[x]) for x in places], np.array([total.sum(), (total > 0).sum(), least_of(step).sum()], np.int64).tobytes()
 
-    words = materialize_bucketed(by_bucket(blocks, count_words), "block", max(buckets // 2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "words")
+    words = materialize(by_bucket(blocks, count_words), "words")
 
     def count_pairs(parts: pd.DataFrame) -> pd.DataFrame:
         lists = [unpack_many(d, 2) for d in parts["data"]]
-        h, where = np.unique(np.concatenate([np.cumsum(x[0], dtype=_U) for x in lists]), return_inverse=True)
-        n = np.bincount(where, np.concatenate([x[1] for x in lists])).astype(np.int64)
-        return pd.DataFrame({"bucket": parts["bucket"].iloc[:1], "kind": 1, "data": [pack_many(h[n > 1], n[n > 1])]})
+        h = np.concatenate([np.cumsum(x[0], dtype=_U) for x in lists])
+        ends = np.cumsum([len(x[0]) for x in lists])[:-1]
+        n = np.concatenate([x[1] for x in lists])
+        del lists
+        h, where = np.unique(h, return_inverse=True)
+        step = FilterPart(h, np.bincount(where, n).astype(np.int64)).steps(h)
+        return pd.DataFrame({"block": parts["block"], "bucket": parts["bucket"] + buckets, "data": [pack(x) for x in np.split(step[where], ends)]})
 
-    pairs = blocks.filter("kind = 'pairs'").select("bucket", "data").groupBy("bucket").applyInPandas(count_pairs, "bucket int, kind int, data binary")
-    counted = materialize(words.filter("block is null").select("bucket", F.lit(0).alias("kind"), "data").union(pairs), "counted")
+    pairs = blocks.filter("kind = 'pairs'").select("block", "bucket", "data").groupBy("bucket").applyInPandas(count_pairs, "block long, bucket int, data binary")
 
-    def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for kind, data in zip(batch["kind"], batch["data"]):
-                n = unpack_many(data, 2)[1]
-                held = np.bincount(powers(n)) if len(n) else np.zeros(0, int)
-                held = np.cumsum(held[::-1])[::-1]  # an n-gram has an entry at each power up to its own
-                yield pd.DataFrame({"kind": kind, "level": np.arange(-2, len(held)), "n": [int(n.sum()), len(n), *held.tolist()]})
-
-    # a few numbers for each power of two return: at -2 the tokens, at -1 the different n-grams
-    summary = {(r["kind"], r["level"]): r["n"] for r in counted.mapInPandas(levels, "kind int, level int, n long").groupBy("kind", "level").agg(F.sum("n").alias("n")).collect()}
-    train_tokens, vocabulary = summary.get((0, -2), 0), summary.get((0, -1), 0)
-    least, held = least_powers({k: n for k, n in summary.items() if k[1] >= 0}, max_bits)
-    bits = max(64, -(-held * ENTRY_BITS // buckets // 64) * 64)
-
-    def fill(parts: pd.DataFrame) -> pd.DataFrame:
-        part = np.zeros(bits, bool)
-        for kind, data in zip(parts["kind"], parts["data"]):
-            h, n = unpack_many(data, 2)
-            p = powers(n)
-            for level in range(least[kind], int(p.max(initial=-1)) + 1):
-                for probe in range(PROBES):
-                    part[places(h[p >= level], level, probe, bits)] = True
-        return pd.DataFrame({"bucket": parts["bucket"].iloc[:1], "part": [np.packbits(part, bitorder="little").tobytes()]})
-
-    table = np.zeros((buckets, bits // 8), np.uint8)  # at most max_bits
-    for r in counted.groupBy("bucket").applyInPandas(fill, "bucket int, part binary").toLocalIterator():
-        table[r["bucket"]] = np.frombuffer(r["part"], np.uint8)
-    model = spark.sparkContext.broadcast(table)
-    base = train_tokens + ADDED * (vocabulary + 1)
-
-    def finish(doc_ids, flags, lens, codes, answers, of) -> pd.DataFrame:
-        held = Filter(model.value, bits, least)
-        got = [unpack_many(a, 2) for a in answers]
-        c, h = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-        bucket = np.repeat(np.array(of, np.int64), [len(g[0]) for g in got])
-        ends, text = np.cumsum(lens), np.repeat(np.arange(len(lens)), lens)
-        probed = held.counts(h, bucket, 0)
-        token = h[codes]
-        pair, where = np.unique(pair_hashes(before(token, ends), token), return_inverse=True)
-        both = held.counts(pair, home(pair, buckets), 1)[where]
-        first = np.empty(len(codes))
-        first[1:] = probed[codes[:-1]]
-        first[np.concatenate([[0], ends[:-1]])] = held.counts(end_hash(), end_bucket(buckets), 0)[0]
-        alone = (probed[codes] + ADDED) / base
-        p = np.where(first > 0, LAMBDA * both / np.maximum(np.maximum(first, both), 1) + (1 - LAMBDA) * alone, alone)
-        add = lambda x: np.bincount(text, x, len(lens))
-        return pd.DataFrame({
-            "doc_id": long_ids(doc_ids), "learned": flags, "n_tokens": lens, "n_known": add(c[codes] > 0).astype(np.int64), "train_tokens": train_tokens,
-            "base_score": add(np.log10((c + ADDED) / base)[codes]), "score": add(np.log10(p)),
-        })
-
-    schema = "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = by_block(blocks, words, finish, schema)
+            yield pd.DataFrame([np.frombuffer(x, np.int64) for x in batch["data"]], columns=["tokens", "words", "mass"])
+
+    # three numbers return
+    sums = words.filter("block is null").select("data").mapInPandas(totals, "tokens long, words long, mass long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "mass"))).first()
+    train_tokens, vocabulary = sums[0], sums[1]
+    base, mass = (x + ADDED * (vocabulary + 1) for x in (train_tokens, sums[2]))
+
+    def finish(block: Block, answers: list[bytes], of: np.ndarray) -> pd.DataFrame:
+        n_words = int(np.searchsorted(of, buckets))
+        got = [unpack_many(a, 2) for a in answers[:n_words]]
+        count, step = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+        pair_step = np.concatenate([unpack(a) for a in answers[n_words:]])
+        ends = np.cumsum(block.lens)
+        where = np.unique(pairs_of(block.hashes[block.codes], ends), return_inverse=True)[1].astype(np.uint32)
+        end_step = step[np.flatnonzero(block.hashes == end_hash())[0]]
+        logs = np.log10((count + ADDED) / base)
+        sums = np.empty((3, len(ends)))
+        a = 0
+        while a < len(ends):  # some documents at a time
+            lo = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, lo + 400_000, "right")))
+            codes, mine = block.codes[lo : ends[b - 1]], pair_step[where[lo : ends[b - 1]]]
+            begin = np.concatenate([[0], ends[a : b - 1] - lo])
+            own = step[codes]
+            first = np.empty_like(own)
+            first[1:] = own[:-1]
+            first[begin] = end_step
+            for k, x in enumerate(((count > 0)[codes], logs[codes], np.log10(probabilities(mine, first, own, mass)))):
+                sums[k, a:b] = np.add.reduceat(x.astype(float), begin)
+            a = b
+        return pd.DataFrame({"doc_id": long_ids(block.doc_ids), "n_tokens": block.lens, "n_known": sums[0].astype(np.int64), "train_tokens": train_tokens, "base_score": sums[1], "score": sums[2]})
+
+    out = by_block(blocks, words.unionByName(pairs), finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double", hashes=True)
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def end_hash() -> np.ndarray:
-    return word_hashes([END])
-
-
-def end_bucket(buckets: int) -> np.ndarray:
-    return np.array([zlib.crc32(END) % buckets])
-
-
 def query(docs: DataFrame) -> DataFrame:
     return score(docs.select("doc_id", "text"), fold(F.col("doc_id"), 10) == 0)
-

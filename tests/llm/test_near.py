@@ -153,8 +153,30 @@ def test_ngram_scores(spark):
     want = sorted((-1 if i is None else i, out(i), len(tokens(t)), sum(w in counts for w in tokens(t)), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t)), 6)) for i, t in rows)
     got = ngram_score.query(df).collect()
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got) and ngram_score.query(df.limit(0)).count() == 0
-    assert ngram_score.least_powers({(0, 0): 100, (1, 0): 900, (1, 1): 300, (1, 2): 50}, 8 * 200) == ((0, 2), 150)
+    assert ngram_score.query(df.limit(0)).count() == 0
+    # the model by its formulas, from exact counts
+    pairs = Counter(p for i, t in rows if i is not None and not out(i) for p in zip(["\n", *tokens(t)], tokens(t)))
+    step = lambda c: max(k for k, x in enumerate(ngram_score.STEPS) if x <= c) if c else None
+    q = lambda c: ngram_score.STEPS[step(c)] if c else 0.0
+    mass = sum(q(c) for c in counts.values()) + 0.1 * (v + 1)
+    alone = lambda w: (q(counts[w]) + 0.1) / mass
+    given = lambda h, w: 0.6 * q(pairs[h, w]) / (ngram_score.STEPS[step(counts[h]) + 1] - 1) + 0.4 * alone(w) if counts[h] else alone(w)
+    want = sorted((-1 if i is None else i, round(sum(math.log10(given(h, w)) for h, w in zip(["\n", *tokens(t)], tokens(t))), 6)) for i, t in rows)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 6)) for r in got) == want
+    for h in [*counts, "never seen"]:
+        assert 0.5 < sum(given(h, w) for w in [*counts, "never seen"]) <= 1 + 1e-9
+
+
+def test_filter_keeps_all_counts():
+    rng = np.random.default_rng(3)
+    h, n = near_texts.mix(np.arange(1, 20_001, dtype=np.uint64)), np.minimum(rng.geometric(0.3, 20_000), 40)
+    n[:2000] = 0
+    n[2000] = 10**12
+    part = ngram_score.FilterPart(h, n)
+    got = part.steps(h)
+    want = np.where(n > 0, np.searchsorted(ngram_score.STEPS, n, "right"), 0)
+    assert (got >= want).all() and (got != want).sum() <= 5 and ngram_score.FilterPart(h[:0], n[:0]).steps(h).sum() == 0
+    assert (ngram_score.least_of(got)[want == got] <= n[want == got]).all() and (n[(want == got) & (n > 0)] <= ngram_score.greatest_of(got)[(want == got) & (n > 0)]).all()
 
 
 def test_pipeline(spark):
