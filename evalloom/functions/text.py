@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-import re
 import unicodedata
 
 import pandas as pd
@@ -50,6 +49,24 @@ def normalize_phrase(texts: pd.Series) -> pd.Series:
     return texts.map(normal_phrase)
 
 
+@F.pandas_udf(T.StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """NFKC form."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf(T.BooleanType())
+def is_composed(texts: pd.Series) -> pd.Series:
+    """Whether a text is in NFC form."""
+    return texts.map(lambda t: None if t is None else unicodedata.is_normalized("NFC", t))
+
+
+@F.pandas_udf(T.StringType())
+def folded(texts: pd.Series) -> pd.Series:
+    """NFKC, case folding, runs of white space as one space, none at the ends."""
+    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+
+
 def hmac_digest(key: bytes):
     """A vectorised ``hmac-sha256:`` digest of a string column under a key."""
 
@@ -58,8 +75,3 @@ def hmac_digest(key: bytes):
         return texts.map(lambda t: None if t is None else "hmac-sha256:" + hmac.new(key, t.encode(), hashlib.sha256).hexdigest())
 
     return run
-
-
-def alternation(values: list[str]) -> str:
-    """A pattern that finds any of the values, longer ones first."""
-    return "|".join(re.escape(v) for v in sorted(set(values), key=lambda v: (-len(v), v)))

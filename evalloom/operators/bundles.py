@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.functions.text import is_composed
+
 MARKER = "\n[truncated]\n"
 #: Characters at a cut whose tokens may change with what follows.
 EDGE = 64
@@ -41,9 +43,9 @@ def check_includes(files: DataFrame, includes: DataFrame) -> DataFrame:
 
 
 def check_paths(files: DataFrame) -> DataFrame:
-    """Violations: absolute paths, backslashes, NUL, empty or dotted parts."""
+    """Violations: absolute paths, backslashes, NUL, empty or dotted parts, paths that are not in NFC form."""
     bad = F.col("path").isNull() | F.col("path").rlike(r"^/|\\|\x00|(^|/)(\.{1,2})?(/|$)") | (F.col("path") == "")
-    return files.filter(bad).select(F.lit("unsafe_path").alias("rule"), F.coalesce("path", F.lit("")).alias("key"))
+    return files.filter(bad | ~is_composed("path")).select(F.lit("unsafe_path").alias("rule"), F.coalesce("path", F.lit("")).alias("key"))
 
 
 def decode_content(files: DataFrame, binary_policy: str = "omit") -> DataFrame:
@@ -134,10 +136,11 @@ def bundle_manifest(entries: DataFrame) -> DataFrame:
 
 
 def tree_digest(files: DataFrame, group: str) -> DataFrame:
-    """Digest over (path, size, sha256, git blob sha1) of each group's files in path order."""
+    """Digest over (path, mode, size, sha256, git blob sha1) of each group's files in path order; a file without a ``mode`` column is 100644."""
     content = F.col("content").cast("binary")
     size = F.octet_length(content)
     blob = F.sha1(F.concat(F.concat(F.lit("blob "), size.cast("string"), F.lit("\0")).cast("binary"), content))
-    line = F.concat_ws("\0", "path", size.cast("string"), F.sha2(content, 256), blob)
+    mode = F.col("mode") if "mode" in files.columns else F.lit("100644")
+    line = F.concat_ws("\0", "path", mode, size.cast("string"), F.sha2(content, 256), blob)
     rows = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("path", line.alias("l")))).alias("rows"))
     return rows.select(group, F.size("rows").cast("long").alias("files"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("rows", lambda r: r["l"]), "\n").cast("binary"), 256)).alias("digest"))

@@ -50,7 +50,8 @@ def split_objective(split: DataFrame) -> DataFrame:
     cells, size = balance(split), split.agg(F.count("*").alias("n"), F.count_if(F.col("role") == "holdout").alias("h"))
     wide = lambda c: F.col(c).cast("decimal(18,0)")
     gap = wide("holdout") * wide("n") - wide("total") * wide("h")
-    return cells.join(F.broadcast(size)).agg(F.sum(F.pow(gap.cast("double"), 2)).alias("objective"), F.max("n").alias("cases"), F.max("h").alias("holdout"))
+    gap = gap.cast("decimal(19,0)")
+    return cells.join(F.broadcast(size)).agg(F.sum((gap * gap).cast("decimal(38,0)")).alias("objective"), F.max("n").alias("cases"), F.max("h").alias("holdout"))
 
 
 def stratified_holdout(cases: DataFrame, seed: int, holdout: int, locked: DataFrame | None = None) -> DataFrame:
@@ -62,8 +63,8 @@ def stratified_holdout(cases: DataFrame, seed: int, holdout: int, locked: DataFr
     free = rows if locked is None else rows.join(locked.select("case_id"), "case_id", "left_anti")
     sizes = free.groupBy("stratum").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("all"))
-    exact = F.col("n") * F.lit(holdout).cast("decimal(18,0)") / F.col("all")
-    quotas = sizes.join(F.broadcast(total)).withColumns({"base": F.floor(exact).cast("long"), "rest": exact - F.floor(exact)})
+    share = F.col("n") * F.lit(holdout).cast("decimal(10,0)")  # of all: integers, so that no remainder is rounded
+    quotas = sizes.join(F.broadcast(total)).withColumns({"base": ((share - share % F.col("all")) / F.col("all")).cast("long"), "rest": share % F.col("all")})
     spare = quotas.agg((F.lit(holdout) - F.sum("base")).alias("spare"))
     ranked = quotas.join(F.broadcast(spare)).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), "stratum")))  # a row for each stratum
     quotas = ranked.select("stratum", (F.col("base") + F.when(F.col("r") <= F.col("spare"), 1).otherwise(0)).alias("quota"))
@@ -73,7 +74,10 @@ def stratified_holdout(cases: DataFrame, seed: int, holdout: int, locked: DataFr
 
 def best_holdout_exact(cases: DataFrame, seed: int, holdout: int, locked: tuple[str, ...] = ()) -> tuple[list[str], int]:
     """The selection of least objective (ties by the SHA-256 of seed and members), over all combinations, which tasks share."""
-    rows = cases.select("case_id", *DIMENSIONS).orderBy("case_id").toPandas()  # few: the search is refused beyond a limit
+    size = cases.count()
+    if not 0 < comb(max(0, size - len(set(locked))), holdout) <= EXACT_LIMIT:
+        raise ValueError(f"{size} cases: selections are not from 1 to {EXACT_LIMIT}")
+    rows = cases.select("case_id", *DIMENSIONS).orderBy("case_id").toPandas()  # few, as their selections are
     names = rows["case_id"].tolist()
     free = [i for i, n in enumerate(names) if n not in set(locked)]
     count = comb(len(free), holdout) if 0 < holdout <= len(free) else 0
@@ -112,9 +116,12 @@ def best_holdout_exact(cases: DataFrame, seed: int, holdout: int, locked: tuple[
 
 
 def order_holdout(split: DataFrame, seed: int) -> DataFrame:
-    """Holdout cases with their seeded position."""
-    rows = split.filter("role = 'holdout'").withColumn("order", order_key(seed))
-    return rows.select("case_id", F.row_number().over(Window.partitionBy("role").orderBy("order")).alias("position"))
+    """Holdout cases with their seeded position: ranked within bins of the key's first digits, and bins follow each other."""
+    rows = split.filter("role = 'holdout'").select("case_id", order_key(seed).alias("order")).withColumn("bin", F.substr("order", F.lit(1), F.lit(3)))
+    sizes = rows.groupBy("bin").agg(F.count("*").alias("n"))  # at most 4,096 rows
+    before = sizes.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy("order")))
+    return ranked.join(F.broadcast(before), "bin").select("case_id", (F.col("before") + F.col("r")).cast("int").alias("position"))
 
 
 def split_proof(split: DataFrame, seed: int) -> DataFrame:

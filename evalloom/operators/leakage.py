@@ -7,16 +7,15 @@ Text n-grams are hashed and made distinct within a component, and only those tha
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from evalloom.functions.text import hmac_digest, normalize_phrase
+from evalloom.functions.text import compatible, hmac_digest, normalize_phrase
+from evalloom.sources.scratch import stored
 
 KEY_WORDS = 3
+#: Distinct first n-grams of phrases (8 bytes each) that are sent to all tasks at most.
+BROADCAST_GRAMS = 1_000_000
 LABELS = ("vulnerable", "fixed")
 LABEL_RULE = "snapshot_label"
 
@@ -52,37 +51,23 @@ def _grams(words: Column) -> Column:
     return F.transform(F.array(words), of)[0]
 
 
-@F.pandas_udf(T.StringType())
-def label_surface(requests: pd.Series) -> pd.Series:
-    """Serialized requests without the paths and contents of their entries, which belong to the repository; other texts as they are."""
-
-    def one(text: str | None) -> str | None:
-        try:
-            document = json.loads(text)
-            entries = document["entries"]
-        except (TypeError, ValueError, KeyError):
-            return text
-        if isinstance(entries, list):
-            document["entries"] = [{k: v for k, v in e.items() if k not in ("path", "content")} if isinstance(e, dict) else e for e in entries]
-        return json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-
-    return requests.map(one)
-
-
 def scan_labels(components: DataFrame, index: DataFrame) -> DataFrame:
-    """Label phrases outside repository content: filenames and bundles are not searched, nor their copies in a serialized request."""
-    searched = components.filter("location_class not in ('filename', 'context_bundle')")
-    text = F.when(F.col("location_class") == "serialized_request", label_surface("text")).otherwise(F.col("text"))
-    return scan_phrases(searched.withColumn("text", text), index.filter(F.col("rule_id") == LABEL_RULE))
+    """Label phrases outside repository content: of what a request says itself, ``request_components`` marks the label text."""
+    text = F.col("label_text") if "label_text" in components.columns else F.when(~F.col("location_class").isin("filename", "context_bundle"), F.col("text"))
+    searched = components.withColumn("text", text).filter("text is not null")
+    return scan_phrases(searched, index.filter(F.col("rule_id") == LABEL_RULE))
 
 
 def scan_phrases(components: DataFrame, index: DataFrame, scope: str | None = "case_id") -> DataFrame:
     """Whole-word phrase hits. components: request_id, pos, location_class, text (and the scope column); ``scope`` None looks for all phrases everywhere."""
     words = F.split("value", " ")
     keyed = index.filter("mode = 'phrase' and value <> ''").withColumn("gram", F.xxhash64(F.array_join(F.slice(words, F.lit(1), F.least(F.size(words), F.lit(KEY_WORDS))), " ")))
-    texts = components.withColumn("normal", normalize_phrase("text")).filter("normal <> ''")
+    texts = stored(components.select(*([scope] if scope else []), "request_id", "pos", "location_class", normalize_phrase("text").alias("normal")).filter("normal <> ''"), "normal")
     grams = texts.select(*([scope] if scope else []), "request_id", "pos", F.explode(_grams(F.split("normal", " "))).alias("gram"))
     on = ["gram"] + ([scope] if scope else [])
+    starts = stored(keyed.select("gram").distinct(), "grams")
+    if starts.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:  # most n-grams start no phrase and are not shuffled
+        grams = grams.join(F.broadcast(starts), "gram", "left_semi")
     label = (F.col("rule_id") == LABEL_RULE) & F.col("location_class").isin("filename", "context_bundle")
     hits = grams.join(keyed, on).join(texts.select("request_id", "pos", "location_class", "normal"), ["request_id", "pos"])
     hits = hits.filter(F.contains(F.concat(F.lit(" "), "normal", F.lit(" ")), F.concat(F.lit(" "), "value", F.lit(" "))) & ~label)
@@ -98,11 +83,13 @@ def scan_shas(components: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def scan_tokens(components: DataFrame, index: DataFrame) -> DataFrame:
-    """Fingerprints (64 hex), case-id tokens and pull-request tokens."""
+    """Fingerprints (64 hex), case-id tokens (in the NFKC form of a text) and pull-request tokens."""
     patterns = {"fingerprint": ("(?i)(?<![0-9a-f])(?:sha256:)?([0-9a-f]{64})(?![0-9a-f])", 1), "token": ("(?i)(?<![a-z0-9-])([a-z0-9]+(?:-[a-z0-9]+)*)(?![a-z0-9-])", 1), "pull_request_token": ("(?i)(?<![a-z0-9_])(pr[0-9]+)(?![a-z0-9_])", 1)}
     out = None
+    components = components.withColumn("compatible", compatible("text"))
     for mode, (pattern, group) in patterns.items():
-        tokens = components.select("case_id", "request_id", "pos", "location_class", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), lambda t: F.lower(t)))).alias("match"))
+        source = "compatible" if mode == "token" else "text"
+        tokens = components.select("case_id", "request_id", "pos", "location_class", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(group)), lambda t: F.lower(t)))).alias("match"))
         wanted = index.filter(F.col("mode") == mode).select("case_id", "rule_id", "value")
         hits = tokens.join(wanted, "case_id") if mode == "pull_request_token" else tokens.join(wanted.withColumnRenamed("value", "match"), ["case_id", "match"])
         hits = hits.select("case_id", "request_id", "pos", "location_class", "rule_id", "match")
@@ -111,15 +98,24 @@ def scan_tokens(components: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def request_components(requests: DataFrame) -> DataFrame:
-    """Components of requests (case_id, request_id, prompt, profile, entries array<struct<path, content>>, config map<string,string>)."""
-    piece = lambda kind, text: F.struct(F.lit(kind).alias("location_class"), text.alias("text"))
+    """Components of requests: case_id, request_id, pos, location_class, text, label_text.
+
+    requests: case_id, request_id, prompt, profile, entries array<struct<path, content, and what else an entry has>>, config
+    map<string,string>. A serialized request holds its entries under ``repository_context``. Labels may stand in paths and
+    contents that belong to the repository: label_text is the same text without these, null where nothing else is in it.
+    """
+    others = [f for f in requests.schema["entries"].dataType.elementType.names if f not in ("path", "content")]
+    bare = F.transform("entries", lambda e: F.struct(*(e[f].alias(f) for f in others))) if others else F.array()
+    whole = lambda entries: F.to_json(F.struct("prompt", "profile", "config", F.struct(entries.alias("entries")).alias("repository_context")))
+    none = F.lit(None).cast("string")
+    piece = lambda kind, text, label=None: F.struct(F.lit(kind).alias("location_class"), text.alias("text"), (text if label is None else label).alias("label_text"))
     parts = F.concat(
-        F.array(piece("serialized_request", F.to_json(F.struct("prompt", "profile", "entries", "config"))), piece("serialized_request", F.col("prompt")), piece("profile", F.col("profile"))),
-        F.transform("entries", lambda e: piece("filename", e["path"])),
+        F.array(piece("serialized_request", whole(F.col("entries")), whole(bare)), piece("serialized_request", F.col("prompt")), piece("profile", F.col("profile"))),
+        F.transform("entries", lambda e: piece("filename", e["path"], none)),
         F.array(piece("tool_configuration", F.to_json("config"))),
         F.transform(F.map_values("config"), lambda v: piece("tool_configuration", v)),
-        F.array(piece("context_bundle", F.to_json("entries"))),
-        F.transform("entries", lambda e: piece("context_bundle", e["content"])),
+        F.array(piece("context_bundle", F.to_json("entries"), none)),
+        F.transform("entries", lambda e: piece("context_bundle", e["content"], none)),
     )
     return requests.select("case_id", "request_id", F.posexplode(parts).alias("pos", "part")).select("case_id", "request_id", "pos", "part.*")
 

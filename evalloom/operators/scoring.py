@@ -9,18 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.operators import run_records
+from evalloom.sources.scratch import stored
+
 #: Severities from the lowest to the highest.
 SEVERITIES = ("low", "medium", "high", "critical")
-SIGNATURE = ("file_path", "start_line", "end_line", "severity", "defect_category", "confidence")
+#: What a finding says: all of its contract but the ids.
+CONTENT = ("title", "explanation", "file_path", "start_line", "end_line", "severity", "defect_category", "failure_mechanism", "confidence", "evidence")
+#: Content that scoring needs for duplicates only.
+TEXTS = ("title", "explanation", "failure_mechanism", "evidence")
 
 
 def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), severity)
 
 
-def mark_duplicates(findings: DataFrame, signature: tuple[str, ...] = SIGNATURE) -> DataFrame:
-    """Adds duplicate_of: the first finding of the run with equal content, null for that one itself."""
-    first = F.min("finding_id").over(Window.partitionBy("run_id", *signature))
+def mark_duplicates(findings: DataFrame) -> DataFrame:
+    """Adds duplicate_of: the first finding of the run that says the same in every column of ``CONTENT`` there is, null for that one itself."""
+    content = [c for c in CONTENT if c in findings.columns]
+    first = F.min("finding_id").over(Window.partitionBy("run_id", *content))
     return findings.withColumn("duplicate_of", F.when(first != F.col("finding_id"), first))
 
 
@@ -56,7 +63,8 @@ def current_adjudications(adjudications: DataFrame) -> DataFrame:
 def check_adjudications(adjudications: DataFrame) -> DataFrame:
     """Violations (rule, key, detail) of an append-only log: unknown target, changed identity, two current rows, cycle.
 
-    A row without a path to a root lies in a cycle; chains are followed by doubling, so a chain of n rows takes log2(n) joins.
+    The rows of one (run, finding, mechanism) are gathered and their chain is followed in place: a cycle is a chain that has
+    not ended after as many steps as there are rows.
     """
     identity = ["run_id", "finding_id", "expected_mechanism_id"]
     prior = adjudications.select(F.col("adjudication_id").alias("supersedes"), *(F.col(c).alias(f"old_{c}") for c in identity), F.lit(True).alias("known"))
@@ -103,7 +111,7 @@ def score_pairs(findings: DataFrame, mechanisms: DataFrame, locations: DataFrame
 
     findings carry case_id and snapshot; mechanisms: categories array; locations: aliases array.
     """
-    marked = mark_duplicates(findings)
+    marked = mark_duplicates(findings).drop(*TEXTS)
     pairs = match_locations(marked.join(mechanisms, "case_id"), locations)
     decided = current_adjudications(adjudications).select("run_id", "finding_id", F.col("expected_mechanism_id").alias("mechanism_id"), "decision")
     pairs = pairs.join(decided, ["run_id", "finding_id", "mechanism_id"], "left").withColumn("decision", F.coalesce("decision", F.lit("unadjudicated")))
@@ -139,16 +147,21 @@ def score_findings(pairs: DataFrame) -> DataFrame:
     return rows.select(*keys, "c.*", "matched", disposition.alias("disposition"))
 
 
+def classified(expected: Column, status: Column) -> Column:
+    """Class of a mechanism in a run from the flags expected_match, unexpected_claim and unresolved of its findings (null: none)."""
+    is_set = lambda c: F.coalesce(c, F.lit(False))
+    hit, clean = F.when(expected == "present", F.lit("true_positive")).otherwise("false_positive"), F.when(expected == "present", F.lit("false_negative")).otherwise("true_negative")
+    found = is_set(F.when(expected == "present", F.col("expected_match")).otherwise(F.col("unexpected_claim")))
+    return F.when(expected == "unverified", "unverified").when(status != "succeeded", "unresolved").when(found, hit).when(is_set(F.col("unresolved")), "unresolved").otherwise(clean)
+
+
 def mechanism_outcomes(records: DataFrame, mechanisms: DataFrame, pairs: DataFrame) -> DataFrame:
     """classification of every (run, mechanism); findings that are duplicates count not; a failed run is unresolved."""
     flags = pairs.filter("duplicate_of is null").groupBy("run_id", "mechanism_id").agg(*(F.bool_or(F.col("disposition") == d).alias(d) for d in ("expected_match", "unexpected_claim", "unresolved")))
     rows = records.select("experiment_id", "run_id", "case_id", "snapshot", "condition", "repetition", "status").join(mechanisms.select("case_id", "gold_version", "mechanism_id", "evaluation_role", "expect_vulnerable", "expect_fixed"), "case_id")
     rows = rows.join(flags, ["run_id", "mechanism_id"], "left")
     expected = F.when(F.col("snapshot") == "vulnerable", F.col("expect_vulnerable")).otherwise(F.col("expect_fixed"))
-    is_set = lambda c: F.coalesce(c, F.lit(False))
-    hit, clean = F.when(expected == "present", F.lit("true_positive")).otherwise("false_positive"), F.when(expected == "present", F.lit("false_negative")).otherwise("true_negative")
-    found = is_set(F.when(expected == "present", F.col("expected_match")).otherwise(F.col("unexpected_claim")))
-    classification = F.when(expected == "unverified", "unverified").when(F.col("status") != "succeeded", "unresolved").when(found, hit).when(is_set(F.col("unresolved")), "unresolved").otherwise(clean)
+    classification = classified(expected, F.col("status"))
     return rows.select("experiment_id", "run_id", "case_id", "snapshot", "condition", "repetition", "status", "gold_version", "mechanism_id", "evaluation_role", expected.alias("expected_status"), classification.alias("classification"))
 
 
@@ -172,20 +185,81 @@ def run_outcomes(outcomes: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select(*keys, "primary_outcome", F.coalesce("primary_outcome", absent).alias("pessimistic_outcome"), F.coalesce("primary_outcome", present).alias("optimistic_outcome"))
 
 
-def score_experiment(records: DataFrame, findings: DataFrame, mechanisms: DataFrame, locations: DataFrame, adjudications: DataFrame) -> dict[str, DataFrame]:
-    """scored_pairs, scored_findings, mechanism_outcomes and scored_runs of one or many experiments."""
-    pairs = score_pairs(findings, mechanisms, locations, adjudications)
+def check_experiment(plan: DataFrame, records: DataFrame, gold: DataFrame, findings: DataFrame, mechanisms: DataFrame, adjudications: DataFrame, identity: list[str], terminal: Column | None = None) -> DataFrame:
+    """All that must be sound before scoring, as violations (gate, rule, key).
+
+    complete: one record for each planned run, one gold record for each planned case; terminal: records are the last of their
+    run (``terminal``: see run_records.is_terminal); identity: records agree with the plan in the columns ``identity``;
+    gold: no mix of gold 2.0 with earlier versions; adjudication: a sound log; target: current decisions are on runs,
+    findings and mechanisms that are there.
+    """
+    gate = lambda name, df: df.select(F.lit(name).alias("gate"), "rule", "key")
+    out = gate("complete", run_records.check_complete(plan, records, gold)).union(gate("identity", run_records.check_identity(records, plan, identity)))
+    if terminal is not None:
+        out = out.union(records.filter(~terminal).select(F.lit("terminal"), F.lit("not_last"), "run_id"))
+    mixed = gold.groupBy("experiment_id").agg(F.count_if(F.col("gold_version") == "2.0").alias("new"), F.count("*").alias("n")).filter("new > 0 and new < n")
+    out = out.union(mixed.select(F.lit("gold"), F.lit("mixed_versions"), "experiment_id"))
+    current = current_adjudications(adjudications)
+    return out.union(gate("adjudication", check_adjudications(adjudications))).union(gate("target", check_targets(current, records, findings, mechanisms)))
+
+
+def score_experiment(records: DataFrame, findings: DataFrame, mechanisms: DataFrame, locations: DataFrame, adjudications: DataFrame, recovery: DataFrame | None = None) -> dict[str, DataFrame]:
+    """scored_pairs, scored_findings, mechanism_outcomes and scored_runs of one or many experiments.
+
+    Records of ``recovery`` that succeeded replace their run's. The pairs are written to the shared folder, as all else is
+    made from them; ``check_experiment`` tells beforehand whether the inputs are sound.
+    """
+    if recovery is not None:
+        records = run_records.overlay_recovery(records, recovery)
+    pairs = stored(score_pairs(findings, mechanisms, locations, adjudications), "pairs")
     outcomes = mechanism_outcomes(records, mechanisms, pairs)
     return {"scored_pairs": pairs, "scored_findings": score_findings(pairs), "mechanism_outcomes": outcomes, "scored_runs": run_outcomes(outcomes, pairs)}
 
 
 def check_scored(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations: stored dispositions, classes and bounds that do not follow from the evidence; mechanism sets that differ within a case."""
-    pairs = tables["scored_pairs"]
-    wrong = pairs.filter(~F.col("disposition").eqNullSafe(mechanism_disposition(F.col("expected_status"), F.col("decision"), F.col("all_checks"))))
-    wrong = wrong.select(F.lit("disposition").alias("rule"), F.concat_ws("/", "run_id", "finding_id", "mechanism_id").alias("key"), F.col("disposition").alias("detail"))
-    runs = tables["scored_runs"]
-    bounds = runs.filter("primary_outcome is not null and (not pessimistic_outcome <=> primary_outcome or not optimistic_outcome <=> primary_outcome)")
-    bounds = bounds.select(F.lit("bounds").alias("rule"), F.col("run_id").alias("key"), F.lit("a resolved outcome has other bounds").alias("detail"))
-    sets = tables["mechanism_outcomes"].groupBy("case_id", "run_id").agg(F.array_sort(F.collect_set("mechanism_id")).alias("set")).groupBy("case_id").agg(F.count_distinct("set").alias("n")).filter("n > 1")
-    return wrong.union(bounds).union(sets.select(F.lit("mechanism_set").alias("rule"), F.col("case_id").alias("key"), F.col("n").cast("string").alias("detail")))
+    """Violations (rule, key) of stored scored tables against what follows from their evidence.
+
+    disposition and finding: of pairs and findings; path: an accepted path without a match or the reverse; duplicate: a
+    target that is not an earlier finding of the run; failed: a failed run with an outcome or findings; bounds: of resolved
+    and unresolved runs; primary: not one primary mechanism in a run; labels: a pair whose role or expectation is not its
+    outcome's; class and outcome: of mechanisms and runs; mechanism_set: sets that differ within a case; cover: findings
+    without a pair for each mechanism of their run.
+    """
+    pairs, runs, outcomes, findings = (tables[t] for t in ("scored_pairs", "scored_runs", "mechanism_outcomes", "scored_findings"))
+    c, run, mechanism = F.col, ["run_id"], ["run_id", "mechanism_id"]
+    out = []
+
+    def add(rule: str, rows: DataFrame, *key: str) -> None:
+        out.append(rows.select(F.lit(rule).alias("rule"), F.concat_ws("/", *key).alias("key")))
+
+    pair = ("run_id", "finding_id", "mechanism_id")
+    add("disposition", pairs.filter(~c("disposition").eqNullSafe(mechanism_disposition(c("expected_status"), c("decision"), c("all_checks")))), *pair)
+    add("path", pairs.filter((c("path_match") == "none") != c("accepted_path").isNull()), *pair)
+    add("duplicate", pairs.select("run_id", "finding_id", "duplicate_of").distinct().filter("duplicate_of >= finding_id"), "run_id", "finding_id")
+    there = pairs.select("run_id", c("finding_id").alias("duplicate_of")).distinct()
+    add("duplicate", findings.filter("duplicate_of is not null").join(there, ["run_id", "duplicate_of"], "left_anti"), "run_id", "finding_id")
+    want = score_findings(pairs).select("run_id", "finding_id", c("disposition").alias("want"))
+    add("finding", findings.join(want, ["run_id", "finding_id"]).filter("not disposition <=> want"), "run_id", "finding_id")
+    failed = runs.filter("status <> 'succeeded'")
+    add("failed", failed.filter("primary_outcome is not null"), "run_id")
+    add("failed", findings.join(failed.select("run_id"), "run_id", "left_semi"), "run_id", "finding_id")
+    primary = outcomes.filter("evaluation_role = 'primary'").groupBy("run_id").agg(F.count("*").alias("n"), F.first("expected_status").alias("expected"), F.first("classification").alias("class"), F.first("gold_version").alias("version"))
+    add("primary", runs.join(primary, "run_id", "left").filter("coalesce(n, 0) <> 1"), "run_id")
+    judged = runs.join(primary.filter("version >= '2.0'"), "run_id")
+    value = F.when(c("status") != "succeeded", F.lit(None)).when(c("class").isin("true_positive", "false_positive"), True).when(c("class") == "unresolved", F.lit(None)).otherwise(False)
+    add("outcome", judged.filter(~c("primary_outcome").eqNullSafe(value)), "run_id")
+    low, high = F.coalesce("primary_outcome", c("expected") == "absent"), F.coalesce("primary_outcome", c("expected") == "present")
+    add("bounds", judged.filter(~c("pessimistic_outcome").eqNullSafe(low) | ~c("optimistic_outcome").eqNullSafe(high)), "run_id")
+    labels = pairs.join(outcomes.select(*mechanism, c("evaluation_role").alias("role"), c("expected_status").alias("expected")), mechanism, "left")
+    add("labels", labels.filter(~c("evaluation_role").eqNullSafe(c("role")) | ~c("expected_status").eqNullSafe(c("expected"))), *pair)
+    flags = pairs.filter("duplicate_of is null").groupBy(*mechanism).agg(*(F.bool_or(c("disposition") == d).alias(d) for d in ("expected_match", "unexpected_claim", "unresolved")))
+    rows = outcomes.join(flags, mechanism, "left")
+    add("class", rows.filter(c("classification") != classified(c("expected_status"), c("status"))), "run_id", "mechanism_id")
+    sets = outcomes.groupBy("case_id", *run).agg(F.array_sort(F.collect_set("mechanism_id")).alias("set")).groupBy("case_id").agg(F.count_distinct("set").alias("n")).filter("n > 1")
+    add("mechanism_set", sets, "case_id")
+    of_run = outcomes.groupBy("run_id").agg(F.count("*").alias("wanted"))
+    add("cover", pairs.groupBy("run_id", "finding_id").agg(F.count_distinct("mechanism_id").alias("n")).join(of_run, "run_id", "left").filter("not n <=> wanted"), "run_id", "finding_id")
+    found = out[0]
+    for rows in out[1:]:
+        found = found.union(rows)
+    return found

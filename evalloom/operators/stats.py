@@ -121,8 +121,17 @@ def case_tags(cases: DataFrame, mechanisms: DataFrame, records: DataFrame) -> Da
 
 def breakdowns(modes: DataFrame, tags: DataFrame) -> DataFrame:
     """Differences by tag: one aggregation over all tags and modes."""
-    tagged = modes.join(tags.withColumnRenamed("value", "tag"), "case_id")
-    return differences(outcome_counts(tagged, "dimension", "tag"), "dimension", "tag")
+    return differences(breakdown_counts(modes, tags), "dimension", "tag")
+
+
+def breakdown_counts(modes: DataFrame, tags: DataFrame) -> DataFrame:
+    """Outcome counts by tag."""
+    return outcome_counts(modes.join(tags.withColumnRenamed("value", "tag"), "case_id"), "dimension", "tag")
+
+
+def breakdown_discordance(modes: DataFrame, tags: DataFrame) -> DataFrame:
+    """Discordance by tag."""
+    return discordance(modes.join(tags.withColumnRenamed("value", "tag"), "case_id"), "dimension", "tag")
 
 
 def status_counts(runs: DataFrame) -> DataFrame:
@@ -134,14 +143,15 @@ def status_counts(runs: DataFrame) -> DataFrame:
 def cr1_bounds(effects: DataFrame, projects: DataFrame, alpha: float = 0.025) -> DataFrame:
     """Case-weighted CR1 bounds clustered by project: mean -+ z sd, with var = G / (G - 1) sum s^2 / n^2; null while a case is unresolved or G < 2.
 
-    effects: experiment_id, case_id, vulnerable_lift, fixed_false_positive_increase; projects: case_id, project.
+    effects: experiment_id, case_id (and mode), vulnerable_lift, fixed_false_positive_increase; projects: case_id, project.
     """
-    z = NormalDist().inv_cdf(1 - alpha)
-    long = effects.join(projects, "case_id").select("experiment_id", "project", F.inline(F.array(*(F.struct(F.lit(e).alias("effect"), F.col(e).alias("x")) for e in ("vulnerable_lift", "fixed_false_positive_increase")))))
-    clusters = long.groupBy("experiment_id", "effect", "project").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("open"))
-    means = clusters.groupBy("experiment_id", "effect").agg(F.sum("s").alias("sum"), F.sum("n").alias("cases"), F.count("*").alias("projects"), F.sum("open").alias("unresolved"))
-    rows = clusters.drop("open").join(means, ["experiment_id", "effect"]).withColumn("centred", F.col("s") - F.col("n") * F.col("sum") / F.col("cases"))
-    out = rows.groupBy("experiment_id", "effect", "cases", "projects", "unresolved").agg((F.first("sum") / F.col("cases")).alias("m"), F.sum(F.col("centred") * F.col("centred")).alias("ss"))
+    z, keys = NormalDist().inv_cdf(1 - alpha), [c for c in ("experiment_id", "mode") if c in effects.columns]
+    long = effects.join(projects, "case_id").select(*keys, "project", F.inline(F.array(*(F.struct(F.lit(e).alias("effect"), F.col(e).alias("x")) for e in ("vulnerable_lift", "fixed_false_positive_increase")))))
+    keys.append("effect")
+    clusters = long.groupBy(*keys, "project").agg(F.sum("x").alias("s"), F.count("*").alias("n"), F.count_if(F.col("x").isNull()).alias("open"))
+    means = clusters.groupBy(*keys).agg(F.sum("s").alias("sum"), F.sum("n").alias("cases"), F.count("*").alias("projects"), F.sum("open").alias("unresolved"))
+    rows = clusters.drop("open").join(means, keys).withColumn("centred", F.col("s") - F.col("n") * F.col("sum") / F.col("cases"))
+    out = rows.groupBy(*keys, "cases", "projects", "unresolved").agg((F.first("sum") / F.col("cases")).alias("m"), F.sum(F.col("centred") * F.col("centred")).alias("ss"))
     sd = F.sqrt(F.col("projects") / F.nullif(F.col("projects") - 1, F.lit(0)) * F.col("ss")) / F.col("cases")
     known = lambda c: F.when((F.col("unresolved") == 0) & (F.col("projects") > 1), c)
-    return out.select("experiment_id", "effect", "cases", "projects", "unresolved", known(F.col("m")).alias("mean"), known(sd).alias("standard_error"), known(F.col("m") - z * sd).alias("lower"), known(F.col("m") + z * sd).alias("upper"))
+    return out.select(*keys, "cases", "projects", "unresolved", known(F.col("m")).alias("mean"), known(sd).alias("standard_error"), known(F.col("m") - z * sd).alias("lower"), known(F.col("m") + z * sd).alias("upper"))

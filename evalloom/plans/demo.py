@@ -6,8 +6,12 @@ runs, each line item is a finding of some run, and orders give latencies and usa
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from evalloom.sources.scratch import stored
+
 VIEWS = {
     "cases": """
 select concat('exp-', cast(p_partkey % 3 as string)) as experiment_id,
@@ -36,13 +40,14 @@ select p.experiment_id, p.run_id, p.case_id, p.snapshot, p.condition, p.repetiti
   case when run_no % 2 = 0 then cast(null as bigint) else (run_no * 3) % 100 end as reasoning_tokens
 from plan p join orders on o_orderkey = p.run_no % (select count(*) from orders)""",
     "findings": """
-select r.experiment_id, r.run_id, r.case_id, r.snapshot, r.condition, finding_id, file_path, start_line, end_line, defect_category, severity, confidence, l_suppkey from (
+select r.experiment_id, r.run_id, r.case_id, r.snapshot, r.condition, finding_id, file_path, start_line, end_line, defect_category, severity, confidence, title, explanation, failure_mechanism, reference, l_suppkey from (
   select concat('run-', cast(run_no as string)) as run_id, concat('F', cast(1000 + row_number() over (partition by run_no order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) as string)) as finding_id,
     concat('src/m', cast(l_partkey % 5 as string), '.py') as file_path, cast(l_quantity as int) % 12 + 1 as start_line,
     case when l_linenumber = 7 then null else cast(l_quantity as int) % 12 + 1 + l_linenumber % 3 end as end_line,
     case l_partkey % 4 when 0 then 'correctness' when 1 then 'security' when 2 then 'performance' else 'testing' end as defect_category,
     case l_suppkey % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' else 'critical' end as severity,
-    cast(l_linenumber as double) / 8 as confidence, l_suppkey
+    cast(l_linenumber as double) / 8 as confidence, concat('Issue ', cast(l_orderkey % 3 as string)) as title, concat('Seen in lot ', l_returnflag) as explanation,
+    case when l_suppkey % 2 = 0 then 'unchecked input' else 'lost update' end as failure_mechanism, concat('src/m', cast(l_partkey % 5 as string), '.py') as reference, l_suppkey
   from (select *, (l_orderkey * 31 + l_partkey * 7) % (12 * (select count(*) from part)) as run_no from lineitem) as numbered) as f
 join records r on r.run_id = f.run_id where r.status = 'succeeded'""",
     "mechanisms": """
@@ -59,21 +64,45 @@ from findings f join mechanisms m on m.case_id = f.case_id where l_suppkey % 101
 union all select concat(f.run_id, '-', finding_id, '-', mechanism_id, '-2'), f.run_id, finding_id, mechanism_id,
   case when l_suppkey % 2 = 0 then 'match' else 'no_match' end, concat(f.run_id, '-', finding_id, '-', mechanism_id, '-1')
 from findings f join mechanisms m on m.case_id = f.case_id where l_suppkey % 11 = 5 and l_suppkey % 101 <> 0""",
+    # inputs with faults, for the checks
+    "planted_records": """
+select experiment_id, run_id, case_id, snapshot, case when run_no % 151 = 7 then 'other' else condition end as condition, repetition, run_no, status, attempt from records where run_no % 109 <> 3
+union all select experiment_id, run_id, case_id, snapshot, condition, repetition, run_no, status, attempt from records where run_no % 113 = 5 and run_no % 109 <> 3""",
+    "planted_gold": """
+select experiment_id, case_id, case when p_partkey % 21 = 0 then '1.1' else '2.0' end as gold_version from cases where p_partkey % 211 <> 1""",
+    "planted_adjudications": """
+select adjudication_id, run_id, finding_id, expected_mechanism_id, decision, supersedes from adjudications
+union all select concat(run_id, '-', finding_id, '-x'), run_id, finding_id, 'm1', 'match', 'nowhere' from findings where l_suppkey % 97 = 3
+union all select concat(run_id, '-', finding_id, '-y'), run_id, finding_id, 'm9', 'match', concat(run_id, '-', finding_id, '-m1-1') from findings where l_suppkey % 89 = 4
+union all select concat(run_id, '-', finding_id, '-', a), run_id, finding_id, 'mc', 'match', concat(run_id, '-', finding_id, '-', b) from findings cross join (values ('a', 'b'), ('b', 'a')) as v(a, b) where l_suppkey % 83 = 5
+union all select concat(run_id, '-F9'), run_id, 'F9', 'm1', 'match', cast(null as string) from records where run_no % 203 = 9""",
 }
 
 TABLES = ("part", "orders", "lineitem", "events", "documents", "benchmark", "conversations", "pages")
 
 
-def with_views(*names: str) -> str:
-    """``with`` clause that defines the named views and all before them."""
+def with_views(*names: str, kept: tuple[str, ...] = ()) -> str:
+    """``with`` clause that defines the named views and all before them, but those ``kept`` as tables."""
     last = max(list(VIEWS).index(n) for n in names)
-    return "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in list(VIEWS)[: last + 1])
+    return "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in list(VIEWS)[: last + 1] if n not in kept)
+
+
+def _needs(name: str) -> set[str]:
+    """The views that a view reads, and those that these read."""
+    own = {n for n in VIEWS if n != name and re.search(rf"\b{n}\b", VIEWS[name])}
+    return own.union(*map(_needs, own))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame."""
-    text = with_views(name)
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "orders", "lineitem")}
+def view(spark: SparkSession, sf_dir: str, name: str, kept: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A view as a DataFrame; ``kept`` are views that have been computed already."""
+    kept = kept or {}
+    order = list(VIEWS)
+    if order.index(name) > order.index("findings") and not kept and "findings" in _needs(name):
+        kept = {"findings": stored(view(spark, sf_dir, "findings"), "findings")}  # several of the later views read them more than once
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "orders", "lineitem")} | kept
     for t, df in tables.items():
         df.createOrReplaceTempView(t)
-    return spark.sql(f"{text} select * from {name}")
+    got = spark.sql(f"{with_views(name, kept=tuple(kept))} select * from {name}")
+    for t in kept:
+        spark.catalog.dropTempView(t)
+    return got

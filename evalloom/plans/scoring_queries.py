@@ -7,12 +7,17 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.operators import bootstrap, scoring, stats
+from evalloom.operators import analysis, bootstrap, run_records, scoring, stats
 from evalloom.plans.demo import view, with_views
+from evalloom.sources.scratch import stored
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    got = {n: view(spark, sf_dir, n) for n in ("records", "findings", "mechanisms", "locations", "adjudications")}
+    """Inputs of scoring; findings are written first, as adjudications are made from them twice."""
+    got = {n: view(spark, sf_dir, n) for n in ("records", "mechanisms", "locations")}
+    findings = stored(view(spark, sf_dir, "findings"), "findings")
+    got["adjudications"] = view(spark, sf_dir, "adjudications", {"findings": findings})
+    got["findings"] = findings.withColumn("evidence", F.array(F.struct(F.lit("file").alias("source_type"), F.col("reference").alias("reference")))).drop("reference")
     got["mechanisms"] = got["mechanisms"].withColumn("categories", F.array("cat_a", "cat_b")).drop("cat_a", "cat_b")
     got["locations"] = got["locations"].withColumn("aliases", F.when(F.col("alias").isNotNull(), F.array("alias")).otherwise(F.array().cast("array<string>"))).drop("alias")
     return got
@@ -47,11 +52,28 @@ def current_adjudications(spark, sf_dir):
 
 
 def adjudication_violations(spark, sf_dir):
-    return scoring.check_adjudications(view(spark, sf_dir, "adjudications"))
+    return scoring.check_adjudications(view(spark, sf_dir, "planted_adjudications"))
+
+
+def scoring_gates(spark, sf_dir):
+    """All gates before scoring, over inputs with faults."""
+    got = inputs(spark, sf_dir)
+    records, gold, log = (view(spark, sf_dir, f"planted_{n}") for n in ("records", "gold", "adjudications"))
+    terminal = run_records.is_terminal(3, ("provider_error", "timeout", "invalid_output"))
+    return scoring.check_experiment(view(spark, sf_dir, "plan"), records, gold, got["findings"], got["mechanisms"], log, ["case_id", "snapshot", "condition", "repetition"], terminal)
 
 
 def scored_violations(spark, sf_dir):
-    return scoring.check_scored(scored(spark, sf_dir))
+    """Scored tables after some of their values were changed."""
+    s = scored(spark, sf_dir)
+    n = "cast(substr(run_id, 5) as bigint)"
+    change = lambda table, column, value: {table: s[table].withColumn(column, F.expr(value))}
+    s |= change("scored_pairs", "accepted_path", f"case when {n} % 13 = 0 then null else accepted_path end")
+    s |= change("scored_findings", "disposition", f"case when {n} % 11 = 0 and disposition = 'partial' then 'unmatched' else disposition end")
+    s |= change("mechanism_outcomes", "classification", f"case when {n} % 19 = 0 and evaluation_role = 'supplemental' and classification = 'true_negative' then 'unverified' else classification end")
+    s |= change("scored_runs", "optimistic_outcome", f"case when status = 'succeeded' and {n} % 17 = 0 then not optimistic_outcome else optimistic_outcome end")
+    s |= change("scored_runs", "primary_outcome", f"case when status <> 'succeeded' and {n} % 2 = 0 then true else primary_outcome end")
+    return scoring.check_scored(s)
 
 
 def outcome_counts(spark, sf_dir):
@@ -83,7 +105,49 @@ def repetition_stability(spark, sf_dir):
 
 
 def cell_violations(spark, sf_dir):
-    return stats.check_cells(scored(spark, sf_dir)["scored_runs"], 3)
+    """Runs of which some are left out."""
+    return stats.check_cells(view(spark, sf_dir, "records").filter("run_no % 101 <> 3 and not (snapshot = 'fixed' and condition = 'candidate' and run_no % 97 < 6)"), 3)
+
+
+def combined_outcomes(spark, sf_dir):
+    """Outcomes of two stages that are scored together."""
+    got = inputs(spark, sf_dir)
+    records = got.pop("records").join(view(spark, sf_dir, "cases").select("case_id", "role"), "case_id")
+    out = analysis.score_combined(records.filter("role = 'development'").drop("role"), records.filter("role = 'holdout'").drop("role"), view(spark, sf_dir, "plan"), **got)
+    return out["scored_runs"].select("run_id", "primary_outcome").join(out["violations"].agg(F.count("*").alias("violations")))
+
+
+def statistics_tables(spark, sf_dir):
+    """All tables of the statistics, by their number of rows."""
+    got = inputs(spark, sf_dir)
+    s = stored_tables(scoring.score_experiment(**got))
+    tables = analysis.calculate_statistics(s, got["records"], view(spark, sf_dir, "cases"), got["mechanisms"], 3)
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def stored_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {name: stored(df, name) for name, df in tables.items()}
+
+
+def breakdown_counts(spark, sf_dir):
+    """Outcome counts by tag."""
+    got = inputs(spark, sf_dir)
+    tags = stats.case_tags(view(spark, sf_dir, "cases"), got["mechanisms"], got["records"])
+    return stats.breakdown_counts(modes_of(got), tags).withColumn("value", F.round("value", 10))
+
+
+def breakdown_discordance(spark, sf_dir):
+    """Discordance by tag."""
+    got = inputs(spark, sf_dir)
+    return stats.breakdown_discordance(modes_of(got), stats.case_tags(view(spark, sf_dir, "cases"), got["mechanisms"], got["records"]))
+
+
+def modes_of(got: dict[str, DataFrame]) -> DataFrame:
+    return stats.to_modes(scoring.score_experiment(**got)["scored_runs"])
 
 
 def quality_rates(spark, sf_dir):
@@ -99,7 +163,7 @@ def operation_distributions(spark, sf_dir):
 def breakdowns(spark, sf_dir):
     got = inputs(spark, sf_dir)
     tags = stats.case_tags(view(spark, sf_dir, "cases"), got["mechanisms"], got["records"])
-    return stats.breakdowns(modes(spark, sf_dir), tags).withColumn("value", F.round("value", 10))
+    return stats.breakdowns(modes_of(got), tags).withColumn("value", F.round("value", 10))
 
 
 def status_counts(spark, sf_dir):
@@ -107,23 +171,23 @@ def status_counts(spark, sf_dir):
 
 
 def cr1_bounds(spark, sf_dir):
-    effects = stats.case_effects(modes(spark, sf_dir)).filter("mode = 'optimistic'")
+    effects = stats.case_effects(modes(spark, sf_dir))
     projects = view(spark, sf_dir, "cases").select("case_id", F.col("repository").alias("project"))
     rows = stats.cr1_bounds(effects, projects)
-    return rows.select("experiment_id", "effect", "cases", "projects", "unresolved", *(F.round(c, 9).alias(c) for c in ("mean", "standard_error", "lower", "upper")))
+    return rows.select("experiment_id", "mode", "effect", "cases", "projects", "unresolved", *(F.round(c, 9).alias(c) for c in ("mean", "standard_error", "lower", "upper")))
 
 
 _SCORED = """,
-marked as (select *, min(finding_id) over (partition by run_id, file_path, start_line, end_line, severity, defect_category, confidence) as first_id from findings),
-live as (select * from adjudications a where not exists (select 1 from adjudications b where b.supersedes = a.adjudication_id)),
+marked as materialized (select *, min(finding_id) over (partition by run_id, title, explanation, file_path, start_line, end_line, severity, defect_category, failure_mechanism, confidence, reference) as first_id from findings),
+live as materialized (select * from adjudications a where not exists (select 1 from adjudications b where b.supersedes = a.adjudication_id)),
 loc as (select case_id, mechanism_id, loc_pos, path as file_path, path as accepted, 0 as kind, start_line as ls, end_line as le from locations
   union all select case_id, mechanism_id, loc_pos, alias, path, 1, start_line, end_line from locations where alias is not null),
-crossed as (select f.*, case when first_id <> finding_id then first_id end as duplicate_of, m.mechanism_id, evaluation_role, cat_a, cat_b, severity_min, severity_max,
+crossed as materialized (select f.*, case when first_id <> finding_id then first_id end as duplicate_of, m.mechanism_id, evaluation_role, cat_a, cat_b, severity_min, severity_max,
     case when snapshot = 'vulnerable' then expect_vulnerable else expect_fixed end as expected_status from marked f join mechanisms m on m.case_id = f.case_id),
-hits as (select c.run_id, c.finding_id, c.mechanism_id, accepted, kind, loc_pos,
+hits as materialized (select c.run_id, c.finding_id, c.mechanism_id, accepted, kind, loc_pos,
     case when ls is null then true when c.start_line is null then false else c.start_line <= coalesce(le, ls) and coalesce(c.end_line, c.start_line) >= ls end as hit
   from crossed c join loc on loc.case_id = c.case_id and loc.mechanism_id = c.mechanism_id and loc.file_path = c.file_path),
-best as (select * from (select *, row_number() over (partition by run_id, finding_id, mechanism_id order by kind, case when hit then 0 else 1 end, loc_pos) as rn from hits) where rn = 1),
+best as materialized (select * from (select *, row_number() over (partition by run_id, finding_id, mechanism_id order by kind, case when hit then 0 else 1 end, loc_pos) as rn from hits) where rn = 1),
 checked as (select c.*, case when b.kind is null then 'none' when b.kind = 0 then 'exact' else 'alias' end as path_match, accepted as accepted_path, coalesce(hit, false) as location_match,
     defect_category in (cat_a, cat_b) as category_match,
     list_position(['low','medium','high','critical'], severity) between list_position(['low','medium','high','critical'], severity_min) and list_position(['low','medium','high','critical'], severity_max) as severity_match,
@@ -183,14 +247,36 @@ def oracle() -> dict[str, str]:
       union select case_id, 'context_size', case when max(estimated_input_tokens) is null then 'unknown' when max(estimated_input_tokens) <= 2000 then 'small' when max(estimated_input_tokens) <= 8000 then 'medium' else 'large' end from records group by case_id),
       tagged as (select * from modes join tags using (case_id))"""
     z = 1.959963984540054
+    log = with_views("planted_adjudications") + """, linked as (select a.*, p.adjudication_id as pid, p.run_id as pr, p.finding_id as pf, p.expected_mechanism_id as pm from planted_adjudications a left join planted_adjudications p on p.adjudication_id = a.supersedes where a.supersedes is not null),
+      log_faults as (select 'unknown_target' as rule, adjudication_id as key, supersedes as detail from linked where pid is null
+        union all select 'changed_identity', adjudication_id, supersedes from linked where run_id <> pr or finding_id <> pf or expected_mechanism_id <> pm
+        union all select 'two_current', min(adjudication_id), count(*)::varchar from planted_adjudications where adjudication_id not in (select supersedes from planted_adjudications where supersedes is not null) group by run_id, finding_id, expected_mechanism_id having count(*) > 1
+        union all select 'cycle', adjudication_id, adjudication_id from planted_adjudications where expected_mechanism_id = 'mc')"""
     return {
         "scored_pairs": base + " select run_id, finding_id, mechanism_id, duplicate_of, path_match, accepted_path, location_match, category_match, severity_match, decision, disposition from pairs",
         "scored_findings": base + " select run_id, finding_id, duplicate_of, path_match, location_match, category_match, severity_match, finding_disposition as disposition from found",
         "mechanism_outcomes": base + " select run_id, mechanism_id, expected_status, classification from outcomes",
         "run_outcomes": base + " select experiment_id, run_id, status, primary_outcome, pessimistic_outcome, optimistic_outcome from runs",
         "current_adjudications": base + " select adjudication_id, run_id, decision from live",
-        "adjudication_violations": with_views("adjudications") + " select 'two_current' as rule, 'x' as key, 'x' as detail where (select count(*) from adjudications) < 0",
-        "scored_violations": with_views("adjudications") + " select 'bounds' as rule, 'x' as key, 'x' as detail where (select count(*) from adjudications) < 0",
+        "adjudication_violations": log + " select * from log_faults",
+        "scoring_gates": log + """, wanted as (select experiment_id, case_id, snapshot, condition, repetition, run_id from plan),
+          now as (select * from planted_adjudications where adjudication_id not in (select supersedes from planted_adjudications where supersedes is not null)),
+          aimed as (select n.adjudication_id, m.mechanism_id, case when f.snapshot = 'vulnerable' then m.expect_vulnerable else m.expect_fixed end as expected from now n join findings f using (run_id, finding_id) left join mechanisms m on m.case_id = f.case_id and m.mechanism_id = n.expected_mechanism_id)
+          select 'complete' as gate, 'record_missing' as rule, run_id as key from plan where run_id not in (select run_id from planted_records)
+          union all select 'complete', 'record_repeated', run_id from planted_records group by run_id having count(*) > 1
+          union all select 'complete', 'gold_missing', case_id from cases where case_id not in (select case_id from planted_gold)
+          union all select 'identity', 'condition', run_id from planted_records where condition = 'other'
+          union all select 'terminal', 'not_last', run_id from planted_records where not (status in ('succeeded', 'configuration_error', 'adapter_error') or attempt >= 3 or status not in ('provider_error', 'timeout', 'invalid_output'))
+          union all select 'gold', 'mixed_versions', experiment_id from planted_gold group by experiment_id having count(distinct gold_version) > 1
+          union all select 'adjudication', rule, key from log_faults
+          union all select 'target', 'run', adjudication_id from now where run_id not in (select run_id from planted_records where status = 'succeeded')
+          union all select 'target', 'finding', adjudication_id from now where (run_id, finding_id) not in (select (run_id, finding_id) from findings)
+          union all select 'target', case when mechanism_id is null then 'mechanism' else 'unverified' end, adjudication_id from aimed where mechanism_id is null or expected = 'unverified'""",
+        "scored_violations": base + """, n as (select *, substr(run_id, 5)::bigint as n from pairs), fails as (select *, substr(run_id, 5)::bigint as n from runs where status <> 'succeeded'), good as (select *, substr(run_id, 5)::bigint as n from runs where status = 'succeeded')
+          select 'path' as rule, run_id || '/' || finding_id || '/' || mechanism_id as key from n where n % 13 = 0 and path_match <> 'none'
+          union all select 'finding', run_id || '/' || finding_id from found where substr(run_id, 5)::bigint % 11 = 0 and finding_disposition = 'partial'
+          union all select 'class', run_id || '/' || mechanism_id from outcomes where substr(run_id, 5)::bigint % 19 = 0 and evaluation_role = 'supplemental' and classification = 'true_negative'
+          union all select 'bounds', run_id from good where n % 17 = 0 union all select unnest(['failed', 'outcome', 'bounds']), run_id from fails where n % 2 = 0""",
         "outcome_counts": base + f" select *, case when unresolved = 0 then round(positive / total, 10) end as value from (select experiment_id, mode, snapshot, condition, {_COUNTS} from modes group by all)",
         "paired_result": base + " " + _differences("experiment_id", "modes"),
         "discordance": base + """, sides as (select experiment_id, mode, snapshot, case_id, repetition, max(coalesce(outcome::int, -1)) filter (condition = 'baseline') as b, max(coalesce(outcome::int, -1)) filter (condition = 'candidate') as c from modes group by all)
@@ -204,18 +290,23 @@ def oracle() -> dict[str, str]:
           select experiment_id, mode, effect, quantile_disc(x, 0.025) as lower, quantile_disc(x, 0.975) as upper from long group by all""",
         "repetition_stability": base + """, cells as (select experiment_id, snapshot, condition, case_id, count(*) filter (primary_outcome is null) as opened, var_pop(primary_outcome::int) as v, min(primary_outcome::int) <> max(primary_outcome::int) as split from runs group by all)
           select experiment_id, snapshot, condition, count(*) filter (opened = 0) as complete_cases, count(*) filter (opened > 0) as unresolved_cases, count(*) filter (opened = 0 and split) as discordant_cases, round(avg(v) filter (opened = 0), 10) as mean_variance from cells group by all""",
-        "cell_violations": base + " select 'cells' as rule, case_id as key, cast(count(*) as string) as detail from runs group by case_id having count(*) <> 12",
+        "cell_violations": with_views("records") + """, r as (select * from records where run_no % 101 <> 3 and not (snapshot = 'fixed' and condition = 'candidate' and run_no % 97 < 6)), k as (select case_id, snapshot, condition, count(*) as n from r group by all)
+          select 'repetitions' as rule, case_id as key, snapshot || '/' || condition as detail from k where n <> 3 union all select 'cells', case_id, count(*)::varchar from k group by case_id having count(*) <> 4""",
+        "combined_outcomes": base + " select run_id, primary_outcome, 0::bigint as violations from runs",
+        "breakdown_counts": base + tags + f" select *, case when unresolved = 0 then round(positive / total, 10) end as value from (select experiment_id, dimension, tag, mode, snapshot, condition, {_COUNTS} from tagged group by all)",
+        "breakdown_discordance": base + tags + """, sides as (select experiment_id, dimension, tag, mode, snapshot, case_id, repetition, max(coalesce(outcome::int, -1)) filter (condition = 'baseline') as b, max(coalesce(outcome::int, -1)) filter (condition = 'candidate') as c from tagged group by all)
+          select experiment_id, dimension, tag, mode, snapshot, count(*) filter (b = 1 and c = 1) as both, count(*) filter (b = 0 and c = 1) as candidate_only, count(*) filter (b = 1 and c = 0) as baseline_only, count(*) filter (b = 0 and c = 0) as neither, count(*) filter (coalesce(b, -1) = -1 or coalesce(c, -1) = -1) as unresolved from sides group by all""",
         "quality_rates": base + f" select *, round(correct / nullif(total - unresolved, 0), 10) as value from ({rates})",
         "operation_distributions": with_views("records") + f", long as ({long}) select experiment_id, coalesce(condition, 'all') as condition, metric, count(x) as observations, count(*) - count(x) as missing, round(min(x), 6) as min, round(quantile_cont(x, 0.5), 6) as median, round(quantile_disc(x, 0.95), 6) as p95, round(max(x), 6) as max, round(sum(d)::double / count(x), 6) as mean, round(sum(d)::double, 6) as total from long group by grouping sets ((experiment_id, metric), (experiment_id, metric, condition))",
         "breakdowns": base + tags + " " + _differences("experiment_id, dimension, tag", "tagged"),
         "status_counts": with_views("records") + " select experiment_id, status, (select count(*) from records r where r.experiment_id = e.experiment_id and r.status = s.status) as n from (select distinct experiment_id from records) e cross join (values " + ", ".join(f"('{s}')" for s in stats.STATUSES) + ") as s(status)",
-        "cr1_bounds": base + _EFFECTS + f""", long as (select experiment_id, repository, 'vulnerable_lift' as effect, vulnerable_lift as x from effects join cases using (experiment_id, case_id) where mode = 'optimistic' union all select experiment_id, repository, 'fixed_false_positive_increase', fixed_false_positive_increase from effects join cases using (experiment_id, case_id) where mode = 'optimistic'),
-          clusters as (select experiment_id, effect, repository, sum(x) as s, count(*) as n from long group by all),
-          means as (select experiment_id, effect, sum(s) / sum(n) as m, sum(n)::bigint as cases, count(*) as projects from clusters group by all),
-          sums as (select experiment_id, effect, m, cases, projects, sqrt(projects / (projects - 1) * sum((s - n * m) * (s - n * m))) / cases as se from clusters join means using (experiment_id, effect) group by experiment_id, effect, m, cases, projects)
-          select experiment_id, effect, cases, projects, 0::bigint as unresolved, round(m, 9) as mean, round(se, 9) as standard_error, round(m - {z} * se, 9) as lower, round(m + {z} * se, 9) as upper from sums""",
+        "cr1_bounds": base + _EFFECTS + f""", long as (select experiment_id, mode, repository, unnest(['vulnerable_lift', 'fixed_false_positive_increase']) as effect, unnest([vulnerable_lift, fixed_false_positive_increase]) as x from effects join cases using (experiment_id, case_id)),
+          clusters as (select experiment_id, mode, effect, repository, sum(x) as s, count(*) as n, count(*) - count(x) as opened from long group by all),
+          means as (select experiment_id, mode, effect, sum(s) / sum(n) as m, sum(n)::bigint as cases, count(*) as projects, sum(opened)::bigint as unresolved from clusters group by all),
+          sums as (select experiment_id, mode, effect, cases, projects, unresolved, case when unresolved = 0 then m end as m, case when unresolved = 0 then sqrt(projects / (projects - 1) * sum((s - n * m) * (s - n * m))) / cases end as se from clusters join means using (experiment_id, mode, effect) group by experiment_id, mode, effect, m, cases, projects, unresolved)
+          select experiment_id, mode, effect, cases, projects, unresolved, round(m, 9) as mean, round(se, 9) as standard_error, round(m - {z} * se, 9) as lower, round(m + {z} * se, 9) as upper from sums""",
     }
 
 
-QUERIES = {f.__name__: f for f in (scored_pairs, scored_findings, mechanism_outcomes, run_outcomes, current_adjudications, adjudication_violations, scored_violations, outcome_counts, paired_result, discordance, case_effects, bootstrap_hash, bootstrap_multinomial, repetition_stability, cell_violations, quality_rates, operation_distributions, breakdowns, status_counts, cr1_bounds)}
+QUERIES = {f.__name__: f for f in (scored_pairs, scored_findings, mechanism_outcomes, run_outcomes, current_adjudications, adjudication_violations, scoring_gates, scored_violations, combined_outcomes, statistics_tables, breakdown_counts, breakdown_discordance, outcome_counts, paired_result, discordance, case_effects, bootstrap_hash, bootstrap_multinomial, repetition_stability, cell_violations, quality_rates, operation_distributions, breakdowns, status_counts, cr1_bounds)}
 ORACLE_SQL = oracle()

@@ -47,11 +47,11 @@ def request_components(spark, sf_dir):
     """Conversations as requests: first turn the prompt, the others entries."""
     turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     requests = turns.select(F.lit("c").alias("case_id"), F.col("conv_id").alias("request_id"), F.col("t")[0]["text"].alias("prompt"), F.col("t")[0]["role"].alias("profile"), F.transform(F.slice("t", F.lit(2), F.size("t")), lambda x: F.struct(F.concat(F.lit("turn/"), x["turn"].cast("string")).alias("path"), x["text"].alias("content"))).alias("entries"), F.create_map(F.lit("model"), F.lit("demo")).alias("config"))
-    return leakage.request_components(requests).groupBy("request_id", "location_class").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).filter("location_class in ('filename', 'profile')")
+    return leakage.request_components(requests).groupBy("request_id", "location_class").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.length("label_text")).alias("label_chars"))
 
 
 def public_scan(spark, sf_dir):
-    return report.scan_public(read(spark, sf_dir, "documents"), "doc_id", ["text"]).filter("rule = 'full_sha'").select("rule", "key")
+    return report.scan_public(read(spark, sf_dir, "documents"), "doc_id", ["text"]).select("rule", "key")
 
 
 def canonical_digests(spark, sf_dir):
@@ -103,7 +103,7 @@ def split_objective(spark, sf_dir):
 
 def stratified_split(spark, sf_dir):
     cases = _cases(spark, sf_dir).drop("role")
-    return corpus_split.balance(corpus_split.stratified_holdout(cases, 10, cases.count() // 5))
+    return corpus_split.stratified_holdout(cases, 10, cases.count() // 5).select("case_id", "role")
 
 
 def holdout_order(spark, sf_dir):
@@ -128,7 +128,7 @@ def parsed_responses(spark, sf_dir):
 def contract_violations(spark, sf_dir):
     """Demonstration findings under the finding contract, some of them broken."""
     rows = view(spark, sf_dir, "findings").withColumns({"severity": F.expr("case when l_suppkey % 37 = 5 then 'odd' else severity end"), "end_line": F.expr("case when l_suppkey % 41 = 7 then start_line - 1 else end_line end")})
-    return contracts.check_contract(rows, "finding").groupBy("rule").agg(F.count("*").alias("n"))
+    return contracts.check_contract(rows, "finding").select("rule", "key")
 
 
 def _oracle() -> dict[str, str]:
@@ -142,17 +142,29 @@ def _oracle() -> dict[str, str]:
         "leaked_phrases": f"with {phrases} select case_id, request_id from b join d on contains(t, v)",
         "leakage_audit": f"with {phrases}, m as (select case_id, count(distinct v) as n from b join d on contains(t, v) group by 1) select distinct case_id, coalesce(n, 0) as matches, n is null as passed from b left join m using (case_id)",
         "leaked_shas": "with s as (select source as case_id, 'doc-' || doc_id as request_id, lower(text) as t from documents), f as (select distinct case_id, regexp_extract(t, '(^|[^0-9a-f])([0-9a-f]{40})([^0-9a-f]|$)', 2) as sha from s), k as (select case_id, request_id, unnest(list_distinct(regexp_extract_all(t, '[0-9a-f]+'))) as token from s) select distinct case_id, request_id, token as match from k join f using (case_id) where sha <> '' and length(token) between 7 and 40 and starts_with(sha, token)",
-        "request_components": "select conv_id as request_id, 'filename' as location_class, count(*) as n, sum(length('turn/' || turn))::bigint as chars from (select *, row_number() over (partition by conv_id order by turn, role, text) as k from conversations) where k > 1 group by 1 union all select conv_id, 'profile', 1, length(role)::bigint from (select *, row_number() over (partition by conv_id order by turn, role, text) as k from conversations) where k = 1",
-        "public_scan": "select 'full_sha' as rule, doc_id::varchar as key from documents where regexp_matches(text, '(^|[^0-9a-f])[0-9a-f]{40}([^0-9a-f]|$)')",
+        "request_components": """with t as (select conv_id, turn, role, coalesce(text, '') as x, text, row_number() over (partition by conv_id order by turn, role, text) as k from conversations),
+            e as (select conv_id, count(*) filter (k > 1) as n, sum(length('turn/' || turn)) filter (k > 1)::bigint as names, sum(length(text)) filter (k > 1)::bigint as body,
+              coalesce('[' || string_agg('{"path":' || to_json('turn/' || turn)::varchar || case when text is null then '' else ',"content":' || to_json(text)::varchar end || '}', ',' order by k) filter (k > 1) || ']', '[]') as list from t group by 1),
+            f as (select conv_id, role, text, case when text is null then '{' else '{"prompt":' || to_json(text)::varchar || ',' end || '"profile":' || to_json(role)::varchar || ',"config":{"model":"demo"},"repository_context":{"entries":' as head from t where k = 1),
+            r as (select * from e join f using (conv_id))
+          select conv_id as request_id, 'serialized_request' as location_class, 2::bigint as n, length(head) + length(list) + 2 + length(coalesce(text, '')) as chars, length(head) + 2 + 2 + length(coalesce(text, '')) as label_chars from r
+          union all select conv_id, 'profile', 1, length(role), length(role) from r union all select conv_id, 'filename', n, names, null from r where n > 0
+          union all select conv_id, 'tool_configuration', 2, 20, 20 from r union all select conv_id, 'context_bundle', n + 1, length(list) + coalesce(body, 0), null from r""",
+        "public_scan": r"""with p(rule, pattern) as (values ('full_sha', '(^|[^0-9a-f])[0-9a-f]{40}([^0-9a-f]|$)'), ('case_id', '\b[a-z0-9]+(-[a-z0-9]+)*-pr[0-9]+-f[0-9]+\b'), ('holdout_membership', '(?i)\bholdout\s+(case|cases|member|members|membership|assignment|assignments)\b'),
+            ('repository_path', '(^|[\s`''"(])(\.?\.?/|(src|tests|docs|config|cases|prompts|schemas|artifacts|reports|\.github)/)[^\s`''"),;]+'), ('generic_path', '(^|[\s`''"(])([A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+($|[\s`''"),;])'))
+          select rule, doc_id::varchar as key from documents, p where regexp_matches(text, pattern)""",
         "canonical_digests": """select doc_id, 'sha256:' || sha256('{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') as digest from documents""",
         "selected_context": f"with {files} select case_id, path, case when starts_with(path, 'src/src1/') then 'include[0]' else 'include[1]' end as selection_reason from files where not starts_with(path, 'src/src2/') and not starts_with(path, 'src/src3/en/')",
-        "tree_digests": f"with {files} select case_id, count(*) as files, 'sha256:' || sha256(string_agg(path || chr(0) || strlen(coalesce(text, '')) || chr(0) || sha256(coalesce(text, '')) || chr(0) || sha1('blob ' || strlen(coalesce(text, '')) || chr(0) || coalesce(text, '')), chr(10) order by path)) as digest from files group by 1",
+        "tree_digests": f"with {files} select case_id, count(*) as files, 'sha256:' || sha256(string_agg(path || chr(0) || '100644' || chr(0) || strlen(coalesce(text, '')) || chr(0) || sha256(coalesce(text, '')) || chr(0) || sha1('blob ' || strlen(coalesce(text, '')) || chr(0) || coalesce(text, '')), chr(10) order by path)) as digest from files group by 1",
         "split_balance": cases + f" select dimension, value, count(*) as total, count(*) filter (role = 'development') as development, count(*) filter (role = 'holdout') as holdout from ({long}) group by all",
-        "split_objective": cases + f", b as (select dimension, value, count(*) as t, count(*) filter (role = 'holdout') as h from ({long}) group by all), n as (select count(*) as n, count(*) filter (role = 'holdout') as hh from c) select sum(pow(h * n - t * hh, 2)) as objective, max(n) as cases, max(hh) as holdout from b, n",
+        "split_objective": cases + f", b as (select dimension, value, count(*) as t, count(*) filter (role = 'holdout') as h from ({long}) group by all), n as (select count(*) as n, count(*) filter (role = 'holdout') as hh from c) select sum((h * n - t * hh)::hugeint * (h * n - t * hh))::decimal(38,0) as objective, max(n) as cases, max(hh) as holdout from b, n",
         "holdout_order": cases + " select case_id, row_number() over (order by sha256('10:' || case_id)) as position from c where role = 'holdout'",
         "failure_classes": f"with p as (select page_id, {err} as c from pages) select page_id, c as stderr_class, case when page_id % 31 = 0 then 'timeout' when page_id % 29 = 0 then 'adapter_error' when page_id % 3 = 0 then case c when 'provider' then 'provider_error' when 'timeout' then 'timeout' when 'usage' then 'configuration_error' when 'configuration' then 'configuration_error' else 'adapter_error' end when page_id % 5 = 0 then 'invalid_output' else 'succeeded' end as status from p",
         "parsed_responses": "select event_id::varchar as run_id, case when event_id % 11 = 0 or event_id % 9 = 0 then 'invalid_output' else 'succeeded' end as status, case when event_id % 11 = 0 or event_id % 9 = 0 then 'OUTPUT_JSON_INVALID' end as error, case when event_id % 11 <> 0 and event_id % 9 <> 0 then event_id + 5 end as input_tokens, case when event_id % 11 <> 0 and event_id % 9 <> 0 then 7::bigint end as output_tokens, case when event_id % 11 <> 0 and event_id % 9 <> 0 then 2 + case when event_id % 4 = 0 then length(replace(props, ' ', '')) else 0 end end as chars from events",
-        "contract_violations": with_views("findings") + " select rule, count(*) as n from (select 'severity' as rule from findings where l_suppkey % 37 = 5 union all select 'lines' from findings where l_suppkey % 41 = 7) group by 1",
+        "contract_violations": with_views("findings") + " select 'severity' as rule, run_id || '/' || finding_id as key from findings where l_suppkey % 37 = 5 union all select 'lines', run_id || '/' || finding_id from findings where l_suppkey % 41 = 7",
+        "stratified_split": cases + f""", s as (select *, concat_ws(chr(1), {", ".join(corpus_split.DIMENSIONS)}) as stratum from c), z as (select stratum, count(*) as n, (select count(*) // 5 from c) as h, (select count(*) from c) as total from s group by 1),
+          q as (select stratum, n * h // total as base, row_number() over (order by n * h % total desc, stratum) as r, h - sum(n * h // total) over () as spare from z), o as (select case_id, stratum, row_number() over (partition by stratum order by sha256('10:' || case_id), case_id) as k from s)
+          select case_id, case when k <= base + (r <= spare)::int then 'holdout' else 'development' end as role from o join q using (stratum)""",
         "canonical_events": "select event_id, replace(props, ' ', '') as props from events",
     }
 

@@ -8,12 +8,13 @@ from evalloom.operators import adjudication, bootstrap, cost, discovery, report,
 from evalloom.operators import experiment_plan as plans
 from evalloom.plans import scoring_queries as base
 from evalloom.plans.demo import view, with_views
+from evalloom.sources.scratch import stored
+
 
 def by_experiment():
     return F.col("experiment_id")
 
 
-
 def expanded_plan(spark, sf_dir):
     cases = view(spark, sf_dir, "cases").select("experiment_id", "case_id")
     rows = plans.derive_run_ids(plans.order_plan(plans.expand_plan(cases, 3), by_experiment()), "ns", by_experiment())
@@ -24,7 +25,7 @@ def plan_violations(spark, sf_dir):
     """A plan whose holdout cases lack the candidate."""
     cases = view(spark, sf_dir, "cases").select("experiment_id", "case_id", "role")
     rows = plans.derive_run_ids(plans.expand_plan(cases, 3), "ns", by_experiment()).filter("not (role = 'holdout' and condition = 'candidate')")
-    return plans.check_plan(rows, cases, 3).groupBy("rule").agg(F.count("*").alias("n"))
+    return plans.check_plan(rows, cases, 3)
 
 
 def pair_violations(spark, sf_dir):
@@ -135,7 +136,7 @@ def packet_items(spark, sf_dir):
 
 def _decisions(items):
     """Primary decisions for most items, calibration for calibration items, resolutions for some disagreements."""
-    h = F.crc32(F.col("assignment_id").cast("binary"))
+    h = F.conv(F.substr("assignment_id", F.lit(1), F.lit(6)), 16, 10).cast("long")
     label = lambda x: F.element_at(F.array(*map(F.lit, ("match", "no_match", "uncertain", "symptom_only"))), ((x % 4) + 1).cast("int"))
     row = lambda role, cond, cls, resolves, hour: items.filter(cond).select("experiment_id", F.lit(role).alias("role"), F.concat(F.lit(f"{role}-"), "assignment_id").alias("decision_id"), "assignment_id", cls.alias("classification"), F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hour)).alias("decided_at"), F.lit(None).cast("string").alias("supersedes"), resolves.alias("resolves"))
     none = F.array().cast("array<string>")
@@ -160,11 +161,19 @@ def derived_adjudications(spark, sf_dir):
 
 
 def decision_gaps(spark, sf_dir):
-    return adjudication.check_decisions_complete(_assigned(spark, sf_dir)[1]).groupBy("rule").agg(F.count("*").alias("n"))
+    return adjudication.check_decisions_complete(_assigned(spark, sf_dir)[1])
 
 
 def decision_violations(spark, sf_dir):
-    return adjudication.check_decisions(_decisions(_assigned(spark, sf_dir)[0])).groupBy("rule").agg(F.count("*").alias("n"))
+    """Decisions, some with successors that do not fit: unknown targets, two for one, one without a later time."""
+    items = adjudication.shuffle_and_calibrate(_items(spark, sf_dir), "experiment_id", F.col("experiment_id"), 400)
+    rows = stored(_decisions(items), "decisions")
+    h = F.conv(F.substr("assignment_id", F.lit(1), F.lit(6)), 16, 10).cast("long") % 97
+    primary = rows.filter("role = 'primary'")
+    after = lambda n, name, target, hours: primary.filter(h == n).withColumns({"decision_id": F.concat(F.lit(f"{name}-"), "assignment_id"), "supersedes": target, "decided_at": F.col("decided_at") + F.expr(f"interval {hours} hours")})
+    for faulty in (after(1, "u", F.lit("gone"), 1), after(2, "t", F.col("decision_id"), 0), after(3, "f", F.col("decision_id"), 1), after(3, "g", F.col("decision_id"), 1)):
+        rows = rows.unionByName(faulty)
+    return adjudication.check_decisions(rows)
 
 
 def discovery_summary(spark, sf_dir):
@@ -202,20 +211,28 @@ def public_breakdowns(spark, sf_dir):
 
 
 def report_violations(spark, sf_dir):
-    counts = stats.outcome_counts(base.modes(spark, sf_dir))
-    return report.check_report(counts, stats.differences(counts))
+    """Tables of a report after some of their numbers were changed."""
+    s = base.scored(spark, sf_dir)
+    modes = stats.to_modes(s["scored_runs"])
+    counts = stored(stats.outcome_counts(modes), "counts")
+    effects = stats.differences(counts).withColumn("numerator", F.expr("numerator + case when mode = 'optimistic' and effect = 'net_useful_lift' then 1 else 0 end"))
+    status = stats.status_counts(s["scored_runs"]).withColumn("n", F.expr("n + case when experiment_id = 'exp-1' and status = 'succeeded' then 1 else 0 end"))
+    changed = counts.withColumn("positive", F.expr("positive + case when mode = 'pessimistic' and snapshot = 'fixed' and condition = 'baseline' then 1 else 0 end"))
+    quality = stats.quality(s["scored_runs"], s["scored_findings"], s["scored_pairs"]).withColumn("unresolved", F.expr("unresolved + case when metric = 'path' and condition = 'all' then total else 0 end"))
+    return report.check_report(changed, effects, stats.discordance(modes), status, quality)
 
 
 def decisions(spark, sf_dir):
     s = base.scored(spark, sf_dir)
     modes = stats.to_modes(s["scored_runs"])
-    bounds = bootstrap.bootstrap_intervals(stats.case_effects(modes), "multinomial", resamples=2000)
+    bounds = bootstrap.bootstrap_intervals(stats.case_effects(modes), "multinomial")
     return report.decide(s["scored_runs"], stats.differences(stats.outcome_counts(modes)), bounds)
 
 
 def oracle() -> dict[str, str]:
     z = "chr(0)"
     plan, records, adj = with_views("plan"), with_views("records"), with_views("adjudications") + base._SCORED
+    label = lambda x: f"(['match', 'no_match', 'uncertain', 'symptom_only'])[({x}) % 4 + 1]"
     h = lambda *parts: "sha256(" + f" || {z} || ".join(parts) + ")"
     rep = "repetition::varchar"
     price = "((input_tokens - cached_input_tokens) * 2.5 + cached_input_tokens * 0.25) * case when input_tokens > 200000 then 2 else 1 end + output_tokens * 15 * case when input_tokens > 200000 then 1.5 else 1 end"
@@ -232,13 +249,16 @@ def oracle() -> dict[str, str]:
       uclass as (select experiment_id, condition, snapshot, case_id, mechanism_id, case when expected_status = 'unverified' then 'unverified' when bool_or(classification = 'unresolved') then 'unresolved' when expected_status = 'present' then case when bool_or(classification = 'true_positive') then 'detected' else 'missed' end when bool_or(classification = 'false_positive') then 'unexpected' else 'clear' end as class
         from outcomes where evaluation_role = 'supplemental' group by experiment_id, condition, snapshot, case_id, mechanism_id, expected_status)"""
     many = lambda src, prefix, classes: f"select experiment_id, coalesce(condition, 'all') as condition, coalesce(snapshot, 'all') as snapshot, " + ", ".join(f"count(*) filter (class = '{c}') as {prefix}{c}" for c in classes) + f" from {src} group by grouping sets ((experiment_id), (experiment_id, condition, snapshot))"  # noqa: E731, F541
+    decided = adj + f""", items as (select experiment_id, run_id, finding_id, mechanism_id, substr({h("experiment_id", "finding_id", "mechanism_id", "run_id")}, 1, 32) as assignment_id from pairs where expected_status <> 'unverified'),
+      drawn as (select *, row_number() over (partition by experiment_id order by {h("experiment_id", "'adjudication-packet'", "assignment_id")}) <= 400 as calibration, ('0x' || substr(assignment_id, 1, 6))::bigint as h from items),
+      decided as (select *, case when h % 10 <> 0 then {label('h // 10')} end as p, case when calibration and h % 8 <> 1 then {label('h // 10 + (h % 3 = 0)::int')} end as c, case when calibration and h % 6 = 0 and h % 10 <> 0 and h % 8 <> 1 then {label('h // 10')} end as r from drawn)"""
     issue = "case when validity = 'valid' then case when mechanism_decision = 'match' then 'known:' || case_id || ':m1' else issue_kind || ':' || case_id || ':' || additional_issue_group end end"
     return {
         "expanded_plan": plan + f""", hashed as (select experiment_id, case_id, snapshot, condition, repetition, {h("experiment_id", "'block'", "case_id", "snapshot", rep)} as bh, ('0x' || substr({h("experiment_id", "'orientation'", "case_id", "snapshot", rep)}, 1, 2))::bigint % 2 as odd from plan)
           select experiment_id, case_id, snapshot, condition, repetition, row_number() over (partition by experiment_id order by bh, case_id, snapshot, repetition, case when (odd = 0) = (condition = 'candidate') then 1 else 0 end) as plan_pos,
             'run-' || substr({h("'ns'", "case_id", "snapshot", "condition", rep)}, 1, 32) as run_id, ('0x' || substr({h("experiment_id", "'request'", "case_id", "snapshot", rep)}, 1, 16))::ubigint::varchar as request_seed from hashed""",
         "pair_violations": plan + " select 'incomplete' as rule, case_id || '/' || snapshot || '/' || repetition as key from plan where not (role = 'holdout' and condition = 'candidate' and repetition = 3) group by case_id, snapshot, repetition having count(*) <> 2",
-        "plan_violations": plan + " select 'missing' as rule, count(*) as n from plan where role = 'holdout' and condition = 'candidate'",
+        "plan_violations": plan + " select 'missing' as rule, concat_ws('/', case_id, snapshot, condition, repetition) as key from plan where role = 'holdout' and condition = 'candidate'",
         "plan_summary": records + " select experiment_id, count(distinct case_id) as cases, count(*) as runs, count(*) filter (estimated_input_tokens is null) as unestimated, sum(estimated_input_tokens)::bigint as estimated_input_tokens, count(*) * 3 as maximum_calls, count(*) * 3 * 10000 as maximum_input_tokens, count(*) * 3 * 2000 as maximum_output_tokens, round((count(*) * 3 * 10000 * 2.5 + count(*) * 3 * 2000 * 15.0) / 1e6 * 1.1, 6) as projected_cost_usd from records join cases using (experiment_id, case_id) where role <> 'holdout' group by experiment_id",
         "execution_summary": records + " select p.experiment_id, count(*) as planned, count(status) as terminal, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status <> 'succeeded') as failed, count(*) = count(status) as complete from plan p left join (select run_id, status from records where status <> 'provider_error') r using (run_id) group by 1",
         "case_digests": plan + """ select case_id, 'sha256:' || sha256(string_agg(sha256('{"run":"' || run_id || '","snapshot":"' || snapshot || '","condition":"' || condition || '"}'), chr(10) order by run_no)) as digest, count(*) as n from plan group by case_id""",
@@ -266,8 +286,18 @@ def oracle() -> dict[str, str]:
           pr as (select *, {ratio('tp', 'tp + fp')} as p, {ratio('tp', 'tp + fn')} as r from c) select experiment_id, condition, tp, fp, fn, tn, round(p, 10) as precision, round(r, 10) as recall, round({f1('p', 'r')}, 10) as f1 from pr""",
         "corpus_table": with_views("cases") + " select experiment_id, coalesce(role, 'all') as role, count(*) as cases, count(distinct repository) as repositories from cases group by grouping sets ((experiment_id), (experiment_id, role))",
         "public_breakdowns": with_views("cases") + " select experiment_id, repository, cat_a, count(*) as cases from cases group by all having count(*) >= 5",
-        "report_violations": with_views("plan") + " select 'parts' as rule, 'x' as key from plan where run_no < 0",
-        "decision_violations": with_views("plan") + " select 'fork' as rule, 0::bigint as n from plan where run_no < 0",
+        "report_violations": adj + f""", counts as (select experiment_id, mode, snapshot, condition, {base._COUNTS} from modes group by all), bad as (select * from counts where mode = 'pessimistic' and snapshot = 'fixed' and condition = 'baseline')
+          select 'parts' as rule, concat_ws('/', experiment_id, mode, snapshot, condition) as key from bad union all select 'value', concat_ws('/', experiment_id, mode, snapshot, condition) from bad where unresolved = 0
+          union all select 'effect', experiment_id || '/pessimistic/fixed_false_positive_increase' from bad union all select 'discordance', experiment_id || '/pessimistic/fixed' from bad where (select sum(unresolved) from counts c where c.experiment_id = bad.experiment_id and mode = 'pessimistic' and snapshot = 'fixed') = 0
+          union all select 'net', experiment_id || '/optimistic' from bad union all select * from (values ('status', 'exp-1'), ('valid_output', 'exp-1')) where exists (select 1 from bad where experiment_id = 'exp-1')
+          union all select 'quality', experiment_id || '/all/path' from bad where exists (select 1 from found f where f.experiment_id = bad.experiment_id and duplicate_of is null and path_match <> 'none')""",
+        "decision_violations": decided + """, pri as (select *, h % 97 as k from decided where p is not null) select 'unknown_target' as rule, 'u-' || assignment_id as key from pri where k = 1 union all select 'time', 't-' || assignment_id from pri where k = 2 union all select 'fork', 'primary-' || assignment_id from pri where k = 3 union all select 'chain', 'primary/' || assignment_id from pri where k in (1, 3) union all select 'fork', 'gone' from pri where k = 1 having count(*) > 1""",
+        "decision_gaps": decided + """ select case when p is null then 'no_primary' when calibration and c is null then 'no_calibration' else 'unresolved' end as rule, assignment_id as key from decided where p is null or (calibration and (c is null or (p <> c and r is null)))""",
+        "calibration_agreement": decided + """ select count(*) filter (p is not null and c is not null) as completed, count(*) filter (p = c) as agreements, count(*) filter (p <> c) as disagreements, count(*) filter (p <> c and r is null) as unresolved, round(count(*) filter (p = c) / nullif(count(*) filter (p is not null and c is not null), 0), 10) as rate from decided where calibration""",
+        "derived_adjudications": decided + f""", chosen as (select *, case when not calibration then p when p is not null and r is not null then r when p is not null and c is not null then case when p = c then p else 'uncertain' end end as class,
+            case when not calibration then 'primary-' || assignment_id when r is not null and p is not null then 'calibration-' || assignment_id || ',primary-' || assignment_id || ',resolution-' || assignment_id else 'calibration-' || assignment_id || ',primary-' || assignment_id end as sources from decided),
+          named as (select run_id, finding_id, mechanism_id as expected_mechanism_id, 'adjudication-' || substr({h("assignment_id", "class", "sources")}, 1, 32) as adjudication_id, case when class in ('symptom_only', 'incorrect_cause') then 'no_match' else class end as decision from chosen where class is not null)
+          select n.*, l.adjudication_id as supersedes from named n left join live l using (run_id, finding_id, expected_mechanism_id) where l.adjudication_id is null or l.adjudication_id <> n.adjudication_id""",
     }
 
 

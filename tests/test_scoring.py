@@ -41,6 +41,20 @@ def test_six_findings(spark):
     assert scoring.check_scored(out).count() == 0
 
 
+def test_findings_that_differ_in_text_are_no_duplicates(spark):
+    rows = [finding("r", f"F{k}") + (title, [("file", ref)]) for k, title, ref in ((1, "SQL injection", "x"), (2, "Race in cache", "x"), (3, "SQL injection", "x"), (4, "SQL injection", "y"), (5, None, "x"), (6, None, "x"))]
+    df = spark.createDataFrame(rows, FINDINGS + ", title string, evidence array<struct<source_type:string,reference:string>>")
+    assert {r["finding_id"]: r["duplicate_of"] for r in scoring.mark_duplicates(df).collect()} == {"F1": None, "F2": None, "F3": "F1", "F4": None, "F5": None, "F6": "F5"}
+
+
+def test_recovered_runs_replace_failed_ones(spark):
+    base = [("e", "a", "c", "vulnerable", "baseline", 1, "timeout"), ("e", "b", "c", "vulnerable", "baseline", 2, "timeout")]
+    frames = [spark.createDataFrame(x, s) for x, s in (([], FINDINGS), ([("c", "2.0", "m1", "primary", "present", "absent", ["correctness"], "low", "high")], MECHANISMS), ([], LOCATIONS), ([], ADJUDICATIONS))]
+    recovery = spark.createDataFrame([base[0][:6] + ("succeeded",), base[1]], RECORDS)
+    out = scoring.score_experiment(spark.createDataFrame(base, RECORDS), *frames, recovery=recovery)
+    assert {r["run_id"]: r["primary_outcome"] for r in out["scored_runs"].collect()} == {"a": False, "b": None}
+
+
 def test_empty_failed_and_unresolved_runs(spark):
     records = [("e", "ok", "c", "vulnerable", "baseline", 1, "succeeded"), ("e", "bad", "c", "fixed", "baseline", 1, "timeout"), ("e", "open", "c", "vulnerable", "candidate", 1, "succeeded")]
     out = tables(spark, [finding("open", "F1")], records, [])

@@ -37,10 +37,12 @@ def test_phrases_against_brute_force(spark):
 
 
 def test_labels_of_repository_content_are_no_leak(spark):
-    request = '{"entries": [{"path": "vulnerable.py", "content": "fixed", "n": 1}], "prompt": "look"}'
-    rows = [("c", "r0", 0, "serialized_request", request), ("c", "r1", 0, "serialized_request", request.replace("look", "the fixed one")), ("c", "r2", 0, "filename", "fixed"), ("c", "r3", 0, "prompt", "Vulnerable?"), ("c", "r4", 0, "prompt", None)]
+    schema = "case_id string, request_id string, prompt string, profile string, entries array<struct<path:string,content:string,reason:string>>, config map<string,string>"
+    rows = [("c", "r0", "look", "p", [("vulnerable.py", "fixed", "n")], {"m": "x"}), ("c", "r1", "the fixed one", "p", [("a.py", None, "n")], {"m": "x"}), ("c", "r2", None, None, [("fixed.py", "x", "in the vulnerable state")], {"m": "Fixed!"}), ("c", "r3", "look", "p", [], {})]
     index = spark.createDataFrame([("c", leakage.LABEL_RULE, "phrase", v) for v in leakage.LABELS], INDEX)
-    assert {r["request_id"] for r in leakage.scan_labels(spark.createDataFrame(rows, COMPONENT), index).collect()} == {"r1", "r3"}
+    got = leakage.scan_labels(leakage.request_components(spark.createDataFrame(rows, schema)), index).collect()
+    assert {(r["request_id"], r["location_class"], r["match"]) for r in got} == {("r1", "serialized_request", "fixed"), ("r2", "serialized_request", "vulnerable"), ("r2", "serialized_request", "fixed"), ("r2", "tool_configuration", "fixed")}
+    assert sum(r["request_id"] == "r1" for r in got) == 2  # the whole request and its prompt
 
 
 def test_exceptions_are_exact_and_unexpired(spark):
@@ -128,8 +130,23 @@ def test_decision_history_and_agreement(spark):
 
 
 def test_redaction_and_public_scan(spark):
-    df = spark.createDataFrame([("1", "F001 and F0012 in baseline " + "a" * 40)], "assignment_id string, title string")
-    out = adjudication.redact(df, ["title"], ["F001", "F0012"]).first()["title"]
-    assert out.startswith("[redacted finding reference] and [redacted finding reference] in")
-    assert {r["rule"] for r in adjudication.scan_blinding(df, ["title"]).collect()} == {"full_sha", "blind_label"}
-    assert [r["rule"] for r in report.scan_public(df, "assignment_id", ["title"]).collect()] == ["full_sha"]
+    schema = "packet_id string, assignment_id string, title string, evidence array<struct<source_type:string,reference:string>>"
+    rows = [("p", "1", "F001 and F0012 in Baseline  condition " + "a" * 40, [("file", "F0012")]), ("q", "2", "F001 stays", None), ("p", "3", None, []), ("p", "4", "it was fixed", [("a", "FIXED")])]
+    df = spark.createDataFrame(rows, schema)
+    ids = spark.createDataFrame([("p", "F001"), ("p", "F0012"), ("q", "F.01")], "packet_id string, finding_id string")
+    out = {r["assignment_id"]: r for r in adjudication.redact(df, ["title", "evidence"], ids).collect()}
+    assert out["1"]["title"].startswith("[redacted finding reference] and [redacted finding reference] in") and out["1"]["evidence"][0]["reference"] == "[redacted finding reference]"
+    assert out["2"]["title"] == "F001 stays" and out["3"]["title"] is None and out["4"]["title"] == "it was fixed"
+    identities = spark.createDataFrame([("q", "stays"), ("p", "it"), ("p", "")], "packet_id string, identity string")
+    found = {(r["rule"], r["key"], r["detail"]) for r in adjudication.scan_blinding(df.withColumn("snapshot", F.lit("x")), ["title", "evidence"], identities).collect()}
+    assert {f for f in found if f[0] != "blind_field"} == {("full_sha", "1", "title"), ("blind_label", "1", "title"), ("blind_label", "4", "evidence"), ("identity", "2", "title"), ("identity", "4", "title"), ("identity", "1", "title")} - ({("identity", "1", "title")} if "it" not in rows[0][2] else set())
+    assert ("blind_field", "1", "snapshot") in found
+    shown = spark.createDataFrame([("1", "a" * 40, "see src/x.py"), ("2", "https://example.org/a/b", "a/b"), ("3", "fine", "./x")], "id string, text string, model string")
+    assert {(r["rule"], r["key"]) for r in report.scan_public(shown, "id", ["text", "model"]).collect()} == {("full_sha", "1"), ("repository_path", "1"), ("repository_path", "3")}
+    assert [r["rule"] for r in report.scan_public(shown.withColumnRenamed("model", "path"), "id", []).collect()] == ["forbidden_field"] * 3
+
+
+def test_paths_in_composed_form(spark):
+    paths = ["a/b", "a/../b", "/a", "a//b", "e\u0301", "\u00e9", "", None, "a\\b"]
+    got = {r["key"] for r in bundles.check_paths(spark.createDataFrame([(x,) for x in paths], "path string")).collect()}
+    assert got == {"a/../b", "/a", "a//b", "e\u0301", "", "a\\b"}
