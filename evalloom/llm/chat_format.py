@@ -5,7 +5,7 @@ conversation may end. Control strings inside texts are escaped reversibly: every
 put inside ``<|``, so that an escaped text never holds ``<|``.
 
 Defined cases: turns are ordered by turn, then role, then text, nulls first, so ties and repeated rows have a fixed order and
-all count; a null text or role is empty; rows with a null conversation id form one conversation with a null id; other
+all count; a null text or role is empty; a row with a null conversation id is a conversation of its own; other
 columns are ignored; an empty table gives an empty result. A conversation that breaks the turn order is formatted all the
 same, with ``valid`` false, so that the caller decides. The rows of one conversation meet in one task, as its text is one string.
 """
@@ -52,13 +52,16 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
     in_order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
     state = F.coalesce(F.lag("role").over(in_order), F.lit(""))
     allowed = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(r).alias("r")) for s, roles in template.follows.items() for r in roles))
-    rows = rows.withColumn("ok", F.array_contains(allowed, F.struct(state.alias("s"), F.col("role").alias("r"))))
+    ok = lambda before: F.array_contains(allowed, F.struct(before.alias("s"), F.col("role").alias("r")))
+    alone, rows = rows.filter("conv_id is null"), rows.filter("conv_id is not null").withColumn("ok", ok(state))
+    turn = F.struct(F.coalesce(F.col("turn"), F.lit(-(2**63))).alias("turn"), "role", "text")
     segments = lambda t: F.array(
         F.struct(F.concat(F.lit(template.start), escape_role(t["role"]), F.lit(template.after_role)).alias("text"), F.lit(False).alias("loss")),
         F.struct(escape(t["text"]).alias("text"), t["role"].isin(*template.loss_roles).alias("loss")),
         F.struct(F.lit(template.end + template.after_turn).alias("text"), F.lit(False).alias("loss")),
     )
-    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col("turn"), F.lit(-(2**63))).alias("turn"), "role", "text"))).alias("turns"), F.every("ok").alias("ok"))
+    chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.every("ok").alias("ok"))
+    chats = chats.unionByName(alone.select("conv_id", F.array(turn).alias("turns"), ok(F.lit("")).alias("ok")))
     chats = chats.select("conv_id", (F.col("ok") & F.element_at("turns", -1)["role"].isin(*template.final)).alias("valid"), F.flatten(F.transform("turns", segments)).alias("segments"))
     return chats.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
 
@@ -100,10 +103,11 @@ def oracle_sql() -> str:
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-1, 0, 'user', '{trap}'), (-1, 1, 'assistant', '{trap}')),
-marked as (select *, coalesce(lag(role) over (partition by conv_id order by turn nulls first, role, text), '') || '>' || role as move from turns)
+alone as (select *, case when conv_id is null then row_number() over () end as own from turns),
+marked as (select *, coalesce(lag(role) over (partition by conv_id, own order by turn nulls first, role, text), '') || '>' || role as move from alone)
 select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length('<|im_start|>') + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\/')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_end|>') + 2)::bigint as formatted_chars,
   (bool_and(move in ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user')) and arg_max(role, (coalesce(turn, -9223372036854775808), role, text)) = 'assistant') as valid
-from marked group by conv_id"""
+from marked group by conv_id, own"""

@@ -17,10 +17,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; where it is unset (local runs), a temporary folder of this process."""
+    """The folder in spark.checkpoint.dir, which all executors see; where it is unset in a local session, a temporary folder of this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="evalloom-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)

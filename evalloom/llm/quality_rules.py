@@ -118,13 +118,18 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(tail)
 
 
+def stratum_key(stratum: Column) -> Column:
+    """A text for each stratum value that tells a null from all values."""
+    return F.when(stratum.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), stratum.cast("string")))
+
+
 def calibrate(stats: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.05, delta: float = 0.05, cost: float = 20.0) -> DataFrame:
     """One row per stratum with labels: ``stratum`` and a cutoff per rule (null: none certified).
 
     stats: doc_id, the stratum column and the struct ``stats``; labels: doc_id, quality (1 good, 0 bad).
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    holdout = stats.filter(~base_failed("stats")).select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *(v.alias(k) for k, v in rule_values("stats").items())).join(known, "doc_id")
+    holdout = stats.filter(~base_failed("stats")).select("doc_id", stratum_key(F.col(stratum)).alias("stratum"), *(v.alias(k) for k, v in rule_values("stats").items())).join(known, "doc_id")
     good, bad = F.col("quality") == 1, F.col("quality") == 0
     counts = holdout.groupBy("stratum").agg(
         F.count_if(good).alias("n"),
@@ -151,8 +156,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
 
     The statistics are computed from the whole text, once for calibration (they are written with the id) and once for the
     result. With ``reuse`` the columns other than doc_id and the stratum are left out of the result and the statistics of
-    the calibration are used again.
+    the calibration are used again. Columns of docs that are named stats, rules, _stratum or cut_ and a rule are left out.
     """
+    docs = docs.drop("stats", "rules", "_stratum", *(f"cut_{r}" for r in RULES))
     # a generated column: conditions on it can't be pushed below it, which would compute it once for each use
     counted = F.explode(F.array(base_statistics(F.col("text")))).alias("stats")
     stats = materialize(docs.select("doc_id", stratum, counted), "stats")
@@ -160,7 +166,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
     cutoffs = materialize(calibrate(stats, labels, stratum, alpha, delta, cost), "cutoffs").withColumnRenamed("stratum", "_stratum")
     if cutoffs.count() <= BROADCAST_ROWS:
         cutoffs = F.broadcast(cutoffs)
-    judged = docs.join(cutoffs, F.coalesce(docs[stratum], F.lit("")) == F.col("_stratum"), "left")
+    judged = docs.join(cutoffs, stratum_key(docs[stratum]) == F.col("_stratum"), "left")
     rejected = F.array_compact(F.array(*(F.when(v > F.col(f"cut_{r}"), F.lit(r)) for r, v in rule_values("stats").items())))
     judged = judged.withColumn("rules", F.struct(base_failed("stats").alias("base_failed"), rejected.alias("rejected_by"), (~base_failed("stats") & (F.size(rejected) == 0)).alias("kept")))
     return judged.drop("_stratum", *(f"cut_{r}" for r in RULES))
@@ -179,7 +185,7 @@ def oracle_sql(alpha: float = 0.05, delta: float = 0.05, cost: float = 20.0) ->
     p = alpha / len(RULES)
     return rf"""
 with split as (
-  select row_number() over () as r, doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t,
+  select row_number() over () as r, doc_id, case when lang is null then 'null' else '=' || lang end as stratum, coalesce(text, '') as t,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
   from documents),

@@ -3,7 +3,10 @@
 import math
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +51,56 @@ def test_cutoffs_are_certified_per_stratum(spark):
     assert all(r["kept"] for r in out if r["lang"] == "de")  # too few labels there
 
 
+def test_cutoffs_agree_with_sql(spark):
+    """The DuckDB text over tables in which cutoffs act: two strata with enough labels, one without, and null as well as empty ones."""
+    rng = np.random.default_rng(7)
+    words = lambda n, marks: " ".join(f"w{rng.integers(0, 10_000)}" + ("#" if rng.random() < marks else "") for _ in range(n))
+    rows = [(i, words(rng.integers(12, 40), 0.9 if i % 9 == 0 else 0.02 * (i % 3)), (None, "", "en", "en", "en", "de", "de")[i % 7] if i % 50 else "fr", "x", None) for i in range(6000)]
+    labels = [(i, int(i % 9 > 0)) for i in range(6000)] + [(None, 1), (5, None), (8, 0)]
+    docs, known = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    got = sorted(tuple(r[c] for c in names) for r in quality_rules.query(docs, known).collect())
+    con = duckdb.connect()
+    frames = pd.DataFrame([r[:3] for r in rows], columns=["doc_id", "text", "lang"]), pd.DataFrame(labels, columns=["doc_id", "quality"]).astype("Int64")
+    con.register("documents", pa.Table.from_pandas(frames[0]))
+    con.register("labels", pa.Table.from_pandas(frames[1]))
+    result = con.execute(quality_rules.oracle_sql())
+    at = [[d[0] for d in result.description].index(c) for c in names]
+    assert got == sorted(tuple(r[k] for k in at) for r in result.fetchall())
+    lost = {r[0] for r in got if not r[-1] and not r[-2]}
+    assert len(lost) > 300 and not any(rows[i][2] == "fr" for i in lost)
+    carried = quality_rules.apply_rules(docs, known).columns
+    assert carried.count("stats") == carried.count("rules") == 1
+
+
+def test_ridge_against_the_direct_solution(spark):
+    """Partition-summed normal equations give the weights of ridge regression on the features of all rows."""
+    rng = np.random.default_rng(3)
+    n = quality_classifier.N_STATISTICS
+    x = rng.normal(size=(400, n)) * np.arange(1, n + 1)
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y))], "doc_id long, x array<double>, y double").repartition(7)
+    model = quality_classifier.train(df, F.col("doc_id") % 4 == 0)
+    fit = np.arange(400) % 4 != 0
+    z = model.features(x[fit])
+    penalty = quality_classifier.RIDGE * fit.sum() * np.eye(z.shape[1])
+    penalty[-1, -1] = 0
+    want = np.linalg.solve(z.T @ z + penalty + 1e-9 * np.eye(z.shape[1]), z.T @ y[fit])
+    assert np.allclose(model.raw(x), model.features(x) @ want, atol=1e-6)
+    assert np.allclose(model.mean, x[fit].mean(0)) and np.allclose(model.scale, x[fit].std(0))
+
+
+def test_features_approximate_a_gaussian_kernel():
+    rng = np.random.default_rng(5)
+    n = quality_classifier.N_STATISTICS
+    width, d = np.sqrt(n), quality_classifier.FEATURES
+    model = quality_classifier.Model(np.zeros(n), np.ones(n), rng.normal(size=(n, d)) / width, rng.uniform(0, 2 * np.pi, d), np.zeros(d + 1), np.array([0.0]), np.array([0.5]))
+    x = rng.normal(size=(60, n))
+    z = model.features(x)[:, :-1]
+    want = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * width**2))
+    assert np.abs(z @ z.T - want).max() < 6 / np.sqrt(d)
+
+
 def test_isotonic():
     assert quality_classifier.isotonic(np.array([1, 3, 2, 4.0]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
 
