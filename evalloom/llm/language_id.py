@@ -5,9 +5,11 @@ by Spark over a bounded sample of its training documents (about ``SAMPLE`` whole
 orders use continuation counts. The probabilities of all n-grams seen in any language are laid out in arrays sorted by a 64-bit hash,
 a column for each language, so that one search gives a character's probabilities in all languages; an n-gram seen nowhere
 falls back to its shorter suffix with the weight of its history. The language of a text is that of the lowest cross-entropy
-per character. A text is rejected if that cross-entropy is above the language's limit: a conformal bound from a fold of the
-training rows that was not counted, so that at most ``REJECTED`` of such texts are turned away; with too few rows for that
-rate the limit is infinite.
+per character. That cross-entropy is brought to a scale that all languages and lengths share: less the language's median, over
+the deviation to be expected of a text of so many characters (a part between texts and a part between characters, both from a
+fold of the training rows that was not counted). A text is rejected above one limit on that scale, a conformal bound from
+the rows of that fold in all languages, so that at most ``REJECTED`` of such texts are turned away and a language with
+few rows has a limit too; with fewer than 1 / REJECTED rows in all languages the greatest value seen is the limit.
 
 Defined cases: null text and text without a letter is ``und`` with score 0 and rejected; rows with a null lang or null id
 are not learned from; ties go to the first language in alphabetical order; with nothing to learn from all texts are ``und``;
@@ -31,11 +33,12 @@ DISCOUNT = 0.75
 #: About so many documents of each language are counted, and so many calibrate the limits.
 SAMPLE = 3_000
 CALIBRATION = 3_000
-REJECTED = 0.0005
+REJECTED = 0.001
 #: Characters whose evidence the score counts at most.
 EVIDENCE = 40
 UNKNOWN = "und"
-CHUNK_CHARS = 2_000_000
+#: Characters whose probabilities are held at a time, give or take a text.
+CHUNK_CHARS = 250_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _letters: list[np.ndarray] = []
@@ -94,7 +97,11 @@ class Model:
     grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     histories: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     floor: float = 1e-6
-    limits: np.ndarray = field(default_factory=lambda: np.empty(0))
+    #: By language: median cross-entropy, variance between texts, variance between characters; and the limit on the common scale.
+    median: np.ndarray = field(default_factory=lambda: np.empty(0))
+    between_texts: np.ndarray = field(default_factory=lambda: np.empty(0))
+    between_chars: np.ndarray = field(default_factory=lambda: np.empty(0))
+    limit: float = np.inf
 
     def probabilities(self, codes: np.ndarray, places: np.ndarray, order: int) -> np.ndarray:
         """Of the characters at ``places`` (counted from ORDER - 1 on), by language."""
@@ -136,8 +143,12 @@ class Model:
             at = upto
         return names, np.array(scores, float), np.array(accepted, bool)
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character (nats) by language, and the number of characters (0: no letter)."""
+    def deviation(self, h: np.ndarray, n: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Cross-entropies of texts of ``n`` characters in languages ``k`` on the common scale."""
+        return (h - self.median[k]) / np.sqrt(self.between_texts[k] + self.between_chars[k] / np.maximum(n, 1))
+
+    def entropies(self, texts: list[str], spread: bool = False) -> tuple[np.ndarray, ...]:
+        """Cross-entropy per character (nats) by language, the number of characters (0: no letter), and with ``spread`` their variances."""
         codes, text, n_letters = codes_of(texts)
         places = np.arange(len(codes) - ORDER + 1)
         inside = text[ORDER - 1 :] == text[: len(codes) - ORDER + 1]
@@ -145,7 +156,11 @@ class Model:
         logs = np.log(self.probabilities(codes, places, ORDER).astype(np.float32))
         n = np.bincount(text, minlength=len(texts))
         total = np.column_stack([np.bincount(text, logs[:, k], len(texts)) for k in range(len(self.languages))])
-        return -total / np.maximum(n, 1)[:, None], np.where(n_letters > 0, n, 0)
+        h, n_chars = -total / np.maximum(n, 1)[:, None], np.where(n_letters > 0, n, 0)
+        if not spread:
+            return h, n_chars
+        squares = np.column_stack([np.bincount(text, logs[:, k] ** 2, len(texts)) for k in range(len(self.languages))])
+        return h, n_chars, np.maximum(squares / np.maximum(n, 1)[:, None] - h**2, 0)
 
     def _predict(self, texts: list[str]):
         if not self.languages:
@@ -155,7 +170,7 @@ class Model:
         low = h[np.arange(len(h)), best]
         share = np.exp((low[:, None] - h) * np.minimum(n, EVIDENCE)[:, None])
         score = np.where(n > 0, 1 / share.sum(1), 0.0)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n)], score, (n > 0) & (low <= self.limits[best])
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n)], score, (n > 0) & (self.deviation(low, n, best) <= self.limit)
 
 
 def _bounded(rows: DataFrame, n: int) -> DataFrame:
@@ -227,7 +242,7 @@ def build(counts: pd.DataFrame) -> Model:
             lower = np.full((len(keys), n_lang), model.floor)
         model.grams[order] = (keys, own + weight[of_key] * lower)
         model.histories[order] = (h_keys, weight)
-    model.limits = np.full(n_lang, np.inf)
+    model.median, model.between_texts, model.between_chars = np.zeros(n_lang), np.zeros(n_lang), np.ones(n_lang)
     return model
 
 
@@ -239,18 +254,32 @@ def train(rows: DataFrame, calibrate: Column) -> Model:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            h, n = model.entropies(batch["text"].tolist())
-            right = (n > 0) & (np.array(model.languages)[h.argmin(1)] == batch["lang"].to_numpy(str))
-            yield pd.DataFrame({"lang": batch["lang"][right], "h": h.min(1)[right]})
-
-    seen = _bounded(rows.filter(calibrate), CALIBRATION).select("text", "lang").mapInPandas(run, "lang string, h double").toPandas()  # bounded
-    for k, name in enumerate(model.languages):
-        h = np.sort(seen["h"][seen["lang"] == name].to_numpy())
-        rank = int(np.ceil((len(h) + 1) * (1 - REJECTED)))
-        model.limits[k] = h[rank - 1] if 0 < rank <= len(h) else np.inf
+            for i in range(0, len(batch), 200):
+                part = batch.iloc[i : i + 200]
+                h, n, spread = model.entropies(part["text"].tolist(), spread=True)
+                best = h.argmin(1)
+                right = (n > 0) & (np.array(model.languages)[best] == part["lang"].to_numpy(str))
+                at = np.flatnonzero(right), best[right]
+                yield pd.DataFrame({"k": best[right], "h": h[at], "n": n[right], "spread": spread[at]})
+
+    seen = _bounded(rows.filter(calibrate), CALIBRATION).select("text", "lang").mapInPandas(run, "k int, h double, n long, spread double").toPandas()  # bounded
+    calibrate_limit(model, *(seen[c].to_numpy() for c in ("k", "h", "n", "spread")))
     return model
 
 
+def calibrate_limit(model: Model, k: np.ndarray, h: np.ndarray, n: np.ndarray, spread: np.ndarray) -> None:
+    """Set the scale of each language (that of all for one without rows) and the common limit from texts' languages, cross-entropies, lengths and spreads."""
+    if not len(k):
+        return
+    for of in range(len(model.languages)):
+        own = k == of if (k == of).any() else np.ones(len(k), bool)
+        model.median[of] = np.median(h[own])
+        model.between_chars[of] = max(np.median(spread[own]), 1e-6)
+        model.between_texts[of] = max((1.4826 * np.median(np.abs(h[own] - model.median[of]))) ** 2 - model.between_chars[of] * np.median(1 / n[own]), 1e-6)
+    found = np.sort(model.deviation(h, n, k))
+    model.limit = found[min(len(found), int(np.ceil((len(found) + 1) * (1 - REJECTED)))) - 1]
+
+
 def train_on(docs: DataFrame) -> Model:
     """Learn from documents whose crc32(doc_id) mod 4 is 0 or 1, calibrate on 3; 2 is held out."""
     part = fold(F.col("doc_id"), 4)

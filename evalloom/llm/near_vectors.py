@@ -127,24 +127,44 @@ def near_pairs(reps: DataFrame, passes: int, threshold: float) -> DataFrame:
                 seen += len(new)
                 yield window_pairs(ids, v, threshold, held).assign(edge=0)
                 ids, v = ids[-WINDOW:], v[-WINDOW:]
-        # the part's ends: head rows keep its number, tail rows go to the next part
-        if at is not None:
-            for number, rows in ((part, head), (part + 1, [(*at, i, x) for i, x in zip(ids.tolist(), v)])):
-                yield pd.DataFrame([(i, None, 1 + (number == part), number, p, n, k, x.tobytes()) for k, (p, n, i, x) in enumerate(rows)], columns=["src", "dst", "edge", "part", "pass", "length", "k", "v"])
+        # the part's ends; a short part is both, and is seen through
+        for edge, rows in ((2, head), (1, [(*at, i, x) for i, x in zip(ids.tolist(), v)] if at is not None else [])):
+            yield pd.DataFrame([(i, None, edge, part, p, n, k, x.tobytes()) for k, (p, n, i, x) in enumerate(rows)], columns=["src", "dst", "edge", "part", "pass", "length", "k", "v"])
+        yield pd.DataFrame([(seen, 0, part)], columns=["src", "edge", "part"]).assign(k=-1)
 
     found = materialize(ordered.mapInPandas(_with_columns(run), "src long, dst long, edge int, part long, pass int, length int, k int, v binary"), "window")
+    sizes = {r["part"]: r["src"] for r in found.filter("k = -1").select("part", "src").collect()}  # a number for each part
+    meets = []  # of each part: the parts that begin less than a window after its end, and the rows between
+    parts = sorted(p for p, n in sizes.items() if n)
+    for i, p in enumerate(parts):
+        between = 0
+        for q in parts[i + 1 :]:
+            meets.append((p, q, between))
+            between += sizes[q]
+            if between >= WINDOW:
+                break
+    spark = reps.sparkSession
+    meets = spark.createDataFrame(meets, "part long, other long, between int")
 
     def ends(rows: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"src": [], "dst": []}, dtype=np.int64)]
         for _, g in rows.groupby(["pass", "length"]):
-            tail, head = g[g["edge"] == 1].sort_values("k"), g[g["edge"] == 2].sort_values("k")
-            if len(tail) and len(head):
-                both = pd.concat([tail, head])
-                out.append(window_pairs(both["src"].to_numpy(np.int64), np.frombuffer(b"".join(both["v"])).reshape(len(both), -1), threshold, len(tail)))
+            head = g[g["edge"] == 2].sort_values("k")
+            for _, tail in g[g["edge"] == 1].groupby("part"):
+                tail, between = tail.sort_values("k"), int(tail["between"].iloc[0])
+                if len(head):
+                    ids = np.concatenate([tail["src"], np.zeros(between), head["src"]]).astype(np.int64)
+                    vs = [np.frombuffer(b"".join(x["v"])).reshape(len(x), -1) for x in (tail, head)]
+                    v = np.vstack([vs[0], np.full((between, vs[0].shape[1]), np.nan), vs[1]])
+                    pairs = window_pairs(ids, v, threshold, len(tail) + between)
+                    out.append(pairs[pairs["src"].isin(tail["src"])])
         return pd.concat(out)
 
-    over = found.filter("edge > 0").groupBy("part").applyInPandas(ends, "src long, dst long")
-    pairs = found.filter("edge = 0").select("src", "dst").union(over)
+    rows = found.filter("edge > 0").select("src", "edge", "part", "pass", "length", "k", "v")
+    tails = rows.filter("edge = 1").join(F.broadcast(meets), "part").select("src", "edge", "part", "pass", "length", "k", "v", F.col("other").alias("at"), "between")
+    heads = rows.filter("edge = 2").select("*", F.col("part").alias("at"), F.lit(0).alias("between"))
+    over = tails.unionByName(heads).groupBy("at").applyInPandas(ends, "src long, dst long")
+    pairs = found.filter("edge = 0 and k is null").select("src", "dst").union(over)
     return pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct()
 
 

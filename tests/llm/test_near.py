@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from evalloom.llm import language_id, near_texts, near_vectors, ngram_score
@@ -57,6 +58,40 @@ def test_vectors(spark, monkeypatch):
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lean", [0.0, 1.0, 2.0])
+def test_vector_recall_against_brute_force(spark, lean):
+    """Pairs at the threshold among spread vectors and among vectors in a cone (mean cosine about 0, 0.5 and 0.8)."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(4000, 32)) + lean * math.sqrt(1.0) * np.eye(32)[0] * math.sqrt(32)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = rng.normal(size=(400, 32))
+    near -= (near * base[:400]).sum(1, keepdims=True) * base[:400]
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    v = np.vstack([base, 0.952 * base[:400] + math.sqrt(1 - 0.952**2) * near])
+    hit = v @ v.T >= 0.95
+    np.fill_diagonal(hit, False)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_duplicates(df).collect()}
+    links = hit.sum(1)
+    assert sum(got.values()) >= 0.99 * links.sum() and all(got[i] <= links[i] for i in got) and links.sum() >= 800
+
+
+def test_parts_of_an_order_that_are_short(spark):
+    """Nine vectors a part: every pair of one pass still meets across parts."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 8))
+    rows = [(i, (centres[i % 30] + 0.02 * rng.normal(size=8)).tolist()) for i in range(90)]
+    df = spark.createDataFrame([(i, np.array(x).tobytes()) for i, x in rows], "id long, x binary")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = {(r["src"], r["dst"]) for r in near_vectors.near_pairs(df, 6, 0.95).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    v = np.array([x for _, x in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(v @ v.T >= 0.95)) if a < b}
+
+
 def test_vectors_star(spark):
     """2,000 vectors at cosine 0.96 to a centre, about 0.92 to each other."""
     rng = np.random.default_rng(10)
@@ -129,6 +164,52 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.allclose(p.sum(0), 1, atol=1e-9)  # one unseen character stands for all
 
 
+def test_kneser_ney_against_its_formula(spark):
+    """Interpolated Kneser-Ney by its definition, from the texts themselves."""
+    rnd = random.Random(4)
+    texts = {"a": ["".join(rnd.choice("abc ") for _ in range(60)) for _ in range(5)], "b": ["".join(rnd.choice("bcd ") for _ in range(60)) for _ in range(5)]}
+    model = language_id.build(language_id._count(spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "lang string, text string")))
+    letters = sorted({c for ts in texts.values() for t in ts for c in t} | {" "})
+    tables = {}
+    for k, ts in texts.items():
+        by = {4: Counter()}
+        for t in ts:
+            t = "   " + re.sub(" +", " ", t).lstrip(" ")  # runs of spaces are one, and join the padding
+            by[4].update(t[i : i + 4] for i in range(len(t) - 3))
+        for n in (3, 2, 1):
+            by[n] = Counter(g[1:] for g in by[n + 1])
+        tables[k] = by
+
+    def p(by, gram):
+        if not gram:
+            return 1 / (len(letters) + 1)
+        n, history = len(gram), gram[:-1]
+        under = {g: c for g, c in by[n].items() if g[:-1] == history}
+        total = sum(under.values())
+        lower = p(by, gram[1:])
+        return (max(under.get(gram, 0) - language_id.DISCOUNT, 0) + language_id.DISCOUNT * len(under) * lower) / total if total else lower
+
+    for gram in ["abca", "   a", "dddd", "c bd", "xabc", "abcx", "  ab"]:
+        got = model.probabilities(np.array([ord(c) for c in gram], np.uint32), np.array([0]), 4)[0]
+        assert np.allclose(got, [p(tables[k], gram) for k in model.languages], atol=1e-12), gram
+
+
+def test_language_limit_rejects_what_is_no_language(spark):
+    """With enough rows in all languages together every language has a finite limit, a rare one too."""
+    rnd = random.Random(5)
+    sound = {"aa": ["la", "re", "mi", "fa"], "bb": ["kor", "stu", "prk", "zv"]}
+    say = lambda lang, n: " ".join("".join(rnd.choice(sound[lang]) for _ in range(rnd.randint(1, 3))) for _ in range(n))
+    rows = [(i, say("bb" if i % 40 == 0 else "aa", rnd.randint(5, 40)), "bb" if i % 40 == 0 else "aa") for i in range(5000)]
+    model = language_id.train_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert np.isfinite(model.limit)
+    fresh = [say("aa", 20) for _ in range(300)] + [say("bb", 20) for _ in range(300)]
+    accepted = model.predict(fresh)[2]
+    assert accepted[:300].mean() > 0.99 and accepted[300:].mean() > 0.95  # of bb some thirty rows set the scale
+    shuffled = ["".join(rnd.sample(t, len(t))) for t in fresh]
+    foreign = [" ".join(rnd.choice(["wyx", "qou", "hge"]) for _ in range(20)) for _ in range(100)]
+    assert not any(model.predict(shuffled)[2]) and not any(model.predict(foreign)[2])
+
+
 def test_language(spark):
     rnd = random.Random(7)
     sound = {"aa": ["la", "re", "mi", "fa"], "bb": ["kor", "stu", "prk", "zv"]}

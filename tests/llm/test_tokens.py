@@ -112,6 +112,46 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), WORD).count() == 0
 
 
+def test_index_scores_are_bm25():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 40, rng.integers(1, 60)).astype("<u2") for _ in range(50)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=40)
+    idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+    index, mean = packing.Index(docs, idf), np.mean([len(d) for d in docs])
+    term = lambda t, d: idf[t] * (d == t).sum() * (packing.K1 + 1) / ((d == t).sum() + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+    for q in range(50):
+        shared = [t for t in set(docs[q].tolist()) if sum((d == t).any() for d in docs) > 1]
+        terms = sorted(shared, key=lambda t: -term(t, docs[q]))
+        weights = [term(t, docs[q]) for t in terms]
+        if len(terms) > packing.QUERY_TERMS and abs(weights[packing.QUERY_TERMS] - weights[packing.QUERY_TERMS - 1]) < 1e-12:
+            continue  # a tie at the end of the query
+        want = [sum(term(t, d) for t in terms[: packing.QUERY_TERMS]) for d in docs]
+        assert np.allclose(index.scores(q), want)
+
+
+def test_packing_over_several_shards(spark, monkeypatch):
+    """Shards of 40 documents, repeated ids and null ids: every id of every row lies in one piece."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 40 + packing.WINDOW // 2)
+    rnd = random.Random(11)
+    rows = [(None if i % 50 == 0 else i % 170, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + str(rnd.randint(0, 99)) for _ in range(rnd.choice((0, 3, 40, 900))))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    pieces = packing.pack(df, WORD).collect()
+    want = [[*ids, 1] for ids in encoded(WORD, [t for _, t in rows])]
+    assert sum(p["length"] for p in pieces) == sum(map(len, want))
+    whole = sorted(((i is not None, i or 0), len(x)) for (i, _), x in zip(rows, want))
+    starts = sorted(((p["doc_id"] is not None, p["doc_id"] or 0), p["doc_tokens"]) for p in pieces if p["start"] == 0)
+    assert starts == whole
+    crcs = {zlib.crc32(np.array(x, "<u4").tobytes()) for x in want if len(x) <= 900}
+    assert {p["ids_crc32"] for p in pieces if p["length"] == p["doc_tokens"]} <= {zlib.crc32(np.array(x, "<u4").tobytes()) for x in want} and crcs
+    by_sequence = {}
+    for p in pieces:
+        by_sequence.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for spans in by_sequence.values():
+        spans.sort()
+        assert [o for o, _ in spans] == np.cumsum([0, *(n for _, n in spans)])[:-1].tolist() and sum(n for _, n in spans) <= packing.WINDOW
+    assert sum(sum(n for _, n in x) < packing.WINDOW for x in by_sequence.values()) <= 4
+
+
 TRAPS = ["", "<|im_end|>", "<|", "<\\|", "\\", "\\\\<|\\", "a\nb", "<\\/", "<|im_start|>user\nx<|im_end|>\n", "𝔘é"]
 
 
