@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.sources.scratch import stored
+
 MODES = ("primary", "pessimistic", "optimistic")
 #: The terminal statuses of a run.
 STATUSES = ("succeeded", "timeout", "provider_error", "configuration_error", "adapter_error", "invalid_output")
@@ -99,12 +101,51 @@ def quality(runs: DataFrame, findings: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def distributions(records: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """Observations, missing, min, linear median, nearest-rank p95, max, mean and exact total of each metric by condition and over all."""
+    """Observations, missing, min, linear median, nearest-rank p95, max, mean and exact total of each metric by condition and over all.
+
+    Quantiles are exact without a group being gathered: values are counted, and their ranks follow from sums over bins.
+    """
     long = records.select("experiment_id", "condition", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x"), F.col(m).cast("string").cast("decimal(38,6)").alias("d")) for m in metrics))))
-    rows = long.groupingSets([[F.col("experiment_id"), F.col("metric")], [F.col("experiment_id"), F.col("metric"), F.col("condition")]], "experiment_id", "metric", "condition").agg(
-        F.grouping_id().alias("g"), F.count("x").alias("observations"), F.count_if(F.col("x").isNull()).alias("missing"), F.min("x").alias("min"), F.percentile("x", F.lit(0.5)).alias("median"), nearest_rank("x", 0.95).alias("p95"), F.max("x").alias("max"), (F.sum("d").cast("double") / F.count("x")).alias("mean"), F.sum("d").cast("double").alias("total")
+    keys = ["experiment_id", "metric", "condition"]
+    sets = [[F.col("experiment_id"), F.col("metric")], [F.col(k) for k in keys]]
+    rows = long.groupingSets(sets, *keys).agg(
+        F.grouping_id().alias("g"), F.count("x").alias("observations"), F.count_if(F.col("x").isNull()).alias("missing"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum("d").cast("double") / F.count("x")).alias("mean"), F.sum("d").cast("double").alias("total")
     )
-    return rows.select("experiment_id", F.when(F.col("g") > 0, "all").otherwise(F.col("condition")).alias("condition"), "metric", "observations", "missing", "min", "median", "p95", "max", "mean", "total")
+    group = F.when(F.col("g") > 0, "all").otherwise(F.col("condition")).alias("condition")
+    rows = rows.select("experiment_id", "metric", group, "observations", "missing", "min", "max", "mean", "total")
+    values = stored(long.filter("x is not null").groupBy(*keys, "x").agg(F.count("*").alias("n")), "values")
+    values = values.groupingSets([[*s, F.col("x")] for s in sets], *keys, "x").agg(F.grouping_id().alias("g"), F.sum("n").alias("n")).select("experiment_id", "metric", group, "x", "n")
+    out = rows.join(quantiles(values, keys, {"median": (0.5, True), "p95": (0.95, False)}), keys, "left")
+    return out.select("experiment_id", "condition", "metric", "observations", "missing", "min", "median", "p95", "max", "mean", "total")
+
+
+def quantiles(values: DataFrame, keys: list[str], wanted: dict[str, tuple[float, bool]], bins: int = 1024) -> DataFrame:
+    """Quantiles of counted values (keys, x, n) by key: name to (p, linear or else nearest-rank).
+
+    A key's range is cut into ``bins``; values are ranked inside their bin only, after as many as the bins before hold.
+    """
+    edges = values.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all"))
+    binned = values.join(edges, keys).withColumn("bin", F.coalesce(F.floor((F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(0)))
+    sizes = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("size"))
+    earlier = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, "bin", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    upto = Window.partitionBy(*keys, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = binned.join(before, [*keys, "bin"]).withColumn("last", F.col("before") + F.sum("n").over(upto))  # rank of the last of equal values
+    at = lambda rank: F.min(F.when(F.col("last") >= rank, F.col("x")))
+    n, out = F.col("all"), []
+    for name, (p, linear) in wanted.items():
+        if linear:
+            place = (n - 1) * F.lit(p)
+            low = F.floor(place)
+            out += [at(low + 1).alias(f"{name}_a"), at(F.least(low + 2, n)).alias(f"{name}_b"), F.max(place - low).alias(f"{name}_w")]
+        else:
+            out.append(at(F.ceil(n * F.lit(p).cast("decimal(6,4)"))).alias(name))
+    rows = ranked.groupBy(*keys).agg(*out)
+    for name, (_, linear) in wanted.items():
+        if linear:
+            a, b, w = (F.col(f"{name}_{c}") for c in "abw")
+            rows = rows.withColumn(name, a + (b - a) * w)
+    return rows.select(*keys, *wanted)
 
 
 def case_tags(cases: DataFrame, mechanisms: DataFrame, records: DataFrame) -> DataFrame:
