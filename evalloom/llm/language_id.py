@@ -9,7 +9,8 @@ per character. That cross-entropy is brought to a scale that all languages and l
 the deviation to be expected of a text of so many characters (a part between texts and a part between characters, both from a
 fold of the training rows that was not counted). A text is rejected above one limit on that scale, a conformal bound from
 the rows of that fold in all languages, so that at most ``REJECTED`` of such texts are turned away and a language with
-few rows has a limit too; with fewer than 1 / REJECTED rows in all languages the greatest value seen is the limit.
+few rows has a limit too. The limit is never below ``LEAST`` deviations; with fewer than 1 / REJECTED rows in all languages
+it is the greatest value seen, or ``LEAST``.
 
 Defined cases: null text and text without a letter is ``und`` with score 0 and rejected; rows with a null lang or null id
 are not learned from; ties go to the first language in alphabetical order; with nothing to learn from all texts are ``und``;
@@ -34,6 +35,7 @@ DISCOUNT = 0.75
 SAMPLE = 3_000
 CALIBRATION = 3_000
 REJECTED = 0.001
+LEAST = 10.0
 #: Characters whose evidence the score counts at most.
 EVIDENCE = 40
 UNKNOWN = "und"
@@ -277,7 +279,7 @@ def calibrate_limit(model: Model, k: np.ndarray, h: np.ndarray, n: np.ndarray, s
         model.between_chars[of] = max(np.median(spread[own]), 1e-6)
         model.between_texts[of] = max((1.4826 * np.median(np.abs(h[own] - model.median[of]))) ** 2 - model.between_chars[of] * np.median(1 / n[own]), 1e-6)
     found = np.sort(model.deviation(h, n, k))
-    model.limit = found[min(len(found), int(np.ceil((len(found) + 1) * (1 - REJECTED)))) - 1]
+    model.limit = max(LEAST, found[min(len(found), int(np.ceil((len(found) + 1) * (1 - REJECTED)))) - 1])
 
 
 def train_on(docs: DataFrame) -> Model:

@@ -203,8 +203,7 @@ def test_language_limit_rejects_what_is_no_language(spark):
     model = language_id.train_on(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert np.isfinite(model.limit)
     fresh = [say("aa", 20) for _ in range(300)] + [say("bb", 20) for _ in range(300)]
-    accepted = model.predict(fresh)[2]
-    assert accepted[:300].mean() > 0.99 and accepted[300:].mean() > 0.95  # of bb some thirty rows set the scale
+    assert all(model.predict(fresh)[2])  # of bb some thirty rows set the scale
     shuffled = ["".join(rnd.sample(t, len(t))) for t in fresh]
     foreign = [" ".join(rnd.choice(["wyx", "qou", "hge"]) for _ in range(20)) for _ in range(100)]
     assert not any(model.predict(shuffled)[2]) and not any(model.predict(foreign)[2])
@@ -270,3 +269,58 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns and 0 < kept.count() <= before.count()
     assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert near_texts.near_duplicates(kept).filter("not kept").count() == 0
+
+
+ODD = [(1, None, None, None, None, "x", 1), (2, "", "en", "s", 0, "x", 1), (3, "short text", "en", "s", 1, "x", 1)]
+
+
+def odd_documents():
+    """Texts that all stages keep, copies of one, a row twice, two rows with one id, rows without an id, null and empty texts."""
+    rnd = random.Random(13)
+    words = ["the", "quiet", "river", "runs", "over", "stones", "and", "under", "old", "bridges", "while", "birds", "sing"]
+    text = lambda n: " ".join(rnd.choice(words) + rnd.choice(("", "s", "ing", "ed")) for _ in range(n))
+    rows = [(100 + i, text(60), "en" if i % 2 else None, None if i % 3 else "s", None, "clash", i) for i in range(60)]
+    rows += [(200, rows[0][1], "en", "s", 5, "x", 0), (100, rows[0][1], "en", "s", 5, "x", 0), rows[7], (300, text(50), "en", "b", 1, "x", 0), (300, text(50), "en", "a", 1, "x", 0), (None, text(40), "en", None, None, None, None), (None, text(40), None, None, None, None, None)]
+    return rows + ODD
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, clashing columns, and empty tables, in every stage."""
+    rows = odd_documents()
+    docs = spark.createDataFrame(rows, DOCS)
+    spark.createDataFrame([(100, 1), (None, 0), (101, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == list(corpus_pipeline.COLUMNS)
+        kept[name] = [tuple(r) for r in docs.collect()]
+    assert len(kept["quality rules"]) == len(rows) - len(ODD) == len(kept["language ID"])
+    ids = [r[0] for r in kept["MinHash near-dedup"]]
+    assert sorted(i for i in ids if i is not None) == [*range(100, 160), 300] and ids.count(None) == 2
+    assert min(r[1] for r in rows if r[0] == 300) == next(r[1] for r in kept["MinHash near-dedup"] if r[0] == 300)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted((p["doc_id"] is not None, p["doc_id"] or 0) for p in pieces if p["start"] == 0) == sorted((i is not None, i or 0) for i in ids)
+    empty = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_against_its_stages_by_hand(spark):
+    """run() and a plain evaluation of the rules agree on the documents that are packed: the base rule, letters, exact classes."""
+    folder = "/root/testdata/sf0.001"
+    rows = [r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+    def base(t):
+        words = split(t)
+        seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        covered = {i + k for i in range(len(words) - 4) if seen[tuple(words[i : i + 5])] > 1 for k in range(5)}
+        return len(words) >= 10 and 100 * len(covered) <= 20 * len(words)
+
+    left = {r["doc_id"]: r["text"] for r in rows if base(r["text"]) and any(c.isalpha() for c in r["text"])}
+    sets = {i: shingles(t) for i, t in left.items()}
+    alike = lambda x, y: sum((x & y).values()) >= 0.8 * sum((x | y).values())
+    of = classes(sets, [(i, j) for i in sets for j in sets if i < j and alike(sets[i], sets[j])])
+    want = {i for i, c in of.items() if i == c}
+    got = {p["doc_id"] for p in corpus_pipeline.run(spark, folder).collect()}
+    assert got == want  # with so few labels no cutoff acts, and the language limit turns none of these away
