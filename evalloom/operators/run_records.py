@@ -75,6 +75,22 @@ def check_attempt_chain(attempts: DataFrame) -> DataFrame:
     return gap.union(rows.filter(other).select(F.lit("history"), "run_id", "attempt"))
 
 
+def check_metadata(metadata: DataFrame, terminal: DataFrame) -> DataFrame:
+    """Violations of attempt metadata (run_id, attempt) against the last attempt of each run (run_id, terminal_attempt).
+
+    The first attempts of a run may lack metadata; from the first that has it on to the last none may. Rules: gap, beyond, repeated, unknown_run.
+    """
+    runs = metadata.groupBy("run_id").agg(F.min("attempt").alias("lo"), F.max("attempt").alias("hi"), F.count_distinct("attempt").alias("n"), F.count("*").alias("rows")).join(terminal, "run_id", "left")
+    c = F.col
+    rules = F.array_compact(F.array(
+        F.when(c("terminal_attempt").isNull(), "unknown_run"),
+        F.when(c("hi") > c("terminal_attempt"), "beyond"),
+        F.when((c("hi") < c("terminal_attempt")) | (c("hi") - c("lo") + 1 != c("n")), "gap"),
+        F.when(c("rows") > c("n"), "repeated"),
+    ))
+    return runs.select(F.explode(rules).alias("rule"), c("run_id").alias("key"))
+
+
 def reconcile_attempts(attempts: DataFrame, terminal: Column) -> DataFrame:
     """The latest attempt of each run, and whether it is terminal."""
     latest = attempts.groupBy("experiment_id", "run_id").agg(F.max_by(F.struct("attempt", "status"), "attempt").alias("last"))

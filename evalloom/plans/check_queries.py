@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalloom.operators import adjudication, bundles, corpus_split, cost, discovery, leakage, run_records
+from evalloom.operators import experiment_plan as plans
 from evalloom.plans.demo import view, with_views
 from evalloom.plans.text_queries import read
+from evalloom.sources import contracts
 
 _AT = "timestamp '2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, {h}, 0, 0)"
 
@@ -194,6 +196,13 @@ def _oracle() -> dict[str, str]:
         "leaked_tokens": rows("select source as case_id, 'doc-' || doc_id as request_id, 0 as pos, 'prompt' as location_class, 'snapshot_label' as rule_id, lower(source) as match from documents where doc_id % 5 = 0", "select source, 'doc-' || doc_id, 0, 'prompt', 'snapshot_label', 'pr' || doc_id from documents where doc_id % 5 = 2", "select source, 'doc-' || doc_id, 0, 'prompt', 'fixed_fingerprint', repeat('0a', 32) from documents where doc_id % 5 = 3"),
         "label_leaks": "with c as (select distinct conv_id from conversations) " + rows("select conv_id as request_id, 'serialized_request' as location_class, 'vulnerable' as match, 2::bigint as n from c where conv_id % 5 = 0", "select conv_id, 'serialized_request', 'fixed', 1 from c where conv_id % 7 = 0", "select conv_id, 'tool_configuration', 'fixed', 2 from c where conv_id % 7 = 0"),
         "split_violations": cases + " " + rows("select 'repeated' as rule, case_id as key from cases where p_partkey % 47 = 1", "select 'unknown_lock', case_id || 'x' from cases where p_partkey % 53 = 2 and p_partkey % 2 = 1", "select 'role', case_id from cases where p_partkey % 59 = 3", "select 'infeasible', (count(*) + count(*) filter (p_partkey % 47 = 1) - count(*) filter (p_partkey % 53 = 2 and p_partkey % 2 = 0) - count(*) filter (p_partkey % 53 = 2 and p_partkey % 2 = 0 and p_partkey % 47 = 1))::varchar from cases"),
+        "linked_plan_violations": plan + ", h as (select * from plan where role = 'holdout') select 'not_in_source' as rule, run_id as key from h where run_no % 61 = 4 union all select 'not_in_source', run_id from h where run_no % 61 = 4 and run_no % 67 = 5 union all select 'repeated', run_id from h where run_no % 67 = 5",
+        "metadata_violations": with_views("records") + """, a as (select run_id, run_no, attempt as last, unnest(range(1, attempt + 1 + (run_no % 71 = 6)::int)) as attempt from records), m as (select * from a where not (run_no % 5 = 0 and attempt = 1) and not (run_no % 5 = 1 and attempt = 2)),
+          g as (select run_id, run_no, last, min(attempt) as lo, max(attempt) as hi, count(*) as n from m group by all), k as (select *, run_no % 79 = 8 as lost from g)
+          select 'unknown_run' as rule, run_id as key from k where lost union all select 'beyond', run_id from k where not lost and hi > last union all select 'gap', run_id from k where (not lost and hi < last) or hi - lo + 1 <> n union all select 'repeated', run_id from k where run_no % 73 = 7""",
+        "record_violations": with_views("records") + """, k as (select *, concat_ws('/', run_id, case when run_no % 83 = 9 then null else attempt end) as key from records)
+          select 'required_attempt' as rule, key from k where run_no % 83 = 9 union all select 'times', key from k where run_no % 89 = 10 union all select 'success', key from k where status = 'succeeded' and run_no % 97 = 11
+          union all select 'identity_digests', key from k where run_no % 101 = 12 union all select 'cached', key from k where cached_input_tokens > input_tokens""",
         "path_violations": "select 'unsafe_path' as rule, (['/', 'a/../', 'b\\', 'é/', 'c//'])[doc_id % 9 + 1] || doc_id as key from documents where doc_id % 9 < 5",
         "empty_includes": "with f as (select distinct doc_id % 25 as c, source from documents where doc_id is not null), w as (select c, 'src' || k as source from (select distinct c from f), range(30) as r(k)) select 'empty_include' as rule, 'case-' || c || '/src/' || source as key from w where (c, source) not in (select (c, source) from f)",
         "issue_summary_violations": with_views("adjudications") + _SCORED + f""" select 'unadjudicated' as rule, {key} || '/' || mechanism_id as key from pairs where expected_status <> 'unverified' and decision not in ('match', 'no_match') union all select 'total_findings', 'exp-1' from pairs where experiment_id = 'exp-1' group by 2
@@ -201,6 +210,34 @@ def _oracle() -> dict[str, str]:
     }
 
 
+def linked_plan_violations(spark, sf_dir):
+    """A holdout plan of which some runs are not the source's and some repeat."""
+    plan = view(spark, sf_dir, "plan").select("experiment_id", "case_id", "role", "snapshot", "condition", "repetition", "run_id", "run_no")
+    linked = plan.filter("role = 'holdout'").withColumns({"experiment_id": F.lit("linked"), "condition": F.expr("case when run_no % 61 = 4 then 'other' else condition end")})
+    return plans.check_linked_plan(linked.union(linked.filter("run_no % 67 = 5")), plan)
+
+
+def metadata_violations(spark, sf_dir):
+    """Attempt metadata with gaps, attempts beyond the last, repeats and unknown runs; missing first attempts are none."""
+    records = view(spark, sf_dir, "records").select("run_id", "run_no", F.col("attempt").alias("terminal_attempt"))
+    rows = records.select("run_id", "run_no", "terminal_attempt", F.explode(F.sequence(F.lit(1), F.expr("case when run_no % 71 = 6 then terminal_attempt + 1 else terminal_attempt end"))).alias("attempt"))
+    rows = rows.filter("not (run_no % 5 = 0 and attempt = 1) and not (run_no % 5 = 1 and attempt = 2)")
+    rows = rows.union(rows.filter("run_no % 73 = 7"))
+    return run_records.check_metadata(rows, records.filter("run_no % 79 <> 8").select("run_id", "terminal_attempt"))
+
+
+def record_violations(spark, sf_dir):
+    """Run records with faults, under their contract."""
+    digest = "concat('sha256:', sha2(run_id, 256))"
+    rows = view(spark, sf_dir, "records").selectExpr(
+        "experiment_id", "run_id", "case when run_no % 83 = 9 then null else attempt end as attempt", "status", f"{_AT.format(h='1')} as started_at", f"{_AT.format(h='case when run_no % 89 = 10 then 0 else 2 end')} as ended_at", "latency_ms as monotonic_latency_ms",
+        "named_struct('exit_status', case when status = 'succeeded' and run_no % 97 <> 11 then 0 else 1 end, 'stderr_classification', 'none') as subprocess",
+        "named_struct('input_tokens', input_tokens, 'cached_input_tokens', cached_input_tokens) as usage", "cast(null as struct<input:double,output:double,total:double>) as cost",
+        "case when attempt > 1 then transform(sequence(1, attempt - 1), x -> named_struct('attempt', x)) end as retry_history",
+        f"named_struct('experiment_content_digest', {digest}, 'profile_digest', {digest}, 'reviewer_config_digest', {digest}, 'request_digest', case when run_no % 101 = 12 then 'x' else {digest} end, 'reviewer_output_digest', case when status = 'succeeded' then {digest} end) as identity", f"{digest} as content_digest")
+    return contracts.check_contract(rows, "run_record").filter("key is not null")
+
+
 def split_violations(spark, sf_dir):
     """Inputs and roles of a split with faults."""
     cases = view(spark, sf_dir, "cases").select("case_id", "role", "p_partkey")
@@ -210,5 +247,5 @@ def split_violations(spark, sf_dir):
     return corpus_split.check_split_input(twice, locked, 0).unionByName(corpus_split.check_roles(cases, frozen))
 
 
-QUERIES = {f.__name__: f for f in (redacted_items, blinding_violations, rubric_violations, stale_bindings, batch_violations, latest_attempts, linked_violations, price_violations, frozen_price_violations, price_identity_violations, worst_case_costs, assessment_violations, assessment_adjudications, leaked_tokens, label_leaks, path_violations, empty_includes, issue_summary_violations, split_violations)}
+QUERIES = {f.__name__: f for f in (redacted_items, blinding_violations, rubric_violations, stale_bindings, batch_violations, latest_attempts, linked_violations, price_violations, frozen_price_violations, price_identity_violations, worst_case_costs, assessment_violations, assessment_adjudications, leaked_tokens, label_leaks, path_violations, empty_includes, issue_summary_violations, split_violations, linked_plan_violations, metadata_violations, record_violations)}
 ORACLE_SQL = _oracle()

@@ -127,7 +127,7 @@ def parsed_responses(spark, sf_dir):
 
 def contract_violations(spark, sf_dir):
     """Demonstration findings under the finding contract, some of them broken."""
-    rows = view(spark, sf_dir, "findings").withColumns({"severity": F.expr("case when l_suppkey % 37 = 5 then 'odd' else severity end"), "end_line": F.expr("case when l_suppkey % 41 = 7 then start_line - 1 else end_line end")})
+    rows = view(spark, sf_dir, "findings").withColumns({"severity": F.expr("case when l_suppkey % 37 = 5 then 'odd' else severity end"), "end_line": F.expr("case when l_suppkey % 41 = 7 then start_line - 1 else end_line end"), "title": F.expr("case when l_suppkey % 43 = 9 then null else title end")})
     return contracts.check_contract(rows, "finding").select("rule", "key")
 
 
@@ -161,7 +161,7 @@ def _oracle() -> dict[str, str]:
         "holdout_order": cases + " select case_id, row_number() over (order by sha256('10:' || case_id)) as position from c where role = 'holdout'",
         "failure_classes": f"with p as (select page_id, {err} as c from pages) select page_id, c as stderr_class, case when page_id % 31 = 0 then 'timeout' when page_id % 29 = 0 then 'adapter_error' when page_id % 3 = 0 then case c when 'provider' then 'provider_error' when 'timeout' then 'timeout' when 'usage' then 'configuration_error' when 'configuration' then 'configuration_error' else 'adapter_error' end when page_id % 5 = 0 then 'invalid_output' else 'succeeded' end as status from p",
         "parsed_responses": "select event_id::varchar as run_id, case when event_id % 11 = 0 or event_id % 9 = 0 then 'invalid_output' else 'succeeded' end as status, case when event_id % 11 = 0 or event_id % 9 = 0 then 'OUTPUT_JSON_INVALID' end as error, case when event_id % 11 <> 0 and event_id % 9 <> 0 then event_id + 5 end as input_tokens, case when event_id % 11 <> 0 and event_id % 9 <> 0 then 7::bigint end as output_tokens, case when event_id % 11 <> 0 and event_id % 9 <> 0 then 2 + case when event_id % 4 = 0 then length(replace(props, ' ', '')) else 0 end end as chars from events",
-        "contract_violations": with_views("findings") + " select 'severity' as rule, run_id || '/' || finding_id as key from findings where l_suppkey % 37 = 5 union all select 'lines', run_id || '/' || finding_id from findings where l_suppkey % 41 = 7",
+        "contract_violations": with_views("findings") + " select 'severity' as rule, run_id || '/' || finding_id as key from findings where l_suppkey % 37 = 5 union all select 'lines', run_id || '/' || finding_id from findings where l_suppkey % 41 = 7 union all select 'required_title', run_id || '/' || finding_id from findings where l_suppkey % 43 = 9",
         "stratified_split": cases + f""", s as (select *, concat_ws(chr(1), {", ".join(corpus_split.DIMENSIONS)}) as stratum from c), z as (select stratum, count(*) as n, (select count(*) // 5 from c) as h, (select count(*) from c) as total from s group by 1),
           q as (select stratum, n * h // total as base, row_number() over (order by n * h % total desc, stratum) as r, h - sum(n * h // total) over () as spare from z), o as (select case_id, stratum, row_number() over (partition by stratum order by sha256('10:' || case_id), case_id) as k from s)
           select case_id, case when k <= base + (r <= spare)::int then 'holdout' else 'development' end as role from o join q using (stratum)""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Schemas by contract name; unknown fields are not read, missing ones are null.
 SCHEMAS = {
-    "run_record": "experiment_id string, run_id string, attempt int, status string, started_at timestamp, ended_at timestamp, monotonic_latency_ms double, provider_request_id string, seed decimal(20,0), validation_errors array<string>, usage struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_tokens:bigint>, price_table_version string, cost struct<currency:string,input:double,output:double,total:double>, subprocess struct<exit_status:int,stderr_classification:string>, retry_history array<struct<attempt:int,classification:string>>, content_digest string",
+    "run_record": "experiment_id string, run_id string, attempt int, status string, started_at timestamp, ended_at timestamp, monotonic_latency_ms double, provider_request_id string, seed decimal(20,0), validation_errors array<string>, usage struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_tokens:bigint>, price_table_version string, cost struct<currency:string,input:double,output:double,total:double>, subprocess struct<exit_status:int,stderr_classification:string>, retry_history array<struct<attempt:int,classification:string>>, identity struct<experiment_content_digest:string,source_commit:string,profile_digest:string,reviewer_config_digest:string,adapter_capabilities_digest:string,request_digest:string,reviewer_output_digest:string>, content_digest string",
     "finding": "run_id string, finding_id string, title string, explanation string, file_path string, start_line int, end_line int, severity string, defect_category string, failure_mechanism string, confidence double, evidence array<struct<source_type:string,reference:string>>",
     "adjudication": "adjudication_id string, run_id string, finding_id string, expected_mechanism_id string, decision string, rubric_version string, adjudicator string, decided_at timestamp, rationale string, supersedes string",
     "decision": "batch_id string, packet_id string, role string, adjudicator string, decision_id string, assignment_id string, classification string, decided_at timestamp, supersedes string, resolves array<string>",
@@ -26,6 +26,9 @@ RULES = {
         ("cost", "abs(cost.input + cost.output - cost.total) <= 1e-9"),
         ("history", "coalesce(size(retry_history), 0) = attempt - 1 and (attempt = 1 or transform(retry_history, x -> x.attempt) = sequence(1, greatest(attempt - 1, 1)))"),
         ("latency", "monotonic_latency_ms >= 0"),
+        ("output", "(status = 'succeeded') = (identity.reviewer_output_digest is not null)"),
+        ("identity_digests", " and ".join(f"coalesce(identity.{c} rlike '^sha256:[0-9a-f]{{64}}$', false)" for c in ("experiment_content_digest", "profile_digest", "reviewer_config_digest", "request_digest"))),
+        ("status", "status in ('succeeded', 'timeout', 'provider_error', 'configuration_error', 'adapter_error', 'invalid_output')"),
     ),
     "finding": (
         ("lines", "(start_line is not null or end_line is null) and (end_line is null or end_line >= start_line) and (start_line is null or start_line >= 1)"),
@@ -39,6 +42,16 @@ RULES = {
     "case_record": (("commits", f"commits.vulnerable rlike '{_SHA}' and commits.fixed rlike '{_SHA}' and commits.vulnerable <> commits.fixed"), ("tokens", "vulnerable_tokens >= 0 and fixed_tokens >= 0")),
     "assessment": (("kind", "issue_kind in ('code', 'documentation', 'uncertain')"), ("validity", "validity in ('valid', 'false_positive', 'uncertain')")),
 }
+#: Columns that a contract's rows must fill.
+REQUIRED = {
+    "run_record": ("experiment_id", "run_id", "attempt", "status", "started_at", "ended_at", "monotonic_latency_ms", "subprocess", "identity", "content_digest"),
+    "finding": ("run_id", "finding_id", "title", "explanation", "file_path", "severity", "defect_category", "failure_mechanism", "confidence"),
+    "adjudication": ("adjudication_id", "run_id", "finding_id", "expected_mechanism_id", "decision"),
+    "decision": ("role", "decision_id", "assignment_id", "classification", "decided_at"),
+    "price": ("provider", "model", "currency", "input_rate", "cached_rate", "output_rate"),
+    "case_record": ("case_id", "repository", "defect_category", "commits"),
+    "assessment": ("assignment_id", "mechanism_decision", "validity", "issue_kind"),
+}
 KEYS = {"run_record": ("run_id", "attempt"), "finding": ("run_id", "finding_id"), "adjudication": ("adjudication_id",), "decision": ("decision_id",), "price": ("provider", "model"), "case_record": ("case_id",), "assessment": ("assignment_id",)}
 
 
@@ -50,9 +63,10 @@ def read_contract(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def check_contract(df: DataFrame, name: str) -> DataFrame:
-    """Violations (rule, key) of a contract: rules that a row breaks, and keys that repeat."""
+    """Violations (rule, key) of a contract: rules that a row breaks, required columns that are null or not there, keys that repeat."""
     key = F.concat_ws("/", *KEYS[name]).alias("key")
-    broken = F.array_compact(F.array(*(F.when(~F.coalesce(F.expr(rule), F.lit(True)), F.lit(n)) for n, rule in RULES[name])))
+    empty = [F.when(F.col(c).isNull(), F.lit(f"required_{c}")) if c in df.columns else F.lit(f"required_{c}") for c in REQUIRED[name]]
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(F.expr(rule), F.lit(True)), F.lit(n)) for n, rule in RULES[name]), *empty))
     out = df.select(F.explode(broken).alias("rule"), key)
     return out.union(df.groupBy(*KEYS[name]).count().filter("count > 1").select(F.lit("repeated"), key))
 
