@@ -38,7 +38,9 @@ SMALL = 12
 BLOCK, BLOCK_SHINGLES = 256, 300_000
 #: Pairs whose signatures agree in less than this are not verified: six standard deviations under the threshold.
 SLACK = 0.2
-CHUNK_WORDS = 400_000
+#: What is worked on at a time: words, and the darts of texts (about K (ln K + 3) each, whatever their length).
+CHUNK = 500_000
+DARTS = int(K * (np.log(K) + 3))
 
 _U = np.uint64
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
@@ -110,8 +112,8 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
 def _chunks(lists: list) -> Iterator[tuple[int, int]]:
     a, words = 0, 0
     for i, x in enumerate(lists):
-        words += len(x)
-        if words >= CHUNK_WORDS:
+        words += len(x) + DARTS
+        if words >= CHUNK:
             yield a, i + 1
             a, words = i + 1, 0
     if a < len(lists):
