@@ -155,7 +155,7 @@ def path_violations(spark, sf_dir):
 
 
 def empty_includes(spark, sf_dir):
-    files = read(spark, sf_dir, "documents").filter("doc_id is not null").selectExpr("concat('case-', cast(doc_id % 25 as string)) as case_id", "concat('src/', source, '/d', cast(doc_id as string)) as path")
+    files = read(spark, sf_dir, "documents").filter("doc_id is not null").selectExpr("concat('case-', cast(doc_id div 40 as string)) as case_id", "concat('src/', source, '/d', cast(doc_id as string)) as path")
     includes = files.select("case_id").distinct().select("case_id", F.explode(F.array(*(F.lit(f"src/src{k}") for k in range(30)))).alias("entry"))
     return bundles.check_includes(files, includes)
 
@@ -204,7 +204,7 @@ def _oracle() -> dict[str, str]:
           select 'required_attempt' as rule, key from k where run_no % 83 = 9 union all select 'times', key from k where run_no % 89 = 10 union all select 'success', key from k where status = 'succeeded' and run_no % 97 = 11
           union all select 'identity_digests', key from k where run_no % 101 = 12 union all select 'cached', key from k where cached_input_tokens > input_tokens""",
         "path_violations": "select 'unsafe_path' as rule, (['/', 'a/../', 'b\\', 'é/', 'c//'])[doc_id % 9 + 1] || doc_id as key from documents where doc_id % 9 < 5",
-        "empty_includes": "with f as (select distinct doc_id % 25 as c, source from documents where doc_id is not null), w as (select c, 'src' || k as source from (select distinct c from f), range(30) as r(k)) select 'empty_include' as rule, 'case-' || c || '/src/' || source as key from w where (c, source) not in (select (c, source) from f)",
+        "empty_includes": "with f as (select distinct doc_id // 40 as c, source from documents where doc_id is not null), w as (select c, 'src' || k as source from (select distinct c from f), range(30) as r(k)) select 'empty_include' as rule, 'case-' || c || '/src/' || source as key from w where (c, source) not in (select (c, source) from f)",
         "issue_summary_violations": with_views("adjudications") + _SCORED + f""" select 'unadjudicated' as rule, {key} || '/' || mechanism_id as key from pairs where expected_status <> 'unverified' and decision not in ('match', 'no_match') union all select 'total_findings', 'exp-1' from pairs where experiment_id = 'exp-1' group by 2
           union all select 'repaired_false_positives', experiment_id from pairs where snapshot = 'fixed' and decision = 'match' group by experiment_id""",
     }

@@ -64,7 +64,8 @@ def canonical_events(spark, sf_dir):
 
 
 def _files(spark, sf_dir):
-    return read(spark, sf_dir, "documents").filter("doc_id is not null").select(F.concat(F.lit("case-"), F.col("doc_id") % 25).alias("case_id"), F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text", "doc_id")
+    """Documents as the files of cases, forty to a case, so that a case doesn't grow with the table."""
+    return read(spark, sf_dir, "documents").filter("doc_id is not null").select(F.expr("concat('case-', cast(doc_id div 40 as string))").alias("case_id"), F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text", "doc_id")
 
 
 def selected_context(spark, sf_dir):
@@ -136,7 +137,7 @@ def _oracle() -> dict[str, str]:
     phrases = f"b as (select 'item-' || item_id as case_id, {norm('text')} as v from benchmark), d as (select 'doc-' || doc_id as request_id, {norm('text')} as t from documents where text is not null)"
     cases = with_views("cases") + ", c as (select case_id, repository, cat_a as defect_category, case when greatest(vulnerable_tokens, fixed_tokens) <= 2000 then 'small' when greatest(vulnerable_tokens, fixed_tokens) <= 8000 then 'medium' else 'large' end as context_size_band, role from cases)"
     long = " union all ".join(f"select '{d}' as dimension, {d} as value, role from c" for d in corpus_split.DIMENSIONS)
-    files = "files as (select 'case-' || (doc_id % 25) as case_id, 'src/' || source || '/' || lang || '/d' || doc_id || '.txt' as path, text, doc_id from documents where doc_id is not null)"
+    files = "files as (select 'case-' || (doc_id // 40) as case_id, 'src/' || source || '/' || lang || '/d' || doc_id || '.txt' as path, text, doc_id from documents where doc_id is not null)"
     err = "case when page_id % 7 = 0 then 'none' else (['provider', 'usage', 'internal', 'timeout', 'configuration', 'redacted_unknown'])[page_id % 6 + 1] end"
     return {
         "leaked_phrases": f"with {phrases} select case_id, request_id from b join d on contains(t, v)",
