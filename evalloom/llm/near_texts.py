@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import connected_components, materialize
+from evalloom.llm.common import broadcast_if_small, connected_components, materialize
 
 SHINGLE = 5
 BANDS, ROWS = 24, 6
@@ -228,17 +228,17 @@ def block_links(reps: DataFrame, found: DataFrame, docs: DataFrame, threshold: f
     """
     rows = reps.select("id", F.explode("bands").alias("band")).join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = rows.groupBy("band", "component").agg(F.count("*").alias("k"))
-    several = parts.groupBy("band").agg(F.sum("k").alias("n"), F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).filter(F.col("n") > SMALL).filter("parts > 1")
-    members = materialize(rows.join(several.select("band", "main"), "band").select("band", "id", "component", (F.col("component") == F.col("main")).alias("main")), "members")
+    several = materialize(parts.groupBy("band").agg(F.sum("k").alias("n"), F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).filter(F.col("n") > SMALL).filter("parts > 1").select("band", "main"), "several")
+    members = materialize(rows.join(broadcast_if_small(several), "band").select("band", "id", "component", (F.col("component") == F.col("main")).alias("main")), "members")
     if members.isEmpty():
         return members.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
     sets = shingle_sets(members.select(F.col("id").alias("doc_id")), docs)
     sized = members.join(sets.groupBy("id").agg(F.sum(F.octet_length("elements") / 8).alias("size")), "id")
     blocks = lambda of: F.greatest(F.ceil(F.count_if(of) / BLOCK), F.ceil(F.sum(F.when(of, F.col("size"))) / BLOCK_SHINGLES)).cast("int")
-    cut = sized.groupBy("band").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others"))
+    cut = materialize(sized.groupBy("band").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others")), "blocks")
     mine = F.when(F.col("main"), F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
     other = F.explode(F.sequence(F.when(F.col("main"), F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1))
-    dealt = members.join(cut, "band").select("band", "id", "component", mine.alias("mine"), other.alias("other"))
+    dealt = members.join(broadcast_if_small(cut), "band").select("band", "id", "component", mine.alias("mine"), other.alias("other"))
     dealt = dealt.select("band", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "id", "component")
     return dealt.join(sets, "id").groupBy("band", "a", "b").applyInPandas(lambda g: joining(g, threshold), "src long, dst long").distinct()
 

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import connected_components, materialize
+from evalloom.llm.common import broadcast_if_small, connected_components, materialize
 
 WINDOW = 24
 BITS = 48
@@ -32,6 +32,12 @@ MISS = 1e-3
 SEED = 77
 #: Representatives of a block when the pairs of a component are counted.
 BLOCK = 1_024
+#: Blocks of a component at least, as long as they have SPLIT members: so that the pairs of one component are many tasks' work.
+LEAST_BLOCKS, SPLIT = 16, 128
+
+
+def block_count(n: Column) -> Column:
+    return F.least(F.ceil(n / SPLIT), F.greatest(F.ceil(n / BLOCK), F.lit(LEAST_BLOCKS))).cast("int")
 
 
 def prefix_bits(n: int) -> float:
@@ -200,12 +206,11 @@ def prefix_links(reps: DataFrame, found: DataFrame, n: int, passes: int, thresho
     rows = materialize(rows.withColumn("component", F.coalesce("component", "id")), "prefixes")
     parts = rows.groupBy(*at, "component").agg(F.count("*").alias("k"))
     cut = parts.groupBy(*at).agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("most")).filter(F.col("n") > WINDOW + 1).filter("n > most.k")
-    blocks = lambda k: F.ceil(k / BLOCK).cast("int")
-    cut = cut.select(*at, F.col("most.component").alias("main"), blocks(F.col("most.k")).alias("mains"), blocks(F.col("n") - F.col("most.k")).alias("others"))
+    cut = materialize(cut.select(*at, F.col("most.component").alias("main"), block_count(F.col("most.k")).alias("mains"), block_count(F.col("n") - F.col("most.k")).alias("others")), "cut")
     main = F.col("component") == F.col("main")
     mine = F.when(main, F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others"))).cast("int")
     other = F.explode(F.sequence(F.when(main, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1))
-    dealt = rows.join(cut, at).select(*at, "id", "component", mine.alias("mine"), other.alias("other"))
+    dealt = rows.join(broadcast_if_small(cut), at).select(*at, "id", "component", mine.alias("mine"), other.alias("other"))
     dealt = dealt.select(*at, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "id", "component")
     return dealt.join(reps.select("id", "x"), "id").groupBy(*at, "a", "b").applyInPandas(lambda g: joining(g, threshold), "src long, dst long").distinct()
 
@@ -213,7 +218,7 @@ def prefix_links(reps: DataFrame, found: DataFrame, n: int, passes: int, thresho
 def count_links(members: DataFrame, threshold: float) -> DataFrame:
     """id, links: for representatives (component, id, x, copies) of components with more than one, the vectors linked to each but its own copies."""
     sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    rows = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = members.join(sizes, "component").withColumn("blocks", block_count(F.col("n")))
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a component of one block: itself; else each pair of blocks is a group that gets both
     pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

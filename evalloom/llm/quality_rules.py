@@ -151,18 +151,18 @@ def calibrate(stats: DataFrame, labels: DataFrame, stratum: str, alpha: float =
     return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES))
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, cost: float = 20.0, reuse: bool = False) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, cost: float = 20.0, slim: bool = False) -> DataFrame:
     """``docs`` with the struct columns ``stats`` and ``rules`` (base_failed, rejected_by array, kept).
 
-    The statistics are computed from the whole text, once for calibration (they are written with the id) and once for the
-    result. With ``reuse`` the columns other than doc_id and the stratum are left out of the result and the statistics of
-    the calibration are used again. Columns of docs that are named stats, rules, _stratum or cut_ and a rule are left out.
+    The statistics are computed from the whole text, once: they are written beside the columns of ``docs``, from where both
+    calibration and the result read what they need. With ``slim`` only doc_id and the stratum are written and returned beside
+    them. Columns of docs that are named stats, rules, _stratum or cut_ and a rule are left out.
     """
     docs = docs.drop("stats", "rules", "_stratum", *(f"cut_{r}" for r in RULES))
     # a generated column: conditions on it can't be pushed below it, which would compute it once for each use
     counted = F.explode(F.array(base_statistics(F.col("text")))).alias("stats")
-    stats = materialize(docs.select("doc_id", stratum, counted), "stats")
-    docs = stats if reuse else docs.select("*", counted)
+    docs = materialize(docs.select(*(["doc_id", stratum] if slim else ["*"]), counted), "stats")
+    stats = docs.select("doc_id", stratum, "stats")
     cutoffs = materialize(calibrate(stats, labels, stratum, alpha, delta, cost), "cutoffs").withColumnRenamed("stratum", "_stratum")
     if cutoffs.count() <= BROADCAST_ROWS:
         cutoffs = F.broadcast(cutoffs)
@@ -174,7 +174,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
-    out = apply_rules(docs.select("doc_id", "text", "lang"), labels.select("doc_id", "quality"), reuse=True)
+    out = apply_rules(docs.select("doc_id", "text", "lang"), labels.select("doc_id", "quality"), slim=True)
     return out.select("doc_id", *(F.col(f"stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "rules.base_failed", "rules.kept")
 
 

@@ -39,6 +39,7 @@ def test_components(spark):
 
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "BLOCK", 16)
+    monkeypatch.setattr(near_vectors, "SPLIT", 16)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16))
     rows = [(i, (centres[i % 12] + rng.normal(size=16) * 0.22).tolist()) for i in range(150)] + [(200 + i, centres[0].tolist()) for i in range(30)] + [(300, (centres[0] * 3).tolist())]
