@@ -108,7 +108,8 @@ def test_responses():
 def test_contracts(spark, tmp_path):
     (tmp_path / "f.jsonl").write_text('{"run_id": "r", "finding_id": "a", "file_path": "../x", "start_line": 5, "end_line": 4, "severity": "odd", "confidence": 0.5}\n{"run_id": "r", "finding_id": "a", "file_path": "x", "severity": "low", "confidence": 1.0}\n')
     df = contracts.read_contract(spark, "finding", str(tmp_path / "f.jsonl"))
-    assert sorted(r["rule"] for r in contracts.check_contract(df, "finding").collect()) == ["lines", "path", "repeated", "severity"]
+    empty = [f"required_{c}" for c in ("defect_category", "explanation", "failure_mechanism", "title") for _ in range(2)]
+    assert sorted(r["rule"] for r in contracts.check_contract(df, "finding").collect()) == ["lines", "path", "repeated", *empty, "severity"]
     with pytest.raises(ValueError):
         contracts.require_sound(contracts.check_contract(df, "finding"))
 
