@@ -2,32 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.sources.scratch import shared_dir
+
 #: Rows of a table that may be broadcast; a table beyond it is joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; where it is unset in a local session, a temporary folder of this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="evalloom-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
 
 def materialize(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage ends here and survives lost executors."""
