@@ -154,15 +154,21 @@ def calibrate(stats: DataFrame, labels: DataFrame, stratum: str, alpha: float =
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, cost: float = 20.0, slim: bool = False) -> DataFrame:
     """``docs`` with the struct columns ``stats`` and ``rules`` (base_failed, rejected_by array, kept).
 
-    The statistics are computed from the whole text, once: they are written beside the columns of ``docs``, from where both
-    calibration and the result read what they need. With ``slim`` only doc_id and the stratum are written and returned beside
-    them. Columns of docs that are named stats, rules, _stratum or cut_ and a rule are left out.
+    The statistics are computed from the whole text. For calibration they are written without the text: those of labelled
+    documents if few are labelled, and else of all. With ``slim`` only doc_id and the stratum are returned beside stats and
+    rules, and what was written is used again; else the result computes them anew, so that no second copy of the texts is
+    written. Columns of docs that are named stats, rules, _stratum or cut_ and a rule are left out.
     """
     docs = docs.drop("stats", "rules", "_stratum", *(f"cut_{r}" for r in RULES))
     # a generated column: conditions on it can't be pushed below it, which would compute it once for each use
     counted = F.explode(F.array(base_statistics(F.col("text")))).alias("stats")
-    docs = materialize(docs.select(*(["doc_id", stratum] if slim else ["*"]), counted), "stats")
-    stats = docs.select("doc_id", stratum, "stats")
+    labelled = docs
+    if not slim:
+        ids = labels.filter("doc_id is not null and quality is not null").select("doc_id").distinct()
+        if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            labelled = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    stats = materialize(labelled.select("doc_id", stratum, counted), "stats")
+    docs = stats if slim else docs.select("*", counted)
     cutoffs = materialize(calibrate(stats, labels, stratum, alpha, delta, cost), "cutoffs").withColumnRenamed("stratum", "_stratum")
     if cutoffs.count() <= BROADCAST_ROWS:
         cutoffs = F.broadcast(cutoffs)
