@@ -110,7 +110,8 @@ def bucket_count(docs: DataFrame) -> int:
     return int(max(16, 2 * docs.rdd.getNumPartitions()))
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+def text_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of neighbouring texts of about SPLIT_BYTES."""
     size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     a, held = 0, 0
     for i, n in enumerate(size.tolist()):
@@ -170,7 +171,7 @@ def make_blocks(docs: DataFrame, split: Callable[[pa.Array], tuple[pa.Array, np.
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             ids, flags = batch.column(0).to_pylist(), pc.fill_null(batch.column(2), False).to_pylist()
-            for a, b in _slices(texts):
+            for a, b in text_slices(texts):
                 words, lens = split(texts.slice(a, b - a))
                 now[0].extend(ids[a:b])
                 now[1].extend(flags[a:b])
