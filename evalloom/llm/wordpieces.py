@@ -50,12 +50,13 @@ def byte_pieces(text: str) -> list[str]:
     return out
 
 
-def _listed(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def listed(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The elements of lists, and their number for each."""
     return lists.flatten(), np.diff(lists.offsets.to_numpy())
 
 
 def _cut_runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    words, lens = _listed(pc.split_pattern(pc.replace_substring_regex(texts, r"([ \t\n\r\f\v]+)", "\x01\\1"), "\x01"))
+    words, lens = listed(pc.split_pattern(pc.replace_substring_regex(texts, r"([ \t\n\r\f\v]+)", "\x01\\1"), "\x01"))
     feed = pc.match_substring_regex(words, r"^\n[^ \t\n\r\f\v]")
     first = np.zeros(len(words), bool)
     first[np.cumsum(lens) - lens] = True
@@ -69,14 +70,14 @@ def _cut_spaces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     for text in texts.to_pylist():
         pieces = byte_pieces(text)
         lists.append([p[1:] if k and clean(p[1:]) and p[0] == " " else "\r" + p for k, p in enumerate(pieces)] or ["\r"])
-    return _listed(pa.array(lists, pa.list_(texts.type)))
+    return listed(pa.array(lists, pa.list_(texts.type)))
 
 
 def byte_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of texts for byte-level BPE, one text after another, and their number for each."""
     kind = np.where(pc.match_substring_regex(texts, _RUNS).to_numpy(zero_copy_only=False), 1, 0)
     kind[pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False)] = 2
-    cut = lambda x: _listed(pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\r", x, ""), "\n", " \n"), " "))
+    cut = lambda x: listed(pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\r", x, ""), "\n", " \n"), " "))
     if not kind.any():
         return cut(texts)
     parts, lens, place = [], np.zeros(len(texts), np.int64), []
@@ -97,7 +98,7 @@ def byte_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def plain_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Runs of characters other than ASCII white space, one text after another, and their number for each."""
-    words, lens = _listed(pc.ascii_split_whitespace(texts))
+    words, lens = listed(pc.ascii_split_whitespace(texts))
     some = pc.greater(pc.binary_length(words), 0)
     text = np.repeat(np.arange(len(lens)), lens)[some.to_numpy(zero_copy_only=False)]
     return words.filter(some), np.bincount(text, minlength=len(lens))
