@@ -1,4 +1,4 @@
-"""Typed reading of contract documents, rule checks, scored-table sinks."""
+"""Typed reading of contract documents and rule checks."""
 
 from __future__ import annotations
 
@@ -81,12 +81,3 @@ def require_sound(violations: DataFrame) -> None:
 def check_digest(df: DataFrame, stored: str, computed: Column, key: str) -> DataFrame:
     """Violations: stored digests that are not the computed one."""
     return df.filter(~F.col(stored).eqNullSafe(computed)).select(F.lit("digest").alias("rule"), F.col(key).alias("key"))
-
-
-def write_scored(tables: dict[str, DataFrame], path: str) -> None:
-    """Scored tables as Parquet, partitioned by experiment."""
-    for name, df in tables.items():
-        if "experiment_id" in df.columns:
-            df.write.mode("overwrite").partitionBy("experiment_id").parquet(f"{path}/{name}")
-        else:
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
