@@ -38,11 +38,11 @@ from evalloom.llm.wordpieces import spans as ranges
 
 #: Bytes of a window, and of an anchor.
 LENGTH, ANCHOR = 200, 100
-#: Bytes of a chunk's texts, give or take a document; windows whose anchors are found at a time (their places take 20 bits).
-CHUNK_BYTES = 8 << 20
-SLICE = (1 << 20) - LENGTH
+#: Bytes of a chunk's texts, give or take a document; windows whose anchors are found at a time (a place in them takes 20 bits at most).
+CHUNK_BYTES = 4 << 20
+SLICE = (1 << 18) - LENGTH
 #: Contexts of a shard, give or take those of one anchor.
-SHARD = 4_096
+SHARD = 2_048
 #: Bytes by which suffixes are told apart at first: seven of nine bits fill a key.
 FIRST = 7
 
@@ -78,7 +78,7 @@ def window_anchors(raw: np.ndarray, lens: np.ndarray, slice_: int = SLICE) -> tu
         new = np.flatnonzero(np.diff(at, prepend=-1))
         begins.append(s + new)
         anchors.append(s + at[new])
-        hashes.append(h[at[new]])
+        hashes.append(mix(h[at[new]]))  # the least of many are small: mixed again, they fill all buckets
     begin, anchor, h = (np.concatenate(x) for x in (begins, anchors, hashes))
     ends = np.cumsum(lens)
     some = lens >= LENGTH
@@ -130,7 +130,7 @@ def make_chunks(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK_BYTES) -
 
         ids, lens, texts, held = [], [], [], 0
         for batch in batches:
-            column = pc.fill_null(batch.column(1), "")
+            column = pc.fill_null(batch.column(1), "") if batch.column(1).null_count else batch.column(1)
             for a, b in text_slices(column):
                 offsets, raw = raw_words(column.slice(a, b - a))
                 ids.extend(batch.column(0).slice(a, b - a).to_pylist())
@@ -339,7 +339,7 @@ def clean(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     starts = np.concatenate(starts)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + LENGTH, -1)
-    gone = np.cumsum(change)[:-1] > 0
+    gone = np.cumsum(change, dtype=np.int32)[:-1] > 0
     lens = np.array(row["lens"], np.int64)
     ends = np.cumsum(lens)
     edge = np.zeros(len(gone) + 1, bool)
@@ -347,7 +347,7 @@ def clean(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     start = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]])))
     stop = np.flatnonzero(gone & (edge[1:] | ~np.concatenate([gone[1:], [False]]))) + 1
     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-    cuts = np.concatenate([[0], np.cumsum(~gone)])[np.concatenate([[0], ends])].tolist()
+    cuts = np.concatenate([[0], np.add.accumulate(~gone, dtype=np.int32)])[np.concatenate([[0], ends])].tolist()
     of = np.searchsorted(start, np.concatenate([[0], ends])).tolist()
     base = (ends - lens).tolist()
     lists = [[{"start": s - b, "length": t - s} for s, t in zip(start[x:y].tolist(), stop[x:y].tolist())] if y > x else [] for x, y, b in zip(of, of[1:], base)]
