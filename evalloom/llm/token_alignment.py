@@ -17,9 +17,9 @@ an empty result; other columns are ignored. Tokens have at least one byte, so on
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.blocks import long_ids, pack_many, text_slices, unpack_many
-from evalloom.llm.common import materialize, materialize_bucketed
-from evalloom.llm.wordpieces import listed, spans
+from evalloom.llm.common import materialize, materialize_bucketed, small_batches
+from evalloom.llm.wordpieces import WordEncoder, listed, spans
 
-#: Bytes of a chunk's texts, give or take a document; words whose tokens are joined at a time.
-CHUNK_BYTES = 16 << 20
-BATCH_WORDS = 400_000
+#: Bytes of a chunk's texts, give or take a document; words encoded, words and tokens joined at a time.
+CHUNK_BYTES = 8 << 20
+ENCODED, BATCH_WORDS, BATCH_TOKENS = 20_000, 100_000, 250_000
 #: Bytes of a document that one element of the state vector sees through.
 STRETCH = 4_096
 #: White space that ends a word, all that may be white space to either tokenizer, and texts that need more than single spaces and line feeds.
@@ -79,43 +79,54 @@ class TokenizerPair:
     """A byte-level BPE file of tokenizers (A) and a model of sentencepiece (B), with the bytes of all their entries."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        self.a, self.b = WordEncoder(path_a, True), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.a.tokenizer.encode_special_tokens = True
         # each byte is one character of an entry: itself if it can be printed, else the next from 256 on
         printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printed)}
-        vocabulary = self.a.get_vocab(True)
+        vocabulary = self.a.tokenizer.get_vocab(True)
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             self.bytes_a[i] = bytes(letters.get(c, 63) for c in piece)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in table]) for table in (self.bytes_a, self.bytes_b))
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(table), np.uint8) for table in (self.bytes_a, self.bytes_b))
         #: Whether some entry of B has white space after another character, so that texts can't be cut.
         self.whole = any(re.search(f"[^{_WHITE}][{_CUT}▁]", p) for p in pieces)
         self.before = self.b.encode("x")
 
     def encode(self, words: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], dict[int, tuple[bytes, bytes, bytes]]]:
         """Numbers of ids of each word and all ids, both for A and for B; and own bytes, A's and B's of each word where they differ."""
-        texts = [spaced(w) for w in words.to_pylist()]
-        ids_a = [e.ids for i in range(0, len(texts), 1_000) for e in self.a.encode_batch_fast(texts[i : i + 1_000], add_special_tokens=False)]
-        if self.whole:  # B puts the space before them itself
-            ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        else:
-            ids_b = [x[len(self.before) :] for x in self.b.encode(["x" + t for t in texts], num_threads=1)]
-        bad = {}
-        for k, text in enumerate(texts):
-            raw, a, b = text.encode(), b"".join([self.bytes_a[i] for i in ids_a[k]]), b"".join([self.bytes_b[i] for i in ids_b[k]])
-            if raw != a or raw != b:
-                bad[k] = (raw, a, b)
-        flat = [np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b)]
-        return [np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b)], flat, bad
+        sizes, ids, bad = ([], []), ([], []), {}
+        for begin in range(0, len(words), ENCODED):
+            part = words.slice(begin, ENCODED)
+            texts = [spaced(w) for w in part.to_pylist()]
+            if self.whole:  # B puts the space before them itself
+                lists = self.b.encode([t[1:] for t in texts], num_threads=1)
+            else:
+                lists = [x[len(self.before) :] for x in self.b.encode(["x" + t for t in texts], num_threads=1)]
+            n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+            n_a, ids_a = self.a.encode(part)
+            ids_b = np.fromiter(chain.from_iterable(lists), np.int64, int(n_b.sum()))
+            raws = [t.encode() for t in texts]
+            lens = np.fromiter(map(len, raws), np.int64, len(raws))
+            wrong = np.zeros(len(raws), bool)
+            for n, found, size, flat in ((n_a, ids_a, self.size_a, self.flat_a), (n_b, ids_b, self.size_b, self.flat_b)):
+                of = np.repeat(np.arange(len(n)), n)
+                long = np.bincount(of, size[found], len(n)) != lens
+                own, fits = found[~long[of]], np.repeat(~long, lens)
+                joined = flat[spans((np.cumsum(size) - size)[own], size[own])]
+                wrong |= long
+                wrong[np.repeat(np.arange(len(n)), lens)[fits][joined != np.frombuffer(b"".join(raws), np.uint8)[fits]]] = True
+            ends = [np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b)]
+            for k in np.flatnonzero(wrong).tolist():
+                bad[begin + k] = (raws[k], *(b"".join([table[i] for i in found[e[k] : e[k + 1]].tolist()]) for table, found, e in ((self.bytes_a, ids_a, ends[0]), (self.bytes_b, ids_b, ends[1]))))
+            for to, x in zip((*sizes, *ids), (n_a, n_b, ids_a.astype(np.int64), ids_b)):
+                to.append(x)
+        return [np.concatenate([np.empty(0, np.int64), *x]) for x in sizes], [np.concatenate([np.empty(0, np.int64), *x]).astype(np.uint32) for x in ids], bad
 
 
 def tokenizer_pair(path_a: str, path_b: str) -> TokenizerPair:
@@ -157,7 +168,7 @@ def group_texts(ids_a: np.ndarray, ids_b: np.ndarray, cut_a: np.ndarray, cut_b:
     of_a, of_b = (np.cumsum(cut) - cut for cut in (cut_a, cut_b))  # the group of each token
     before_a, before_b = (np.concatenate([[0], np.flatnonzero(cut) + 1]) for cut in (cut_a, cut_b))
     place_a, place_b = np.arange(len(ids_a)) + before_b[of_a], np.arange(len(ids_b)) + before_a[of_b + 1]
-    value, mark = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
+    value, mark = np.empty(n, np.uint32), np.full(n, ord(","), np.uint8)
     value[place_a], value[place_b] = ids_a, ids_b
     mark[place_a[cut_a]], mark[place_b[cut_b]] = ord("|"), ord(";")
     digits = 1 + sum((value >= 10**k).astype(np.int64) for k in range(1, 10))
@@ -188,7 +199,7 @@ def align_chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             lens = np.concatenate(lens)
             found = pa.chunked_array(words, pa.large_string()).combine_chunks().dictionary_encode()
             words.clear()
-            codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = found.indices.to_numpy(zero_copy_only=False)
             sizes, ids_of, bad = pair.encode(found.dictionary)
             begins = [np.cumsum(n) - n for n in sizes]
             ends, at, out = np.cumsum(lens), 0, [[], [], [], [], [], []]
@@ -214,17 +225,17 @@ def align_chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     counts.append(np.diff(np.concatenate([[0], np.cumsum(size[mine])])[np.concatenate([[0], np.cumsum(n)])]))
                 last = np.cumsum(counts[0])[counts[0] > 0] - 1
                 cuts = common_cuts(*byte_ends, byte_ends[0][last]) if len(last) else (np.zeros(0, bool),) * 2
-                for held, x in zip(out, (*tokens, *cuts, *counts)):
-                    held.append(x)
+                for to, x in zip(out, (*tokens, *cuts, *counts)):
+                    to.append(x)
                 at = upto
             tokens_a, tokens_b, cut_a, cut_b, n_a, n_b = (np.concatenate(x) for x in out)
             serial += 1
-            data = pack_many(tokens_a.astype("<u4"), tokens_b.astype("<u4"), np.packbits(cut_a), np.packbits(cut_b))
+            data = pack_many(tokens_a, tokens_b, np.packbits(cut_a), np.packbits(cut_b))
             return pd.DataFrame([((part << 32) + serial - 1, ids, n_a, n_b, data)], columns=["chunk", "doc_ids", "n_a", "n_b", "tokens"])
 
         ids, words, lens, held = [], [], [], 0
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
+            texts = pc.fill_null(batch.column(1), "") if batch.column(1).null_count else batch.column(1)
             for a, b in text_slices(texts):
                 mine = texts.slice(a, b - a)
                 found, n = split_words(mine, pair.whole)
@@ -242,12 +253,13 @@ def align_chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     types = pa.schema([("chunk", pa.int64()), *((c, pa.list_(pa.int64())) for c in names[1:4]), ("tokens", pa.binary())])
     arrow = lambda batches: (pa.RecordBatch.from_pylist([row], types) for frame in run(batches) for row in frame.to_dict("records"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize_bucketed(rows.mapInArrow(arrow, CHUNKS), "chunk", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunks")
+    with small_batches(docs.sparkSession):
+        return materialize_bucketed(rows.mapInArrow(arrow, CHUNKS), "chunk", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunks")
 
 
 def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     a, b, cut_a, cut_b = unpack_many(data, 4)
-    return a.astype(np.int64), b.astype(np.int64), np.unpackbits(cut_a, count=len(a)).astype(bool), np.unpackbits(cut_b, count=len(b)).astype(bool)
+    return a, b, np.unpackbits(cut_a, count=len(a)).astype(bool), np.unpackbits(cut_b, count=len(b)).astype(bool)
 
 
 def chunk_pairs(chunks: DataFrame) -> DataFrame:
@@ -257,7 +269,7 @@ def chunk_pairs(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for chunk, data in zip(batch["chunk"].tolist(), batch["tokens"]):
                 a, b, cut_a, cut_b = _tokens(data)
-                pair, n = np.unique((a[cut_a] << 32) | b[cut_b], return_counts=True)
+                pair, n = np.unique((a[cut_a].astype(np.int64) << 32) | b[cut_b], return_counts=True)
                 yield pd.DataFrame({"chunk": chunk, "a": pair >> 32, "b": pair & 0xFFFFFFFF, "n": n})
 
     return chunks.select("chunk", "tokens").mapInPandas(run, "chunk long, a int, b int, n long")
@@ -282,14 +294,21 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         a, b, cut_a, cut_b = _tokens(row["tokens"])
         known = (counts["a"].to_numpy(np.int64) << 32) | counts["b"].to_numpy(np.int64)
         order = np.argsort(known)
-        of = order[np.searchsorted(known, (a[cut_a] << 32) | b[cut_b], sorter=order)] if len(known) else np.empty(0, np.int64)
-        total, best = (np.concatenate([[0], np.cumsum(counts[c].to_numpy(np.int64)[of])]) for c in ("n", "best"))
+        known, count, best = known[order], counts["n"].to_numpy(np.int64)[order], counts["best"].to_numpy(bool)[order]
         n_a, n_b = (np.array(row[c], np.int64) for c in ("n_a", "n_b"))
-        ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
-        links = np.concatenate([[0], np.cumsum(cut_a)])[np.concatenate([[0], ends_a])]
-        n = np.diff(links)
-        texts = [t.decode("ascii") for t in group_texts(a, b, cut_a, cut_b, ends_a, ends_b)]
-        return pd.DataFrame({"doc_id": long_ids(list(row["doc_ids"])), "n_a": n_a, "n_b": n_b, "n_groups": n, "n_links": n, "n_best": np.diff(best[links]), "count_sum": np.diff(total[links]), "groups": texts})
+        ends_a, ends_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+        sums, texts, at = [], [], 0
+        while at < len(n_a):  # some documents at a time
+            upto = max(at + 1, int(np.searchsorted(ends_a, ends_a[at] + BATCH_TOKENS, "right")) - 1)
+            x, y = slice(ends_a[at], ends_a[upto]), slice(ends_b[at], ends_b[upto])
+            mine_a, mine_b = ends_a[at : upto + 1] - x.start, ends_b[at : upto + 1] - y.start
+            of = np.searchsorted(known, (a[x][cut_a[x]].astype(np.int64) << 32) | b[y][cut_b[y]])
+            links = np.concatenate([[0], np.cumsum(cut_a[x])])[mine_a]
+            sums.append([np.diff(links), *(np.diff(np.concatenate([[0], np.cumsum(z[of])])[links]) for z in (best.astype(np.int64), count))])
+            texts += [t.decode("ascii") for t in group_texts(a[x], b[y], cut_a[x], cut_b[y], mine_a[1:], mine_b[1:])]
+            at = upto
+        n, n_best, total = (np.concatenate(z) for z in zip(*sums))
+        return pd.DataFrame({"doc_id": long_ids(list(row["doc_ids"])), "n_a": n_a, "n_b": n_b, "n_groups": n, "n_links": n, "n_best": n_best, "count_sum": total, "groups": texts})
 
     return chunks.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInPandas(finish, ALIGNED)
 
