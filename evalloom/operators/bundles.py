@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalloom.functions.digests import ordered_digest
 from evalloom.functions.text import is_composed
 
 MARKER = "\n[truncated]\n"
@@ -131,8 +132,9 @@ def fit_budget(files: DataFrame, byte_limit: int, file_tokens: int, total_tokens
 def bundle_manifest(entries: DataFrame) -> DataFrame:
     """Digest, bytes and tokens of every (case_id, snapshot)'s entries in path order."""
     line = F.concat_ws("\0", "path", F.sha2(F.col("content").cast("binary"), 256), F.col("truncated").cast("string"))
-    rows = entries.groupBy("case_id", "snapshot").agg(F.array_sort(F.collect_list(F.struct("path", line.alias("l")))).alias("rows"), F.sum("byte_count").alias("bytes"), F.sum("token_count").alias("tokens"), F.count("*").alias("files"))
-    return rows.select("case_id", "snapshot", "files", "bytes", "tokens", F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("rows", lambda r: r["l"]), "\n").cast("binary"), 256)).alias("digest"))
+    keys = ["case_id", "snapshot"]
+    sums = entries.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("byte_count").alias("bytes"), F.sum("token_count").alias("tokens"))
+    return sums.join(ordered_digest(entries, keys, ["path"], line).drop("n"), keys)
 
 
 def tree_digest(files: DataFrame, group: str) -> DataFrame:
@@ -142,5 +144,4 @@ def tree_digest(files: DataFrame, group: str) -> DataFrame:
     blob = F.sha1(F.concat(F.concat(F.lit("blob "), size.cast("string"), F.lit("\0")).cast("binary"), content))
     mode = F.col("mode") if "mode" in files.columns else F.lit("100644")
     line = F.concat_ws("\0", "path", mode, size.cast("string"), F.sha2(content, 256), blob)
-    rows = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("path", line.alias("l")))).alias("rows"))
-    return rows.select(group, F.size("rows").cast("long").alias("files"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("rows", lambda r: r["l"]), "\n").cast("binary"), 256)).alias("digest"))
+    return ordered_digest(files, [group], ["path"], line).select(group, F.col("n").alias("files"), "digest")

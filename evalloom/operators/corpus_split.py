@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.functions.digests import ordered_digest, placed
+
 DIMENSIONS = ("repository", "defect_category", "context_size_band")
 #: Selections that the exact search looks at at most.
 EXACT_LIMIT = 5_000_000
@@ -57,7 +59,7 @@ def split_objective(split: DataFrame) -> DataFrame:
 def stratified_holdout(cases: DataFrame, seed: int, holdout: int, locked: DataFrame | None = None) -> DataFrame:
     """Roles by largest-remainder quotas over joint strata, in seeded hash order within each; locked cases stay in development.
 
-    Strata are small groups of aggregates; the ranking within a stratum is the only sort.
+    A stratum may be large: its cases are ranked over many tasks.
     """
     rows = cases.withColumns({"stratum": F.concat_ws("\1", *DIMENSIONS), "order": order_key(seed)})
     free = rows if locked is None else rows.join(locked.select("case_id"), "case_id", "left_anti")
@@ -68,7 +70,8 @@ def stratified_holdout(cases: DataFrame, seed: int, holdout: int, locked: DataFr
     spare = quotas.agg((F.lit(holdout) - F.sum("base")).alias("spare"))
     ranked = quotas.join(F.broadcast(spare)).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), "stratum")))  # a row for each stratum
     quotas = ranked.select("stratum", (F.col("base") + F.when(F.col("r") <= F.col("spare"), 1).otherwise(0)).alias("quota"))
-    chosen = free.join(quotas, "stratum").withColumn("r", F.row_number().over(Window.partitionBy("stratum").orderBy("order", "case_id"))).filter("r <= quota").select("case_id", F.lit("holdout").alias("role_new"))
+    ranks = placed(free.select("stratum", "order", "case_id"), ["stratum"], ["order", "case_id"])
+    chosen = ranks.join(quotas, "stratum").filter("place < quota").select("case_id", F.lit("holdout").alias("role_new"))
     return cases.drop("role").join(chosen, "case_id", "left").withColumn("role", F.coalesce("role_new", F.lit("development"))).drop("role_new")
 
 
@@ -116,15 +119,13 @@ def best_holdout_exact(cases: DataFrame, seed: int, holdout: int, locked: tuple[
 
 
 def order_holdout(split: DataFrame, seed: int) -> DataFrame:
-    """Holdout cases with their seeded position: ranked within bins of the key's first digits, and bins follow each other."""
-    rows = split.filter("role = 'holdout'").select("case_id", order_key(seed).alias("order")).withColumn("bin", F.substr("order", F.lit(1), F.lit(3)))
-    sizes = rows.groupBy("bin").agg(F.count("*").alias("n"))  # at most 4,096 rows
-    before = sizes.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("bin").orderBy("order")))
-    return ranked.join(F.broadcast(before), "bin").select("case_id", (F.col("before") + F.col("r")).cast("int").alias("position"))
+    """Holdout cases with their seeded position."""
+    rows = split.filter("role = 'holdout'").select("case_id", order_key(seed).alias("order"))
+    return placed(rows, [], ["order", "case_id"]).select("case_id", (F.col("place") + 1).cast("int").alias("position"))
 
 
 def split_proof(split: DataFrame, seed: int) -> DataFrame:
     """Counts and a checksum of the ordered membership that does not disclose it."""
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "holdout", F.struct(order_key(seed).alias("k"), F.col("case_id").alias("c"))))), lambda x: x["c"]), "\n")
-    return split.agg(F.count("*").alias("case_count"), F.count_if(F.col("role") == "holdout").alias("holdout_count"), F.concat(F.lit("sha256:"), F.sha2(ordered.cast("binary"), 256)).alias("ordered_holdout_checksum"))
+    held = split.filter("role = 'holdout'").select("case_id", order_key(seed).alias("order"))
+    proof = ordered_digest(held, [], ["order"], F.col("case_id")).select(F.col("digest").alias("ordered_holdout_checksum"))
+    return split.agg(F.count("*").alias("case_count"), F.count_if(F.col("role") == "holdout").alias("holdout_count")).join(F.broadcast(proof), how="left")

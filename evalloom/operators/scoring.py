@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.functions.chains import endless
 from evalloom.operators import run_records
-from evalloom.sources.scratch import stored
+from evalloom.sources.scratch import broadcast_if_small, stored
 
 #: Severities from the lowest to the highest.
 SEVERITIES = ("low", "medium", "high", "critical")
@@ -24,11 +25,17 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), severity)
 
 
+def content_key(findings: DataFrame) -> Column:
+    """SHA-256 of all that a finding says, so that texts need not be moved to be compared."""
+    content = F.struct(*(c for c in CONTENT if c in findings.columns))
+    return F.sha2(F.to_json(content, {"ignoreNullFields": "false"}), 256)
+
+
 def mark_duplicates(findings: DataFrame) -> DataFrame:
     """Adds duplicate_of: the first finding of the run that says the same in every column of ``CONTENT`` there is, null for that one itself."""
-    content = [c for c in CONTENT if c in findings.columns]
-    first = F.min("finding_id").over(Window.partitionBy("run_id", *content))
-    return findings.withColumn("duplicate_of", F.when(first != F.col("finding_id"), first))
+    first = F.min("finding_id").over(Window.partitionBy("run_id", "_says"))
+    marked = findings.withColumn("_says", content_key(findings)).withColumn("_first", first)
+    return marked.withColumn("duplicate_of", F.when(F.col("_first") != F.col("finding_id"), F.col("_first"))).drop("_says", "_first")
 
 
 def overlaps(start: Column, end: Column, loc_start: Column, loc_end: Column) -> Column:
@@ -38,20 +45,26 @@ def overlaps(start: Column, end: Column, loc_start: Column, loc_end: Column) ->
     return F.when(loc_start.isNull(), F.lit(True)).when(start.isNull(), F.lit(False)).otherwise(bounded)
 
 
-def match_locations(pairs: DataFrame, locations: DataFrame) -> DataFrame:
-    """Adds path_match (exact, alias or none), accepted_path, location_match to rows of finding x mechanism.
+def pack_gold(mechanisms: DataFrame, locations: DataFrame) -> DataFrame:
+    """case_id, gold: a case's mechanisms as one array, each with its locations in their order (a case has few of both)."""
+    place = [c for c in ("loc_pos", "path", "aliases", "start_line", "end_line")]
+    packed = locations.groupBy("case_id", "mechanism_id").agg(F.array_sort(F.collect_list(F.struct(*place))).alias("locations"))
+    whole = mechanisms.join(packed, ["case_id", "mechanism_id"], "left")
+    return whole.groupBy("case_id").agg(F.collect_list(F.struct(*(c for c in mechanisms.columns if c != "case_id"), "locations")).alias("gold"))
+
 
-    Exact paths come before aliases; among candidates the first that overlaps, else the first by loc_pos. The join is by
-    (case, mechanism, path); a group holds the few locations of one mechanism.
+def match_location(path: Column, start: Column, end: Column, locations: Column) -> Column:
+    """path_match (exact, alias or none), accepted_path and location_match of a finding among a mechanism's locations, in the row.
+
+    Exact paths come before aliases; among candidates the first that overlaps, else the first.
     """
-    by_path = locations.select("case_id", "mechanism_id", "loc_pos", F.col("path").alias("file_path"), F.col("path").alias("accepted_path"), F.lit(0).alias("kind"), F.col("start_line").alias("ls"), F.col("end_line").alias("le"))
-    by_alias = locations.select("case_id", "mechanism_id", "loc_pos", F.explode("aliases").alias("file_path"), F.col("path").alias("accepted_path"), F.lit(1).alias("kind"), F.col("start_line").alias("ls"), F.col("end_line").alias("le"))
-    hits = pairs.select("run_id", "finding_id", "case_id", "mechanism_id", "file_path", "start_line", "end_line").join(by_path.union(by_alias), ["case_id", "mechanism_id", "file_path"])
-    hits = hits.withColumn("hit", overlaps(F.col("start_line"), F.col("end_line"), F.col("ls"), F.col("le")))
-    best = hits.groupBy("run_id", "finding_id", "mechanism_id").agg(F.min_by(F.struct("kind", "accepted_path", "hit"), F.struct("kind", ~F.col("hit"), "loc_pos")).alias("best"))
-    out = pairs.join(best, ["run_id", "finding_id", "mechanism_id"], "left")
-    kind = F.when(F.col("best").isNull(), F.lit("none")).when(F.col("best.kind") == 0, F.lit("exact")).otherwise(F.lit("alias"))
-    return out.withColumns({"path_match": kind, "accepted_path": F.col("best.accepted_path"), "location_match": F.coalesce("best.hit", F.lit(False))}).drop("best")
+    exact = F.filter(locations, lambda x: x["path"] == path)
+    alias = F.filter(locations, lambda x: F.array_contains(x["aliases"], path))
+    found = F.when(F.size(exact) > 0, exact).when(F.size(alias) > 0, alias)
+    hits = F.filter(found, lambda x: overlaps(start, end, x["start_line"], x["end_line"]))
+    chosen = F.coalesce(F.get(hits, F.lit(0)), F.get(found, F.lit(0)))
+    kind = F.when(F.size(exact) > 0, "exact").when(F.size(alias) > 0, "alias").otherwise("none")
+    return F.struct(kind.alias("path_match"), chosen["path"].alias("accepted_path"), F.coalesce(F.size(hits) > 0, F.lit(False)).alias("location_match"))
 
 
 def current_adjudications(adjudications: DataFrame) -> DataFrame:
@@ -63,8 +76,7 @@ def current_adjudications(adjudications: DataFrame) -> DataFrame:
 def check_adjudications(adjudications: DataFrame) -> DataFrame:
     """Violations (rule, key, detail) of an append-only log: unknown target, changed identity, two current rows, cycle.
 
-    The rows of one (run, finding, mechanism) are gathered and their chain is followed in place: a cycle is a chain that has
-    not ended after as many steps as there are rows.
+    A cycle is a chain of one (run, finding, mechanism) that never ends (see ``chains.endless``).
     """
     identity = ["run_id", "finding_id", "expected_mechanism_id"]
     prior = adjudications.select(F.col("adjudication_id").alias("supersedes"), *(F.col(c).alias(f"old_{c}") for c in identity), F.lit(True).alias("known"))
@@ -72,14 +84,8 @@ def check_adjudications(adjudications: DataFrame) -> DataFrame:
     unknown = linked.filter("known is null").select(F.lit("unknown_target").alias("rule"), F.col("adjudication_id").alias("key"), F.col("supersedes").alias("detail"))
     moved = linked.filter(F.expr(" or ".join(f"{c} <> old_{c}" for c in identity))).select(F.lit("changed_identity").alias("rule"), F.col("adjudication_id").alias("key"), F.col("supersedes").alias("detail"))
     twice = current_adjudications(adjudications).groupBy(*identity).agg(F.count("*").alias("n"), F.min("adjudication_id").alias("key")).filter("n > 1").select(F.lit("two_current").alias("rule"), "key", F.col("n").cast("string").alias("detail"))
-    chains = adjudications.groupBy(*identity).agg(F.collect_list(F.struct("adjudication_id", "supersedes")).alias("rows")).filter(F.size("rows") > 1)
-    links = F.map_from_entries(F.transform(F.filter("rows", lambda r: r["supersedes"].isNotNull()), lambda r: F.struct(r["adjudication_id"], r["supersedes"])))
-
-    def root(r: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size("rows")), r["adjudication_id"], lambda at, _: F.when(at.isNotNull(), F.element_at("links", at)))
-
-    cycles = chains.withColumn("links", links).select(F.explode(F.filter(F.transform("rows", lambda r: F.struct(r["adjudication_id"].alias("key"), root(r).alias("end"))), lambda x: x["end"].isNotNull())).alias("x"))
-    cycle = cycles.select(F.lit("cycle").alias("rule"), F.col("x.key").alias("key"), F.col("x.end").alias("detail"))
+    links = linked.filter("known").filter(F.expr(" and ".join(f"{c} <=> old_{c}" for c in identity)))
+    cycle = endless(links.select(F.col("adjudication_id").alias("id"), F.col("supersedes").alias("at"))).select(F.lit("cycle").alias("rule"), F.col("id").alias("key"), F.col("at").alias("detail"))
     return unknown.union(moved).union(twice).union(cycle)
 
 
@@ -111,10 +117,19 @@ def score_pairs(findings: DataFrame, mechanisms: DataFrame, locations: DataFrame
 
     findings carry case_id and snapshot; mechanisms: categories array; locations: aliases array.
     """
-    marked = mark_duplicates(findings).drop(*TEXTS)
-    pairs = match_locations(marked.join(mechanisms, "case_id"), locations)
-    decided = current_adjudications(adjudications).select("run_id", "finding_id", F.col("expected_mechanism_id").alias("mechanism_id"), "decision")
-    pairs = pairs.join(decided, ["run_id", "finding_id", "mechanism_id"], "left").withColumn("decision", F.coalesce("decision", F.lit("unadjudicated")))
+    own = [c for c in findings.columns if c not in TEXTS]
+    told = findings.select("run_id", "finding_id", content_key(findings).alias("says"), F.struct(*own).alias("f"))
+    decided = current_adjudications(adjudications).select("run_id", "finding_id", F.struct(F.col("expected_mechanism_id").alias("mechanism_id"), "decision").alias("d"))
+    # findings and decisions meet in the partitions of their runs, and stay there
+    rows = told.unionByName(decided, allowMissingColumns=True).repartition("run_id")
+    rows = rows.withColumn("decisions", F.collect_list("d").over(Window.partitionBy("run_id", "finding_id"))).filter("f is not null")
+    rows = rows.withColumn("first", F.min("finding_id").over(Window.partitionBy("run_id", "says")))
+    rows = rows.select("f.*", "decisions", F.when(F.col("first") != F.col("finding_id"), F.col("first")).alias("duplicate_of"))
+    pairs = rows.join(broadcast_if_small(pack_gold(mechanisms, locations)), "case_id").withColumn("m", F.explode("gold")).drop("gold")
+    match = match_location(F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("m.locations"))
+    decision = F.get(F.filter("decisions", lambda d: d["mechanism_id"] == F.col("m.mechanism_id")), F.lit(0))["decision"]
+    pairs = pairs.select("*", match.alias("at"), F.coalesce(decision, F.lit("unadjudicated")).alias("decision"))
+    pairs = pairs.select(*own, "duplicate_of", *(f"m.{c}" for c in mechanisms.columns if c != "case_id"), "at.*", "decision")
     rank = severity_rank(F.col("severity"))
     pairs = pairs.withColumns({
         "expected_status": F.when(F.col("snapshot") == "vulnerable", F.col("expect_vulnerable")).otherwise(F.col("expect_fixed")),

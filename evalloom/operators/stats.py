@@ -5,12 +5,13 @@ All tables are keyed by experiment_id; an unresolved outcome is null and suppres
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.sources.scratch import stored
+from evalloom.sources.scratch import broadcast_if_small, stored
 
 MODES = ("primary", "pessimistic", "optimistic")
 #: The terminal statuses of a run.
@@ -103,7 +104,7 @@ def quality(runs: DataFrame, findings: DataFrame, pairs: DataFrame) -> DataFrame
 def distributions(records: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Observations, missing, min, linear median, nearest-rank p95, max, mean and exact total of each metric by condition and over all.
 
-    Quantiles are exact without a group being gathered: values are counted, and their ranks follow from sums over bins.
+    Quantiles are exact without a group being gathered: values are counted, and the bin that holds a rank is refined.
     """
     long = records.select("experiment_id", "condition", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x"), F.col(m).cast("string").cast("decimal(38,6)").alias("d")) for m in metrics))))
     keys = ["experiment_id", "metric", "condition"]
@@ -119,33 +120,52 @@ def distributions(records: DataFrame, metrics: tuple[str, ...] = METRICS) -> Dat
     return out.select("experiment_id", "condition", "metric", "observations", "missing", "min", "median", "p95", "max", "mean", "total")
 
 
-def quantiles(values: DataFrame, keys: list[str], wanted: dict[str, tuple[float, bool]], bins: int = 1024) -> DataFrame:
-    """Quantiles of counted values (keys, x, n) by key: name to (p, linear or else nearest-rank).
+#: Bins of a pass, and the different values of a bin that are ranked in one task.
+BINS, FINE = 1_024, 4_096
 
-    A key's range is cut into ``bins``; values are ranked inside their bin only, after as many as the bins before hold.
+
+def quantiles(values: DataFrame, keys: list[str], wanted: dict[str, tuple[float, bool]], bins: int = BINS, fine: int = FINE) -> DataFrame:
+    """Quantiles of counted values (keys, x, n; an x once a key) by key: name to (p, linear or else nearest-rank).
+
+    A pass cuts the range of values that holds a rank into ``bins`` and goes on with the bin that holds it, from that bin's least value
+    to its greatest. A bin of at most ``fine`` different values is ranked. So however values lie, no task ranks more than that.
     """
-    edges = values.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all"))
-    binned = values.join(edges, keys).withColumn("bin", F.coalesce(F.floor((F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(0)))
-    sizes = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("size"))
-    earlier = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*keys, "bin", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
-    upto = Window.partitionBy(*keys, "bin").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = binned.join(before, [*keys, "bin"]).withColumn("last", F.col("before") + F.sum("n").over(upto))  # rank of the last of equal values
-    at = lambda rank: F.min(F.when(F.col("last") >= rank, F.col("x")))
-    n, out = F.col("all"), []
+    edges = values.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all"), F.count("*").alias("m"))
+    n, ranks = F.col("all"), []
     for name, (p, linear) in wanted.items():
         if linear:
-            place = (n - 1) * F.lit(p)
-            low = F.floor(place)
-            out += [at(low + 1).alias(f"{name}_a"), at(F.least(low + 2, n)).alias(f"{name}_b"), F.max(place - low).alias(f"{name}_w")]
+            low = F.floor((n - 1) * F.lit(p))
+            ranks += [(f"{name}_a", low + 1), (f"{name}_b", F.least(low + 2, n))]
         else:
-            out.append(at(F.ceil(n * F.lit(p).cast("decimal(6,4)"))).alias(name))
-    rows = ranked.groupBy(*keys).agg(*out)
-    for name, (_, linear) in wanted.items():
+            ranks.append((name, F.ceil(n * F.lit(p).cast("decimal(6,4)")).cast("long")))
+    # a row for each key and rank
+    at = edges.select(*keys, "lo", "hi", "m", "all", F.lit(0).cast("long").alias("before"), F.inline(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks))))
+    at = stored(at, "ranks")
+    done = []
+    upto = Window.partitionBy(*keys, "name").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    inside = lambda rows: values.join(broadcast_if_small(rows), keys).filter("x between lo and hi")
+    while True:
+        wide = at.filter((F.col("m") > fine) & (F.col("lo") < F.col("hi")))
+        done.append(at.filter((F.col("m") <= fine) | (F.col("lo") >= F.col("hi"))))
+        if wide.isEmpty():
+            break
+        place = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+        cut = inside(wide).groupBy(*keys, "name", "rank", "before", "all", place.alias("bin")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("size"), F.count("*").alias("m"))
+        cut = cut.withColumn("last", F.col("before") + F.sum("size").over(upto)).filter("last >= rank and last - size < rank")
+        at = stored(cut.select(*keys, "lo", "hi", "m", "all", (F.col("last") - F.col("size")).alias("before"), "name", "rank"), "ranks")
+    ends = reduce(DataFrame.unionByName, done)
+    order = Window.partitionBy(*keys, "name").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside(ends).withColumn("last", F.col("before") + F.sum("n").over(order)).filter("last >= rank")
+    found = ranked.groupBy(*keys, "name", "all").agg(F.min("x").alias("x"))
+    of = lambda k: F.max(F.when(F.col("name") == k, F.col("x")))
+    out = []
+    for name, (p, linear) in wanted.items():
         if linear:
-            a, b, w = (F.col(f"{name}_{c}") for c in "abw")
-            rows = rows.withColumn(name, a + (b - a) * w)
-    return rows.select(*keys, *wanted)
+            place = (F.max("all") - 1) * F.lit(p)
+            out.append((of(f"{name}_a") + (of(f"{name}_b") - of(f"{name}_a")) * (place - F.floor(place))).alias(name))
+        else:
+            out.append(of(name).alias(name))
+    return found.groupBy(*keys).agg(*out)
 
 
 def case_tags(cases: DataFrame, mechanisms: DataFrame, records: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from evalloom.operators import analysis, bootstrap, run_records, scoring, stats
 from evalloom.plans.demo import view, with_views
-from evalloom.sources.scratch import stored
+from evalloom.sources import scored_store
+from evalloom.sources.scratch import shared_dir, stored
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -100,6 +102,34 @@ def bootstrap_multinomial(spark, sf_dir):
     return bootstrap.bootstrap_intervals(stats.case_effects(modes(spark, sf_dir)), "multinomial")
 
 
+def bootstrap_convolution(spark, sf_dir):
+    """Intervals of infinitely many resamples."""
+    found = bootstrap.bootstrap_intervals(stats.case_effects(modes(spark, sf_dir)), "convolution")
+    return found.select("experiment_id", "mode", "effect", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"))
+
+
+def stored_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store of two experiments, written one after the other; the first is then written again, after a version without its failed runs."""
+    tables, path = stored_tables(scored(spark, sf_dir)), f"{shared_dir(spark)}/evalloom/store-{uuid.uuid4().hex}"
+    of = lambda e, where="true": {n: df.filter(F.col("experiment_id") == e).filter(where if n == "scored_runs" else "true") for n, df in tables.items()}
+    for part in (of("exp-0", "status = 'succeeded'"), of("exp-1"), of("exp-0")):
+        scored_store.write_scored(part, path)
+    return path
+
+
+def stored_runs(spark, sf_dir):
+    """Runs of the experiments of a store."""
+    return scored_store.read_scored(spark, stored_store(spark, sf_dir), "scored_runs").select("experiment_id", "run_id", "status", "primary_outcome")
+
+
+def stored_entries(spark, sf_dir):
+    """What a store's manifest says, and whether the files agree with it."""
+    path = stored_store(spark, sf_dir)
+    faults = scored_store.check_store(spark, path).groupBy("table", "experiment_id").agg(F.count("*").alias("faults"))
+    rows = scored_store.manifest(spark, path).join(faults, ["table", "experiment_id"], "left")
+    return rows.select(F.col("table").alias("table_name"), "experiment_id", "rows", F.coalesce("faults", F.lit(0)).alias("faults"))
+
+
 def repetition_stability(spark, sf_dir):
     return stats.repetition_stability(scored(spark, sf_dir)["scored_runs"]).withColumn("mean_variance", F.round("mean_variance", 10))
 
@@ -234,6 +264,21 @@ wide as (select experiment_id, mode, case_id, max(m) filter (snapshot = 'vulnera
 effects as (select experiment_id, mode, case_id, vc - vb as vulnerable_lift, fc - fb as fixed_false_positive_increase, (vc - vb) - (fc - fb) as net_useful_lift from wide)"""
 
 
+def _convolved(bits: int = 16) -> str:
+    """Quantiles of the sum of n thirds by repeated squaring, for up to 2 ** bits - 1 cases."""
+    steps = [""", whole as (select * from effects e where not exists (select 1 from effects o where o.experiment_id = e.experiment_id and o.mode = e.mode and o.net_useful_lift is null)),
+      long as (select experiment_id, mode, unnest(['vulnerable_lift', 'fixed_false_positive_increase', 'net_useful_lift']) as effect, unnest([vulnerable_lift, fixed_false_positive_increase, net_useful_lift]) as x from whole),
+      sized as (select experiment_id, mode, effect, count(*) as n from long group by all),
+      p0 as materialized (select experiment_id, mode, effect, any_value(n) as n, round(3 * x)::bigint as k, count(*)::double / any_value(n) as p from long join sized using (experiment_id, mode, effect) group by experiment_id, mode, effect, round(3 * x)),
+      t0 as (select experiment_id, mode, effect, n, 0::bigint as k, 1.0::double as p from sized)"""]
+    product = lambda a, b, where: f"select a.experiment_id, a.mode, a.effect, any_value(a.n) as n, a.k + b.k as k, sum(a.p * b.p) as p from {a} a join {b} b using (experiment_id, mode, effect) where {where} group by a.experiment_id, a.mode, a.effect, a.k + b.k having sum(a.p * b.p) > 1e-22"
+    for i in range(bits):
+        steps.append(f"t{i + 1} as materialized ({product(f't{i}', f'p{i}', f'(a.n >> {i}) & 1 = 1')} union all select * from t{i} where (n >> {i}) & 1 = 0)")
+        steps.append(f"p{i + 1} as materialized ({product(f'p{i}', f'p{i}', f'a.n >> {i + 1} > 0')})")
+    return ",\n".join(steps) + f""", reached as (select *, sum(p) over (partition by experiment_id, mode, effect order by k) + 1e-12 as c from t{bits})
+      select experiment_id, mode, effect, round(min(k) filter (c >= 0.025) / 3.0 / any_value(n), 9) as lower, round(min(k) filter (c >= 0.975) / 3.0 / any_value(n), 9) as upper from reached group by all"""
+
+
 @cache
 def oracle() -> dict[str, str]:
     base = with_views("adjudications") + _SCORED
@@ -250,7 +295,7 @@ def oracle() -> dict[str, str]:
     log = with_views("planted_adjudications") + """, linked as (select a.*, p.adjudication_id as pid, p.run_id as pr, p.finding_id as pf, p.expected_mechanism_id as pm from planted_adjudications a left join planted_adjudications p on p.adjudication_id = a.supersedes where a.supersedes is not null),
       log_faults as (select 'unknown_target' as rule, adjudication_id as key, supersedes as detail from linked where pid is null
         union all select 'changed_identity', adjudication_id, supersedes from linked where run_id <> pr or finding_id <> pf or expected_mechanism_id <> pm
-        union all select 'two_current', min(adjudication_id), count(*)::varchar from planted_adjudications where adjudication_id not in (select supersedes from planted_adjudications where supersedes is not null) group by run_id, finding_id, expected_mechanism_id having count(*) > 1
+        union all select 'two_current', min(adjudication_id), count(*)::varchar from planted_adjudications where not exists (select 1 from planted_adjudications s where s.supersedes = planted_adjudications.adjudication_id) group by run_id, finding_id, expected_mechanism_id having count(*) > 1
         union all select 'cycle', adjudication_id, adjudication_id from planted_adjudications where expected_mechanism_id = 'mc')"""
     return {
         "scored_pairs": base + " select run_id, finding_id, mechanism_id, duplicate_of, path_match, accepted_path, location_match, category_match, severity_match, decision, disposition from pairs",
@@ -260,7 +305,7 @@ def oracle() -> dict[str, str]:
         "current_adjudications": base + " select adjudication_id, run_id, decision from live",
         "adjudication_violations": log + " select * from log_faults",
         "scoring_gates": log + """, wanted as (select experiment_id, case_id, snapshot, condition, repetition, run_id from plan),
-          now as (select * from planted_adjudications where adjudication_id not in (select supersedes from planted_adjudications where supersedes is not null)),
+          now as (select * from planted_adjudications where not exists (select 1 from planted_adjudications s where s.supersedes = planted_adjudications.adjudication_id)),
           aimed as (select n.adjudication_id, m.mechanism_id, case when f.snapshot = 'vulnerable' then m.expect_vulnerable else m.expect_fixed end as expected from now n join findings f using (run_id, finding_id) left join mechanisms m on m.case_id = f.case_id and m.mechanism_id = n.expected_mechanism_id)
           select 'complete' as gate, 'record_missing' as rule, run_id as key from plan where run_id not in (select run_id from planted_records)
           union all select 'complete', 'record_repeated', run_id from planted_records group by run_id having count(*) > 1
@@ -288,6 +333,10 @@ def oracle() -> dict[str, str]:
           means as (select experiment_id, mode, b, round(avg(vulnerable_lift), 10) as v, round(avg(fixed_false_positive_increase), 10) as f, round(avg(net_useful_lift), 10) as l from drawn group by all),
           long as (select experiment_id, mode, 'vulnerable_lift' as effect, v as x from means union all select experiment_id, mode, 'fixed_false_positive_increase', f from means union all select experiment_id, mode, 'net_useful_lift', l from means)
           select experiment_id, mode, effect, quantile_disc(x, 0.025) as lower, quantile_disc(x, 0.975) as upper from long group by all""",
+        "bootstrap_convolution": base + _EFFECTS + _convolved(),
+        "stored_runs": base + " select experiment_id, run_id, status, primary_outcome from runs where experiment_id in ('exp-0', 'exp-1')",
+        "stored_entries": base + """, every as (select 'scored_pairs' as table_name, experiment_id from pairs union all select 'scored_findings', experiment_id from found union all select 'mechanism_outcomes', experiment_id from outcomes union all select 'scored_runs', experiment_id from runs)
+          select table_name, experiment_id, count(*) as rows, 0::bigint as faults from every where experiment_id in ('exp-0', 'exp-1') group by all""",
         "repetition_stability": base + """, cells as (select experiment_id, snapshot, condition, case_id, count(*) filter (primary_outcome is null) as opened, var_pop(primary_outcome::int) as v, min(primary_outcome::int) <> max(primary_outcome::int) as split from runs group by all)
           select experiment_id, snapshot, condition, count(*) filter (opened = 0) as complete_cases, count(*) filter (opened > 0) as unresolved_cases, count(*) filter (opened = 0 and split) as discordant_cases, round(avg(v) filter (opened = 0), 10) as mean_variance from cells group by all""",
         "cell_violations": with_views("records") + """, r as (select * from records where run_no % 101 <> 3 and not (snapshot = 'fixed' and condition = 'candidate' and run_no % 97 < 6)), k as (select case_id, snapshot, condition, count(*) as n from r group by all)
@@ -308,5 +357,5 @@ def oracle() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (scored_pairs, scored_findings, mechanism_outcomes, run_outcomes, current_adjudications, adjudication_violations, scoring_gates, scored_violations, combined_outcomes, statistics_tables, breakdown_counts, breakdown_discordance, outcome_counts, paired_result, discordance, case_effects, bootstrap_hash, bootstrap_multinomial, repetition_stability, cell_violations, quality_rates, operation_distributions, breakdowns, status_counts, cr1_bounds)}
+QUERIES = {f.__name__: f for f in (scored_pairs, scored_findings, mechanism_outcomes, run_outcomes, current_adjudications, adjudication_violations, scoring_gates, scored_violations, combined_outcomes, statistics_tables, breakdown_counts, breakdown_discordance, outcome_counts, paired_result, discordance, case_effects, bootstrap_hash, bootstrap_multinomial, bootstrap_convolution, stored_runs, stored_entries, repetition_stability, cell_violations, quality_rates, operation_distributions, breakdowns, status_counts, cr1_bounds)}
 ORACLE_SQL = oracle()

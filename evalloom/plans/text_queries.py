@@ -111,6 +111,10 @@ def holdout_order(spark, sf_dir):
     return corpus_split.order_holdout(_cases(spark, sf_dir), 10)
 
 
+def split_proof(spark, sf_dir):
+    return corpus_split.split_proof(_cases(spark, sf_dir), 10)
+
+
 def failure_classes(spark, sf_dir):
     """Documents' first words as standard error."""
     docs = read(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 7 == 0, F.lit("")).otherwise(F.concat(F.element_at(F.array(*map(F.lit, ("Connection Reset ", "usage: x ", "Traceback ", "request timed out ", "no config file ", "odd "))), (F.col("page_id") % 6 + 1).cast("int")), F.lower(F.substr("url", F.lit(1), F.lit(4))))).alias("stderr"))
@@ -159,6 +163,9 @@ def _oracle() -> dict[str, str]:
         "tree_digests": f"with {files} select case_id, count(*) as files, 'sha256:' || sha256(string_agg(path || chr(0) || '100644' || chr(0) || strlen(coalesce(text, '')) || chr(0) || sha256(coalesce(text, '')) || chr(0) || sha1('blob ' || strlen(coalesce(text, '')) || chr(0) || coalesce(text, '')), chr(10) order by path)) as digest from files group by 1",
         "split_balance": cases + f" select dimension, value, count(*) as total, count(*) filter (role = 'development') as development, count(*) filter (role = 'holdout') as holdout from ({long}) group by all",
         "split_objective": cases + f", b as (select dimension, value, count(*) as t, count(*) filter (role = 'holdout') as h from ({long}) group by all), n as (select count(*) as n, count(*) filter (role = 'holdout') as hh from c) select sum((h * n - t * hh)::hugeint * (h * n - t * hh))::decimal(38,0) as objective, max(n) as cases, max(hh) as holdout from b, n",
+        "split_proof": cases + """, lines as (select (row_number() over (order by sha256('10:' || case_id)) - 1) // 4096 as part, sha256('10:' || case_id) as o, case_id from c where role = 'holdout'),
+          parts as (select part, sha256(string_agg(case_id, chr(10) order by o)) as line from lines group by all)
+          select (select count(*) from c) as case_count, (select count(*) from lines) as holdout_count, 'sha256:' || case when count(*) = 1 then max(line) else sha256(string_agg(line, chr(10) order by part)) end as ordered_holdout_checksum from parts""",
         "holdout_order": cases + " select case_id, row_number() over (order by sha256('10:' || case_id)) as position from c where role = 'holdout'",
         "failure_classes": f"with p as (select page_id, {err} as c from pages) select page_id, c as stderr_class, case when page_id % 31 = 0 then 'timeout' when page_id % 29 = 0 then 'adapter_error' when page_id % 3 = 0 then case c when 'provider' then 'provider_error' when 'timeout' then 'timeout' when 'usage' then 'configuration_error' when 'configuration' then 'configuration_error' else 'adapter_error' end when page_id % 5 = 0 then 'invalid_output' else 'succeeded' end as status from p",
         "parsed_responses": "select event_id::varchar as run_id, case when event_id % 11 = 0 or event_id % 9 = 0 then 'invalid_output' else 'succeeded' end as status, case when event_id % 11 = 0 or event_id % 9 = 0 then 'OUTPUT_JSON_INVALID' end as error, case when event_id % 11 <> 0 and event_id % 9 <> 0 then event_id + 5 end as input_tokens, case when event_id % 11 <> 0 and event_id % 9 <> 0 then 7::bigint end as output_tokens, case when event_id % 11 <> 0 and event_id % 9 <> 0 then 2 + case when event_id % 4 = 0 then length(replace(props, ' ', '')) else 0 end end as chars from events",
@@ -170,5 +177,5 @@ def _oracle() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (leaked_phrases, leaked_shas, leakage_audit, request_components, public_scan, canonical_digests, canonical_events, selected_context, limited_texts, bundle_budgets, tree_digests, split_balance, split_objective, stratified_split, holdout_order, failure_classes, parsed_responses, contract_violations)}
+QUERIES = {f.__name__: f for f in (leaked_phrases, leaked_shas, leakage_audit, request_components, public_scan, canonical_digests, canonical_events, selected_context, limited_texts, bundle_budgets, tree_digests, split_balance, split_objective, stratified_split, holdout_order, split_proof, failure_classes, parsed_responses, contract_violations)}
 ORACLE_SQL = _oracle()

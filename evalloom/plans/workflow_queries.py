@@ -44,7 +44,13 @@ def execution_summary(spark, sf_dir):
 
 def case_digests(spark, sf_dir):
     rows = view(spark, sf_dir, "plan").withColumn("run", F.col("run_id"))
-    return plans.ordered_digest(rows, "case_id", "run_no", ["run", "snapshot", "condition"]).withColumn("n", F.col("n").cast("long"))
+    return plans.row_digests(rows, "case_id", "run_no", ["run", "snapshot", "condition"]).withColumn("n", F.col("n").cast("long"))
+
+
+def experiment_digests(spark, sf_dir):
+    """Groups of more rows than a part of a digest holds."""
+    rows = view(spark, sf_dir, "plan").withColumn("run", F.col("run_id"))
+    return plans.row_digests(rows, "experiment_id", "run_no", ["run", "snapshot", "condition"]).withColumn("n", F.col("n").cast("long"))
 
 
 def terminal_records(spark, sf_dir):
@@ -261,6 +267,9 @@ def oracle() -> dict[str, str]:
         "plan_violations": plan + " select 'missing' as rule, concat_ws('/', case_id, snapshot, condition, repetition) as key from plan where role = 'holdout' and condition = 'candidate'",
         "plan_summary": records + " select experiment_id, count(distinct case_id) as cases, count(*) as runs, count(*) filter (estimated_input_tokens is null) as unestimated, sum(estimated_input_tokens)::bigint as estimated_input_tokens, count(*) * 3 as maximum_calls, count(*) * 3 * 10000 as maximum_input_tokens, count(*) * 3 * 2000 as maximum_output_tokens, round((count(*) * 3 * 10000 * 2.5 + count(*) * 3 * 2000 * 15.0) / 1e6 * 1.1, 6) as projected_cost_usd from records join cases using (experiment_id, case_id) where role <> 'holdout' group by experiment_id",
         "execution_summary": records + " select p.experiment_id, count(*) as planned, count(status) as terminal, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status <> 'succeeded') as failed, count(*) = count(status) as complete from plan p left join (select run_id, status from records where status <> 'provider_error') r using (run_id) group by 1",
+        "experiment_digests": plan + """, lines as (select experiment_id, (row_number() over (partition by experiment_id order by run_no) - 1) // 4096 as part, run_no, sha256('{"run":"' || run_id || '","snapshot":"' || snapshot || '","condition":"' || condition || '"}') as line from plan),
+          parts as (select experiment_id, part, sha256(string_agg(line, chr(10) order by run_no)) as line, count(*) as n from lines group by all)
+          select experiment_id, 'sha256:' || case when count(*) = 1 then max(line) else sha256(string_agg(line, chr(10) order by part)) end as digest, sum(n)::bigint as n from parts group by all""",
         "case_digests": plan + """ select case_id, 'sha256:' || sha256(string_agg(sha256('{"run":"' || run_id || '","snapshot":"' || snapshot || '","condition":"' || condition || '"}'), chr(10) order by run_no)) as digest, count(*) as n from plan group by case_id""",
         "terminal_records": records + " select experiment_id, status, attempt, status in ('succeeded', 'configuration_error', 'adapter_error') or attempt >= 3 or status not in ('provider_error', 'timeout', 'invalid_output') as terminal, count(*) as n from records group by all",
         "completeness_violations": records + " select 'record_missing' as rule, run_id as key from plan where run_id not in (select run_id from records where status <> 'provider_error')",
@@ -301,5 +310,5 @@ def oracle() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (expanded_plan, plan_violations, pair_violations, plan_summary, execution_summary, case_digests, terminal_records, completeness_violations, identity_violations, recovery_selection, recovery_overlay, stage_violations, attempt_chain_violations, run_costs, cost_totals, remaining_projection, attempt_costs, packet_items, calibration_agreement, derived_adjudications, decision_gaps, decision_violations, discovery_summary, issue_discovery, raw_detection, corpus_table, public_breakdowns, report_violations, decisions)}
+QUERIES = {f.__name__: f for f in (expanded_plan, plan_violations, pair_violations, plan_summary, execution_summary, case_digests, experiment_digests, terminal_records, completeness_violations, identity_violations, recovery_selection, recovery_overlay, stage_violations, attempt_chain_violations, run_costs, cost_totals, remaining_projection, attempt_costs, packet_items, calibration_agreement, derived_adjudications, decision_gaps, decision_violations, discovery_summary, issue_discovery, raw_detection, corpus_table, public_breakdowns, report_violations, decisions)}
 ORACLE_SQL = oracle()
