@@ -279,6 +279,13 @@ def _convolved(bits: int = 16) -> str:
       select experiment_id, mode, effect, round(min(k) filter (c >= 0.025) / 3.0 / any_value(n), 9) as lower, round(min(k) filter (c >= 0.975) / 3.0 / any_value(n), 9) as upper from reached group by all"""
 
 
+def breakdown_tags() -> str:
+    """Each tag of each experiment, once."""
+    return """tagged_experiments as (select distinct experiment_id, dimension, tag from cases join (select case_id, 'repository' as dimension, repository as tag from cases union select case_id, 'category', cat_a from cases union select case_id, 'category', cat_b from cases
+      union select case_id, 'severity', case when severity_min = severity_max then severity_min else concat(severity_min, '-to-', severity_max) end from cases
+      union select case_id, 'context_size', case when max(estimated_input_tokens) is null then 'unknown' when max(estimated_input_tokens) <= 2000 then 'small' when max(estimated_input_tokens) <= 8000 then 'medium' else 'large' end from records group by case_id) using (case_id))"""
+
+
 @cache
 def oracle() -> dict[str, str]:
     base = with_views("adjudications") + _SCORED

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.operators import adjudication, bootstrap, cost, discovery, report, run_records, scoring, stats
+from evalloom.operators import adjudication, bootstrap, constraints, cost, discovery, report, run_records, scoring, stats
 from evalloom.operators import experiment_plan as plans
 from evalloom.plans import scoring_queries as base
 from evalloom.plans.demo import view, with_views
@@ -228,6 +231,60 @@ def report_violations(spark, sf_dir):
     return report.check_report(changed, effects, stats.discordance(modes), status, quality)
 
 
+def report_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of a report over the demonstration experiments."""
+    got = base.inputs(spark, sf_dir)
+    s, cases = base.stored_tables(scoring.score_experiment(**got)), view(spark, sf_dir, "cases")
+    modes, tags = stats.to_modes(s["scored_runs"]), stats.case_tags(cases, got["mechanisms"], got["records"])
+    billed = _billed(spark, sf_dir)
+    got["findings"].createOrReplaceTempView("findings")
+    tables = {
+        "corpus": report.corpus_table(cases), "counts": stats.outcome_counts(modes), "discordance": stats.discordance(modes), "stability": stats.repetition_stability(s["scored_runs"]),
+        "intervals": bootstrap.bootstrap_intervals(stats.case_effects(modes), "convolution"), "quality": stats.quality(s["scored_runs"], s["scored_findings"], s["scored_pairs"]),
+        "operations": stats.distributions(got["records"]), "breakdown_counts": stats.breakdown_counts(modes, tags), "status": stats.status_counts(s["scored_runs"]),
+        "runs": modes.groupBy("experiment_id", "mode").agg(F.count("*").alias("n")),
+        "discovery": discovery.discovery_summary(discovery.discovery_findings(s["scored_pairs"]), discovery.discovery_units(s["mechanism_outcomes"])),
+        "issues": discovery.issue_discovery(spark.sql(_ASSESSED)), "costs": cost.cost_totals(cost.account_costs(billed, billed.filter("status <> 'succeeded'"), spark.sql(PRICE), "v1")),
+    }
+    tables |= {"differences": stats.differences(tables["counts"]), "breakdowns": stats.differences(tables["breakdown_counts"], "dimension", "tag")}
+    return base.stored_tables(tables)
+
+
+def sound_report(spark, sf_dir):
+    """Rows of each table of a report, and the constraints that they break."""
+    tables = report_tables(spark, sf_dir)
+    faults = constraints.check_constraints(tables).agg(F.count("*").alias("faults"))
+    rows = reduce(DataFrame.union, (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items() if name in ("corpus", "counts", "differences", "stability", "operations", "breakdown_counts", "breakdowns", "status")))
+    return rows.crossJoin(F.broadcast(faults))
+
+
+def report_constraints(spark, sf_dir):
+    """Tables of a report after some of their numbers were changed, a change for each kind of constraint."""
+    t = report_tables(spark, sf_dir)
+
+    def change(table: str, where: str, **values: str) -> None:
+        t[table] = t[table].withColumns({c: F.expr(f"case when {where} then {v} else {c} end") for c, v in values.items()})
+
+    change("differences", "mode = 'optimistic' and effect = 'vulnerable_lift'", value="5.0")
+    change("intervals", "mode = 'optimistic' and effect = 'net_useful_lift'", upper="lower - 0.5")
+    t["intervals"] = t["intervals"].filter("not (experiment_id = 'exp-2' and mode = 'pessimistic')")
+    change("stability", "snapshot = 'vulnerable' and condition = 'baseline'", complete_cases="complete_cases + 1")
+    change("stability", "snapshot = 'fixed' and condition = 'candidate'", mean_variance="0.5")
+    change("quality", "metric = 'category' and condition = 'baseline'", correct="total + 1")
+    change("operations", "metric = 'latency_ms' and condition = 'all'", p95="max + 1")
+    change("operations", "metric = 'output_tokens' and condition = 'candidate'", missing="missing + 1")
+    change("operations", "metric = 'input_tokens' and condition = 'baseline'", mean="mean * 2")
+    change("operations", "metric = 'cached_input_tokens' and condition = 'baseline'", median="null")
+    change("discovery", "condition = 'baseline' and snapshot = 'fixed'", finding_unrelated="finding_unrelated + 1")
+    change("discovery", "condition = 'candidate' and snapshot = 'vulnerable'", precision="2.0", coverage="2.0")
+    change("issues", "condition = 'baseline' and snapshot = 'fixed'", known_instances="known_instances + 1")
+    change("issues", "condition = 'candidate' and snapshot = 'fixed'", false_positive_rate="2.0")
+    change("costs", "true", provider_usage_runs="completed_runs + 1")
+    change("breakdown_counts", "dimension = 'repository' and tag = 'repo-11' and mode = 'optimistic' and snapshot = 'fixed' and condition = 'baseline'", negative="negative + 1", total="total + 1", value="5.0")
+    t["status"] = t["status"].withColumn("n", F.expr("n + case when experiment_id = 'exp-1' and status = 'timeout' then 1 else 0 end"))
+    return constraints.check_constraints(t)
+
+
 def decisions(spark, sf_dir):
     s = base.scored(spark, sf_dir)
     modes = stats.to_modes(s["scored_runs"])
@@ -300,6 +357,14 @@ def oracle() -> dict[str, str]:
           union all select 'effect', experiment_id || '/pessimistic/fixed_false_positive_increase' from bad union all select 'discordance', experiment_id || '/pessimistic/fixed' from bad where (select sum(unresolved) from counts c where c.experiment_id = bad.experiment_id and mode = 'pessimistic' and snapshot = 'fixed') = 0
           union all select 'net', experiment_id || '/optimistic' from bad union all select * from (values ('status', 'exp-1'), ('valid_output', 'exp-1')) where exists (select 1 from bad where experiment_id = 'exp-1')
           union all select 'quality', experiment_id || '/all/path' from bad where exists (select 1 from found f where f.experiment_id = bad.experiment_id and duplicate_of is null and path_match <> 'none')""",
+        "sound_report": adj + """, t as (select experiment_id, count(*) as n from cases group by all), tags as (select count(distinct (experiment_id, repository)) as r from cases),
+          """ + base.breakdown_tags() + """ select *, 0::bigint as faults from (select 'corpus' as table_name, (select count(*) from t) + (select count(distinct (experiment_id, role)) from cases) as n union all select 'counts', count(*) * 12 from t union all select 'differences', count(*) * 9 from t union all select 'stability', count(*) * 4 from t union all select 'operations', count(*) * 18 from t
+            union all select 'status', count(*) * 6 from t union all select 'breakdown_counts', count(*) * 12 from tagged_experiments union all select 'breakdowns', count(*) * 9 from tagged_experiments)""",
+        "report_constraints": with_views("cases") + """, e as (select distinct experiment_id from cases)
+          select rule, case when k = '' then experiment_id else experiment_id || '/' || k end as key from e cross join (values ('differences/value', 'optimistic/vulnerable_lift'), ('intervals/order', 'optimistic/net_useful_lift'), ('stable_cases', ''), ('stability/variance', 'fixed/candidate'), ('quality/parts', 'baseline/category'), ('quality/value', 'baseline/category'), ('quality/totals', 'category'), ('operations/order', 'all/latency_ms'), ('operations/totals', 'output_tokens'), ('operations/mean', 'baseline/input_tokens'), ('operations/present', 'baseline/cached_input_tokens'), ('operations/order', 'baseline/cached_input_tokens'), ('discovery/totals', ''), ('discovery/precision', 'candidate/vulnerable'), ('discovery/coverage', 'candidate/vulnerable'), ('issues/valid', 'baseline/fixed'), ('issues/totals', ''), ('issues/rate', 'candidate/fixed'), ('costs/usage', '')) as v(rule, k)
+          union all select 'interval_present', 'exp-2/pessimistic' from e where experiment_id = 'exp-2' union all select unnest(['runs_observed', 'cost_runs']), experiment_id from e where experiment_id = 'exp-1'
+          union all select 'breakdown_counts/value', experiment_id || '/repository/repo-11/optimistic/fixed/baseline' from (select distinct experiment_id from cases where repository = 'repo-11')
+          union all select 'breakdown_repository', experiment_id || '/optimistic/fixed/baseline' from (select distinct experiment_id from cases where repository = 'repo-11')""",
         "decision_violations": decided + """, pri as (select *, h % 97 as k from decided where p is not null) select 'unknown_target' as rule, 'u-' || assignment_id as key from pri where k = 1 union all select 'time', 't-' || assignment_id from pri where k = 2 union all select 'fork', 'primary-' || assignment_id from pri where k = 3 union all select 'chain', 'primary/' || assignment_id from pri where k in (1, 3) union all select 'fork', 'gone' from pri where k = 1 having count(*) > 1""",
         "decision_gaps": decided + """ select case when p is null then 'no_primary' when calibration and c is null then 'no_calibration' else 'unresolved' end as rule, assignment_id as key from decided where p is null or (calibration and (c is null or (p <> c and r is null)))""",
         "calibration_agreement": decided + """ select count(*) filter (p is not null and c is not null) as completed, count(*) filter (p = c) as agreements, count(*) filter (p <> c) as disagreements, count(*) filter (p <> c and r is null) as unresolved, round(count(*) filter (p = c) / nullif(count(*) filter (p is not null and c is not null), 0), 10) as rate from decided where calibration""",
@@ -310,5 +375,5 @@ def oracle() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (expanded_plan, plan_violations, pair_violations, plan_summary, execution_summary, case_digests, experiment_digests, terminal_records, completeness_violations, identity_violations, recovery_selection, recovery_overlay, stage_violations, attempt_chain_violations, run_costs, cost_totals, remaining_projection, attempt_costs, packet_items, calibration_agreement, derived_adjudications, decision_gaps, decision_violations, discovery_summary, issue_discovery, raw_detection, corpus_table, public_breakdowns, report_violations, decisions)}
+QUERIES = {f.__name__: f for f in (expanded_plan, plan_violations, pair_violations, plan_summary, execution_summary, case_digests, experiment_digests, terminal_records, completeness_violations, identity_violations, recovery_selection, recovery_overlay, stage_violations, attempt_chain_violations, run_costs, cost_totals, remaining_projection, attempt_costs, packet_items, calibration_agreement, derived_adjudications, decision_gaps, decision_violations, discovery_summary, issue_discovery, raw_detection, corpus_table, public_breakdowns, report_violations, report_constraints, sound_report, decisions)}
 ORACLE_SQL = oracle()
