@@ -24,8 +24,12 @@ def materialize(df: DataFrame, name: str = "table", compression: str = "zstd") -
 
 
 def materialize_bucketed(df: DataFrame, column: str, buckets: int, name: str = "table") -> DataFrame:
-    """Like ``materialize``, in buckets of ``column``: grouping by it later moves no row of the table."""
+    """Like ``materialize``, in buckets of ``column``: grouping by it later moves no row of the table.
+
+    There are no more buckets than Spark allows for a table (spark.sql.sources.bucketing.maxBuckets, 100,000 if unset): beyond that they grow.
+    """
     spark = df.sparkSession
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     table = f"{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, column).option("compression", "zstd").option("path", f"{shared_dir(spark)}/evalloom/{table}").saveAsTable(table)
     return spark.table(table)

@@ -12,6 +12,7 @@ from pyspark.sql import Row
 from tokenizers import Tokenizer
 
 from evalloom.llm import bpe, chat_format, packing, token_binary
+from evalloom.llm.common import materialize_bucketed
 from evalloom.llm.wordpieces import byte_pieces, byte_words, encoder, plain_words
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -166,3 +167,16 @@ def test_chats_round_trip(spark):
         assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
     assert chats[1]["valid"] and not chats[0]["valid"] and not chats[92]["valid"]
     assert chat_format.query(df.limit(0)).count() == 1  # the fixed conversation
+
+
+def test_inputs_of_more_partitions_than_a_table_may_have_buckets(spark, docs):
+    """Ids are the same where the bound on buckets acts."""
+    want = sorted(map(tuple, bpe.query(docs, BYTE).collect()))
+    key = "spark.sql.sources.bucketing.maxBuckets"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        assert sorted(map(tuple, bpe.query(docs.repartition(9), BYTE).collect())) == want
+        assert materialize_bucketed(spark.range(10), "id", 100_001).count() == 10
+    finally:
+        spark.conf.set(key, before)
