@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evalloom.operators import adjudication, bundles, corpus_split, cost, discovery, leakage, run_records
 from evalloom.operators import experiment_plan as plans
 from evalloom.plans.demo import view, with_views
 from evalloom.plans.text_queries import read
-from evalloom.sources import contracts
+from evalloom.sources import contracts, documents
+from evalloom.sources.scratch import shared_dir
 
 _AT = "timestamp '2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, {h}, 0, 0)"
 
@@ -170,6 +173,71 @@ def issue_summary_violations(spark, sf_dir):
     return discovery.check_issue_summary(issues, pairs)
 
 
+_GOLD = """select case_id, case when p_partkey % 5 = 0 then '1.1' else '2.0' end as gold_version, array(
+  named_struct('mechanism_id', 'm1', 'evaluation_role', case when k = 2 then 'supplemental' else 'primary' end, 'vulnerable', 'present', 'fixed', case when k = 3 then 'present' else 'absent' end, 'severity_min', case when k = 5 then 'critical' else 'low' end, 'severity_max', 'high', 'locations', array(
+    named_struct('path', 'a.py', 'aliases', array(case k when 6 then 'a.py' when 7 then 'b.py' else 'old.py' end), 'start_line', 3, 'end_line', case when k = 9 then 2 else 8 end),
+    named_struct('path', 'b.py', 'aliases', case when k = 8 then array('old.py') else array() end, 'start_line', cast(null as int), 'end_line', cast(null as int)))),
+  named_struct('mechanism_id', case when k = 1 then 'm1' else 'm2' end, 'evaluation_role', 'supplemental', 'vulnerable', 'unverified', 'fixed', case when k = 4 then 'unverified' else 'present' end, 'severity_min', 'low', 'severity_max', 'low', 'locations', array())) as mechanisms
+from (select *, p_partkey % 31 as k from cases) as c"""
+_CATALOG = """select case_id, repository, case when k = 6 then 'special' else 'paired_draft' end as disposition,
+  named_struct('number', cast(p_partkey as int), 'url', concat('https://github.com/', repository, '/pull/', case when k = 1 then 0 else p_partkey end)) as pull_request,
+  named_struct('base', case when k = 2 then 'v' else 'b' end, 'vulnerable', 'v', 'repairs', case k when 3 then array() when 5 then array('v', 'f') else array('r', 'f') end, 'fixed', case when k = 4 then 'x' else 'f' end) as commits
+from (select *, p_partkey % 29 as k from cases) as c"""
+
+
+def gold_violations(spark, sf_dir):
+    """Gold records and catalog records of the cases, with a fault of each kind."""
+    view(spark, sf_dir, "cases").createOrReplaceTempView("cases")
+    out = None
+    for name, text in (("gold", _GOLD), ("catalog_record", _CATALOG)):
+        rows = spark.sql(text)
+        found = contracts.check_contract(rows, name).select(F.lit(name).alias("contract"), "rule", "key")
+        out = found if out is None else out.union(found)
+    return out
+
+
+#: Documents of the contract finding, made of events: some have a field that it doesn't know, some are no object, some have a bad value.
+_FINDING = """concat('{"run_id": "r', cast(event_id as string), '", "finding_id": "F1", "start_line": ', case when event_id % 13 = 0 then '"x"' else cast(event_id % 90 as string) end, case when event_id % 7 = 0 then ', "extra": {"a": 1}' else '' end,
+  ', "evidence": [{"source_type": "file", "reference": "a"}', case when event_id % 11 = 0 then ', {"source_type": "file", "line": 3}' else '' end, ']}')"""
+_LINE = f"case when event_id % 17 = 0 then concat('[', cast(event_id as string), ']') when event_id % 19 = 0 then concat('{{\"run_id\": ', cast(event_id as string)) else {_FINDING} end"
+
+
+def document_violations(spark, sf_dir):
+    """Documents of a contract, written as lines and read again."""
+    path = f"{shared_dir(spark)}/evalloom/findings-{uuid.uuid4().hex}.jsonl"
+    read(spark, sf_dir, "events").select(F.expr(_LINE).alias("value")).write.text(path)
+    return documents.check_documents(documents.read_documents(spark, "finding", path), "finding")
+
+
+def read_findings(spark, sf_dir):
+    """Typed rows of the documents that are objects."""
+    path = f"{shared_dir(spark)}/evalloom/findings-{uuid.uuid4().hex}.jsonl"
+    read(spark, sf_dir, "events").select(F.expr(_LINE).alias("value")).write.text(path)
+    rows = documents.read_documents(spark, "finding", path).filter("document.run_id is not null")
+    return rows.select("document.run_id", "document.start_line", F.size("document.evidence").cast("long").alias("evidence"))
+
+
+def _tree(spark, sf_dir):
+    """Texts of documents as a tree of 40 files, some with a NUL byte, read again."""
+    path = f"{shared_dir(spark)}/evalloom/tree-{uuid.uuid4().hex}"
+    line = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]+", " "), F.when(F.col("doc_id") % 200 == 7, F.lit("\0")).otherwise(F.lit("")))
+    rows = read(spark, sf_dir, "documents").filter("doc_id is not null").select((F.col("doc_id") % 40).alias("part"), "doc_id", line.alias("value"))
+    rows.repartition(8, "part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    files = documents.read_tree(spark, path)
+    return files.withColumn("path", F.regexp_extract("path", "^(part=[0-9]+)/", 1))
+
+
+def tree_files(spark, sf_dir):
+    """Files of a tree that are text: sizes and digests."""
+    return bundles.decode_content(_tree(spark, sf_dir)).select("path", "size", F.sha2("content", 256).alias("digest"))
+
+
+def tree_violations(spark, sf_dir):
+    """Modes from a listing, and files that are not text."""
+    files = _tree(spark, sf_dir).withColumn("mode", F.expr("case cast(substr(path, 6) as int) % 10 when 3 then '120000' when 4 then '160000' when 5 then '100755' else mode end"))
+    return documents.check_tree(files, "reject", "reject")
+
+
 def _oracle() -> dict[str, str]:
     from evalloom.plans.scoring_queries import _SCORED
 
@@ -180,6 +248,15 @@ def _oracle() -> dict[str, str]:
     pr = "provider || '/' || model"
     rows = lambda *parts: " union all ".join(parts)
     return {
+        "gold_violations": cases + """, g as (select *, p_partkey % 31 as k from cases), c as (select *, p_partkey % 29 as k from cases) select 'gold' as contract, 'unique' as rule, case_id as key from g where k = 1 union all select 'gold' as contract, 'one_primary' as rule, case_id as key from g where k = 2 and p_partkey % 5 <> 0 union all select 'gold' as contract, 'primary_expectation' as rule, case_id as key from g where k = 3 and p_partkey % 5 <> 0 union all select 'gold' as contract, 'verified' as rule, case_id as key from g where k = 4 union all select 'gold' as contract, 'severity_range' as rule, case_id as key from g where k = 5 union all select 'gold' as contract, 'alias_self' as rule, case_id as key from g where k = 6 union all select 'gold' as contract, 'alias_shadow' as rule, case_id as key from g where k in (6, 7) union all select 'gold' as contract, 'alias_owner' as rule, case_id as key from g where k = 8 union all select 'gold' as contract, 'location_lines' as rule, case_id as key from g where k = 9 union all select 'catalog_record', 'url', case_id from c where k = 1 union all select 'catalog_record', 'base', case_id from c where k = 2 union all select 'catalog_record', 'paired', case_id from c where k = 3 union all select 'catalog_record', 'final_repair', case_id from c where k = 4 union all select 'catalog_record', 'repair_order', case_id from c where k = 5 union all select 'catalog_record', 'special', case_id from c where k = 6""",
+        "document_violations": f"""with l as (select event_id, {_LINE} as v from events), ok as (select event_id, sha256(v) as key from l where event_id % 17 <> 0 and event_id % 19 <> 0)
+          select 'not_object' as rule, sha256(v) as key, '' as detail from l where event_id % 17 = 0 or event_id % 19 = 0
+          union all select 'unknown_field', key, '$.extra' from ok where event_id % 7 = 0 union all select 'unknown_field', key, '$.evidence[].line' from ok where event_id % 11 = 0 union all select 'bad_value', key, 'start_line' from ok where event_id % 13 = 0""",
+        "read_findings": "select 'r' || event_id as run_id, case when event_id % 13 <> 0 then (event_id % 90)::int end as start_line, 1::bigint + (event_id % 11 = 0)::int as evidence from events where event_id % 17 <> 0 and event_id % 19 <> 0",
+        "tree_files": """with l as (select doc_id % 40 as part, doc_id, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') as v from documents where doc_id is not null), f as (select part, string_agg(v || chr(10), '' order by doc_id) as content from l group by 1)
+          select 'part=' || part as path, strlen(content) as size, sha256(content) as digest from f where part not in (select part from l where doc_id % 200 = 7)""",
+        "tree_violations": """with p as (select doc_id % 40 as part, bool_or(doc_id % 200 = 7) as nul from documents where doc_id is not null group by 1)
+          select 'symlink' as rule, 'part=' || part as key from p where part % 10 = 3 union all select 'unsupported', 'part=' || part from p where part % 10 = 4 union all select 'binary', 'part=' || part from p where nul""",
         "redacted_items": found + f" select {key} as assignment_id, 'see [redacted finding reference], F1000 and [redacted finding reference]0' as title, 'x [redacted finding reference]' as reference from findings",
         "blinding_violations": found + f" select case l_suppkey % 11 when 3 then 'full_sha' when 4 then 'identity' else 'blind_label' end as rule, {key} as key, 'note' as detail from findings where l_suppkey % 11 in (0, 2, 3, 4)",
         "rubric_violations": cases + " select case p_partkey % 17 when 0 then 'missing' when 1 then 'stale' when 2 then 'approver' else 'late' end as rule, case_id as key from cases where p_partkey % 17 in (0, 1, 2, 13, 14, 15, 16)",
@@ -247,5 +324,5 @@ def split_violations(spark, sf_dir):
     return corpus_split.check_split_input(twice, locked, 0).unionByName(corpus_split.check_roles(cases, frozen))
 
 
-QUERIES = {f.__name__: f for f in (redacted_items, blinding_violations, rubric_violations, stale_bindings, batch_violations, latest_attempts, linked_violations, price_violations, frozen_price_violations, price_identity_violations, worst_case_costs, assessment_violations, assessment_adjudications, leaked_tokens, label_leaks, path_violations, empty_includes, issue_summary_violations, split_violations, linked_plan_violations, metadata_violations, record_violations)}
+QUERIES = {f.__name__: f for f in (gold_violations, document_violations, read_findings, tree_files, tree_violations, redacted_items, blinding_violations, rubric_violations, stale_bindings, batch_violations, latest_attempts, linked_violations, price_violations, frozen_price_violations, price_identity_violations, worst_case_costs, assessment_violations, assessment_adjudications, leaked_tokens, label_leaks, path_violations, empty_includes, issue_summary_violations, split_violations, linked_plan_violations, metadata_violations, record_violations)}
 ORACLE_SQL = _oracle()

@@ -15,7 +15,18 @@ SCHEMAS = {
     "case_record": "case_id string, display_name string, defect_category string, repository string, pull_request int, commits struct<base:string,vulnerable:string,repair:string,fixed:string>, eligibility string, verification_status string, vulnerable_tokens bigint, fixed_tokens bigint",
     "assessment": "packet_id string, assignment_id string, mechanism_decision string, validity string, issue_kind string, additional_issue_group string",
 }
+_PRICE = "provider:string,model:string,input_rate:decimal(14,6),cached_rate:decimal(14,6),output_rate:decimal(14,6),threshold_input_tokens:bigint,input_multiplier:decimal(10,4),output_multiplier:decimal(10,4)"
+_PLACE = "path:string,aliases:array<string>,start_line:int,end_line:int"
+SCHEMAS |= {
+    "price_table": f"schema_version string, version string, effective_date date, currency string, source string, entries array<struct<{_PRICE}>>",
+    "gold": f"case_id string, gold_version string, mechanisms array<struct<mechanism_id:string,evaluation_role:string,vulnerable:string,fixed:string,severity_min:string,severity_max:string,locations:array<struct<{_PLACE}>>>>",
+    "catalog_record": "case_id string, repository string, disposition string, pull_request struct<number:int,url:string>, commits struct<base:string,vulnerable:string,repairs:array<string>,fixed:string>",
+    "attempt_metadata": "run_id string, attempt int, status string, started_at timestamp, ended_at timestamp, usage struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_tokens:bigint>, provider_cost_usd double, run_record_digest string, content_digest string",
+}
 _SHA = "^[0-9a-f]{40}$"
+_SEVERITY = "array_position(array('low', 'medium', 'high', 'critical'), {})"
+_ALIASES, _PATHS = "flatten(transform(m.locations, x -> coalesce(x.aliases, array())))", "transform(m.locations, x -> x.path)"
+_OWNED = "flatten(transform(m.locations, x -> transform(coalesce(x.aliases, array()), a -> struct(x.path as p, a as a))))"
 #: Rules by contract: (name, condition that a sound row fulfils); null conditions count as fulfilled.
 RULES = {
     "run_record": (
@@ -40,6 +51,33 @@ RULES = {
     "decision": (("self", "supersedes is null or supersedes <> decision_id"), ("resolves", "(role = 'resolution') = (coalesce(size(resolves), 0) = 2)")),
     "price": (("currency", "currency = 'USD'"), ("cached", "cached_rate <= input_rate"), ("multiplier", "coalesce(input_multiplier, 1) >= 1 and coalesce(output_multiplier, 1) >= 1")),
     "case_record": (("commits", f"commits.vulnerable rlike '{_SHA}' and commits.fixed rlike '{_SHA}' and commits.vulnerable <> commits.fixed"), ("tokens", "vulnerable_tokens >= 0 and fixed_tokens >= 0")),
+    "price_table": (
+        ("version", "schema_version = '1.0' and length(version) between 1 and 100"),
+        ("currency", "currency = 'USD'"),
+        ("source", "source like 'https://%'"),
+        ("entries", "size(entries) > 0 and size(array_distinct(transform(entries, e -> struct(e.provider, e.model)))) = size(entries)"),
+        ("order", "transform(entries, e -> struct(e.provider, e.model)) = array_sort(transform(entries, e -> struct(e.provider, e.model)))"),
+    ),
+    "gold": (
+        ("unique", "size(array_distinct(transform(mechanisms, m -> m.mechanism_id))) = size(mechanisms)"),
+        ("one_primary", "gold_version <> '2.0' or size(filter(mechanisms, m -> m.evaluation_role = 'primary')) = 1"),
+        ("primary_expectation", "gold_version <> '2.0' or forall(mechanisms, m -> m.evaluation_role <> 'primary' or (m.vulnerable = 'present' and m.fixed = 'absent'))"),
+        ("verified", "forall(mechanisms, m -> m.vulnerable <> 'unverified' or m.fixed <> 'unverified')"),
+        ("severity_range", f"forall(mechanisms, m -> {_SEVERITY.format('m.severity_min')} <= {_SEVERITY.format('m.severity_max')})"),
+        ("alias_self", "forall(mechanisms, m -> forall(m.locations, x -> not coalesce(array_contains(x.aliases, x.path), false)))"),
+        ("alias_shadow", f"forall(mechanisms, m -> size(array_intersect({_ALIASES}, {_PATHS})) = 0)"),
+        ("alias_owner", f"forall(mechanisms, m -> size(array_distinct({_ALIASES})) = size(array_distinct({_OWNED})))"),
+        ("location_lines", "forall(mechanisms, m -> forall(m.locations, x -> x.end_line is null or (x.start_line is not null and x.end_line >= x.start_line)))"),
+    ),
+    "catalog_record": (
+        ("url", "pull_request.url = concat('https://github.com/', repository, '/pull/', pull_request.number)"),
+        ("base", "commits.base <> commits.vulnerable"),
+        ("paired", "disposition <> 'paired_draft' or (coalesce(size(commits.repairs), 0) > 0 and commits.fixed is not null)"),
+        ("final_repair", "disposition <> 'paired_draft' or commits.fixed = try_element_at(commits.repairs, -1)"),
+        ("repair_order", "disposition <> 'paired_draft' or not array_contains(commits.repairs, commits.vulnerable)"),
+        ("special", "disposition = 'paired_draft' or (coalesce(size(commits.repairs), 0) = 0 and commits.fixed is null)"),
+    ),
+    "attempt_metadata": (("times", "ended_at >= started_at"), ("cached", "usage.cached_input_tokens <= usage.input_tokens")),
     "assessment": (("kind", "issue_kind in ('code', 'documentation', 'uncertain')"), ("validity", "validity in ('valid', 'false_positive', 'uncertain')")),
 }
 #: Columns that a contract's rows must fill.
@@ -51,8 +89,12 @@ REQUIRED = {
     "price": ("provider", "model", "currency", "input_rate", "cached_rate", "output_rate"),
     "case_record": ("case_id", "repository", "defect_category", "commits"),
     "assessment": ("assignment_id", "mechanism_decision", "validity", "issue_kind"),
+    "price_table": ("schema_version", "version", "effective_date", "currency", "source", "entries"),
+    "gold": ("case_id", "gold_version", "mechanisms"),
+    "catalog_record": ("case_id", "repository", "disposition", "pull_request", "commits"),
+    "attempt_metadata": ("run_id", "attempt", "started_at", "ended_at", "content_digest"),
 }
-KEYS = {"run_record": ("run_id", "attempt"), "finding": ("run_id", "finding_id"), "adjudication": ("adjudication_id",), "decision": ("decision_id",), "price": ("provider", "model"), "case_record": ("case_id",), "assessment": ("assignment_id",)}
+KEYS = {"run_record": ("run_id", "attempt"), "finding": ("run_id", "finding_id"), "adjudication": ("adjudication_id",), "decision": ("decision_id",), "price": ("provider", "model"), "case_record": ("case_id",), "assessment": ("assignment_id",), "price_table": ("version",), "gold": ("case_id",), "catalog_record": ("case_id",), "attempt_metadata": ("run_id", "attempt")}
 
 
 def read_contract(spark: SparkSession, name: str, path: str) -> DataFrame:
