@@ -1,8 +1,9 @@
 """Leakage scan: forbidden phrases, SHAs, fingerprints and tokens in the components of reviewer requests.
 
 Phrases are found by equi-joins on word n-grams, never by comparing every phrase with every text: a phrase of n words is keyed
-by its first min(n, 3) words, texts give their n-grams of those sizes, and what the join finds is verified on the whole text.
-Text n-grams are hashed and made distinct within a component, and only those that some phrase starts with survive the join.
+by that of its n-grams of min(n, 3) words which the fewest components have, so that a frequent opening makes no hot key; texts give
+their n-grams of those sizes, and what the join finds is verified on the whole text. Text n-grams are hashed and made distinct within a
+component, and only those of some phrase survive the first join.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import compatible, hmac_digest, normalize_phrase
-from evalloom.sources.scratch import stored
+from evalloom.sources.scratch import broadcast_if_small, stored
 
 KEY_WORDS = 3
-#: Distinct first n-grams of phrases (8 bytes each) that are sent to all tasks at most.
+#: Distinct n-grams of phrases (8 bytes each) that are sent to all tasks at most.
 BROADCAST_GRAMS = 1_000_000
 LABELS = ("vulnerable", "fixed")
 LABEL_RULE = "snapshot_label"
@@ -58,18 +59,34 @@ def scan_labels(components: DataFrame, index: DataFrame) -> DataFrame:
     return scan_phrases(searched, index.filter(F.col("rule_id") == LABEL_RULE))
 
 
+def phrase_keys(phrases: DataFrame, grams: DataFrame, on: list[str]) -> DataFrame:
+    """phrases (value normal) with ``gram``: the hash of that of its n-grams which the fewest components (rows of ``grams``) have.
+
+    A phrase with an n-gram that none has is found nowhere and goes.
+    """
+    seen = grams.groupBy(*on).agg(F.count("*").alias("seen"))
+    each = phrases.withColumn("gram", F.explode(_phrase_grams(F.split("value", " ")))).join(seen, on, "left")
+    rarest = each.groupBy(*phrases.columns).agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram")).alias("k"))
+    return rarest.filter("k.seen > 0").select(*phrases.columns, "k.gram")
+
+
+def _phrase_grams(words: Column) -> Column:
+    """Distinct hashes of a phrase's n-grams of KEY_WORDS words, or of all its words if it has fewer."""
+    n = F.least(F.size(words), F.lit(KEY_WORDS))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " "))))
+
+
 def scan_phrases(components: DataFrame, index: DataFrame, scope: str | None = "case_id") -> DataFrame:
     """Whole-word phrase hits. components: request_id, pos, location_class, text (and the scope column); ``scope`` None looks for all phrases everywhere."""
-    words = F.split("value", " ")
-    keyed = index.filter("mode = 'phrase' and value <> ''").withColumn("gram", F.xxhash64(F.array_join(F.slice(words, F.lit(1), F.least(F.size(words), F.lit(KEY_WORDS))), " ")))
+    phrases = index.filter("mode = 'phrase' and value <> ''").select("case_id", "rule_id", "value").distinct()
     texts = stored(components.select(*([scope] if scope else []), "request_id", "pos", "location_class", normalize_phrase("text").alias("normal")).filter("normal <> ''"), "normal")
     grams = texts.select(*([scope] if scope else []), "request_id", "pos", F.explode(_grams(F.split("normal", " "))).alias("gram"))
     on = ["gram"] + ([scope] if scope else [])
-    starts = stored(keyed.select("gram").distinct(), "grams")
-    if starts.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:  # most n-grams start no phrase and are not shuffled
-        grams = grams.join(F.broadcast(starts), "gram", "left_semi")
+    wanted = stored(phrases.select(F.explode(_phrase_grams(F.split("value", " "))).alias("gram")).distinct(), "grams")
+    # most n-grams are in no phrase: they go before anything is shuffled
+    grams = stored(grams.join(broadcast_if_small(wanted, BROADCAST_GRAMS), "gram", "left_semi"), "grams")
     label = (F.col("rule_id") == LABEL_RULE) & F.col("location_class").isin("filename", "context_bundle")
-    hits = grams.join(keyed, on).join(texts.select("request_id", "pos", "location_class", "normal"), ["request_id", "pos"])
+    hits = grams.join(phrase_keys(phrases, grams, on), on).join(texts.select("request_id", "pos", "location_class", "normal"), ["request_id", "pos"])
     hits = hits.filter(F.contains(F.concat(F.lit(" "), "normal", F.lit(" ")), F.concat(F.lit(" "), "value", F.lit(" "))) & ~label)
     return hits.select("case_id", "request_id", "pos", "location_class", "rule_id", F.col("value").alias("match")).distinct()
 
