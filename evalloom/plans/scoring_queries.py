@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,16 +147,31 @@ def combined_outcomes(spark, sf_dir):
     return out["scored_runs"].select("run_id", "primary_outcome").join(out["violations"].agg(F.count("*").alias("violations")))
 
 
+#: Tables of the statistics: the query that shows one by itself, what names its rows, and its measures.
+STATISTICS = {
+    "outcome_counts": ("outcome_counts", ("experiment_id", "mode", "snapshot", "condition"), ("positive", "negative", "unresolved", "total", "value")),
+    "differences": ("paired_result", ("experiment_id", "mode", "effect"), ("numerator", "denominator", "unresolved", "value")),
+    "discordance": ("discordance", ("experiment_id", "mode", "snapshot"), ("both", "candidate_only", "baseline_only", "neither", "unresolved")),
+    "case_effects": ("case_effects", ("experiment_id", "mode", "case_id"), bootstrap.EFFECTS),
+    "intervals": ("bootstrap_convolution", ("experiment_id", "mode", "effect"), ("lower", "upper")),
+    "cr1": ("cr1_bounds", ("experiment_id", "mode", "effect"), ("cases", "projects", "unresolved", "mean", "standard_error", "lower", "upper")),
+    "stability": ("repetition_stability", ("experiment_id", "snapshot", "condition"), ("complete_cases", "unresolved_cases", "discordant_cases", "mean_variance")),
+    "quality": ("quality_rates", ("experiment_id", "condition", "metric"), ("correct", "unresolved", "total", "value")),
+    "distributions": ("operation_distributions", ("experiment_id", "condition", "metric"), ("observations", "missing", "min", "median", "p95", "max", "mean", "total")),
+    "breakdown_counts": ("breakdown_counts", ("experiment_id", "dimension", "tag", "mode", "snapshot", "condition"), ("positive", "negative", "unresolved", "total", "value")),
+    "breakdowns": ("breakdowns", ("experiment_id", "dimension", "tag", "mode", "effect"), ("numerator", "denominator", "unresolved", "value")),
+    "breakdown_discordance": ("breakdown_discordance", ("experiment_id", "dimension", "tag", "mode", "snapshot"), ("both", "candidate_only", "baseline_only", "neither", "unresolved")),
+    "status_counts": ("status_counts", ("experiment_id", "status"), ("n",)),
+}
+
+
 def statistics_tables(spark, sf_dir):
-    """All tables of the statistics, by their number of rows."""
+    """All tables of the statistics, with every value: table_name, key, measure, value (rounded, null where it is suppressed)."""
     got = inputs(spark, sf_dir)
-    s = stored_tables(scoring.score_experiment(**got))
-    tables = analysis.calculate_statistics(s, got["records"], view(spark, sf_dir, "cases"), got["mechanisms"], 3)
-    out = None
-    for name, df in tables.items():
-        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-        out = row if out is None else out.union(row)
-    return out
+    tables = analysis.calculate_statistics(stored_tables(scoring.score_experiment(**got)), got["records"], view(spark, sf_dir, "cases"), got["mechanisms"], 3)
+    long = lambda key, names: F.inline(F.array(*(F.struct(F.concat_ws("/", *key).alias("key"), F.lit(m).alias("measure"), (F.round(F.col(m).cast("double"), 6) + F.lit(0.0)).alias("value")) for m in names)))
+    parts = [tables[t].select(F.lit(t).alias("table_name"), long(key, names)) for t, (_, key, names) in STATISTICS.items()]
+    return reduce(DataFrame.union, parts)
 
 
 def stored_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -364,5 +379,17 @@ def oracle() -> dict[str, str]:
     }
 
 
+def _statistics(texts: dict[str, str]) -> str:
+    """All tables of the statistics as one text: what the tables' own texts have in common is computed once."""
+    shared, records, parts = with_views("adjudications") + _SCORED, with_views("records"), []
+    for table, (query, key, names) in STATISTICS.items():
+        text = texts[query]
+        rest = text.removeprefix(shared) if text.startswith(shared) else text.removeprefix(records)
+        rest = "with" + rest.lstrip()[1:] if rest.lstrip().startswith(",") else rest
+        measures, values = ", ".join(f"'{m}'" for m in names), ", ".join(f'round("{m}"::double, 6) + 0.0' for m in names)
+        parts.append(f"select '{table}' as table_name, concat_ws('/', {', '.join(key)}) as key, unnest([{measures}]) as measure, unnest([{values}]) as value from ({rest})")
+    return shared + " " + "\nunion all ".join(parts)
+
+
 QUERIES = {f.__name__: f for f in (scored_pairs, scored_findings, mechanism_outcomes, run_outcomes, current_adjudications, adjudication_violations, scoring_gates, scored_violations, combined_outcomes, statistics_tables, breakdown_counts, breakdown_discordance, outcome_counts, paired_result, discordance, case_effects, bootstrap_hash, bootstrap_multinomial, bootstrap_convolution, stored_runs, stored_entries, repetition_stability, cell_violations, quality_rates, operation_distributions, breakdowns, status_counts, cr1_bounds)}
-ORACLE_SQL = oracle()
+ORACLE_SQL = oracle() | {"statistics_tables": _statistics(oracle())}

@@ -286,10 +286,12 @@ def report_constraints(spark, sf_dir):
 
 
 def decisions(spark, sf_dir):
-    s = base.scored(spark, sf_dir)
-    modes = stats.to_modes(s["scored_runs"])
-    bounds = bootstrap.bootstrap_intervals(stats.case_effects(modes), "multinomial")
-    return report.decide(s["scored_runs"], stats.differences(stats.outcome_counts(modes)), bounds)
+    """Decisions on experiments of which two are resolved, one by its optimistic and one by its pessimistic outcomes."""
+    outcome = F.expr("case experiment_id when 'exp-0' then optimistic_outcome when 'exp-1' then pessimistic_outcome else primary_outcome end")
+    runs = stored(base.scored(spark, sf_dir)["scored_runs"].withColumn("primary_outcome", outcome), "runs")
+    modes = stats.to_modes(runs)
+    bounds = bootstrap.bootstrap_intervals(stats.case_effects(modes), "convolution")
+    return report.decide(runs, stats.differences(stats.outcome_counts(modes)), bounds)
 
 
 def oracle() -> dict[str, str]:
@@ -357,6 +359,10 @@ def oracle() -> dict[str, str]:
           union all select 'effect', experiment_id || '/pessimistic/fixed_false_positive_increase' from bad union all select 'discordance', experiment_id || '/pessimistic/fixed' from bad where (select sum(unresolved) from counts c where c.experiment_id = bad.experiment_id and mode = 'pessimistic' and snapshot = 'fixed') = 0
           union all select 'net', experiment_id || '/optimistic' from bad union all select * from (values ('status', 'exp-1'), ('valid_output', 'exp-1')) where exists (select 1 from bad where experiment_id = 'exp-1')
           union all select 'quality', experiment_id || '/all/path' from bad where exists (select 1 from found f where f.experiment_id = bad.experiment_id and duplicate_of is null and path_match <> 'none')""",
+        "decisions": adj + """, r as (select *, case experiment_id when 'exp-0' then optimistic_outcome when 'exp-1' then pessimistic_outcome else primary_outcome end as o, case condition when 'candidate' then 1 else -1 end as s from runs),
+          lifts as (select experiment_id, count(*) filter (lift > 0) as positive_strata from (select experiment_id, repetition, sum(o::int * s) as lift from r where snapshot = 'vulnerable' group by all) group by 1),
+          t as (select experiment_id, count(*) filter (o is null) as unresolved, bool_and(status = 'succeeded') as good, sum(o::int * s) filter (snapshot = 'vulnerable')::bigint as lift, sum(o::int * s) filter (snapshot = 'fixed')::bigint as rise from r group by 1)
+          select experiment_id, unresolved, positive_strata, lift - rise as net, rise, case when unresolved > 0 then 'insufficient_evidence' when lift - rise <= 0 or rise > 0 then 'reject' when not good then 'revise' end as decision from t join lifts using (experiment_id)""",
         "sound_report": adj + """, t as (select experiment_id, count(*) as n from cases group by all), tags as (select count(distinct (experiment_id, repository)) as r from cases),
           """ + base.breakdown_tags() + """ select *, 0::bigint as faults from (select 'corpus' as table_name, (select count(*) from t) + (select count(distinct (experiment_id, role)) from cases) as n union all select 'counts', count(*) * 12 from t union all select 'differences', count(*) * 9 from t union all select 'stability', count(*) * 4 from t union all select 'operations', count(*) * 18 from t
             union all select 'status', count(*) * 6 from t union all select 'breakdown_counts', count(*) * 12 from tagged_experiments union all select 'breakdowns', count(*) * 9 from tagged_experiments)""",
