@@ -60,8 +60,10 @@ def batch_violations(spark, sf_dir):
     rows = view(spark, sf_dir, "plan").selectExpr("run_id as assignment_id", "run_no")
     decide = lambda role, h, cls: rows.selectExpr(f"'{role}' as role", "assignment_id", f"concat('{role}-', assignment_id) as decision_id", f"{cls} as classification", f"{_AT.format(h=h)} as decided_at", "run_no")
     active = decide("primary", 1, "'match'").unionByName(decide("calibration", 2, "case when run_no % 5 = 0 then 'match' else 'no_match' end"))
+    before = decide("resolution", 4, "'match'").filter("run_no % 23 = 11").withColumn("decision_id", F.concat("decision_id", F.lit("-0")))
+    active = active.unionByName(before)  # dated after what amends it
     new = decide("resolution", 3, "'match'").filter("run_no % 29 <> 4").withColumns({
-        "adjudicator": F.expr("case when run_no % 31 = 6 then 'someone' else 'judge' end"), "supersedes": F.expr("case when run_no % 37 = 8 then 'x' end"),
+        "adjudicator": F.expr("case when run_no % 31 = 6 then 'someone' else 'judge' end"), "supersedes": F.expr("case when run_no % 37 = 8 then 'x' when run_no % 23 = 11 then concat('resolution-', assignment_id, '-0') end"),
         "resolves": F.expr("case when run_no % 41 = 9 then array(concat('primary-', assignment_id)) else array(concat('primary-', assignment_id), concat('calibration-', assignment_id)) end"),
     })
     expected = rows.filter("run_no % 43 <> 10").select("assignment_id")
@@ -69,6 +71,30 @@ def batch_violations(spark, sf_dir):
     return adjudication.check_batch(new, expected, active, actors)
 
 
+def expected_assignments(spark, sf_dir):
+    """What batches of each role must decide: with disagreements that are open, and after all are settled."""
+    rows = view(spark, sf_dir, "plan").selectExpr("run_id as assignment_id", "run_no", "run_no % 4 = 0 as calibration")
+    decide = lambda role, cls, where: rows.filter(where).selectExpr(f"'{role}' as role", "assignment_id", f"concat('{role}-', assignment_id) as decision_id", f"{cls} as classification", "cast(null as array<string>) as resolves")
+    blind = decide("primary", "'match'", "true").union(decide("calibration", "case when run_no % 5 = 0 then 'match' else 'no_match' end", "calibration"))
+    two = F.expr("array(concat('primary-', assignment_id), concat('calibration-', assignment_id))")
+    settled = lambda where: blind.union(decide("resolution", "'match'", f"calibration and {where}").withColumn("resolves", two))
+    batch, out = rows.filter("run_no % 7 = 0"), None
+    for name, role, active in (("primary", "primary", blind), ("calibration", "calibration", blind), ("open", "resolution", settled("run_no % 3 = 0")), ("settled", "resolution", settled("true"))):
+        found = adjudication.expected_assignments(rows, active, batch, role).select(F.lit(name).alias("batch"), "assignment_id")
+        out = found if out is None else out.union(found)
+    return out
+
+
+def resolved_identities(spark, sf_dir):
+    """Opaque identities of requests, resolved among candidates of which some are missing and some are there twice."""
+    cases = view(spark, sf_dir, "cases").selectExpr("case_id", "p_partkey", "concat(repository, cat_a) as material")
+    own = leakage.request_identity(cases.select("case_id", "material"), b"demo")
+    found = own.join(cases.select("case_id", "p_partkey"), "case_id")
+    candidates = found.filter("p_partkey % 11 <> 0").drop("p_partkey").union(found.filter("p_partkey % 7 = 1 and p_partkey % 11 <> 0").drop("p_partkey"))
+    resolved = leakage.resolve_identity(own, candidates).withColumnsRenamed({"case_id": "resolved_case", "snapshot": "resolved_snapshot"})
+    return own.join(resolved, "identity").select("case_id", "snapshot", "n", "resolved_case", "resolved_snapshot")
+
+
 def latest_attempts(spark, sf_dir):
     attempts = view(spark, sf_dir, "records").withColumn("last", F.col("attempt")).select("experiment_id", "run_id", F.explode(F.sequence(F.lit(1), "last")).alias("attempt"), "last", F.col("status").alias("s")).withColumn("status", F.expr("case when attempt < last then 'timeout' else s end"))
     return run_records.reconcile_attempts(attempts, run_records.is_terminal(3, ("provider_error", "timeout", "invalid_output")))
@@ -261,7 +287,10 @@ def _oracle() -> dict[str, str]:
         "blinding_violations": found + f" select case l_suppkey % 11 when 3 then 'full_sha' when 4 then 'identity' else 'blind_label' end as rule, {key} as key, 'note' as detail from findings where l_suppkey % 11 in (0, 2, 3, 4)",
         "rubric_violations": cases + " select case p_partkey % 17 when 0 then 'missing' when 1 then 'stale' when 2 then 'approver' else 'late' end as rule, case_id as key from cases where p_partkey % 17 in (0, 1, 2, 13, 14, 15, 16)",
         "stale_bindings": with_views("mechanisms") + " select case when mechanism_id = 'm2' and severity_min = 'low' then 'gone' else 'rubric_digest' end as rule, case_id || '/' || mechanism_id as key from mechanisms where (mechanism_id = 'm2' and severity_min = 'low') or case_id like '%7-f001'",
-        "batch_violations": plan + ", b as (select * from plan where run_no % 29 <> 4) " + rows("select 'unexpected' as rule, run_id as key from b where run_no % 43 = 10", "select 'missing', run_id from plan where run_no % 43 <> 10 and run_no % 29 = 4", "select 'supersedes', run_id from b where run_no % 37 = 8", "select 'actor', run_id from b where run_no % 31 = 6", "select 'resolution', run_id from b where run_no % 5 = 0 or run_no % 41 = 9"),
+        "batch_violations": plan + ", b as (select * from plan where run_no % 29 <> 4) " + rows("select 'unexpected' as rule, run_id as key from b where run_no % 43 = 10", "select 'missing', run_id from plan where run_no % 43 <> 10 and run_no % 29 = 4", "select 'supersedes', run_id from b where run_no % 37 = 8", "select 'time', run_id from b where run_no % 23 = 11", "select 'actor', run_id from b where run_no % 31 = 6", "select 'resolution', run_id from b where run_no % 5 = 0 or run_no % 41 = 9"),
+        "expected_assignments": plan + ", c as (select * from plan where run_no % 4 = 0) " + rows("select 'primary' as batch, run_id as assignment_id from plan", "select 'calibration', run_id from c", "select 'open', run_id from c where run_no % 5 <> 0 and run_no % 3 <> 0", "select 'settled', run_id from c where run_no % 5 <> 0 and run_no % 7 = 0"),
+        "resolved_identities": cases + """ select case_id, snapshot, n, case when n = 1 then case_id end as resolved_case, case when n = 1 then snapshot end as resolved_snapshot
+          from (select case_id, unnest(['vulnerable', 'fixed']) as snapshot, case when p_partkey % 11 = 0 then 0 when p_partkey % 7 = 1 then 2 else 1 end::bigint as n from cases)""",
         "latest_attempts": with_views("records") + " select experiment_id, run_id, attempt, status, status in ('succeeded', 'configuration_error', 'adapter_error') or attempt >= 3 or status not in ('provider_error', 'timeout', 'invalid_output') as terminal from records",
         "linked_violations": cases + " " + rows("select 'policy' as rule, case_id || '-linked' as key from cases where p_partkey % 13 = 2", "select 'token_limit', case_id || '-linked' from cases where p_partkey % 11 = 3"),
         "price_violations": f"{prices}, twice as (select * from prices union all select * from prices where p_partkey % 37 = 5) " + rows(f"select 'currency' as rule, {pr} as key from twice where currency <> 'USD'", f"select 'cached_rate', {pr} from twice where cached_rate > input_rate", f"select 'multiplier', {pr} from twice where input_multiplier < 1", f"select 'negative', {pr} from twice where output_rate < 0", f"select 'unique', {pr} from prices where p_partkey % 37 = 5"),
@@ -324,5 +353,5 @@ def split_violations(spark, sf_dir):
     return corpus_split.check_split_input(twice, locked, 0).unionByName(corpus_split.check_roles(cases, frozen))
 
 
-QUERIES = {f.__name__: f for f in (gold_violations, document_violations, read_findings, tree_files, tree_violations, redacted_items, blinding_violations, rubric_violations, stale_bindings, batch_violations, latest_attempts, linked_violations, price_violations, frozen_price_violations, price_identity_violations, worst_case_costs, assessment_violations, assessment_adjudications, leaked_tokens, label_leaks, path_violations, empty_includes, issue_summary_violations, split_violations, linked_plan_violations, metadata_violations, record_violations)}
+QUERIES = {f.__name__: f for f in (expected_assignments, resolved_identities, gold_violations, document_violations, read_findings, tree_files, tree_violations, redacted_items, blinding_violations, rubric_violations, stale_bindings, batch_violations, latest_attempts, linked_violations, price_violations, frozen_price_violations, price_identity_violations, worst_case_costs, assessment_violations, assessment_adjudications, leaked_tokens, label_leaks, path_violations, empty_includes, issue_summary_violations, split_violations, linked_plan_violations, metadata_violations, record_violations)}
 ORACLE_SQL = _oracle()

@@ -39,7 +39,12 @@ def leaked_shas(spark, sf_dir):
 def leakage_audit(spark, sf_dir):
     docs, index = _scan_input(spark, sf_dir)
     matches = leakage.scan_phrases(docs.drop("case_id"), index, scope=None)
-    audited = leakage.audit(matches, matches.filter("crc32(cast(case_id as binary)) % 3 = 0").select("case_id", "rule_id", "location_class").distinct().withColumns({"match_digest": F.lit("none"), "expires_at": F.timestamp_seconds(F.lit(2_000_000_000))}), F.timestamp_seconds(F.lit(1_900_000_000)), b"demo")
+    at = lambda seconds: F.timestamp_seconds(F.lit(seconds))
+    digit = F.substr(F.md5(F.col("case_id").cast("binary")), F.lit(1), F.lit(1))
+    seen = leakage.audit(matches, index.sparkSession.createDataFrame([], "case_id string, rule_id string, location_class string, match_digest string, expires_at timestamp"), at(0), b"demo")
+    # exceptions of half of the cases, of which half have expired
+    exceptions = seen.filter(digit < "8").select("case_id", "rule_id", "location_class", "match_digest", F.when(digit < "4", at(2_000_000_000)).otherwise(at(1_800_000_000)).alias("expires_at"))
+    audited = leakage.audit(matches, exceptions, at(1_900_000_000), b"demo")
     return leakage.audit_verdict(index.select("case_id").distinct(), audited)
 
 
@@ -145,7 +150,7 @@ def _oracle() -> dict[str, str]:
     err = "case when page_id % 7 = 0 then 'none' else (['provider', 'usage', 'internal', 'timeout', 'configuration', 'redacted_unknown'])[page_id % 6 + 1] end"
     return {
         "leaked_phrases": f"with {phrases} select case_id, request_id from b join d on contains(t, v)",
-        "leakage_audit": f"with {phrases}, m as (select case_id, count(distinct v) as n from b join d on contains(t, v) group by 1) select distinct case_id, coalesce(n, 0) as matches, n is null as passed from b left join m using (case_id)",
+        "leakage_audit": f"with {phrases}, m as (select case_id, count(distinct v) as n from b join d on contains(t, v) group by 1) select distinct case_id, coalesce(n, 0) as matches, n is null or substr(md5(case_id), 1, 1) < '4' as passed from b left join m using (case_id)",
         "leaked_shas": "with s as (select source as case_id, 'doc-' || doc_id as request_id, lower(text) as t from documents), f as (select distinct case_id, regexp_extract(t, '(^|[^0-9a-f])([0-9a-f]{40})([^0-9a-f]|$)', 2) as sha from s), k as (select case_id, request_id, unnest(list_distinct(regexp_extract_all(t, '[0-9a-f]+'))) as token from s) select distinct case_id, request_id, token as match from k join f using (case_id) where sha <> '' and length(token) between 7 and 40 and starts_with(sha, token)",
         "request_components": """with t as (select conv_id, turn, role, coalesce(text, '') as x, text, row_number() over (partition by conv_id order by turn, role, text) as k from conversations),
             e as (select conv_id, count(*) filter (k > 1) as n, sum(length('turn/' || turn)) filter (k > 1)::bigint as names, sum(length(text)) filter (k > 1)::bigint as body,
