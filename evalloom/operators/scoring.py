@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.chains import endless
+from evalloom.functions.digests import ordered_digest
 from evalloom.operators import run_records
+from evalloom.sources.contracts import require_sound
 from evalloom.sources.scratch import broadcast_if_small, stored
 
 #: Severities from the lowest to the highest.
@@ -218,12 +220,24 @@ def check_experiment(plan: DataFrame, records: DataFrame, gold: DataFrame, findi
     return out.union(gate("adjudication", check_adjudications(adjudications))).union(gate("target", check_targets(current, records, findings, mechanisms)))
 
 
-def score_experiment(records: DataFrame, findings: DataFrame, mechanisms: DataFrame, locations: DataFrame, adjudications: DataFrame, recovery: DataFrame | None = None) -> dict[str, DataFrame]:
+#: The order of scored runs.
+RUN_ORDER = ("case_id", "repetition", "snapshot", "condition", "run_id")
+
+
+def result_digests(tables: dict[str, DataFrame]) -> DataFrame:
+    """experiment_id, digest, n: of each experiment's scored runs in RUN_ORDER, with their statuses and outcomes."""
+    line = F.to_json(F.struct("run_id", "status", "primary_outcome", "pessimistic_outcome", "optimistic_outcome"), {"ignoreNullFields": "false"})
+    return ordered_digest(tables["scored_runs"], ["experiment_id"], list(RUN_ORDER), line)
+
+
+def score_experiment(records: DataFrame, findings: DataFrame, mechanisms: DataFrame, locations: DataFrame, adjudications: DataFrame, recovery: DataFrame | None = None, gates: DataFrame | None = None) -> dict[str, DataFrame]:
     """scored_pairs, scored_findings, mechanism_outcomes and scored_runs of one or many experiments.
 
     Records of ``recovery`` that succeeded replace their run's. The pairs are written to the shared folder, as all else is
-    made from them; ``check_experiment`` tells beforehand whether the inputs are sound.
+    made from them. ``gates`` are the violations of ``check_experiment``: if there are any, nothing is scored.
     """
+    if gates is not None:
+        require_sound(gates)
     if recovery is not None:
         records = run_records.overlay_recovery(records, recovery)
     pairs = stored(score_pairs(findings, mechanisms, locations, adjudications), "pairs")

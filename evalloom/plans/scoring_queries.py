@@ -108,6 +108,10 @@ def bootstrap_convolution(spark, sf_dir):
     return found.select("experiment_id", "mode", "effect", F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"))
 
 
+def result_digests(spark, sf_dir):
+    return scoring.result_digests(scored(spark, sf_dir)).withColumn("n", F.col("n").cast("long"))
+
+
 def stored_store(spark: SparkSession, sf_dir: str) -> str:
     """A store of two experiments, written one after the other; the first is then written again, after a version without its failed runs."""
     tables, path = stored_tables(scored(spark, sf_dir)), f"{shared_dir(spark)}/evalloom/store-{uuid.uuid4().hex}"
@@ -356,6 +360,10 @@ def oracle() -> dict[str, str]:
           long as (select experiment_id, mode, 'vulnerable_lift' as effect, v as x from means union all select experiment_id, mode, 'fixed_false_positive_increase', f from means union all select experiment_id, mode, 'net_useful_lift', l from means)
           select experiment_id, mode, effect, quantile_disc(x, 0.025) as lower, quantile_disc(x, 0.975) as upper from long group by all""",
         "bootstrap_convolution": base + _EFFECTS + _convolved(),
+        "result_digests": base + """, lines as (select experiment_id, row_number() over (partition by experiment_id order by case_id, repetition, snapshot, condition, run_id) - 1 as place,
+            '{"run_id":"' || run_id || '","status":"' || status || '","primary_outcome":' || coalesce(primary_outcome::varchar, 'null') || ',"pessimistic_outcome":' || pessimistic_outcome || ',"optimistic_outcome":' || optimistic_outcome || '}' as line from runs),
+          parts as (select experiment_id, place // 4096 as part, sha256(string_agg(line, chr(10) order by place)) as line, count(*) as n from lines group by all)
+          select experiment_id, 'sha256:' || case when count(*) = 1 then max(line) else sha256(string_agg(line, chr(10) order by part)) end as digest, sum(n)::bigint as n from parts group by all""",
         "stored_runs": base + " select experiment_id, run_id, status, primary_outcome from runs where experiment_id in ('exp-0', 'exp-1')",
         "stored_entries": base + """, every as (select 'scored_pairs' as table_name, experiment_id from pairs union all select 'scored_findings', experiment_id from found union all select 'mechanism_outcomes', experiment_id from outcomes union all select 'scored_runs', experiment_id from runs)
           select table_name, experiment_id, count(*) as rows, 0::bigint as faults from every where experiment_id in ('exp-0', 'exp-1') group by all""",
@@ -391,5 +399,5 @@ def _statistics(texts: dict[str, str]) -> str:
     return shared + " " + "\nunion all ".join(parts)
 
 
-QUERIES = {f.__name__: f for f in (scored_pairs, scored_findings, mechanism_outcomes, run_outcomes, current_adjudications, adjudication_violations, scoring_gates, scored_violations, combined_outcomes, statistics_tables, breakdown_counts, breakdown_discordance, outcome_counts, paired_result, discordance, case_effects, bootstrap_hash, bootstrap_multinomial, bootstrap_convolution, stored_runs, stored_entries, repetition_stability, cell_violations, quality_rates, operation_distributions, breakdowns, status_counts, cr1_bounds)}
+QUERIES = {f.__name__: f for f in (scored_pairs, scored_findings, mechanism_outcomes, run_outcomes, current_adjudications, adjudication_violations, scoring_gates, scored_violations, combined_outcomes, statistics_tables, breakdown_counts, breakdown_discordance, outcome_counts, paired_result, discordance, case_effects, bootstrap_hash, bootstrap_multinomial, bootstrap_convolution, result_digests, stored_runs, stored_entries, repetition_stability, cell_violations, quality_rates, operation_distributions, breakdowns, status_counts, cr1_bounds)}
 ORACLE_SQL = oracle() | {"statistics_tables": _statistics(oracle())}

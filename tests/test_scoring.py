@@ -141,3 +141,12 @@ def test_price_and_recovery(spark):
     source = spark.createDataFrame([("x", "timeout", 1.0), ("y", "timeout", 1.0)], "run_id string, status string, latency_ms double")
     again = spark.createDataFrame([("x", "succeeded", 9876.0), ("y", "timeout", 2.0)], "run_id string, status string, latency_ms double")
     assert {r["run_id"]: (r["status"], r["latency_ms"], r["recovered"]) for r in run_records.overlay_recovery(source, again).collect()} == {"x": ("succeeded", 9876.0, True), "y": ("timeout", 1.0, False)}
+
+
+def test_nothing_is_scored_behind_a_gate_that_fails(spark):
+    frames = [spark.createDataFrame(x, s) for x, s in (([("e", "r", "c", "vulnerable", "baseline", 1, "succeeded")], RECORDS), ([], FINDINGS), ([("c", "2.0", "m1", "primary", "present", "absent", ["correctness"], "low", "high")], MECHANISMS), ([], LOCATIONS), ([], ADJUDICATIONS))]
+    gates = spark.createDataFrame([("complete", "record_missing", "r2")], "gate string, rule string, key string")
+    with pytest.raises(ValueError, match="record_missing"):
+        scoring.score_experiment(*frames, gates=gates)
+    out = scoring.score_experiment(*frames, gates=gates.limit(0))
+    assert [tuple(r)[::2] for r in scoring.result_digests(out).collect()] == [("e", 1)]
