@@ -14,7 +14,7 @@ exactly, block against block, and only links that join components leave a task.
 out, but for those that chains of links join already.
 
 Defined cases: null text and text without words has no shingles and links with nothing; a null id stays with a null class;
-rows that repeat an id share a class; ties go to the least id; an empty table gives an empty result; other columns are ignored.
+rows that repeat an id share a class; very long texts are compared whole; ties go to the least id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ counts leave a task, never pairs. So a link between two vectors is missed only i
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
 component; vectors of different lengths never link; a null id is kept, with no links and a null component; rows that repeat
-an id are told apart in the count of links and share the id in the result; an empty table gives an empty result.
+an id count as a link each where their vectors are equal, and are one vertex, with the links of all, where they differ; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ so sum to 1 at most, but for false hits: of pairs never seen, 2 ** -PROBES are f
 counts, which come back to the blocks from the buckets.
 
 Defined cases: null and empty text has the end token alone; a null doc_id is not learned from and not held out; repeated rows
-count and are scored each; with nothing to learn from, all counts are 0; other columns are ignored.
+count and are scored each; very long texts are a block of their own; with nothing to learn from, all counts are 0; other columns are ignored.
 """
 
 from __future__ import annotations

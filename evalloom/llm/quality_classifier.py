@@ -7,7 +7,7 @@ counted in a fixed number of fine bins, so that what is gathered does not grow w
 
 Inputs of a score are statistics of the text alone. Defined cases: a null text is an empty one and gets a score; rows with
 a null id or a null label are not learned from; a document labelled more than once counts with its lowest label; repeated rows
-are scored each; with no labelled rows at all every score is 0.5; other columns are ignored.
+are scored each; very long texts are read whole, one task a text; with no labelled rows at all every score is 0.5; other columns are ignored.
 """
 
 from __future__ import annotations

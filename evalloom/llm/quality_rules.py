@@ -11,7 +11,7 @@ rule acts there.
 
 Defined cases: null or empty text has no words and fails the base rule; a null stratum value is a stratum of its own; null
 labels and null ids take no part in calibration; a document labelled more than once counts as good only if all its labels
-say so; repeated rows of a document are judged each; an empty table gives an empty result. Columns other than those named
+say so; repeated rows of a document are judged each; very long texts are judged whole; an empty table gives an empty result. Columns other than those named
 are carried through by ``apply_rules`` and never used.
 """
 
