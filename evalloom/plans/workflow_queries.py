@@ -133,6 +133,34 @@ def attempt_costs(spark, sf_dir):
     return out.withColumn("known_cost", F.round("known_cost", 9))
 
 
+def _attempted(spark, sf_dir):
+    """Planned runs, terminal records of those that are finished, and attempt rows with faults."""
+    rows = view(spark, sf_dir, "records").select("experiment_id", "run_id", "run_no", F.col("attempt").alias("last"), "latency_ms", "input_tokens").withColumns({"provider": F.lit("p"), "model": F.lit("m")})
+    terminal = rows.filter("run_no % 13 <> 5").withColumn("terminal_attempt", F.col("last"))
+    attempts = rows.withColumn("attempt", F.explode(F.expr("sequence(1, last + case when run_no % 41 = 7 then 1 else 0 end)")))
+    attempts = attempts.filter("not (run_no % 17 = 3 and attempt = 2)").unionByName(attempts.filter("run_no % 43 = 9 and attempt = 1"))
+    attempts = attempts.withColumns({
+        "provider": F.expr("case when run_no % 47 = 11 then 'q' when run_no % 5 = 0 then 'unreported' else provider end"), "model": F.expr("case when run_no % 53 = 13 then 'x' else model end"),
+        "run_id": F.expr("case when run_no % 59 = 17 then concat('z-', run_id) else run_id end"), "latency_ms": F.expr("latency_ms + case when run_no % 61 = 19 then 1 else 0 end"), "input_tokens": F.expr("case when run_no % 67 = 23 then null else input_tokens end"),
+    })
+    return rows.drop("last", "latency_ms", "input_tokens"), terminal, attempts
+
+
+def attempt_metadata_violations(spark, sf_dir):
+    plan, terminal, attempts = _attempted(spark, sf_dir)
+    return cost.check_attempt_metadata(plan, terminal, attempts, ["experiment_id", "model"], ["latency_ms", "input_tokens"], 3, "p")
+
+
+def accounted_attempts(spark, sf_dir):
+    """Attempts that finished and unfinished runs must account for, and those that they don't."""
+    plan, terminal, attempts = _attempted(spark, sf_dir)
+    expected = cost.expected_attempts(plan, terminal, attempts)
+    seen = attempts.select("run_id", "attempt").distinct()
+    every = expected.select("run_id", "finished", "terminal_attempt", F.explode(F.sequence(F.lit(1), "terminal_attempt")).alias("attempt"))
+    gone = every.join(seen, ["run_id", "attempt"], "left_anti").groupBy("run_id").agg(F.count("*").alias("missing"))
+    return expected.join(gone, "run_id", "left").select("run_id", "finished", F.col("terminal_attempt").cast("long").alias("expected"), F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
 def _items(spark, sf_dir):
     got = base.inputs(spark, sf_dir)
     return adjudication.packet_items(got["records"], got["findings"], got["mechanisms"], F.col("experiment_id"))
@@ -340,6 +368,18 @@ def oracle() -> dict[str, str]:
         "run_costs": costs + " select * from runs_cost",
         "cost_totals": costs + ", totals as (select experiment_id, count(*) as completed_runs, count(*) filter (complete_usage) as provider_usage_runs, count(*) filter (unknown) as unknown_runs, sum(unaccounted_retries)::bigint as unaccounted_retries, round(sum(known_cost), 6) as known_cost from runs_cost group by 1) select *, case when unknown_runs = 0 and unaccounted_retries = 0 then known_cost end as actual_cost from totals",
         "remaining_projection": records + ", open as (select experiment_id, estimated_input_tokens * 2.5 / 1e6 + 2000 * 15 / 1e6 as c from records where status <> 'succeeded') select experiment_id, count(*) as unfinished_runs, count(*) - count(c) as unpriced, case when count(*) = count(c) then round(sum(c * 2) * 1.1, 6) end as projected_cost from open group by 1",
+        "attempt_metadata_violations": (attempted := with_views("records") + """, r as (select run_id, run_no, attempt as last, latency_ms, input_tokens, run_no % 13 <> 5 as done from records),
+            s as (select *, unnest(range(1, last + 1 + case when run_no % 41 = 7 then 1 else 0 end)) as attempt from r), t as (select *, case when run_no % 59 = 17 then 'z-' else '' end || run_id as rid from s where not (run_no % 17 = 3 and attempt = 2)),
+            a as (select * from t union all select * from t where run_no % 43 = 9 and attempt = 1)""") + """
+          select 'duplicate' as rule, rid || '/' || attempt as key, count(*)::varchar as detail from a group by rid, attempt having count(*) > 1
+          union all select 'foreign', rid || '/' || attempt, '' from a where run_no % 59 = 17 or run_no % 47 = 11 or run_no % 53 = 13
+          union all select 'stale', rid || '/' || attempt, (case when done and run_no % 59 <> 17 then last else 3 end)::varchar from a where attempt > case when done and run_no % 59 <> 17 then last else 3 end
+          union all select 'gap', rid, count(distinct attempt)::varchar from a where not done or run_no % 59 = 17 group by rid having max(attempt) - min(attempt) + 1 <> count(distinct attempt)
+          union all select 'conflict', rid || '/' || attempt, 'latency_ms' from a where done and run_no % 59 <> 17 and attempt = last and run_no % 61 = 19
+          union all select 'conflict', rid || '/' || attempt, 'input_tokens' from a where done and run_no % 59 <> 17 and attempt = last and run_no % 67 = 23 and input_tokens is not null""",
+        "accounted_attempts": attempted + """, own as (select run_id, max(attempt) as latest, count(distinct attempt) as n from a where run_no % 59 <> 17 group by 1),
+            e as (select r.run_id, done, case when done then last else latest end as expected, last, run_no, latest from r left join own using (run_id))
+          select run_id, done as finished, expected::bigint as expected, expected - (select count(distinct attempt) from a where a.rid = e.run_id and a.attempt <= e.expected) as missing from e where expected >= 1""",
         "attempt_costs": billed + ", spread as (select *, unnest(range(1, attempt + 1)) as a from billed) select experiment_id, run_id, count(*) as expected, count(*) filter (condition = 'candidate' and a = 2) as missing, count(*) filter (condition = 'candidate' and a = 2 and a < attempt) as missing_retries, round(sum(priced) filter (not (condition = 'candidate' and a = 2)), 9) as known_cost, bool_or(priced is null or condition = 'candidate' and a = 2) as unknown from spread group by all",
         "packet_items": adj + f""", items as (select experiment_id, run_id, finding_id, mechanism_id, substr({h("experiment_id", "finding_id", "mechanism_id", "run_id")}, 1, 32) as assignment_id from pairs where expected_status <> 'unverified')
           select experiment_id, assignment_id, run_id, finding_id, mechanism_id, row_number() over (partition by experiment_id order by {h("experiment_id", "'adjudication-packet'", "assignment_id")}) <= 40 as calibration from items""",
@@ -381,5 +421,5 @@ def oracle() -> dict[str, str]:
     }
 
 
-QUERIES = {f.__name__: f for f in (expanded_plan, plan_violations, pair_violations, plan_summary, execution_summary, case_digests, experiment_digests, terminal_records, completeness_violations, identity_violations, recovery_selection, recovery_overlay, stage_violations, attempt_chain_violations, run_costs, cost_totals, remaining_projection, attempt_costs, packet_items, calibration_agreement, derived_adjudications, decision_gaps, decision_violations, discovery_summary, issue_discovery, raw_detection, corpus_table, public_breakdowns, report_violations, report_constraints, sound_report, decisions)}
+QUERIES = {f.__name__: f for f in (expanded_plan, plan_violations, pair_violations, plan_summary, execution_summary, case_digests, experiment_digests, terminal_records, completeness_violations, identity_violations, recovery_selection, recovery_overlay, stage_violations, attempt_chain_violations, run_costs, cost_totals, remaining_projection, attempt_costs, attempt_metadata_violations, accounted_attempts, packet_items, calibration_agreement, derived_adjudications, decision_gaps, decision_violations, discovery_summary, issue_discovery, raw_detection, corpus_table, public_breakdowns, report_violations, report_constraints, sound_report, decisions)}
 ORACLE_SQL = oracle()
