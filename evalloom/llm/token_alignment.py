@@ -33,7 +33,7 @@ from evalloom.llm.common import materialize, materialize_bucketed, small_batches
 from evalloom.llm.wordpieces import WordEncoder, listed, spans
 
 #: Bytes of a chunk's texts, give or take a document; words encoded, words and tokens joined at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 ENCODED, BATCH_WORDS, BATCH_TOKENS = 20_000, 100_000, 250_000
 #: Bytes of a document that one element of the state vector sees through.
 STRETCH = 4_096

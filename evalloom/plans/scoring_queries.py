@@ -72,7 +72,11 @@ def scored_violations(spark, sf_dir):
     change = lambda table, column, value: {table: s[table].withColumn(column, F.expr(value))}
     s |= change("scored_pairs", "accepted_path", f"case when {n} % 13 = 0 then null else accepted_path end")
     s |= change("scored_findings", "disposition", f"case when {n} % 11 = 0 and disposition = 'partial' then 'unmatched' else disposition end")
+    s |= change("scored_pairs", "disposition", f"case when {n} % 23 = 0 and disposition = 'unmatched' then 'partial' else disposition end")
+    s |= change("scored_findings", "duplicate_of", f"case when {n} % 37 = 0 and duplicate_of is not null then 'F0' else duplicate_of end")
     s |= change("mechanism_outcomes", "classification", f"case when {n} % 19 = 0 and evaluation_role = 'supplemental' and classification = 'true_negative' then 'unverified' else classification end")
+    s |= change("mechanism_outcomes", "evaluation_role", f"case when {n} % 29 = 0 and evaluation_role = 'supplemental' or {n} % 43 = 0 and evaluation_role = 'primary' then 'other' else evaluation_role end")
+    s["mechanism_outcomes"] = s["mechanism_outcomes"].filter(f"not ({n} % 41 = 0 and mechanism_id = 'm2')")
     s |= change("scored_runs", "optimistic_outcome", f"case when status = 'succeeded' and {n} % 17 = 0 then not optimistic_outcome else optimistic_outcome end")
     s |= change("scored_runs", "primary_outcome", f"case when status <> 'succeeded' and {n} % 2 = 0 then true else primary_outcome end")
     return scoring.check_scored(s)
@@ -345,9 +349,15 @@ def oracle() -> dict[str, str]:
           union all select 'target', case when mechanism_id is null then 'mechanism' else 'unverified' end, adjudication_id from aimed where mechanism_id is null or expected = 'unverified'""",
         "scored_violations": base + """, n as (select *, substr(run_id, 5)::bigint as n from pairs), fails as (select *, substr(run_id, 5)::bigint as n from runs where status <> 'succeeded'), good as (select *, substr(run_id, 5)::bigint as n from runs where status = 'succeeded')
           select 'path' as rule, run_id || '/' || finding_id || '/' || mechanism_id as key from n where n % 13 = 0 and path_match <> 'none'
+          union all select 'disposition', run_id || '/' || finding_id || '/' || mechanism_id from n where n % 23 = 0 and disposition = 'unmatched'
+          union all select 'duplicate', run_id || '/' || finding_id from found where substr(run_id, 5)::bigint % 37 = 0 and duplicate_of is not null
+          union all select 'labels', run_id || '/' || finding_id || '/' || mechanism_id from n where mechanism_id = 'm2' and (n % 29 = 0 or n % 41 = 0) or mechanism_id = 'm1' and n % 43 = 0
+          union all select distinct 'cover', run_id || '/' || finding_id from n where mechanism_id = 'm2' and n % 41 = 0
+          union all select distinct 'mechanism_set', case_id from outcomes where mechanism_id = 'm2' and substr(run_id, 5)::bigint % 41 = 0
+          union all select 'primary', run_id from runs where substr(run_id, 5)::bigint % 43 = 0
           union all select 'finding', run_id || '/' || finding_id from found where substr(run_id, 5)::bigint % 11 = 0 and finding_disposition = 'partial'
-          union all select 'class', run_id || '/' || mechanism_id from outcomes where substr(run_id, 5)::bigint % 19 = 0 and evaluation_role = 'supplemental' and classification = 'true_negative'
-          union all select 'bounds', run_id from good where n % 17 = 0 union all select unnest(['failed', 'outcome', 'bounds']), run_id from fails where n % 2 = 0""",
+          union all select 'class', run_id || '/' || mechanism_id from outcomes where substr(run_id, 5)::bigint % 19 = 0 and substr(run_id, 5)::bigint % 41 <> 0 and evaluation_role = 'supplemental' and classification = 'true_negative'
+          union all select 'bounds', run_id from good where n % 17 = 0 and n % 43 <> 0 union all select 'failed', run_id from fails where n % 2 = 0 union all select unnest(['outcome', 'bounds']), run_id from fails where n % 2 = 0 and n % 43 <> 0""",
         "outcome_counts": base + f" select *, case when unresolved = 0 then round(positive / total, 10) end as value from (select experiment_id, mode, snapshot, condition, {_COUNTS} from modes group by all)",
         "paired_result": base + " " + _differences("experiment_id", "modes"),
         "discordance": base + """, sides as (select experiment_id, mode, snapshot, case_id, repetition, max(coalesce(outcome::int, -1)) filter (condition = 'baseline') as b, max(coalesce(outcome::int, -1)) filter (condition = 'candidate') as c from modes group by all)
