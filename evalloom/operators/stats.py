@@ -128,7 +128,8 @@ def quantiles(values: DataFrame, keys: list[str], wanted: dict[str, tuple[float,
     """Quantiles of counted values (keys, x, n; an x once a key) by key: name to (p, linear or else nearest-rank).
 
     A pass cuts the range of values that holds a rank into ``bins`` and goes on with the bin that holds it, from that bin's least value
-    to its greatest. A bin of at most ``fine`` different values is ranked. So however values lie, no task ranks more than that.
+    to its greatest. A bin of at most ``fine`` different values is ranked. So however values lie, no task ranks more than that; a pass
+    leaves a range that is ``bins`` times narrower, so values over many orders of magnitude take more passes.
     """
     edges = values.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("all"), F.count("*").alias("m"))
     n, ranks = F.col("all"), []

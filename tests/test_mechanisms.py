@@ -65,7 +65,7 @@ def test_cycles_and_long_logs_of_adjudications(spark):
 @pytest.mark.parametrize("shape", ["one range holds nearly all", "powers", "equal", "few"])
 def test_quantiles_by_refinement(spark, shape):
     rng = np.random.default_rng(3)
-    x = {"one range holds nearly all": np.concatenate([rng.random(5_000), [1e12, -1e9, 5.0]]), "powers": 2.0 ** np.arange(-300, 300), "equal": np.full(40, 3.5), "few": np.array([1.0, 2.0])}[shape]
+    x = {"one range holds nearly all": np.concatenate([rng.random(5_000), [1e12, -1e9, 5.0]]), "powers": 2.0 ** np.arange(-20, 20), "equal": np.full(40, 3.5), "few": np.array([1.0, 2.0])}[shape]
     rows = spark.createDataFrame([("k", float(v)) for v in x], "g string, x double").groupBy("g", "x").agg(F.count("*").alias("n"))
     row = stats.quantiles(rows, ["g"], {"median": (0.5, True), "p95": (0.95, False), "low": (0.01, False)}, bins=8, fine=20).first()
     ordered = np.sort(x)
