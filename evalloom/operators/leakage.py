@@ -79,14 +79,16 @@ def _phrase_grams(words: Column) -> Column:
 def scan_phrases(components: DataFrame, index: DataFrame, scope: str | None = "case_id") -> DataFrame:
     """Whole-word phrase hits. components: request_id, pos, location_class, text (and the scope column); ``scope`` None looks for all phrases everywhere."""
     phrases = index.filter("mode = 'phrase' and value <> ''").select("case_id", "rule_id", "value").distinct()
-    texts = stored(components.select(*([scope] if scope else []), "request_id", "pos", "location_class", normalize_phrase("text").alias("normal")).filter("normal <> ''"), "normal")
-    grams = texts.select(*([scope] if scope else []), "request_id", "pos", F.explode(_grams(F.split("normal", " "))).alias("gram"))
+    texts = components.select(*([scope] if scope else []), "request_id", "pos", "location_class", normalize_phrase("text").alias("normal")).filter("normal <> ''")
+    # components are told apart by a number, as ids of requests may be null or repeated
+    texts = stored(texts.withColumn("row", F.monotonically_increasing_id()), "normal")
+    grams = texts.select(*([scope] if scope else []), "row", F.explode(_grams(F.split("normal", " "))).alias("gram"))
     on = ["gram"] + ([scope] if scope else [])
     wanted = stored(phrases.select(F.explode(_phrase_grams(F.split("value", " "))).alias("gram")).distinct(), "grams")
     # most n-grams are in no phrase: they go before anything is shuffled
     grams = stored(grams.join(broadcast_if_small(wanted, BROADCAST_GRAMS), "gram", "left_semi"), "grams")
     label = (F.col("rule_id") == LABEL_RULE) & F.col("location_class").isin("filename", "context_bundle")
-    hits = grams.join(phrase_keys(phrases, grams, on), on).join(texts.select("request_id", "pos", "location_class", "normal"), ["request_id", "pos"])
+    hits = grams.join(phrase_keys(phrases, grams, on), on).join(texts.select("row", "request_id", "pos", "location_class", "normal"), "row")
     hits = hits.filter(F.contains(F.concat(F.lit(" "), "normal", F.lit(" ")), F.concat(F.lit(" "), "value", F.lit(" "))) & ~label)
     return hits.select("case_id", "request_id", "pos", "location_class", "rule_id", F.col("value").alias("match")).distinct()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,16 +143,36 @@ def contract_violations(spark, sf_dir):
     return contracts.check_contract(rows, "finding").select("rule", "key")
 
 
+def _normal_sql(table: str, rows: str) -> str:
+    """CTE ``table`` with the columns of ``rows`` and ``normal``: the form of ``normal_phrase`` of its column text, between blanks.
+
+    DuckDB composes (NFC), but has neither compatibility forms nor case folding: the first come from a list of characters for texts that
+    have some, the second by replacing what does not fold to its lower case.
+    """
+    form, every = unicodedata.normalize, [chr(i) for i in range(0x80, 0x20000) if not 0xD800 <= i < 0xE000]
+    compat = [(c, form("NFKD", c)) for c in every if form("NFKD", c) != form("NFD", c)]
+    fold = [(c, c.casefold()) for c in every if form("NFKC", c) == c and (c.casefold() != c.lower() or len(c.casefold()) > 1)]
+    single, folded_text = [f for f in fold if len(f[1]) == 1], "n"
+    for c, to in fold:
+        folded_text = folded_text if len(to) == 1 else f"replace({folded_text}, '{c}', '{to}')"
+    folded_text = f"translate({folded_text}, '{''.join(c for c, _ in single)}', '{''.join(to for _, to in single)}')"
+    some, pairs = "".join(c for c, _ in compat), ", ".join("('{}', '{}')".format(c, to.replace("'", "''")) for c, to in compat)
+    return f"""{table}_r as materialized (select *, row_number() over () as r from ({rows})), {table}_k(ch, d) as (values {pairs}),
+      {table}_c as (select r, unnest(regexp_extract_all(text, '(?s).')) as ch, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) as i from {table}_r where regexp_matches(text, '[{some}]')),
+      {table}_n as (select r, string_agg(coalesce(d, ch), '' order by i) as n from {table}_c left join {table}_k using (ch) group by r),
+      {table} as (select *, ' ' || trim(regexp_replace(lower({folded_text}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' as normal from (select a.* exclude (r), nfc_normalize(coalesce(n, text)) as n from {table}_r a left join {table}_n using (r)))"""
+
+
 def _oracle() -> dict[str, str]:
-    norm = lambda c: f"' ' || trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
-    phrases = f"b as (select 'item-' || item_id as case_id, {norm('text')} as v from benchmark), d as (select 'doc-' || doc_id as request_id, {norm('text')} as t from documents where text is not null)"
+    phrases = _normal_sql("bn", "select 'item-' || item_id as case_id, text from benchmark") + ", " + _normal_sql("dn", "select 'doc-' || doc_id as request_id, text from documents where text is not null")
+    phrases += ", b as (select case_id, normal as v from bn), d as (select request_id, normal as t from dn)"
     cases = with_views("cases") + ", c as (select case_id, repository, cat_a as defect_category, case when greatest(vulnerable_tokens, fixed_tokens) <= 2000 then 'small' when greatest(vulnerable_tokens, fixed_tokens) <= 8000 then 'medium' else 'large' end as context_size_band, role from cases)"
     long = " union all ".join(f"select '{d}' as dimension, {d} as value, role from c" for d in corpus_split.DIMENSIONS)
     files = "files as (select 'case-' || (doc_id // 40) as case_id, 'src/' || source || '/' || lang || '/d' || doc_id || '.txt' as path, text, doc_id from documents where doc_id is not null)"
     err = "case when page_id % 7 = 0 then 'none' else (['provider', 'usage', 'internal', 'timeout', 'configuration', 'redacted_unknown'])[page_id % 6 + 1] end"
     return {
-        "leaked_phrases": f"with {phrases} select case_id, request_id from b join d on contains(t, v)",
-        "leakage_audit": f"with {phrases}, m as (select case_id, count(distinct v) as n from b join d on contains(t, v) group by 1) select distinct case_id, coalesce(n, 0) as matches, n is null or substr(md5(case_id), 1, 1) < '4' as passed from b left join m using (case_id)",
+        "leaked_phrases": f"with {phrases} select distinct case_id, request_id from b join d on v <> '  ' and contains(t, v)",
+        "leakage_audit": f"with {phrases}, m as (select case_id, count(distinct v) as n from b join d on v <> '  ' and contains(t, v) group by 1) select distinct case_id, coalesce(n, 0) as matches, n is null or substr(md5(case_id), 1, 1) < '4' as passed from b left join m using (case_id)",
         "leaked_shas": "with s as (select source as case_id, 'doc-' || doc_id as request_id, lower(text) as t from documents), f as (select distinct case_id, regexp_extract(t, '(^|[^0-9a-f])([0-9a-f]{40})([^0-9a-f]|$)', 2) as sha from s), k as (select case_id, request_id, unnest(list_distinct(regexp_extract_all(t, '[0-9a-f]+'))) as token from s) select distinct case_id, request_id, token as match from k join f using (case_id) where sha <> '' and length(token) between 7 and 40 and starts_with(sha, token)",
         "request_components": """with t as (select conv_id, turn, role, coalesce(text, '') as x, text, row_number() over (partition by conv_id order by turn, role, text) as k from conversations),
             e as (select conv_id, count(*) filter (k > 1) as n, sum(length('turn/' || turn)) filter (k > 1)::bigint as names, sum(length(text)) filter (k > 1)::bigint as body,
