@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.digests import ordered_digest
 from evalloom.functions.text import is_composed
+from evalloom.sources.scratch import stored
 
 MARKER = "\n[truncated]\n"
 #: Characters at a cut whose tokens may change with what follows.
@@ -60,9 +62,9 @@ def truncate(text: str, byte_limit: int, token_limit: int, policy: str, count: C
     """The text or its longest fitting part with the marker, and whether it was cut; None if nothing fits.
 
     Token counts need not grow with the text, so candidates are tried downward from the largest that fits in bytes; parts
-    whose inner tokens alone are too many rule out every longer one.
+    whose inner tokens alone are too many rule out every longer one. Those of ``count_words`` do grow, so the largest is found at once.
     """
-    fits = lambda t: len(t.encode()) <= byte_limit and count(t) <= token_limit
+    fits = lambda t: len(t) <= byte_limit and len(t.encode()) <= byte_limit and count(t) <= token_limit
     if fits(text):
         return text, False
     if policy == "reject" or token_limit < 1 or not fits(MARKER):
@@ -79,7 +81,11 @@ def truncate(text: str, byte_limit: int, token_limit: int, policy: str, count: C
             low, high = (middle, high) if good(middle) else (low, middle - 1)
         return low
 
-    high = largest(lambda k: len(part(k).encode()) <= byte_limit, len(text))
+    # a character has a byte at least
+    high = largest(lambda k: len(part(k).encode()) <= byte_limit, min(len(text), byte_limit))
+    if count is count_words:
+        kept = _longest(text, high, token_limit - count(MARKER), policy)
+        return part(kept), True
 
     def inside(k: int) -> int:
         """Tokens of the two parts without what their cut ends may change: no longer candidate has fewer."""
@@ -90,6 +96,22 @@ def truncate(text: str, byte_limit: int, token_limit: int, policy: str, count: C
     return next(((part(k), True) for k in range(high, -1, -1) if fits(part(k))), None)
 
 
+def _longest(text: str, high: int, tokens: int, policy: str) -> int:
+    """The largest number of kept characters, up to ``high``, whose two parts have at most ``tokens`` words and marks.
+
+    The marker begins and ends with white space, so counts add up; a part has a token for each that starts before its cut, or ends after it.
+    """
+    side = high // 2 if policy == "head_tail" else 0
+    starts = [m.start() for m in _TOKEN.finditer(text[:high])]
+    ends = [side - m.end() for m in _TOKEN.finditer(text[len(text) - side :])][::-1] if side else []  # characters after a token
+    low = 0
+    while low < high:
+        middle = (low + high + 1) // 2
+        tail = middle // 2 if policy == "head_tail" else 0
+        low, high = (middle, high) if bisect_left(starts, middle - tail) + bisect_left(ends, tail) <= tokens else (low, middle - 1)
+    return low
+
+
 def limit_text(content: Column, byte_limit: Column, token_limit: Column, policy: str = "head", count: Callable[[str], int] = count_words) -> Column:
     """Struct of content, truncated, byte_count and token_count; content is null where nothing fits."""
 
@@ -107,25 +129,30 @@ def limit_text(content: Column, byte_limit: Column, token_limit: Column, policy:
 def fit_budget(files: DataFrame, byte_limit: int, file_tokens: int, total_tokens: int, policy: str = "head", count: Callable[[str], int] = count_words) -> DataFrame:
     """Entries of each (case_id, snapshot): as limited per file if their sum fits, else by shares in path order, what is unused rolling on.
 
-    Groups are the files of one snapshot; only those beyond the budget go through the sequential step.
+    Groups are the files of one snapshot; only those beyond the budget go through the sequential step. A text is limited once, and written
+    once: as it is limited where its group fits, else whole.
     """
     keys = ["case_id", "snapshot"]
-    once = files.withColumn("e", limit_text(F.col("content"), F.lit(byte_limit), F.lit(file_tokens), policy, count)).select(*keys, "path", F.col("content").alias("whole"), "e.*")
-    sums = once.groupBy(*keys).agg(F.sum("token_count").alias("sum"))
-    marked = once.join(sums, keys)
-    fit = marked.filter(F.col("sum") <= total_tokens).select(*keys, "path", "content", "truncated", "byte_count", "token_count")
+    once = files.withColumn("e", limit_text(F.col("content"), F.lit(byte_limit), F.lit(file_tokens), policy, count))
+    # texts that were not cut are moved once
+    once = once.select(*keys, "path", F.col("content").alias("whole"), F.when(F.col("e.truncated"), F.col("e.content")).alias("cut"), "e.truncated", "e.byte_count", "e.token_count")
+    over = F.sum("token_count").over(Window.partitionBy(*keys)) > total_tokens
+    marked = once.withColumn("over", over).filter("over is not null")
+    content = F.when(F.col("over") | F.col("truncated").isNull(), None).when(F.col("truncated"), F.col("cut")).otherwise(F.col("whole"))
+    marked = stored(marked.select(*keys, "path", "over", F.when(F.col("over"), F.col("whole")).alias("whole"), content.alias("content"), "truncated", "byte_count", "token_count"), "budgets")
+    fit = marked.filter("not over").select(*keys, "path", "content", "truncated", "byte_count", "token_count")
 
     def share(g: pd.DataFrame) -> pd.DataFrame:
         left, out = total_tokens, []
         g = g.sort_values("path")
         for i, row in enumerate(g.itertuples()):
-            got = truncate(row.whole, byte_limit, min(file_tokens, left // (len(g) - i)), policy, count)
+            got = None if row.whole is None else truncate(row.whole, byte_limit, min(file_tokens, left // (len(g) - i)), policy, count)
             used = count(got[0]) if got else 0
             left -= used
             out.append((row.case_id, row.snapshot, row.path, got[0] if got else None, bool(got and got[1]), len(got[0].encode()) if got else 0, used))
         return pd.DataFrame(out, columns=[*keys, "path", "content", "truncated", "byte_count", "token_count"])
 
-    over = marked.filter(F.col("sum") > total_tokens).select(*keys, "path", "whole").groupBy(*keys).applyInPandas(share, "case_id string, snapshot string, path string, content string, truncated boolean, byte_count long, token_count long")
+    over = marked.filter("over").select(*keys, "path", "whole").groupBy(*keys).applyInPandas(share, "case_id string, snapshot string, path string, content string, truncated boolean, byte_count long, token_count long")
     return fit.union(over)
 
 
@@ -133,8 +160,9 @@ def bundle_manifest(entries: DataFrame) -> DataFrame:
     """Digest, bytes and tokens of every (case_id, snapshot)'s entries in path order."""
     line = F.concat_ws("\0", "path", F.sha2(F.col("content").cast("binary"), 256), F.col("truncated").cast("string"))
     keys = ["case_id", "snapshot"]
-    sums = entries.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("byte_count").alias("bytes"), F.sum("token_count").alias("tokens"))
-    return sums.join(ordered_digest(entries, keys, ["path"], line).drop("n"), keys)
+    rows = stored(entries.select(*keys, "path", "byte_count", "token_count", line.alias("line")), "entries")  # both results read it, without texts
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("files"), F.sum("byte_count").alias("bytes"), F.sum("token_count").alias("tokens"))
+    return sums.join(ordered_digest(rows, keys, ["path"], F.col("line")).drop("n"), keys)
 
 
 def tree_digest(files: DataFrame, group: str) -> DataFrame:
