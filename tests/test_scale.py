@@ -67,3 +67,13 @@ def test_calibration_moves_no_packet_as_a_whole(spark):
         own = sorted((r for r in rows if r["packet"] == packet), key=lambda r: r["order_hash"])
         assert [r["calibration"] for r in own] == [k < n for k in range(len(own))]
     assert not adjudication.shuffle_and_calibrate(items, "packet", F.col("packet"), 0).filter("calibration").count()
+
+
+def test_intervals_read_their_effects_once(spark):
+    from evalloom.operators import bootstrap
+
+    rows = [("e", m, f"c{i}", x, 0.0, x) for m in ("primary", "optimistic") for i, x in enumerate((0.5, -0.5, None if m == "primary" else 1.0))]
+    effects = spark.createDataFrame(rows, "experiment_id string, mode string, case_id string, vulnerable_lift double, fixed_false_positive_increase double, net_useful_lift double")
+    got = bootstrap.bootstrap_intervals(effects, "convolution")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert {r["mode"] for r in got.collect()} == {"optimistic"}
