@@ -54,7 +54,7 @@ def differences(counts: DataFrame, *by: str) -> DataFrame:
 def discordance(modes: DataFrame, *by: str) -> DataFrame:
     """Pairs of (case, repetition) by how the two conditions agree, for each snapshot."""
     side = lambda c: F.max(F.when(F.col("condition") == c, F.when(F.col("outcome").isNull(), -1).otherwise(F.col("outcome").cast("int"))))
-    pairs = modes.groupBy("experiment_id", *by, "mode", "snapshot", "case_id", "repetition").agg(side("baseline").alias("b"), side("candidate").alias("c"))
+    pairs = modes.groupBy(*dict.fromkeys(("experiment_id", *by, "mode", "snapshot", "case_id", "repetition"))).agg(side("baseline").alias("b"), side("candidate").alias("c"))
     return pairs.groupBy("experiment_id", *by, "mode", "snapshot").agg(
         F.count_if(F.expr("b = 1 and c = 1")).alias("both"),
         F.count_if(F.expr("b = 0 and c = 1")).alias("candidate_only"),
@@ -187,13 +187,21 @@ def breakdowns(modes: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def breakdown_counts(modes: DataFrame, tags: DataFrame) -> DataFrame:
-    """Outcome counts by tag."""
-    return outcome_counts(modes.join(met(tags.withColumnRenamed("value", "tag")), "case_id"), "dimension", "tag")
+    """Outcome counts by tag; tags are different rows."""
+    parts = ("positive", "negative", "unresolved", "total")
+    rows = by_tag(outcome_counts(modes, "case_id"), tags, ("mode", "snapshot", "condition"), parts)
+    return rows.withColumn("value", F.when(F.col("unresolved") == 0, F.col("positive") / F.col("total")))
 
 
 def breakdown_discordance(modes: DataFrame, tags: DataFrame) -> DataFrame:
-    """Discordance by tag."""
-    return discordance(modes.join(met(tags.withColumnRenamed("value", "tag")), "case_id"), "dimension", "tag")
+    """Discordance by tag; tags are different rows."""
+    return by_tag(discordance(modes, "case_id"), tags, ("mode", "snapshot"), ("both", "candidate_only", "baseline_only", "neither", "unresolved"))
+
+
+def by_tag(cases: DataFrame, tags: DataFrame, cell: tuple[str, ...], counts: tuple[str, ...]) -> DataFrame:
+    """Counts of cases added up by tag: runs are counted by case before, so that no run is repeated for the tags of its case."""
+    rows = cases.select("case_id", "experiment_id", *cell, *counts).join(met(tags.withColumnRenamed("value", "tag")), "case_id")
+    return rows.groupBy("experiment_id", "dimension", "tag", *cell).agg(*(F.sum(c).alias(c) for c in counts))
 
 
 def status_counts(runs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evalloom.operators import adjudication, bootstrap, scoring
+from evalloom.operators import adjudication, bootstrap, scoring, stats
 from evalloom.operators import experiment_plan as plans
 from evalloom.plans import scoring_queries
 from evalloom.plans.demo import view
@@ -77,3 +77,15 @@ def test_intervals_read_their_effects_once(spark):
     got = bootstrap.bootstrap_intervals(effects, "convolution")
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
     assert {r["mode"] for r in got.collect()} == {"optimistic"}
+
+
+def test_runs_are_counted_before_they_meet_tags(spark):
+    cells = [(s, c) for s in ("vulnerable", "fixed") for c in ("baseline", "candidate")]
+    rows = [("e", case, s, c, r, "primary", None if (case, r) == ("y", 3) else (r + len(s) + len(c)) % 2 == 0) for case in ("x", "y") for s, c in cells for r in (1, 2, 3)]
+    modes = spark.createDataFrame(rows, "experiment_id string, case_id string, snapshot string, condition string, repetition int, mode string, outcome boolean")
+    tags = spark.createDataFrame([("x", "repository", "a"), ("x", "category", "p"), ("x", "category", "q"), ("y", "repository", "a")], "case_id string, dimension string, value string")
+    for got, whole in ((stats.breakdown_counts(modes, tags), stats.outcome_counts), (stats.breakdown_discordance(modes, tags), stats.discordance)):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" in plan.split("Join")[-1]
+        want = whole(modes.join(tags.withColumnRenamed("value", "tag"), "case_id"), "dimension", "tag")
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
