@@ -89,3 +89,9 @@ def test_runs_are_counted_before_they_meet_tags(spark):
         assert "Aggregate" in plan.split("Join")[-1]
         want = whole(modes.join(tags.withColumnRenamed("value", "tag"), "case_id"), "dimension", "tag")
         assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_findings_are_dealt_by_case_once(spark):
+    plan = plan_of(view(spark, SMALL, "findings"))
+    assert "Exchange hashpartitioning(run_no" not in plan and plan.count("REPARTITION_BY_COL") == 1
+    assert "l_suppkey" not in scoring_queries.scored(spark, SMALL)["scored_pairs"].columns
