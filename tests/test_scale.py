@@ -95,3 +95,8 @@ def test_findings_are_dealt_by_case_once(spark):
     plan = plan_of(view(spark, SMALL, "findings"))
     assert "Exchange hashpartitioning(run_no" not in plan and plan.count("REPARTITION_BY_COL") == 1
     assert "l_suppkey" not in scoring_queries.scored(spark, SMALL)["scored_pairs"].columns
+
+
+def test_gates_read_stored_inputs(spark):
+    plan = plan_of(scoring_queries.scoring_gates(spark, SMALL))
+    assert "NestedLoop" not in plan and "sf0.001" not in plan  # no view is made again for each gate that reads it
