@@ -100,3 +100,7 @@ def test_findings_are_dealt_by_case_once(spark):
 def test_gates_read_stored_inputs(spark):
     plan = plan_of(scoring_queries.scoring_gates(spark, SMALL))
     assert "NestedLoop" not in plan and "sf0.001" not in plan  # no view is made again for each gate that reads it
+
+
+def test_scored_tables_are_stored_before_they_are_checked(spark):
+    assert "sf0.001" not in plan_of(scoring_queries.scored_violations(spark, SMALL))
