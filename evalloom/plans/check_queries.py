@@ -11,20 +11,21 @@ from evalloom.operators import experiment_plan as plans
 from evalloom.plans.demo import view, with_views
 from evalloom.plans.text_queries import read
 from evalloom.sources import contracts, documents
-from evalloom.sources.scratch import shared_dir
+from evalloom.sources.scratch import shared_dir, stored
 
 _AT = "timestamp '2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, {h}, 0, 0)"
 
 
 def _noted(spark, sf_dir):
-    """Findings as packet items, a packet for each case, with notes that disclose something."""
+    """Findings as packet items, a packet for each case, with notes that disclose something; findings are stored, as several results read them."""
     note = """case l_suppkey % 11 when 0 then 'Seen in the  Vulnerable snapshot' when 1 then 'It was fixed yesterday' when 2 then 'FIXED' when 3 then repeat('ab12', 10) when 4 then concat('as in ', case_id, '.') else 'plain' end"""
-    return view(spark, sf_dir, "findings").selectExpr("concat(run_id, '/', finding_id) as assignment_id", "case_id as packet_id", "finding_id as id", f"{note} as note", "concat('see ', finding_id, ', F1000 and F10010') as title", "array(named_struct('source_type', 'file', 'reference', concat('x ', finding_id))) as evidence")
+    findings = stored(view(spark, sf_dir, "findings").select("run_id", "finding_id", "case_id", "l_suppkey"), "findings")
+    return findings.selectExpr("concat(run_id, '/', finding_id) as assignment_id", "case_id as packet_id", "finding_id as id", f"{note} as note", "concat('see ', finding_id, ', F1000 and F10010') as title", "array(named_struct('source_type', 'file', 'reference', concat('x ', finding_id))) as evidence")
 
 
 def redacted_items(spark, sf_dir):
     items = _noted(spark, sf_dir)
-    ids = items.select("packet_id", F.col("id").alias("finding_id")).distinct()
+    ids = items.select("packet_id", F.col("id").alias("finding_id"))
     return adjudication.redact(items.drop("id", "note"), ["title", "evidence"], ids).select("assignment_id", "title", F.col("evidence")[0]["reference"].alias("reference"))
 
 
