@@ -104,3 +104,26 @@ def test_gates_read_stored_inputs(spark):
 
 def test_scored_tables_are_stored_before_they_are_checked(spark):
     assert "sf0.001" not in plan_of(scoring_queries.scored_violations(spark, SMALL))
+
+
+def test_decisions_meet_by_assignment(spark):
+    import random
+
+    schema = "role string, decision_id string, assignment_id string, classification string, h long, supersedes string, resolves array<string>"
+    rnd, name = random.Random(5), lambda k: f"d{k}"
+    rows = []
+    for k in range(400):
+        role = rnd.choice(["primary", "calibration", "resolution", "primary", None])
+        near = [name(j) for j in range(max(0, k - 6), k + 2)]
+        rows.append((role, name(k), rnd.choice([f"a{k // 4}"] * 8 + [f"a{rnd.randrange(100)}", None]), "match", k + rnd.randint(-3, 3), rnd.choice([None] * 3 + [rnd.choice(near), "nowhere"]), rnd.sample(near, 2) if role == "resolution" else rnd.choice([[], None])))
+    rows += [("primary", "alone", "z", "match", 1, None, []), ("calibration", "thief", "a0", "match", 2, "alone", [])]  # its leaf is taken from another assignment
+    rows += [(r, f"{r}-{k}", f"s{k}", "match", k, None, ["primary-" + str(k), "calibration-" + str(k)] if r == "resolution" else []) for k in range(9) for r in ("primary", "calibration", "resolution")]
+    sound = lambda rows: spark.createDataFrame(rows, schema).withColumn("decided_at", F.timestamp_seconds("h"))
+    whole = [r for r in rows if r[2] is not None]
+    for some in (whole, whole[:50], rows[-27:], [*whole, ("primary", "d7", "a9", "match", 1, None, [])]):
+        got, want = (sorted(map(tuple, f(sound(some)).collect()), key=str) for f in (adjudication.check_decisions, adjudication._check_decisions_by_id))
+        assert got == want and got
+    every = {r["rule"] for r in adjudication.check_decisions(sound(whole)).collect()}
+    assert every == {"unknown_target", "foreign_target", "time", "fork", "chain", "resolution"}
+    assert "Exchange hashpartitioning(decision_id" not in plan_of(adjudication.check_decisions(sound(whole)))  # the history is not joined by id
+    assert {(r["rule"], r["key"]) for r in adjudication.check_decisions(sound(rows)).collect()} >= {("chain", "primary/z")}
