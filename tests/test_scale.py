@@ -127,3 +127,23 @@ def test_decisions_meet_by_assignment(spark):
     assert every == {"unknown_target", "foreign_target", "time", "fork", "chain", "resolution"}
     assert "Exchange hashpartitioning(decision_id" not in plan_of(adjudication.check_decisions(sound(whole)))  # the history is not joined by id
     assert {(r["rule"], r["key"]) for r in adjudication.check_decisions(sound(rows)).collect()} >= {("chain", "primary/z")}
+
+
+def test_items_and_decisions_move_once(spark):
+    items = spark.createDataFrame([("x", True, "r"), ("y", False, "r"), ("z", False, "r"), (None, False, "r")], "assignment_id string, calibration boolean, run_id string")
+    rows = [("primary", "p", "x"), ("calibration", "k", "x"), ("resolution", "s", "x"), ("primary", "no item", None), ("primary", "q", "y"), ("primary", "q2", "y"), ("primary", "lost", "w")]
+    active = spark.createDataFrame(rows, "role string, decision_id string, assignment_id string").withColumns({"classification": F.lit("match"), "decided_at": F.timestamp_seconds(F.lit(1)), "resolves": F.expr("case when role = 'resolution' then array('p', 'k') else array('p') end")})
+    joined = adjudication.by_assignment(items, active)
+    plan = plan_of(joined)
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(assignment_id") == 1
+    got = sorted(((r["assignment_id"], r["is_calibration"], r["run_id"], *(r[c] and r[c]["decision_id"] for c in ("primary", "calibration", "resolution"))) for r in joined.collect()), key=str)
+    assert got == [("x", True, "r", "p", "k", "s"), ("y", False, "r", "q", None, None), ("y", False, "r", "q2", None, None), ("z", False, "r", None, None, None), (None, False, "r", None, None, None)]
+
+
+def test_a_location_is_sought_once_for_each_pair(spark):
+    pairs = scoring_queries.scored(spark, SMALL)["scored_pairs"]
+    assert pairs.count() and "sf0.001" not in plan_of(pairs)
+    rows = spark.createDataFrame([("a", 5, 6), ("b", 9, 9), ("old", 1, 1), ("x", 1, 1), (None, 1, 1)], "path string, s int, e int")
+    at = "array(named_struct('loc_pos', 0, 'path', 'a', 'aliases', array('old', 'b'), 'start_line', 8, 'end_line', 9), named_struct('loc_pos', 1, 'path', 'a', 'aliases', array('old'), 'start_line', 5, 'end_line', null), named_struct('loc_pos', 2, 'path', 'b', 'aliases', array(), 'start_line', 1, 'end_line', 2))"
+    got = rows.select("path", scoring.match_location(F.col("path"), F.col("s"), F.col("e"), F.expr(at)).alias("m")).collect()
+    assert {r["path"]: r["m"] and tuple(r["m"]) for r in got} == {"a": (0, 0, 1, "a"), "b": (0, 1, 2, "b"), "old": (1, 1, 0, "a"), "x": None, None: None}
